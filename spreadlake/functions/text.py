@@ -130,3 +130,12 @@ def href_pairs(html) -> Column:
     hrefs = F.regexp_extract_all(_c(html), F.lit(pattern), F.lit(1))
     titles = F.regexp_extract_all(_c(html), F.lit(pattern), F.lit(2))
     return F.arrays_zip(hrefs.alias("href"), titles.alias("title"))
+
+
+def longest_prefix(c, labels: dict[str, str]) -> Column:
+    """The slot of the longest printed label the text starts with."""
+    c = _c(c)
+    out = F.lit(None).cast("string")
+    for label in sorted(labels, key=len):
+        out = F.when(c.startswith(label), labels[label]).otherwise(out)
+    return out

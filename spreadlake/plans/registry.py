@@ -80,7 +80,8 @@ def oracle(q: Query) -> str | None:
     if q.sql is None:
         return None
     out = []
-    for name, kind in q.columns:
+    for column, kind in q.columns:
+        name = f'"{column}"'
         if kind == "date":
             c = f"strftime(cast({name} as date), '%Y-%m-%d')"
         elif kind == "int":
