@@ -16,8 +16,9 @@ def keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn(ALL, F.lit(0)), [ALL]
 
 
-def unkeyed(df: DataFrame) -> DataFrame:
-    return df.drop(ALL) if ALL in df.columns else df
+def unkeyed(keys: Sequence[str], df: DataFrame) -> DataFrame:
+    """Drop the constant column again, but only where ``keyed`` added it for this caller."""
+    return df if keys else df.drop(ALL)
 
 
 def values_frame(spark: SparkSession, values: str, columns: str) -> DataFrame:

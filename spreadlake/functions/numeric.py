@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
+# Executors get the functions of this module by value, so they need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

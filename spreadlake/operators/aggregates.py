@@ -52,7 +52,7 @@ def exact_quantiles(
         F.col("_rank") == F.floor("_pos"), 1 - share
     ).otherwise(share)
     per_q = hit.groupBy(*k, "_q").agg(F.sum(weight * F.col("_v")).alias("_x"))
-    return unkeyed(
+    return unkeyed(keys, 
         per_q.groupBy(*k).agg(*[F.max(F.when(F.col("_q") == name, F.col("_x"))).alias(name) for name in quantiles])
     )
 
@@ -179,7 +179,7 @@ def specification_list(df: DataFrame, keys: Sequence[str], spec: str, period: st
     """Distinct specifications in order of first appearance, with their first period."""
     df, k = keyed(df.filter(F.col(spec).isNotNull()), keys)
     first = df.groupBy(*k, spec).agg(F.min(period).alias("first"))
-    return unkeyed(first.withColumn("position", F.row_number().over(by(k, "first", spec))))
+    return unkeyed(keys, first.withColumn("position", F.row_number().over(by(k, "first", spec))))
 
 
 def range_summary(df: DataFrame, keys: Sequence[str], period: str, value: str, official: str) -> DataFrame:

@@ -37,7 +37,7 @@ def densify(
     out = [F.col(c) for c in k] + [F.col("_p").alias(period)]
     out += [F.when(own, F.col(c)).alias(c) for c in values]
     out += [F.when(own, F.col(c)).otherwise(0).alias(c) for c in zeros]
-    return unkeyed(spine.select(*out))
+    return unkeyed(keys, spine.select(*out))
 
 
 def period_mean(
@@ -59,7 +59,7 @@ def period_mean(
         F.avg(v).alias("value"), F.count(v).alias("observations")
     )
     dense = densify(agg, k, "period", grain, values=["value"], zeros=["observations"])
-    return unkeyed(
+    return unkeyed(keys, 
         dense.withColumn("value", F.when(F.col("observations") >= min_obs, F.col("value")))
     )
 
@@ -85,7 +85,7 @@ def gaps(df: DataFrame, keys: Sequence[str], date: str, grain: str) -> DataFrame
     )
     if grain == "daily":
         holes = holes.filter(cal.is_weekday("gap"))
-    return unkeyed(holes)
+    return unkeyed(keys, holes)
 
 
 def expected_minus_present(expected: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -106,7 +106,7 @@ def runs_of(
     position = F.row_number().over(w) if grain is None else cal.month_index(period)
     true_rows = df.withColumn("_pos", position).withColumn("_f", flag).filter(F.col("_f"))
     grouped = true_rows.withColumn("_run", F.col("_pos") - F.row_number().over(w))
-    return unkeyed(
+    return unkeyed(keys, 
         grouped.groupBy(*k, "_run")
         .agg(F.min(period).alias("first"), F.max(period).alias("last"), F.count("*").alias("length"))
         .drop("_run")
@@ -118,7 +118,7 @@ def longest_run(df: DataFrame, keys: Sequence[str], period: str, flag: Column, g
     df, k = keyed(df, keys)
     runs = runs_of(df, k, period, flag, grain)
     best = F.min_by(F.struct("first", "last", "length"), F.struct(-F.col("length"), F.col("first")))
-    return unkeyed(runs.groupBy(*k).agg(best.alias("_b")).select(*k, "_b.*"))
+    return unkeyed(keys, runs.groupBy(*k).agg(best.alias("_b")).select(*k, "_b.*"))
 
 
 def value_timeline(df: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
@@ -127,7 +127,7 @@ def value_timeline(df: DataFrame, keys: Sequence[str], period: str, value: str)
     w = by(k, period)
     change = (~F.col(value).eqNullSafe(F.lag(value).over(w))).cast("int")
     cut = df.withColumn("_c", change).withColumn("_stretch", F.sum("_c").over(w))
-    return unkeyed(
+    return unkeyed(keys, 
         cut.groupBy(*k, "_stretch", value)
         .agg(F.min(period).alias("first"), F.max(period).alias("last"), F.count("*").alias("periods"))
         .drop("_stretch")
@@ -150,7 +150,7 @@ def gap_clusters(df: DataFrame, keys: Sequence[str], value: str, tolerance: floa
     w = by(k, "_cell")
     new = F.coalesce((F.col("_lo") - F.lag("_hi").over(w) > tolerance).cast("int"), F.lit(1))
     cut = cells.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(w))
-    return unkeyed(
+    return unkeyed(keys, 
         cut.groupBy(*k, "cluster").agg(
             F.min("_lo").alias("first"),
             F.max("_hi").alias("last"),
@@ -170,7 +170,7 @@ def corroboration_bounds(df: DataFrame, keys: Sequence[str], period: str, n_sour
     """First and last period with more than one independent source, per key."""
     df, k = keyed(df, keys)
     p = F.when(F.col(n_sources) > 1, F.col(period))
-    return unkeyed(df.groupBy(*k).agg(F.min(p).alias("first_corroborated"), F.max(p).alias("last_corroborated")))
+    return unkeyed(keys, df.groupBy(*k).agg(F.min(p).alias("first_corroborated"), F.max(p).alias("last_corroborated")))
 
 
 def evidence_class(period: Column, n_notes: Column, n_sources: Column, first: Column, last: Column) -> Column:

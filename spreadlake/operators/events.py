@@ -78,7 +78,7 @@ def coverage(
     )
     names = ("present", "before_start", "after_end", "future", "hole")
     tagged = asked.withColumn("_cls", cls)
-    return unkeyed(
+    return unkeyed(keys, 
         tagged.groupBy(*k, "event_id").agg(*[F.count_if(F.col("_cls") == n).alias(n) for n in names])
     )
 

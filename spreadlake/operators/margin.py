@@ -216,7 +216,7 @@ def waterfall(df: DataFrame, keys: Sequence[str], name: str, contribution: str)
     df, k = keyed(df, keys)
     w = by(k, F.col(contribution).desc(), name)
     run = F.sum(contribution).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return unkeyed(
+    return unkeyed(keys, 
         df.withColumn("step", F.row_number().over(w))
         .withColumn("end", run)
         .withColumn("start", F.col("end") - F.col(contribution))

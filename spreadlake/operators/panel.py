@@ -48,7 +48,7 @@ def hold_flat(
     )
     over = F.col("source_year") > F.col("last_y")
     flat = beyond == "held_flat"
-    return unkeyed(
+    return unkeyed(keys, 
         out.withColumn("capacity_assumed", over)
         .withColumn("capacity", F.when(over, F.col("last_cap") if flat else F.lit(None)).otherwise(F.col("capacity")))
         .withColumn("source_year", F.when(over, F.col("last_y") if flat else F.lit(None)).otherwise(F.col("source_year")))
@@ -70,7 +70,7 @@ def linear_between_anchors(months: DataFrame, annual: DataFrame, keys: Sequence[
     t0, t1 = F.make_date("y", F.lit(12), F.lit(31)), F.make_date("_y1", F.lit(12), F.lit(31))
     joined = months.withColumn("_year", F.year(period)).join(legs, [*k, "_year"], "left")
     share = F.datediff(F.col(period), t0) / F.datediff(t1, t0)
-    return unkeyed(
+    return unkeyed(keys, 
         joined.withColumn("capacity_linear", F.col("_v0") + share * (F.col("_v1") - F.col("_v0"))).drop(
             "_year", "y", "_v0", "_y1", "_v1"
         )
@@ -90,7 +90,7 @@ def with_lags(
         others = [c for c in df.columns if c not in (*k, period)]
         df = densify(df, k, period, "monthly", values=others)
     w = by(k, period)
-    return unkeyed(df.select("*", *[F.lag(value, n).over(w).alias(f"{prefix}{n}") for n in lags]))
+    return unkeyed(keys, df.select("*", *[F.lag(value, n).over(w).alias(f"{prefix}{n}") for n in lags]))
 
 
 def strict_mean(*columns: str) -> Column:
@@ -118,7 +118,7 @@ def rolling_ratio(
     dense = densify(df, k, period, "monthly", values=[numerator, denominator])
     num = rolling_mean(numerator, k, period, window)
     den = rolling_mean(denominator, k, period, window)
-    return unkeyed(
+    return unkeyed(keys, 
         dense.withColumn("_num", num).withColumn("rolled_denominator", den)
         .withColumn("rolled_ratio", ratio("_num", "rolled_denominator"))
         .drop("_num")
@@ -161,7 +161,7 @@ def usable_dummies(df: DataFrame, keys: Sequence[str], names: Sequence[str]) ->
     df, k = keyed(df, keys)
     means = df.groupBy(*k).agg(*[F.avg(n).alias(n) for n in names])
     long = means.unpivot(k, list(names), "dummy", "mean")
-    return unkeyed(long.withColumn("usable", (F.col("mean") > 0) & (F.col("mean") < 1)))
+    return unkeyed(keys, long.withColumn("usable", (F.col("mean") > 0) & (F.col("mean") < 1)))
 
 
 def log_level(value: str) -> Column:
@@ -174,7 +174,7 @@ def falls(annual: DataFrame, keys: Sequence[str], value: str = "capacity", year:
     w = by(k, year)
     prev, prev_y = F.lag(value).over(w), F.lag(year).over(w)
     out = annual.withColumn("previous", F.when(prev_y == F.col(year) - 1, prev))
-    return unkeyed(out.withColumn("change", F.col(value) - F.col("previous")).filter("change < 0"))
+    return unkeyed(keys, out.withColumn("change", F.col(value) - F.col("previous")).filter("change < 0"))
 
 
 def utilisation_annual(monthly: DataFrame, annual: DataFrame, keys: Sequence[str], period: str = "m") -> DataFrame:
@@ -202,7 +202,7 @@ def comovement(df: DataFrame, keys: Sequence[str], period: str, num: str, den: s
         "_dd", F.col(den) - F.lag(den, 12).over(w)
     )
     r = F.col(num) / F.col(den)
-    return unkeyed(
+    return unkeyed(keys, 
         diffs.groupBy(*k).agg(
             F.count("*").alias("months"),
             F.min(period).alias("first_month"),
@@ -229,7 +229,7 @@ def lag_correlations(
         *[F.struct(F.lit(r).alias("regressor"), F.lit(n).alias("lag"), F.col(f"{r}__{n}").alias("x")) for r in regressors for n in lags]
     )
     long = wide.select(*k, *targets, F.inline(items)).dropna(subset=["x", *targets])
-    return unkeyed(
+    return unkeyed(keys, 
         long.groupBy(*k, "regressor", "lag").agg(
             F.count("*").alias("months"), *[F.corr(t, "x").alias(f"corr_{t}") for t in targets]
         )

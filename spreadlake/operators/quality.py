@@ -59,7 +59,7 @@ def order_breaks(df: DataFrame, keys: Sequence[str], date: str, position: str, w
     )
     edge = F.lag("_last").over(by(k, "_slice"))
     edges = per_slice.withColumn("_edge", (F.col("_first") < edge).cast("int"))
-    return unkeyed(
+    return unkeyed(keys, 
         edges.groupBy(*k).agg((F.sum("_breaks") + F.coalesce(F.sum("_edge"), F.lit(0))).alias("order_breaks"))
     )
 
@@ -116,7 +116,7 @@ def validate(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
         problems.append(F.when(F.col(f"non_numeric_{c}") > 0, f"non_numeric_{c}"))
     for c, floor in spec.min_observations.items():
         problems.append(F.when(F.col(f"observations_{c}") < floor, f"too_few_observations_{c}"))
-    return unkeyed(result.withColumn("problems", F.array_compact(F.array(*problems))))
+    return unkeyed(keys, result.withColumn("problems", F.array_compact(F.array(*problems))))
 
 
 def shrink_check(new: DataFrame, old: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -132,7 +132,7 @@ def shrink_check(new: DataFrame, old: DataFrame, keys: Sequence[str], columns: S
     both = counted(old, "old").join(counted(new, "new"), k, "full_outer")
     shrunk = [F.when(F.coalesce("rows_new", F.lit(0)) < F.col("rows_old"), "rows")]
     shrunk += [F.when(F.coalesce(f"{c}_new", F.lit(0)) < F.col(f"{c}_old"), c) for c in columns]
-    return unkeyed(both.withColumn("shrunk", F.array_compact(F.array(*shrunk))))
+    return unkeyed(keys, both.withColumn("shrunk", F.array_compact(F.array(*shrunk))))
 
 
 def late_start(df: DataFrame, declared: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:
@@ -177,7 +177,7 @@ def profile(
     out = base.join(holes, k, "left").withColumn("gap_count", F.coalesce("gap_count", F.lit(0)))
     stale = F.lit(False) if stale_before is None else F.col("last_date") < F.lit(stale_before).cast("date")
     status = F.when(F.col("observations") == 0, "failed").when(stale, "stale").otherwise("ok")
-    return unkeyed(out.withColumn("status", status))
+    return unkeyed(keys, out.withColumn("status", status))
 
 
 def upsert(current: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -216,7 +216,7 @@ def provisional_from(df: DataFrame, keys: Sequence[str], period: str, flagged: s
     tail = F.max(F.when(~F.col(flagged), F.col(period))).over(Window.partitionBy(*k))
     run = df.withColumn("_clean", tail).filter(F.col("_clean").isNull() | (F.col(period) > F.col("_clean")))
     starts = run.groupBy(*k).agg(F.min(period).alias("provisional_from"))
-    return unkeyed(df.select(*k).distinct().join(starts, k, "left"))
+    return unkeyed(keys, df.select(*k).distinct().join(starts, k, "left"))
 
 
 def status_word(period: str, provisional_from_col: str, method: str) -> Column:
@@ -255,7 +255,7 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], date: str,
     )
     diff = F.abs(F.col("_a") - F.col("_b"))
     order = F.when(diff.isNotNull(), F.struct((-diff).alias("d"), F.col(date).alias("t")))
-    return unkeyed(
+    return unkeyed(keys, 
         both.groupBy(*k).agg(
             F.count(diff).alias("shared"),
             F.max(diff).alias("max_abs_diff"),
@@ -274,7 +274,7 @@ def calendar_disagreement(left: DataFrame, right: DataFrame, keys: Sequence[str]
         right.select(*k, date, F.col(value).alias("_b")), [*k, date], "inner"
     )
     a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
-    return unkeyed(
+    return unkeyed(keys, 
         j.groupBy(*k).agg(
             F.count_if(a & b).alias("both"),
             F.count_if(a & ~b).alias("left_only"),
@@ -297,7 +297,7 @@ def tolerance_check(left: DataFrame, right: DataFrame, on: Sequence[str], value:
 def extreme_prints(df: DataFrame, keys: Sequence[str], date: str, value: str, bound: float) -> DataFrame:
     """Days below a bound, per year: how many, first, last, lowest."""
     df, k = keyed(df.filter(F.col(value) < bound), keys)
-    return unkeyed(
+    return unkeyed(keys, 
         df.groupBy(*k, F.year(date).alias("year")).agg(
             F.count("*").alias("days"), F.min(date).alias("first"), F.max(date).alias("last"), F.min(value).alias("low")
         )
@@ -309,7 +309,7 @@ def flat_bars(df: DataFrame, keys: Sequence[str], o="o", h="h", l="l", c="c", vo
     df, k = keyed(df, keys)
     flat = F.coalesce((F.col(o) == F.col(h)) & (F.col(h) == F.col(l)) & (F.col(l) == F.col(c)), F.lit(False))
     idle = F.coalesce(F.col(vol) == 0, F.lit(False))
-    return unkeyed(
+    return unkeyed(keys, 
         df.groupBy(*k).agg(
             F.count_if(flat).alias("flat_bars"),
             F.count_if(idle).alias("zero_volume_bars"),
@@ -331,7 +331,7 @@ def roll_jumps(df: DataFrame, keys: Sequence[str], date: str, close: str, thresh
         .withColumn("sessions_to_month_end", F.row_number().over(month) - 1)
         .withColumn("percent", 100.0 * (F.col(close) - F.col("previous_close")) / F.col("previous_close"))
     )
-    return unkeyed(out.filter(F.abs("percent") >= threshold).drop("_m"))
+    return unkeyed(keys, out.filter(F.abs("percent") >= threshold).drop("_m"))
 
 
 def waterfall_breaks(df: DataFrame, keys: Sequence[str], order: str, start: str, end: str, tolerance: float = 1e-5) -> DataFrame:
@@ -339,7 +339,7 @@ def waterfall_breaks(df: DataFrame, keys: Sequence[str], order: str, start: str,
     df, k = keyed(df, keys)
     prev = F.lag(end).over(by(k, order))
     out = df.withColumn("_expected", F.coalesce(prev, F.lit(0.0)))
-    return unkeyed(out.filter(F.abs(F.col(start) - F.col("_expected")) > tolerance))
+    return unkeyed(keys, out.filter(F.abs(F.col(start) - F.col("_expected")) > tolerance))
 
 
 def event_problems(df: DataFrame, kinds: Sequence[str]) -> DataFrame:
@@ -379,5 +379,5 @@ def guarded_append(current: DataFrame, new: DataFrame, keys: Sequence[str], spec
         *k, (F.size("problems") == 0).alias("accepted"), "problems"
     )
     good = new_k.join(verdict.filter("accepted").select(*k), k, "left_semi")
-    merged = current.unionByName(unkeyed(good), allowMissingColumns=True)
-    return merged, unkeyed(verdict)
+    merged = current.unionByName(unkeyed(keys, good), allowMissingColumns=True)
+    return merged, unkeyed(keys, verdict)

@@ -19,14 +19,14 @@ def carrier(df: DataFrame, keys: Sequence[str], name: str, value: str) -> DataFr
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value))
     order = F.when(present, F.struct((-F.col(value)).alias("a"), F.col(name).alias("b")))
     best = F.min_by(F.struct(F.col(name).alias("carrier"), F.col(value).alias("carrier_value")), order)
-    return unkeyed(df.groupBy(*k).agg(best.alias("_b")).select(*k, "_b.carrier", "_b.carrier_value"))
+    return unkeyed(keys, df.groupBy(*k).agg(best.alias("_b")).select(*k, "_b.carrier", "_b.carrier_value"))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence, k: int, rank: str = "rank") -> DataFrame:
     """First k rows per key. Spark keeps only k rows per group before the shuffle (window group limit)."""
     df, kk = keyed(df, keys)
     ranked = df.withColumn(rank, F.row_number().over(by(kk, *order)))
-    return unkeyed(ranked.filter(F.col(rank) <= k))
+    return unkeyed(keys, ranked.filter(F.col(rank) <= k))
 
 
 def extreme(df: DataFrame, keys: Sequence[str], value: str, period: str, largest: bool = True) -> DataFrame:
@@ -35,13 +35,13 @@ def extreme(df: DataFrame, keys: Sequence[str], value: str, period: str, largest
     v = F.col(value) if largest else -F.col(value)
     order = F.when(F.col(value).isNotNull(), F.struct((-v).alias("a"), F.col(period).alias("b")))
     best = F.min_by(F.struct(F.col(value).alias("value"), F.col(period).alias("at")), order)
-    return unkeyed(df.groupBy(*k).agg(best.alias("_b")).select(*k, "_b.value", "_b.at"))
+    return unkeyed(keys, df.groupBy(*k).agg(best.alias("_b")).select(*k, "_b.value", "_b.at"))
 
 
 def latest(df: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
     """The latest observed row per key as value and period."""
     df, k = keyed(df.filter(F.col(value).isNotNull()), keys)
-    return unkeyed(df.groupBy(*k).agg(F.max(period).alias("at"), F.max_by(value, period).alias("value")))
+    return unkeyed(keys, df.groupBy(*k).agg(F.max(period).alias("at"), F.max_by(value, period).alias("value")))
 
 
 def trailing_rank(
@@ -59,7 +59,7 @@ def trailing_rank(
     at_or_below = F.size(F.filter("_h", lambda x: x <= F.col(value)))
     above = F.size(F.filter("_h", lambda x: x > F.col(value)))
     has = F.col(value).isNotNull() & (F.size("_h") > 0)
-    return unkeyed(
+    return unkeyed(keys, 
         out.withColumn(f"{prefix}window_obs", F.size("_h"))
         .withColumn(f"{prefix}percentile", F.when(has, 100.0 * at_or_below / F.size("_h")))
         .withColumn(f"{prefix}rank_from_top", F.when(has, above + 1))
@@ -72,7 +72,7 @@ def gap_to_second(df: DataFrame, keys: Sequence[str], name: str, score: str) ->
     df, k = keyed(df, keys)
     w = by(k, score, name)
     nxt = F.lead(score).over(w)
-    return unkeyed(
+    return unkeyed(keys, 
         df.withColumn("rank", F.row_number().over(w))
         .withColumn("gap", nxt - F.col(score))
         .withColumn("gap_percent", 100.0 * (nxt - F.col(score)) / nxt)

@@ -37,7 +37,7 @@ def latest_document_wins(
         F.max_by(F.struct(*values), doc).alias("_row"), F.max(doc).alias("source_document")
     ).select(*k, period, "source_document", *[F.col(f"_row.{v}").alias(v) for v in values])
     out = won.join(_names(df, [*k, period], doc), [*k, period])
-    return unkeyed(
+    return unkeyed(keys, 
         calendar_ops.densify(
             out, k, period, grain, values=[*values, "source_document", "documents"], zeros=["n_documents"]
         )
@@ -130,7 +130,7 @@ def stitch(
     evidence = calendar_ops.evidence_class(
         F.col(period), F.col("n_notes"), F.col("n_geometries"), F.col("first_corroborated"), F.col("last_corroborated")
     )
-    return unkeyed(
+    return unkeyed(keys, 
         out.withColumn("cross_checked", F.col("n_geometries") > 1)
         .withColumn("evidence_class", evidence)
         .drop("first_corroborated", "last_corroborated")

@@ -73,11 +73,11 @@ ANNUAL = """(with f as (select r.region, r.m, r.intake, r.imports, l.ly, l.lc, c
     join (select region, max(y) ly, max_by(cap / 1e6, y) lc, min(y) fy from capacity where y <= 1999 group by 1) l on l.region = r.region
     left join (select * from capacity where y <= 1999) c on c.region = r.region and c.y = year(r.m) - 1 where year(r.m) - 1 >= fy),
    g as (select region, year(m) y, avg(intake) intake, avg(imports) imports, avg(case when sy > ly then lc else cap end) capacity,
-     count(intake) months, bool_or(sy > ly) capacity_assumed from f group by 1, 2)
+     count(intake) as months, bool_or(sy > ly) capacity_assumed from f group by 1, 2)
    select g.*, g.intake / g.capacity utilisation, g.intake / (c.cap / 1e6) utilisation_same_year from g left join capacity c on c.region = g.region and c.y = g.y)"""
 
 
-@query("e05_annual_utilisation", "region y:int intake:num imports:num capacity:num months:int capacity_assumed:bool utilisation:num utilisation_same_year:num",
+@query("e05_annual_utilisation", "region y:int intake:num imports:num capacity:num4 months:int capacity_assumed:bool utilisation:num utilisation_same_year:num",
        f"select * from {ANNUAL}")
 def e05(v):
     return annual_frame(v)
@@ -108,8 +108,8 @@ def e08(v):
 
 
 @query("e09_ratio_and_comovement", "region months:int first_month:date last_month:date mean_ratio:num min_ratio:num max_ratio:num corr_levels:num corr_12m:num", """
-    with d as (select *, imports - lag(imports, 12) over w dn, intake - lag(intake, 12) over w dd from panel window w as (partition by region order by m))
-    select region, count(*) months, min(m) first_month, max(m) last_month, avg(imports / intake) mean_ratio, min(imports / intake) min_ratio,
+    with d as (select *, imports - lag(imports, 12) over w dn, intake - lag(intake, 12) over w dd from panel where imports is not null window w as (partition by region order by m))
+    select region, count(*) as months, min(m) first_month, max(m) last_month, avg(imports / intake) mean_ratio, min(imports / intake) min_ratio,
       max(imports / intake) max_ratio, corr(imports, intake) corr_levels, corr(dn, dd) corr_12m from d group by 1""")
 def e09(v):
     return panel.comovement(v.panel, ["region"], "m", "imports", "intake")
@@ -124,7 +124,7 @@ def e09(v):
       union all select region, intake, util, 2, 'bench', lag(bench, 2) over w from panel window w as (partition by region order by m)
       union all select region, intake, util, 3, 'margin', lag(margin, 3) over w from panel window w as (partition by region order by m)
       union all select region, intake, util, 3, 'bench', lag(bench, 3) over w from panel window w as (partition by region order by m))
-    select region, r regressor, n as lag, count(*) months, corr(intake, x) corr_intake, corr(util, x) corr_util from l where x is not null group by 1, 2, 3""")
+    select region, r regressor, n as lag, count(*) as months, corr(intake, x) corr_intake, corr(util, x) corr_util from l where x is not null group by 1, 2, 3""")
 def e10(v):
     return panel.lag_correlations(v.panel, ["region"], "m", ["margin", "bench"], ["intake", "util"], (0, 1, 2, 3))
 
@@ -137,9 +137,9 @@ def e11(v):
 
 @query("e13_specification_aware_disagreement", "date:date max_disagreement:num max_respec_gap:num respecified", """
     with s as (select date, field, cast(doc % 3 as varchar) spec, min(value) lo, max(value) hi, count(*) n from readings group by 1, 2, 3),
-    t as (select date, field, max(case when n > 1 then hi - lo end) within, case when count(*) > 1 then max(hi) - min(lo) end across,
+    t as (select date, field, max(case when n > 1 then hi - lo end) as w_in, case when count(*) > 1 then max(hi) - min(lo) end across,
        string_agg(spec, '|' order by spec) specs from s group by 1, 2)
-    select date, max(within) max_disagreement, max(across) max_respec_gap,
+    select date, max(w_in) max_disagreement, max(across) max_respec_gap,
       coalesce(string_agg(case when across is not null then field || ':' || specs end, ';' order by field), '') respecified from t group by 1""")
 def e13(v):
     rows = v.readings.withColumn("spec", (F.col("doc") % 3).cast("string"))

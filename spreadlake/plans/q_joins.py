@@ -34,7 +34,7 @@ def d01_bad(v):
     return _legs(v)[1]
 
 
-@query("d02_left_join_on_period", "m:date margin:num intake:num", """
+@query("d02_left_join_on_period", "m:date margin:num intake:num4", """
     with r as (select m, sum(intake) intake from runs where region <> 'ASIA' group by 1)
     select g.m, g.margin, r.intake from margins g left join r on r.m = g.m""")
 def d02(v):
@@ -95,7 +95,7 @@ def d08(v):
     return panel.hold_flat(v.runs, annual, ["region"])
 
 
-@query("d08_null_beyond", "region m:date capacity:num source_year:int capacity_assumed:bool", f"""
+@query("d08_null_beyond", "region m:date capacity:num source_year:num capacity_assumed:bool", f"""
     select region, m, case when sy > ly then null else cap end capacity, case when sy > ly then null else sy end source_year, sy > ly capacity_assumed from {FLAT}""")
 def d08n(v):
     annual = v.capacity.filter("y <= 1999").select("region", "y", (F.col("cap") / 1e6).alias("capacity"))

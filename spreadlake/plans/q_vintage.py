@@ -86,7 +86,7 @@ def e12(v):
     return i04(v).groupBy("evidence_class").agg(F.count("*").alias("n"))
 
 
-@query("i05_wide_slots", "date:date field n_readings:int r1_doc:int r1_value:num r2_doc:int r2_value:num r12_doc:int", """
+@query("i05_wide_slots", "date:date field n_readings:int r1_doc:int r1_value:num r2_doc:num r2_value:num r12_doc:num", """
     with d as (select date, field, doc, avg(value) x, row_number() over (partition by date, field order by doc) r from readings group by 1, 2, 3)
     select date, field, count(*) n_readings, max(case when r = 1 then doc end) r1_doc, max(case when r = 1 then x end) r1_value,
       max(case when r = 2 then doc end) r2_doc, max(case when r = 2 then x end) r2_value, max(case when r = 12 then doc end) r12_doc from d group by 1, 2""")
@@ -135,7 +135,7 @@ def swapped(v):
     return vintage.substitute_disputed(wide, "h", "x")
 
 
-@query("i08_row_swap_substitute", "m:date disputed:bool substituted:num sign_changes:bool", f"""
+@query("i08_row_swap_substitute", "m:date disputed:bool substituted:num sign_changes:str", f"""
     select m, disputed, case when disputed then x else h end substituted, sign(h) <> sign(case when disputed then x else h end) sign_changes from {SWAP}""")
 def i08(v):
     return swapped(v).withColumn("sign_changes", F.signum("h") != F.signum("substituted"))

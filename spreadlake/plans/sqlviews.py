@@ -87,7 +87,8 @@ VIEWS = {
              join margins g on g.m = r.m""",
     "lagged": """
         select p.*, l1.margin lag1, l2.margin lag2, l3.margin lag3,
-               (l1.margin + l2.margin + l3.margin) / 3 margin_lag
+               (l1.margin + l2.margin + l3.margin) / 3 margin_lag,
+               (l1.bench + l2.bench + l3.bench) / 3 bench_lag
         from panel p
              left join margins l1 on l1.m = p.m - interval 1 month
              left join margins l2 on l2.m = p.m - interval 2 month

@@ -179,5 +179,10 @@ class Views:
     def lagged(self) -> DataFrame:
         """The panel with margin lags built on the full margin history, before any sample cut."""
         lags = panel.with_lags(self.margins, [], "m", "margin", (1, 2, 3))
-        lags = lags.select("m", "lag1", "lag2", "lag3", panel.strict_mean("lag1", "lag2", "lag3").alias("margin_lag"))
+        lags = panel.with_lags(lags, [], "m", "bench", (1, 2, 3), prefix="b", dense=False)
+        lags = lags.select(
+            "m", "lag1", "lag2", "lag3",
+            panel.strict_mean("lag1", "lag2", "lag3").alias("margin_lag"),
+            panel.strict_mean("b1", "b2", "b3").alias("bench_lag"),
+        )
         return self.panel.join(lags, "m", "left")
