@@ -144,19 +144,18 @@ def hac(
         F.array_sort(F.collect_list(F.struct("_o", *[f"v{i}" for i in range(len(terms))]))).alias("_s"),
         F.first("_coef").alias("_coef"), F.max("n").alias("n"), F.max("k").alias("k"), F.max("nw_lag").alias("nw_lag"),
     )
+    dof = F.col("n") - F.col("k")
     items = []
     for i, label in enumerate(terms):
         series = F.col("_s").getField(f"v{i}")
-        items.append(F.struct(F.lit(label).alias("term"), F.col("_coef")[i].alias("coef"), long_run_sum(series, F.col("nw_lag")).alias("_var")))
-    long = packed.select(*keys, "n", "k", "nw_lag", F.inline(F.array(*items)))
-    dof = F.col("n") - F.col("k")
-    var = F.when(dof > 0, F.greatest(F.col("_var"), F.lit(0.0)) * F.col("n") / dof)
+        total = F.greatest(long_run_sum(series, F.col("nw_lag")), F.lit(0.0))
+        se = F.sqrt(F.when(dof > 0, total * F.col("n") / dof))
+        items.append(F.struct(F.lit(label).alias("term"), F.col("_coef")[i].alias("coef"), se.alias("se"), F.col("n").alias("n"), F.col("k").alias("k")))
+    long = packed.withColumn("_items", F.array(*items)).select(*keys, F.inline("_items"))
     return (
-        long.withColumn("se", F.sqrt(var))
-        .withColumn("t", F.when(F.col("se") > 0, F.col("coef") / F.col("se")))
+        long.withColumn("t", F.when(F.col("se") > 0, F.col("coef") / F.col("se")))
         .withColumn("low", F.col("coef") - Z95 * F.col("se"))
         .withColumn("high", F.col("coef") + Z95 * F.col("se"))
-        .drop("_var")
     )
 
 
@@ -255,7 +254,7 @@ def loss_differentials(
         out.withColumn("distinguishable", F.coalesce(F.abs("t") > Z95, F.lit(False)))
         .withColumn("better_rmse", F.least("_ra", "_rb"))
         .withColumn("worse_rmse", F.greatest("_ra", "_rb"))
-        .drop("_ra", "_rb", "k", "nw_lag")
+        .drop("_ra", "_rb", "k")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spreadlake.operators import panel, ranking, regress, threshold
 from spreadlake.plans.q_scalar import EPISODE_LIST
 from spreadlake.plans.registry import query
+from spreadlake.session import cut_lineage
 
 FE = panel.month_dummies("m")
 FE_NAMES = list(FE)
@@ -19,7 +20,7 @@ SAMPLE = "(select * from lagged where util is not null and margin_lag is not nul
 
 
 def sample(v):
-    rows = v.lagged.dropna(subset=["util", "margin_lag"])
+    rows = v.stored_panel.dropna(subset=["util", "margin_lag"])
     return rows.select("*", *[c.alias(n) for n, c in FE.items()])
 
 
@@ -58,7 +59,7 @@ def race_panel(v):
 
 
 def design_frame(v):
-    rows = v.lagged.dropna(subset=["util", "lag1", "lag2", "lag3"])
+    rows = v.stored_panel.dropna(subset=["util", "lag1", "lag2", "lag3"])
     rows = panel.episode_flags(rows, EPISODE_LIST)
     rows = rows.withColumn("trend", panel.trend_months(KEYS, "m")).withColumn("step_1998", panel.step_dummy("m", 1998))
     return rows.select("*", *[c.alias(n) for n, c in FE.items()])
@@ -292,6 +293,7 @@ def drop_refits(v):
     marked = marked.join(run, "region", "left")
     in_run = F.coalesce(F.col("m").between(F.col("a"), F.col("b")), F.lit(False))
     sets = regress.variants(marked, {"all": F.lit(True), "no_episodes": F.col("any_episode") == 0, "no_longest_run": ~in_run})
+    sets = cut_lineage(sets.select("variant", "region", "m", "util", "margin_lag"), "refits")
     k = ["variant", "region"]
     best = threshold.search(threshold.profile(sets, k, "margin_lag", "util", step=STEP), k)
     fit = threshold.kink_fit(sets, k, "m", "margin_lag", "util", best)
@@ -358,7 +360,7 @@ RACE_FORECASTS = f"""(select * from (select region, candidate, m, util, count(*)
 
 
 def race_forecasts(v):
-    return regress.expanding_forecasts(race_rows(v), ["region", "candidate"], "m", "util", ["x"], MIN_TRAIN)
+    return cut_lineage(regress.expanding_forecasts(race_rows(v), ["region", "candidate"], "m", "util", ["x"], MIN_TRAIN), "race")
 
 
 @query("k19_candidate_race", "region candidate rmse:num benchmark_rmse:num n_forecasts:int", f"""

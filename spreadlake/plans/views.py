@@ -10,6 +10,7 @@ from spreadlake.functions import calendar as cal
 from spreadlake.functions.frames import values_frame
 from spreadlake.operators import calendar_ops, panel, spread
 from spreadlake.plans import sqlviews
+from spreadlake.session import cut_lineage
 
 
 class Views:
@@ -186,3 +187,12 @@ class Views:
             panel.strict_mean("b1", "b2", "b3").alias("bench_lag"),
         )
         return self.panel.join(lags, "m", "left")
+
+    @cached_property
+    def stored_panel(self) -> DataFrame:
+        """The lagged panel written once to the shared folder.
+
+        The equations read it many times over (sums, scores, candidates,
+        replicates), so its joins are done once and the plans stay shallow.
+        """
+        return cut_lineage(self.lagged, "panel")
