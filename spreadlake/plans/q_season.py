@@ -100,9 +100,9 @@ def l06(v):
 
 
 @query("l07_latest_week_position", "product at:date value:num position excess:num n_years:int", f"""
-    with w as (select product, cast(date_trunc('week', date) as date) as at, avg(price) v from quotes group by 1, 2), l as (select product, max(at) as at, max_by(v, at) v from w group by 1)
-    select l.product, l.at, l.v as value, case when n_years = 0 then 'none' when l.v > maximum then 'above' when l.v < minimum then 'below' else 'inside' end as position,
-      case when n_years > 0 then l.v - maximum end excess, n_years from l join {band_sql(WEEKLY, 53)} b on b.product = l.product and b.slot = week(l.at)""")
+    with w as (select product, cast(date_trunc('week', date) as date) wk, avg(price) v from quotes group by 1, 2), l as (select product, max(wk) lw, max_by(v, wk) v from w group by 1)
+    select l.product, l.lw as "at", l.v as value, case when n_years = 0 then 'none' when l.v > maximum then 'above' when l.v < minimum then 'below' else 'inside' end as position,
+      case when n_years > 0 then l.v - maximum end excess, n_years from l join {band_sql(WEEKLY, 53)} b on b.product = l.product and b.slot = week(l.lw)""")
 def l07(v):
     from spreadlake.operators.ranking import latest
 

@@ -31,11 +31,11 @@ def o02(v):
 
 def _guard(v):
     rows = _stream(v).select("user_id", F.to_date("ts").alias("date"), "value")
-    spec = Spec(bounds={"value": (0.0, 60.0)}, min_rows=3, unique_dates=False)
+    spec = Spec(bounds={"value": (0.0, 220.0)}, min_rows=3, unique_dates=False)
     return incremental.streaming_guarded_append(rows, ["user_id"], spec)
 
 
-PASSED = "count(*) filter (where value < 0 or value > 60) = 0 and count(*) >= 3"
+PASSED = "count(*) filter (where value < 0 or value > 220) = 0 and count(*) >= 3"
 
 
 @query("o03_streaming_guard_accepted", "user_id:int n:int", f"select user_id, count(*) n from events group by 1 having {PASSED}")
