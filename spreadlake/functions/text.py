@@ -104,12 +104,27 @@ def expand_year(two_digits, reference_date) -> Column:
     )
 
 
+# Fixed value: one numeric token of a printed row, any dash as sign, R for revised.
+NUMBER_TOKEN = r"^[+\-\u2010-\u2015\u2212]?[0-9]+(\.[0-9]+)?R?$"
+
+
+def row_tokens(line) -> Column:
+    """The white-space separated tokens of a printed row."""
+    return F.filter(F.split(_c(line), r"\s+"), lambda t: t != "")
+
+
+def label_length(tokens: Column) -> Column:
+    """How many leading tokens belong to the label: all up to the last one that is no number."""
+    marks = F.transform(tokens, lambda t, i: F.when(t.rlike(NUMBER_TOKEN), 0).otherwise(i + 1))
+    return F.coalesce(F.array_max(marks), F.lit(0))
+
+
 def split_row(line) -> tuple[Column, Column]:
     """(label, tail) of a printed row: numeric tokens are taken off the end."""
-    t = F.trim(F.regexp_replace(_c(line), r"\s+", " "))
-    tail = F.trim(F.regexp_extract(t, r"((?: |^)(?:[+\-‐-―−]?\d+(?:\.\d+)?R?))+$", 0))
-    label = F.trim(F.substring(t, F.lit(1), F.length(t) - F.length(tail)))
-    return label, tail
+    tokens = row_tokens(line)
+    cut = label_length(tokens)
+    rest = F.greatest(F.size(tokens) - cut, F.lit(0))
+    return F.array_join(F.slice(tokens, 1, cut), " "), F.array_join(F.slice(tokens, cut + 1, rest), " ")
 
 
 def token_value(token) -> Column:

@@ -6,7 +6,7 @@ from spreadlake.operators import events, margin, panel, regress, threshold
 from spreadlake.operators.calendar_ops import longest_run
 from spreadlake.plans import q_margin, q_quality, q_regress
 from spreadlake.plans.q_joins import EVENT_ROWS
-from spreadlake.plans.registry import query
+from spreadlake.plans.registry import REGISTRY, query
 
 WIN = """(select event_id, day, o as "offset", cast(date_trunc('month', day) + to_months(cast(o as int)) as date) m from event_dim, range(-6, 7) t(o))"""
 
@@ -113,7 +113,9 @@ def m08r(v):
     return gap_to_second(scores, ["region"], "candidate", "rmse").join(told.select("region", "verdict"), "region")
 
 
-@query("m08_instrument_mart", "region first_f:num4 weak:bool sd_inside:num sd_outside:num")
+@query("m08_instrument_mart", "region first_f:num4 weak:bool sd_inside:num sd_outside:num", f"""
+    select a.region, first_f, weak, sd_inside, sd_outside from ({REGISTRY["k24_two_stage_least_squares"].sql}) a
+    join ({REGISTRY["k26_instrument_spread"].sql}) b on b.region = a.region""")
 def m08i(v):
     return q_regress.k24(v).join(q_regress.k26(v), "region")
 

@@ -91,7 +91,7 @@ def _seed(v):
     """One seed document per customer segment and nation, written as JSON lines."""
     path = shared_dir(v.spark, "seed")
     c = v.table("customer")
-    bucket = (F.col("c_custkey") % 1000).alias("bucket")  # bounds the figures of one document
+    bucket = F.floor(F.col("c_custkey") / 1000).alias("bucket")  # at most a thousand figures in one document
     figure = F.struct(
         F.col("c_name").alias("key"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("value"),
         F.when(F.col("c_custkey") % 13 == 0, "").otherwise("usd_bbl").alias("unit"),

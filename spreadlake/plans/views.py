@@ -169,24 +169,30 @@ class Views:
         )
 
     @cached_property
-    def panel(self) -> DataFrame:
+    def utilised(self) -> DataFrame:
         annual = self.capacity.select("region", "y", (F.col("cap") / 1e6).alias("capacity"))
-        runs = panel.utilisation(self.runs, annual, ["region"], lag_years=1, scale=1200.0)
-        return runs.join(self.margins, "m", "inner").select(
+        return panel.utilisation(self.runs, annual, ["region"], lag_years=1, scale=1200.0)
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        return self.utilised.join(self.margins, "m", "inner").select(
             "region", "m", "intake", "imports", "capacity", "source_year", "util", "margin", "bench"
         )
 
     @cached_property
     def lagged(self) -> DataFrame:
-        """The panel with margin lags built on the full margin history, before any sample cut."""
+        """The panel with margin lags built on the full margin history, before any sample cut.
+
+        The lags ride on the margin table itself, so the panel meets it in one join.
+        """
         lags = panel.with_lags(self.margins, [], "m", "margin", (1, 2, 3))
         lags = panel.with_lags(lags, [], "m", "bench", (1, 2, 3), prefix="b", dense=False)
-        lags = lags.select(
-            "m", "lag1", "lag2", "lag3",
+        return self.utilised.join(lags, "m", "inner").select(
+            "region", "m", "intake", "imports", "capacity", "source_year", "util", "margin", "bench",
+            "lag1", "lag2", "lag3",
             panel.strict_mean("lag1", "lag2", "lag3").alias("margin_lag"),
             panel.strict_mean("b1", "b2", "b3").alias("bench_lag"),
         )
-        return self.panel.join(lags, "m", "left")
 
     @cached_property
     def stored_panel(self) -> DataFrame:

@@ -62,13 +62,16 @@ def rank_captures(
 def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
     """Printed rows of every text: line number, label, folded key and numeric tokens."""
     lines = docs.select(doc, F.posexplode(F.split(body, "\n")).alias("line", "_line"))
-    label, tail = text.split_row("_line")
-    rows = lines.select(doc, "line", label.alias("label"), tail.alias("_tail")).filter("_tail <> '' and label <> ''")
-    tokens = F.split("_tail", " ")
-    return rows.select(
-        doc, "line", "label", text.label_key("label").alias("label_key"),
-        F.transform(tokens, lambda t: text.token_value(t)).alias("values"),
-        F.exists(tokens, lambda t: t.endswith("R")).alias("revised"),
+    # only a line that ends in a digit or a revision mark can hold a row
+    likely = lines.filter(F.col("_line").rlike(r"[0-9]R?\s*$"))
+    tokens = likely.select(doc, "line", text.row_tokens("_line").alias("_t"))
+    cut = tokens.withColumn("_cut", text.label_length(F.col("_t"))).filter((F.col("_cut") > 0) & (F.col("_cut") < F.size("_t")))
+    numbers = F.slice("_t", F.col("_cut") + 1, F.size("_t") - F.col("_cut"))
+    label = F.array_join(F.slice("_t", F.lit(1), F.col("_cut")), " ")
+    return cut.select(
+        doc, "line", label.alias("label"), text.label_key(label).alias("label_key"),
+        F.transform(numbers, lambda t: text.token_value(t)).alias("values"),
+        F.exists(numbers, lambda t: t.endswith("R")).alias("revised"),
     )
 
 
