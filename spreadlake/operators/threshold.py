@@ -98,7 +98,8 @@ def _profile(moments: DataFrame, keys: Sequence[str], step: float) -> DataFrame:
     syy = F.col("t_yy") - F.col("t_y") * F.col("t_y") / n
     ssr = syy - F.when(shh > 1e-9, shy * shy / shh).otherwise(F.lit(0.0))
     return both.select(
-        *keys, F.col("_i").alias("i"), (F.col("lo") + tau).alias("tau"), ssr.alias("ssr"), n.alias("n"), "lo", "cells"
+        *keys, F.col("_i").alias("i"), (F.col("lo") + tau).alias("tau"), ssr.alias("ssr"),
+        F.round(ratio(ssr, syy), 11).alias("share"), n.alias("n"), "lo", "cells",
     )
 
 
@@ -122,8 +123,12 @@ def profile(
 
 
 def search(prof: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The candidate with the smallest SSR; the first one wins a tie."""
-    best = F.min(F.struct("ssr", "i", "tau"))
+    """The candidate with the smallest SSR; the first one wins a tie.
+
+    Where one row lies below several candidates they all fit alike, so the
+    comparison is made on the share of the total, rounded past float noise.
+    """
+    best = F.min(F.struct("share", "i", "tau", "ssr"))
     return prof.groupBy(*keys).agg(best.alias("_b"), F.max("n").alias("n"), F.min("tau").alias("grid_low"), F.max("tau").alias("grid_high")).select(
         *keys, F.col("_b.tau").alias("tau"), F.col("_b.ssr").alias("ssr"), "n", "grid_low", "grid_high"
     )

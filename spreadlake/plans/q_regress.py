@@ -301,10 +301,35 @@ def drop_refits(v):
     return fit.join(base, "region").withColumn("sign_flip", F.signum("slope_below") != F.signum("base"))
 
 
-@query("k16_grid_sensitivity", "region grid_set grid_low:num grid_high:num tau:num ci_low:num ci_high:num too_wide:bool touches_edge:bool identified:bool")
+SETS = {"5_95": (0.05, 0.95), "2_98": (0.02, 0.98), "0_100": (0.0, 1.0), "10_90": (0.1, 0.9)}
+SET_REPS = 40
+SET_QUANTILES = ", ".join(str(q) for pair in SETS.values() for q in pair)
+SET_ROWS = " union all ".join(f"select region, '{g}' gs, q[{2 * i + 1}] lo, q[{2 * i + 2}] hi from qq" for i, g in enumerate(SETS))
+
+
+@query("k16_grid_sensitivity", "region grid_set grid_low:num grid_high:num tau:num ci_low:num ci_high:num too_wide:bool touches_edge:bool identified:bool", f"""
+    with sm0 as (select region, m, util y, margin_lag x, row_number() over (partition by region order by m) - 1 p from {SAMPLE}),
+    qq as (select region, quantile_cont(x, [{SET_QUANTILES}]) q from sm0 group by 1), gg as ({SET_ROWS}),
+    t as (select region, gs, i, lo + i * {STEP} tau from (select region, gs, lo, unnest(range(0, cast(floor((hi - lo) / {STEP}) as int) + 1)) i from gg where hi > lo)),
+    pf as (select s.region, gs, i, tau, case when regr_sxx(y, greatest(tau - x, 0)) > 1e-9 then round(regr_syy(y, greatest(tau - x, 0)) * (1 - coalesce(regr_r2(y, greatest(tau - x, 0)), 0)), 7) else round(regr_syy(y, greatest(tau - x, 0)), 7) end ssr
+      from sm0 s join t on t.region = s.region group by 1, 2, 3, 4),
+    pt as (select region, gs, tau from pf qualify row_number() over (partition by region, gs order by ssr, i) = 1),
+    en as (select region, gs, min(tau) grid_low, max(tau) grid_high from t group by 1, 2),
+    bl as (select region, block as b, n from {BLOCK}),
+    dr as (select region, b, n, rep, unnest(range(0, cast(ceil(n * 1.0 / b) as int))) j from (select region, b, n, unnest(range(0, {SET_REPS})) rep from bl)),
+    st as (select region, rep, j, b, n, ((((rep * 1103515245 + (j + 1) * 12345 + {62 * 69069}) % 2147483648 + (j + 1) * 40503) * 1103515245 + 12345) % 2147483648) // 256 % (n - b + 1) s from dr),
+    tk as (select region, rep, unnest(range(s, s + least(b, n - j * b))) p from st),
+    sm as (select tk.region, rep, x, y from tk join sm0 on sm0.region = tk.region and sm0.p = tk.p),
+    ss as (select sm.region, gs, rep, i, tau, case when regr_sxx(y, greatest(tau - x, 0)) > 1e-9 then round(regr_syy(y, greatest(tau - x, 0)) * (1 - coalesce(regr_r2(y, greatest(tau - x, 0)), 0)), 7) else round(regr_syy(y, greatest(tau - x, 0)), 7) end ssr
+      from sm join t on t.region = sm.region group by 1, 2, 3, 4, 5),
+    dw as (select region, gs, rep, tau from ss qualify row_number() over (partition by region, gs, rep order by ssr, i) = 1),
+    ci as (select region, gs, quantile_cont(tau, 0.025) ci_low, quantile_cont(tau, 0.975) ci_high from dw group by 1, 2)
+    select pt.region, pt.gs grid_set, grid_low, grid_high, tau, ci_low, ci_high, ci_high - ci_low > 5 too_wide,
+      ci_low <= grid_low + {STEP} or ci_high >= grid_high - {STEP} touches_edge,
+      not (ci_high - ci_low > 5 or ci_low <= grid_low + {STEP} or ci_high >= grid_high - {STEP}) identified
+    from pt join en on en.region = pt.region and en.gs = pt.gs join ci on ci.region = pt.region and ci.gs = pt.gs""")
 def k16(v):
-    sets = {"5_95": (0.05, 0.95), "2_98": (0.02, 0.98), "0_100": (0.0, 1.0), "10_90": (0.1, 0.9)}
-    return threshold.grid_sensitivity(sample(v), KEYS, "m", "margin_lag", "util", sets, 60, step=STEP, max_lag=12)
+    return threshold.grid_sensitivity(sample(v), KEYS, "m", "margin_lag", "util", SETS, SET_REPS, step=STEP, max_lag=12)
 
 
 @query("k17_linear_versus_kink", "region linear_r2:num linear_ssr:num4 r2:num ssr:num4", f"""

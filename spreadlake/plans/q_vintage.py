@@ -58,30 +58,32 @@ def i03(v):
     return vintage.first_print(one, ["date", "field"], "doc", "value")
 
 
-STITCH_SOURCE = "(select * from readings where value > 30 and doc % 3 = 0)"
+STITCH_SOURCE = "(select user_id, cast(ts as date) date, event_type doc, length(event_type) geometry, value from events)"
 
 
-@query("i04_stitched_series", "field date:date value:num spread:num n_notes:int n_geometries:int cross_checked:bool evidence_class", f"""
-    with o as (select field, date, doc, avg(value) x from {STITCH_SOURCE} group by 1, 2, 3),
-    a as (select field, date, median(x) as value, case when count(*) > 1 then max(x) - min(x) end spread, count(*) n_notes, count(distinct doc % 4) g from o group by 1, 2),
-    s as (select field, cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) date from a group by 1),
-    d as (select s.field, s.date, a.value, a.spread, coalesce(n_notes, 0) n_notes, coalesce(g, 0) g from s left join a on a.field = s.field and a.date = s.date),
-    b as (select field, min(case when g > 1 then date end) f, max(case when g > 1 then date end) l from d group by 1)
-    select d.field, d.date, value, spread, n_notes, g n_geometries, g > 1 cross_checked,
+@query("i04_stitched_series", "user_id:int date:date value:num spread:num n_notes:int n_geometries:int cross_checked:bool evidence_class", f"""
+    with o as (select user_id, date, doc, geometry, avg(value) x from {STITCH_SOURCE} group by 1, 2, 3, 4),
+    a as (select user_id, date, median(x) as value, case when count(*) > 1 then max(x) - min(x) end spread, count(*) n_notes, count(distinct geometry) g from o group by 1, 2),
+    s as (select user_id, cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) date from a group by 1),
+    d as (select s.user_id, s.date, a.value, a.spread, coalesce(n_notes, 0) n_notes, coalesce(g, 0) g from s left join a on a.user_id = s.user_id and a.date = s.date),
+    b as (select user_id, min(case when g > 1 then date end) f, max(case when g > 1 then date end) l from d group by 1)
+    select d.user_id, d.date, value, spread, n_notes, g n_geometries, g > 1 cross_checked,
       case when n_notes = 0 then 'no_coverage' when g > 1 then 'cross_checked' when d.date < f then 'single_geometry_oldest'
-        when d.date > l then 'single_geometry_newest' else 'single_geometry_interior' end evidence_class from d join b on b.field = d.field""")
+        when d.date > l then 'single_geometry_newest' else 'single_geometry_interior' end evidence_class from d join b on b.user_id = d.user_id""")
 def i04(v):
-    rows = v.readings.filter("value > 30 and doc % 3 = 0").withColumn("geometry", F.col("doc") % 4)
-    return vintage.stitch(rows, ["field"], "date", "daily", "doc", "geometry", "value")
+    rows = v.table("events").select(
+        "user_id", F.to_date("ts").alias("date"), F.col("event_type").alias("doc"), F.length("event_type").alias("geometry"), "value"
+    )
+    return vintage.stitch(rows, ["user_id"], "date", "daily", "doc", "geometry", "value")
 
 
 @query("e12_evidence_class_counts", "evidence_class n:int", f"""
-    with o as (select field, date, count(distinct doc % 4) g from {STITCH_SOURCE} group by 1, 2),
-    s as (select field, cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) date from o group by 1),
-    d as (select s.field, s.date, coalesce(g, 0) g from s left join o on o.field = s.field and o.date = s.date),
-    b as (select field, min(case when g > 1 then date end) f, max(case when g > 1 then date end) l from d group by 1)
+    with o as (select user_id, date, count(distinct geometry) g from {STITCH_SOURCE} group by 1, 2),
+    s as (select user_id, cast(unnest(generate_series(min(date), max(date), interval 1 day)) as date) date from o group by 1),
+    d as (select s.user_id, s.date, coalesce(g, 0) g from s left join o on o.user_id = s.user_id and o.date = s.date),
+    b as (select user_id, min(case when g > 1 then date end) f, max(case when g > 1 then date end) l from d group by 1)
     select case when g = 0 then 'no_coverage' when g > 1 then 'cross_checked' when d.date < f then 'single_geometry_oldest'
-        when d.date > l then 'single_geometry_newest' else 'single_geometry_interior' end evidence_class, count(*) n from d join b on b.field = d.field group by 1""")
+        when d.date > l then 'single_geometry_newest' else 'single_geometry_interior' end evidence_class, count(*) n from d join b on b.user_id = d.user_id group by 1""")
 def e12(v):
     return i04(v).groupBy("evidence_class").agg(F.count("*").alias("n"))
 

@@ -113,13 +113,13 @@ def f12(v):
     return calendar_ops.spine_from_last(numbered, F.col("last"), F.col("position"), F.col("n"))
 
 
-@query("f13_corroboration_bounds", "field first_corroborated:date last_corroborated:date", """
-    with p as (select field, date, count(distinct doc % 4) g from readings where doc % 3 = 0 and value > 20 group by 1, 2)
-    select field, min(case when g > 1 then date end) first_corroborated, max(case when g > 1 then date end) last_corroborated from p group by 1""")
+@query("f13_corroboration_bounds", "user_id:int first_corroborated:date last_corroborated:date", """
+    with p as (select user_id, cast(ts as date) date, count(distinct length(event_type)) g from events group by 1, 2)
+    select user_id, min(case when g > 1 then date end) first_corroborated, max(case when g > 1 then date end) last_corroborated from p group by 1""")
 def f13(v):
-    r = v.readings.filter("doc % 3 = 0 and value > 20")
-    p = r.groupBy("field", "date").agg(F.countDistinct(F.col("doc") % 4).alias("g"))
-    return calendar_ops.corroboration_bounds(p, ["field"], "date", "g")
+    e = v.table("events")
+    p = e.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.countDistinct(F.length("event_type")).alias("g"))
+    return calendar_ops.corroboration_bounds(p, ["user_id"], "date", "g")
 
 
 ACF = """with c as (select region, m, util - avg(util) over (partition by region) x, row_number() over (partition by region order by m) rn from panel),
