@@ -130,6 +130,9 @@ def common_sample(df: DataFrame, needed: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(needed))
 
 
+MONTH_EFFECTS = [f"month_{m:02d}" for m in range(2, 13)]
+
+
 def month_dummies(period: str) -> dict[str, Column]:
     """Eleven month effects, January as the base."""
     return {f"month_{m:02d}": (F.month(period) == m).cast("double") for m in range(2, 13)}

@@ -12,8 +12,7 @@ from spreadlake.plans.q_scalar import EPISODE_LIST
 from spreadlake.plans.registry import query
 from spreadlake.session import cut_lineage
 
-FE = panel.month_dummies("m")
-FE_NAMES = list(FE)
+FE_NAMES = panel.MONTH_EFFECTS
 KEYS = ["region"]
 
 SAMPLE = "(select * from lagged where util is not null and margin_lag is not null)"
@@ -21,7 +20,7 @@ SAMPLE = "(select * from lagged where util is not null and margin_lag is not nul
 
 def sample(v):
     rows = v.stored_panel.dropna(subset=["util", "margin_lag"])
-    return rows.select("*", *[c.alias(n) for n, c in FE.items()])
+    return rows.select("*", *[c.alias(n) for n, c in panel.month_dummies("m").items()])
 
 
 def hac_sql(rows: str, keys: str) -> str:
@@ -62,7 +61,7 @@ def design_frame(v):
     rows = v.stored_panel.dropna(subset=["util", "lag1", "lag2", "lag3"])
     rows = panel.episode_flags(rows, EPISODE_LIST)
     rows = rows.withColumn("trend", panel.trend_months(KEYS, "m")).withColumn("step_1998", panel.step_dummy("m", 1998))
-    return rows.select("*", *[c.alias(n) for n, c in FE.items()])
+    return rows.select("*", *[c.alias(n) for n, c in panel.month_dummies("m").items()])
 
 
 CONTROLS = ["trend", *FE_NAMES, "step_1998", *[n for n, _ in EPISODE_LIST]]

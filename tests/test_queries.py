@@ -38,3 +38,12 @@ def test_query_matches_oracle(spark, con, name):
         assert len(got.columns) > 0
         return
     assert rows_of(got) == rows_of(con.execute(sql).df())
+
+
+def test_queries_load_without_a_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=root, timeout=60)
