@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spreadlake.llm import sql
-from spreadlake.llm.common import table
+from spreadlake.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,11 +25,49 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.quality import learn, score
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    weights = learn(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return score(docs, weights, keep=("held_out",)).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from spreadlake.llm.tokencount import byte_level_pieces, count_pieces
+
+    heads, tails = byte_level_pieces(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    return count_pieces(table(spark, sf_dir, "documents"), heads, tails)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.langid import identify
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    found = identify(docs, ~F.col("held_out"), keep=("held_out",))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from spreadlake.llm.packing import pack
+
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    return pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_syncmer_fingerprints,
         op2_source_mixing,
+        op4_quality_classifier,
+        op5_token_counts,
+        op7_language_id,
+        op10_best_fit_packing,
     )
 }
 
