@@ -50,6 +50,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.substring import remove_repeats
+
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -67,6 +74,7 @@ QUERIES: dict[str, Query] = {
         op4_quality_classifier,
         op5_token_counts,
         op7_language_id,
+        op8_substring_dedup,
         op10_best_fit_packing,
     )
 }
