@@ -42,6 +42,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return count_pieces(table(spark, sf_dir, "documents"), heads, tails)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spreadlake.llm.langid import identify
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Query] = {
         op2_source_mixing,
         op4_quality_classifier,
         op5_token_counts,
+        op6_jaccard_join,
         op7_language_id,
         op8_substring_dedup,
         op10_best_fit_packing,
