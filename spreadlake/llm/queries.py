@@ -25,6 +25,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.neardup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spreadlake.llm.quality import learn, score
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_syncmer_fingerprints,
         op2_source_mixing,
+        op3_embedding_near_dedup,
         op4_quality_classifier,
         op5_token_counts,
         op6_jaccard_join,
@@ -88,4 +95,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLES: dict[str, str] = {
     "op2_source_mixing": sql.MIXING,
+    "op3_embedding_near_dedup": sql.NEAR_VECTORS,
+    "op6_jaccard_join": sql.JACCARD,
+    "op8_substring_dedup": sql.SUBSTRING,
 }

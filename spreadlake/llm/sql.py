@@ -61,3 +61,79 @@ select j.doc_id, j.size, j.source_size, j.target,
   cast(j.size * (floor(j.rate) + case when j.draw + t.turn / {TURNS}.0 - floor(j.draw + t.turn / {TURNS}.0) < j.rate - floor(j.rate) then 1 else 0 end) as bigint) as taken
 from joined j join turns t on j.source is not distinct from t.source
 """
+
+_REACHED = """
+reached as (
+  select id, id as component from nodes
+  union
+  select l.b as id, r.component from reached r join links l on l.a = r.id where r.component < l.b
+),
+classes as (
+  select id, min(component) as component from reached group by id
+)
+"""
+
+NEAR_VECTORS = f"""
+with recursive vectors as (
+  select vec_id, label, embedding::double[] as v,
+    coalesce(label is not null and vec_id is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as good
+  from embeddings
+),
+links as (
+  select x.vec_id as a, y.vec_id as b from vectors x join vectors y
+    on x.good and y.good and x.label = y.label and len(x.v) = len(y.v) and x.vec_id <> y.vec_id
+    and list_cosine_similarity(x.v, y.v) >= 0.93
+),
+nodes as (select vec_id as id from vectors),
+{_REACHED}
+select v.vec_id, (select count(*) from links l where l.a = v.vec_id) as n_links, c.component as component_id,
+  v.vec_id = c.component as kept
+from vectors v join classes c on c.id = v.vec_id
+"""
+
+JACCARD = f"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents
+),
+shingles as (
+  select distinct doc_id, md5(array_to_string(w[i : i + 4], ' ')) as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0)
+),
+sizes as (
+  select d.doc_id, count(s.s) as n from documents d left join shingles s on s.doc_id = d.doc_id group by d.doc_id
+),
+shared as (
+  select x.doc_id as a, y.doc_id as b, count(*) as k from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2
+),
+links as (
+  select a, b from shared join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * k >= 75 * (p.n + q.n - k)
+),
+nodes as (select doc_id as id from documents),
+{_REACHED}
+select z.doc_id, z.n as n_shingles, c.component as component_id from sizes z join classes c on c.id = z.doc_id
+"""
+
+SUBSTRING = """
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+),
+windows as (
+  select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from words where len(w) >= 50)
+),
+firsts as (select h, min(doc_id) as first_id from windows group by h having min(doc_id) < max(doc_id)),
+cut as (
+  select distinct doc_id, unnest(range(i, i + 50)) as i from windows join firsts using (h) where first_id < doc_id
+),
+each as (
+  select doc_id, i, w[i] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from words where len(w) > 0)
+),
+kept as (
+  select e.doc_id, count(*) as n, string_agg(e.word, ' ' order by e.i) as t
+  from each e anti join cut c on c.doc_id = e.doc_id and c.i = e.i group by e.doc_id
+)
+select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from words w left join kept k on k.doc_id = w.doc_id
+"""
