@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import math
 import sys
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +84,8 @@ def powers(base: int, n: int) -> np.ndarray:
 class WordHasher:
     """64-bit hashes of all words of a column of texts."""
 
-    def __init__(self, lower: bool = False, salt: int = 7):
+    def __init__(self, lower: bool = False, salt: int = 7, endings: bool = False):
+        self.endings = endings
         self.values = np.random.default_rng(salt).integers(1, 1 << 64, 256, dtype=np.uint64)
         self.space = np.zeros(256, bool)
         self.space[[32, 9, 10, 11, 12, 13]] = True
@@ -99,8 +99,8 @@ class WordHasher:
             n = max(n, 1 << 16)
             self.up, self.down = powers(_ODD, n), powers(pow(_ODD, -1, 1 << 64), n)
 
-    def _chunk(self, b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and first bytes of the words of ``b``; a new text begins at each of ``breaks``."""
+    def _chunk(self, b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, first bytes and endings of the words of ``b``; a new text begins at each of ``breaks``."""
         self._room(len(b))
         sep = self.space[b]
         start = ~sep
@@ -109,14 +109,27 @@ class WordHasher:
         start[inner] = ~sep[inner]
         at = np.flatnonzero(start)
         if not len(at):
-            return np.empty(0, np.uint64), at
+            return np.empty(0, np.uint64), at, at
         sums = np.add.reduceat(self.values[b] * self.up[: len(b)], at)
-        return mix(sums * self.down[at]), at
+        hashes = mix(sums * self.down[at])
+        if not self.endings:
+            return hashes, at, at[:0]
+        stop = ~sep
+        stop[:-1] &= sep[1:]
+        stop[inner - 1] = ~sep[inner - 1]
+        last = np.flatnonzero(stop)
+        low = np.arange(256)
+        low[65:91] += 32
+        before = np.where(last > at, low[b[np.maximum(last - 1, 0)]], 0)
+        return hashes, at, low[b[last]] * 256 + before
 
     def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes of all words in order, number of words of each text); null has none."""
+        """(hashes of all words in order, number of words of each text); null has none.
+
+        With ``endings`` the last two bytes of each word are left in ``self.ended``.
+        """
         data, off = utf8(column)
-        hashes, counts = [], np.zeros(len(off) - 1, np.int64)
+        hashes, ended, counts = [], [], np.zeros(len(off) - 1, np.int64)
         doc, pos, end = 0, int(off[0]), int(off[-1])
         while pos < end:
             stop = min(end, pos + CHUNK_BYTES)
@@ -126,10 +139,12 @@ class WordHasher:
             first = int(np.searchsorted(off, pos, "right")) - 1
             last = int(np.searchsorted(off, stop, "left"))
             edges = np.clip(off[first : last + 1] - pos, 0, stop - pos)
-            h, at = self._chunk(data[pos:stop], edges)
+            h, at, tail = self._chunk(data[pos:stop], edges)
             hashes.append(h)
+            ended.append(tail)
             counts[first:last] += np.diff(np.searchsorted(at, edges))
             pos = stop
+        self.ended = np.concatenate(ended) if ended else np.empty(0, np.int64)
         return (np.concatenate(hashes) if hashes else np.empty(0, np.uint64)), counts
 
     def _cut(self, data: np.ndarray, pos: int, stop: int, end: int) -> int:
@@ -176,29 +191,6 @@ def runs(hashes: np.ndarray, counts: np.ndarray, width: int, salt: int) -> tuple
     return mix(out[keep]), n
 
 
-def long_runs(hashes: np.ndarray, counts: np.ndarray, width: int, salt: int) -> np.ndarray:
-    """As ``runs`` by prefix sums, for wide runs: sums of weighted hashes, shifted back to one weight."""
-    n = np.maximum(counts - width + 1, 0)
-    if not n.any():
-        return np.empty(0, np.uint64)
-    odd = int(np.random.default_rng(salt).integers(0, 1 << 62, dtype=np.uint64)) * 4 + 3
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(salt)) * powers(odd, len(hashes)))))
-    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return mix((sums[at + width] - sums[at]) * powers(pow(odd, -1, 1 << 64), len(hashes))[at])
-
-
-def arrow_map(df: DataFrame, work, schema: str) -> DataFrame:
-    """``work(iterator of record batches)`` on every partition."""
-    return df.mapInArrow(work, schema)
-
-
-def batch_of(names_types: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, (_, t) in zip(columns, names_types)], names=[n for n, _ in names_types]
-    )
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one slice hold about ``limit`` bytes; a longer text is alone."""
     for batch in batches:
@@ -212,6 +204,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 24)
             yield batch.slice(at, to - at)
             at = to
 
-
-def fresh_name() -> str:
-    return uuid.uuid4().hex[:12]

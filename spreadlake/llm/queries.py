@@ -69,6 +69,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op9_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.lm import score_texts
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)))
+    scored = score_texts(docs, crc_mod("doc_id", 5) != 1, keep=("held_out",))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -89,6 +97,7 @@ QUERIES: dict[str, Query] = {
         op6_jaccard_join,
         op7_language_id,
         op8_substring_dedup,
+        op9_pitman_yor_scores,
         op10_best_fit_packing,
     )
 }
