@@ -124,7 +124,7 @@ def identify(
 
     def work(batches):
         own, names = Profiles(), sorted(profiles.value)
-        matrix = np.array([profiles.value[n] for n in names]).reshape(len(names), -1)
+        matrix = np.array([profiles.value[n] for n in names])
         for part in _blocks(batches, 1):
             seen, counts = own.counts(part.column(1).to_pylist())
             pred, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
