@@ -47,5 +47,6 @@ def split_rejects(df: DataFrame, reason: Column, strict: bool = False) -> tuple[
     )
 
 
-def join_text(items: Column, sep: str = ";") -> Column:
-    return F.array_join(items, sep)
+def row_hash(columns: Sequence[str]) -> Column:
+    """64-bit hash of a row in which a NULL has its place, so that a value moving across it shows."""
+    return F.xxhash64(*[part for c in columns for part in (F.col(c).isNull(), F.col(c))])

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
-# Accented letters and their plain form, position by position.
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Every lower-case Latin letter that decomposes into a plain one and marks, and that plain one.
+_FOLDED = {
+    chr(i): plain
+    for i in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))
+    for plain in unicodedata.normalize("NFD", chr(i))[:1]
+    if plain != chr(i) and plain.isascii() and chr(i).islower()
+}
 
 # French month abbreviations as printed, without the dot, to month number.
 FRENCH_MONTHS = {
@@ -34,7 +40,9 @@ def _c(c) -> Column:
 
 
 def strip_accents(c) -> Column:
-    return F.translate(F.lower(_c(c)), ACCENTED, PLAIN)
+    """Lower case without marks, whether a mark is part of its letter or follows it."""
+    bare = F.regexp_replace(F.lower(_c(c)), r"\p{Mn}", "")
+    return F.translate(bare, "".join(_FOLDED), "".join(_FOLDED.values()))
 
 
 def fold(c) -> Column:
@@ -71,7 +79,7 @@ def month_number(c) -> Column:
 
 
 def french_date(c) -> Column:
-    """``4-sept.-26`` to a DATE, NULL for anything else."""
+    """Day, French month name and two-digit year, joined by hyphens, to a DATE; anything else is NULL."""
     t = F.regexp_replace(strip_accents(c), r"\s+", "")
     pattern = r"^(\d{1,2})-([a-z]+)\.?-(\d{2})$"
     month = month_number(F.regexp_extract(t, pattern, 2))
@@ -83,7 +91,7 @@ def french_date(c) -> Column:
 
 
 def french_month(c) -> Column:
-    """``sept.-26`` to the first of the month."""
+    """French month name and two-digit year, joined by a hyphen, to the first of that month."""
     t = F.regexp_replace(strip_accents(c), r"\s+", "")
     pattern = r"^([a-z]+)\.?-(\d{2})$"
     month = month_number(F.regexp_extract(t, pattern, 1))
@@ -92,19 +100,18 @@ def french_month(c) -> Column:
 
 
 def expand_year(two_digits, reference_date) -> Column:
-    """A two-digit year read against the year it was printed in."""
+    """A two-digit year read against the year it was printed in.
+
+    A print names its own year or the one before. If the digits are one of these two, that is the
+    year; else they belong to the century of the print.
+    """
     yy = _c(two_digits).cast("int")
     ref = F.year(_c(reference_date))
-    century = F.floor(ref / 100).cast("int") * 100
-    this, last = century + yy, century - 100 + yy
-    return (
-        F.when(this.between(ref - 1, ref), this)
-        .when(last.between(ref - 1, ref), last)
-        .otherwise(this)
-    )
+    back = F.pmod(ref - yy, F.lit(100))
+    return F.when(back <= 1, ref - back).otherwise(ref - F.pmod(ref, F.lit(100)) + yy).cast("int")
 
 
-# Fixed value: one numeric token of a printed row, any dash as sign, R for revised.
+# Fixed value: a printed number, signed by a plus or by one of the dashes, with R where it was revised.
 NUMBER_TOKEN = r"^[+\-\u2010-\u2015\u2212]?[0-9]+(\.[0-9]+)?R?$"
 
 
@@ -128,7 +135,7 @@ def split_row(line) -> tuple[Column, Column]:
 
 
 def token_value(token) -> Column:
-    """One numeric token: any dash is a minus, a trailing R is dropped."""
+    """The number a token prints, its sign made a plain one and its revision mark taken off."""
     t = F.regexp_replace(_c(token), r"R$", "")
     t = F.regexp_replace(t, "^[‐-―−]", "-")
     return F.regexp_replace(t, r"^\+", "").try_cast("double")

@@ -191,7 +191,3 @@ def range_summary(df: DataFrame, keys: Sequence[str], period: str, value: str, o
         F.min(value).alias("min"), F.max(value).alias("max"), F.max_by(value, present).alias("latest"),
         F.avg(gap).alias("mean_gap"), F.min_by(gap, worst).alias("max_gap"), F.min_by(period, worst).alias("max_gap_at"),
     )
-
-
-def month_of(period: str):
-    return cal.month_start(period)

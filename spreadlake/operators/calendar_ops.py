@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spreadlake.functions import calendar as cal
 from spreadlake.functions.frames import by, keyed, unkeyed
@@ -173,15 +173,14 @@ def corroboration_bounds(df: DataFrame, keys: Sequence[str], period: str, n_sour
     return unkeyed(keys, df.groupBy(*k).agg(F.min(p).alias("first_corroborated"), F.max(p).alias("last_corroborated")))
 
 
-def evidence_class(period: Column, n_notes: Column, n_sources: Column, first: Column, last: Column) -> Column:
-    return (
-        F.when(n_notes == 0, "no_coverage")
-        .when(n_sources > 1, "cross_checked")
-        .when(first.isNotNull() & (period < first), "single_geometry_oldest")
-        .when(last.isNotNull() & (period > last), "single_geometry_newest")
-        .otherwise("single_geometry_interior")
-    )
+# The words for how far a period's value is supported.
+UNCOVERED, SUPPORTED = "no_coverage", "cross_checked"
+ALONE = {-1: "single_geometry_oldest", 0: "single_geometry_interior", 1: "single_geometry_newest"}
 
 
-def whole(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys)
+def evidence_class(period: Column, n_notes: Column, n_sources: Column, first: Column, last: Column) -> Column:
+    """What stands behind a value: nothing, several sources, or one, and then on which side of those supported."""
+    side = F.coalesce((period > last).cast("int"), F.lit(0)) - F.coalesce((period < first).cast("int"), F.lit(0))
+    names = F.create_map(*[F.lit(x) for pair in ALONE.items() for x in pair])
+    alone = F.when(n_sources > 1, SUPPORTED).otherwise(names[side])
+    return F.when(n_notes > 0, alone).otherwise(UNCOVERED)

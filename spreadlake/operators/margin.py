@@ -61,16 +61,19 @@ def gas_wedge(gas, embedded: float, study: float) -> dict[str, Column]:
 YIELD_BASES = ("crude_intake", "total_feed")
 
 
-def observed_yields(output: DataFrame, denominator: DataFrame, keys: Sequence[str], basis: str, value: str = "output") -> tuple[DataFrame, DataFrame]:
+def observed_yields(
+    output: DataFrame, denominator: DataFrame, keys: Sequence[str], basis: str, value: str = "output", products: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Output by product over a named denominator, with its total and the normalised share.
 
-    A zero denominator is refused with its reason; a missing one gives missing yields.
+    A zero denominator is refused with its reason; a missing one gives missing yields. With
+    ``products`` declared, the total is missing where one of them has no row or no value.
     """
     if basis not in YIELD_BASES:
         raise ValueError(f"basis must be one of {YIELD_BASES}, not {basis!r}")
     rows = output.join(denominator.select(*keys, "denominator"), list(keys), "left")
     good, bad = split_rejects(rows, F.when(F.col("denominator") == 0, "zero_denominator"))
-    total = good.groupBy(*keys).agg(strict_sum(value, F.count("*")).alias("_total"))
+    total = good.groupBy(*keys).agg(strict_sum(value, _expected(products)).alias("_total"))
     out = good.join(total, list(keys))
     return (
         out.withColumn("yield", F.col(value) / F.col("denominator"))
@@ -84,31 +87,66 @@ def observed_yields(output: DataFrame, denominator: DataFrame, keys: Sequence[st
 # --- margin ----------------------------------------------------------------
 
 
-def double_count_reason(basis: str = "margin_basis", cost: str = "gas_cost") -> Column:
+def _expected(products: Sequence[str]) -> Column:
+    """Members a complete sum has: the products declared, or else the rows there are."""
+    return F.lit(len(products)) if products else F.count("*")
+
+
+def _missing(products: Sequence[str], product: str, c: Column) -> Column:
+    """The declared products without a contribution, by name."""
+    wanted = F.array(*[F.lit(p) for p in sorted(products)]).cast("array<string>")
+    return F.array_except(wanted, F.collect_set(F.when(c.isNotNull(), F.col(product))))
+
+
+def double_count_reason(basis: str = "margin_basis", cost: str | Column = "gas_cost") -> Column:
     """A margin already net of gas must be handed a cost of exactly zero; a missing cost fails too."""
-    exact = F.coalesce(F.col(cost) == 0, F.lit(False))
+    exact = F.coalesce(_c(cost) == 0, F.lit(False))
     return (
         F.when(~F.col(basis).isin("net_of_gas", "gross_of_gas") | F.col(basis).isNull(), "unknown_basis")
         .when((F.col(basis) == "net_of_gas") & ~exact, "gas_counted_twice")
     )
 
 
-def evaluate(slate: DataFrame, facts: DataFrame, keys: Sequence[str], product: str = "product") -> DataFrame:
+def evaluate(
+    slate: DataFrame, facts: DataFrame, keys: Sequence[str], product: str = "product", products: Sequence[str] = (), own: str | None = None
+) -> DataFrame:
     """Margin line by line from slate rows (product, yield, spread) and one fact row per key.
 
-    ``facts`` carries residual, gas_intensity, gas, other_cost and threshold.
-    The sum is strict over the slate rows, so one missing spread leaves a hole.
-    The carrier is the largest present contribution.
+    ``facts`` carries residual, gas_intensity, gas, other_cost and threshold, and may carry
+    ``margin_basis``: a margin net of gas that is charged for gas again, or an unknown basis, is
+    refused, its lines NULL and the reason in ``reason``.
+
+    ``products`` declares the slate. A product without a row, a yield or a spread is listed in
+    ``missing`` and leaves a hole; without a declaration the rows present are the slate. The carrier
+    is the largest present contribution. With ``own``, the sum of the other products and that
+    product's yield come along, which is what its breakeven needs.
     """
     c = F.col("yield") * F.col("spread")
     order = F.when(c.isNotNull(), F.struct((-c).alias("a"), F.col(product).alias("b")))
-    agg = slate.groupBy(*keys).agg(
-        strict_sum(c, F.count("*")).alias("attributed"),
+    sums = [
+        strict_sum(c, _expected(products)).alias("attributed"),
         F.sum("yield").alias("covered_yield"),
         F.min_by(product, order).alias("carrier"),
         F.max(c).alias("carrier_contribution"),
-    )
-    out = agg.join(facts, list(keys), "left")
+        _missing(products, product, c).alias("missing"),
+    ]
+    if own is not None:
+        other = F.col(product) != own
+        n = F.lit(len(products) - 1) if products else F.count_if(other)
+        sums.append(strict_sum(F.when(other, c), n).alias("others"))
+        sums.append(F.max(F.when(~other, F.col("yield"))).alias("own_yield"))
+    agg = slate.groupBy(*keys).agg(*sums)
+    out = facts.join(agg, list(keys), "left") if products else agg.join(facts, list(keys), "left")
+    if products:
+        every = F.array(*[F.lit(p) for p in sorted(products)])
+        out = out.withColumn("missing", F.coalesce("missing", every))
+    refused = F.lit(None).cast("string")
+    if "margin_basis" in facts.columns:
+        charged = F.col("gas_intensity") * F.col("gas")
+        refused = double_count_reason(cost=charged)
+    incomplete = F.when(F.col("attributed").isNull(), "slate_incomplete")
+    out = out.withColumn("reason", F.coalesce(refused, incomplete))
+    out = out.withColumn("attributed", F.when(refused.isNull(), F.col("attributed")))
     gross = F.col("attributed") + F.col("residual")
     return (
         out.withColumn("gross", gross)
@@ -119,12 +157,19 @@ def evaluate(slate: DataFrame, facts: DataFrame, keys: Sequence[str], product: s
     )
 
 
-def decompose(slate: DataFrame, official: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """A published margin attributed to products; the rest stays on its own line."""
+def decompose(
+    slate: DataFrame, official: DataFrame, keys: Sequence[str], how: str = "inner", product: str = "product", products: Sequence[str] = ()
+) -> DataFrame:
+    """A published margin attributed to products; the rest stays on its own line.
+
+    With ``products`` declared, one of them without a contribution is listed in ``missing`` and no
+    part of the margin is taken for the whole: its share must not end in the residual.
+    """
     c = F.col("yield") * F.col("spread")
     agg = slate.groupBy(*keys).agg(
-        strict_sum(c, F.count("*")).alias("attributed"),
+        strict_sum(c, _expected(products)).alias("attributed"),
         F.sum("yield").alias("covered_yield"),
+        _missing(products, product, c).alias("missing"),
     )
     out = official.join(agg, list(keys), how)
     residual = F.col("official") - F.col("attributed")
@@ -167,9 +212,11 @@ def replicate(
     extra = F.array_compact(
         F.array(F.when(F.col("freight").isNull(), "freight"), F.when(F.col("gas_cost").isNull(), "gas_cost"))
     )
-    insurance = loss_rate * (F.col("crude") + F.col("freight"))
-    full = (F.col("revenue") - (F.col("crude") + F.col("gas_cost") + F.col("freight") + insurance)) / crude_factor
-    partial = (F.col("revenue") - F.col("crude") * (1 + loss_rate)) / crude_factor
+    # what the barrel delivered costs, and what the published figures allow without freight and gas
+    landed = F.col("crude") + F.col("freight")
+    bills = [landed, loss_rate * landed, F.col("gas_cost")]
+    full = (F.col("revenue") - reduce(lambda a, b: a + b, bills)) / crude_factor
+    partial = (F.col("revenue") - (1 + loss_rate) * F.col("crude")) / crude_factor
     out = out.withColumn("missing", F.concat("_missing", extra)).drop("_missing")
     complete = F.size("missing") == 0
     return (
@@ -200,12 +247,14 @@ def breakeven_ttf() -> Column:
     )
 
 
-def breakeven_spread(own_yield, own_spread) -> Column:
-    """Spread of one product at which the margin meets the threshold, the others held."""
-    rest = F.col("attributed") - _c(own_yield) * _c(own_spread)
-    return ratio(
-        F.col("threshold") + F.col("gas_cost") + F.col("other_cost") - F.col("residual") - rest, own_yield
-    )
+def breakeven_spread() -> Column:
+    """Spread of the product ``evaluate(own=...)`` was given at which the margin meets the threshold.
+
+    Only the other products' contributions enter, so its own spread may be missing.
+    """
+    earned = F.col("others") + F.col("residual")
+    owed = F.col("threshold") + F.col("gas_cost") + F.col("other_cost")
+    return ratio(owed - earned, "own_yield")
 
 
 # --- waterfall and scenarios -----------------------------------------------

@@ -98,12 +98,6 @@ def strict_mean(*columns: str) -> Column:
     return reduce(lambda a, b: a + b, [F.col(c) for c in columns]) / len(columns)
 
 
-def period_change(df: DataFrame, keys: Sequence[str], period: str, value: str, n: int = 1, name: str = "change") -> DataFrame:
-    """Difference against the calendar period n before."""
-    lagged = with_lags(df, keys, period, value, (n,), prefix="_l")
-    return lagged.withColumn(name, F.col(value) - F.col(f"_l{n}")).drop(f"_l{n}")
-
-
 def rolling_mean(value: str, keys: Sequence[str], period: str, window: int) -> Column:
     """Mean over a full trailing window on a gap-free spine, else NULL."""
     w = by(keys, period).rowsBetween(-(window - 1), 0)

@@ -12,8 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spreadlake.functions import calendar as cal
-from spreadlake.functions.frames import by, keyed, unkeyed
-from spreadlake.functions.numeric import finite
+from spreadlake.functions.frames import by, keyed, row_hash, unkeyed
 from spreadlake.operators import calendar_ops
 
 
@@ -72,9 +71,11 @@ def validate(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
     pre-aggregated rows.
     """
     absent = missing_columns(df, [spec.date, *spec.required])
-    if absent:
-        raise ValueError(f"missing required column(s) {absent}")
     df, k = keyed(df, keys)
+    if absent:
+        # nothing else can be said about a frame without its columns
+        lacking = F.array(*[F.lit(f"missing_column_{c}") for c in absent])
+        return unkeyed(keys, df.groupBy(*k).agg(F.count("*").alias("rows")).withColumn("problems", lacking))
     text_date = dict(df.dtypes)[spec.date] == "string"
     parsed = F.col(spec.date).try_cast("date") if text_date else F.to_date(spec.date)
     counts = [
@@ -199,7 +200,7 @@ def changed_rows(new: DataFrame, old: DataFrame, key: Sequence[str], volatile: S
     stable = [c for c in new.columns if c not in (*key, *volatile)]
 
     def hashed(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*key, F.xxhash64(*stable).alias(f"_{tag}"))
+        return df.select(*key, row_hash(stable).alias(f"_{tag}"))
 
     both = hashed(new, "new").join(hashed(old, "old"), list(key), "full_outer")
     change = (
@@ -229,7 +230,7 @@ def status_word(period: str, provisional_from_col: str, method: str) -> Column:
 
 def digest(df: DataFrame, date: str, columns: Sequence[str]) -> DataFrame:
     """Row count, first and last value per column and an order-free content hash."""
-    aggs = [F.count("*").alias("rows"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("content_hash")]
+    aggs = [F.count("*").alias("rows"), F.sum(row_hash(df.columns).cast("decimal(38,0)")).alias("content_hash")]
     for c in columns:
         present = F.when(F.col(c).isNotNull(), F.col(date))
         aggs += [F.min_by(c, present).alias(f"first_{c}"), F.max_by(c, present).alias(f"last_{c}")]
@@ -334,12 +335,35 @@ def roll_jumps(df: DataFrame, keys: Sequence[str], date: str, close: str, thresh
     return unkeyed(keys, out.filter(F.abs("percent") >= threshold).drop("_m"))
 
 
-def waterfall_breaks(df: DataFrame, keys: Sequence[str], order: str, start: str, end: str, tolerance: float = 1e-5) -> DataFrame:
-    """Steps whose start is not the previous step's end."""
+def waterfall_breaks(
+    df: DataFrame, keys: Sequence[str], order: str, start: str, end: str, tolerance: float = 1e-5,
+    value: str | None = None, kind: str | None = None, verdict: DataFrame | None = None,
+) -> DataFrame:
+    """Steps that do not add up, each with the first rule it breaks in ``reason``.
+
+    A step starts where the one before ended. With ``value``, its end is its start plus its value.
+    With ``kind``, a row of kind ``total`` starts at zero and ends at the running total of the
+    steps before it, and the next step goes on from there. With ``verdict`` (keys, kind, expected),
+    a row of a kind named there ends at the value expected.
+    """
     df, k = keyed(df, keys)
-    prev = F.lag(end).over(by(k, order))
-    out = df.withColumn("_expected", F.coalesce(prev, F.lit(0.0)))
-    return unkeyed(keys, out.filter(F.abs(F.col(start) - F.col("_expected")) > tolerance))
+    w = by(k, order)
+    before = F.coalesce(F.lag(end).over(w), F.lit(0.0))
+    off = lambda a, b: F.abs(a - b) > tolerance
+    total = F.col(kind) == "total" if kind else F.lit(False)
+    rules = [F.when(~total & off(F.col(start), F.col("_before")), "start_is_not_the_end_before")]
+    rules.append(F.when(total & off(F.col(start), F.lit(0.0)), "total_does_not_start_at_zero"))
+    out = df.withColumn("_before", before)
+    if value:
+        run = F.sum(F.when(~total, F.col(value)).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn("_run", run)
+        rules.append(F.when(~total & off(F.col(end), F.col(start) + F.col(value)), "end_is_not_start_plus_value"))
+        rules.append(F.when(total & off(F.col(end), F.col("_run")), "total_is_not_the_running_total"))
+    if verdict is not None:
+        out = out.join(verdict.select(*k, F.col("kind").alias(kind), "expected"), [*k, kind], "left")
+        rules.append(F.when(off(F.col(end), F.col("expected")), "end_is_not_the_verdict"))
+    broken = out.withColumn("reason", F.coalesce(*rules)).filter("reason is not null")
+    return unkeyed(keys, broken.drop("_before", "_run", "expected"))
 
 
 def event_problems(df: DataFrame, kinds: Sequence[str]) -> DataFrame:
@@ -363,11 +387,6 @@ def publishable(df: DataFrame, registry: DataFrame, series: str = "series") -> t
     return shown, silent.select(series)
 
 
-def clean_for_publication(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Infinite and NaN cells become NULL before a publishing round."""
-    return df.select(*[finite(c).alias(c) if c in columns else F.col(c) for c in df.columns])
-
-
 def guarded_append(current: DataFrame, new: DataFrame, keys: Sequence[str], spec: Spec) -> tuple[DataFrame, DataFrame]:
     """The stored frame with the new rows of every key that passed, and the verdict per key.
 

@@ -12,7 +12,6 @@ from spreadlake.operators.regress import Z95
 
 SUMMER = ((0, 4), (0, 5), (0, 6), (0, 7), (0, 8))
 WINTER = ((0, 11), (0, 12), (1, 1), (1, 2), (1, 3))
-WINTER_CALENDAR = ((0, 1), (0, 2), (0, 3), (0, 11), (0, 12))
 
 
 def _year_slot(period: str, grain: str) -> tuple[Column, Column, int]:

@@ -138,20 +138,25 @@ def stitch(
 
 
 def to_slots(df: DataFrame, keys: Sequence[str], doc: str, value: str, slots: int) -> DataFrame:
-    """Long readings to wide slots r1..rN in document order."""
+    """Long readings to wide slots r1..rN in document order; readings beyond the Nth wait, in order, in ``more``."""
     numbered = df.withColumn("_slot", F.row_number().over(by(keys, doc)))
     wide = []
     for i in range(1, slots + 1):
         wide.append(F.max(F.when(F.col("_slot") == i, F.col(doc))).alias(f"r{i}_doc"))
         wide.append(F.max(F.when(F.col("_slot") == i, F.col(value))).alias(f"r{i}_value"))
-    return numbered.groupBy(*keys).agg(F.count("*").alias("n_readings"), *wide)
+    late = F.struct("_slot", F.col(doc).alias("doc"), F.col(value).alias("value"))
+    more = F.array_sort(F.collect_list(F.when(F.col("_slot") > slots, late)))
+    more = F.transform(more, lambda x: F.struct(x["doc"].alias("doc"), x["value"].alias("value")))
+    return numbered.groupBy(*keys).agg(F.count("*").alias("n_readings"), *wide, more.alias("more"))
 
 
 def from_slots(df: DataFrame, keys: Sequence[str], slots: int) -> DataFrame:
-    """Wide slots back to long; an empty slot is no reading."""
+    """Wide slots and what waits behind them back to long; an empty slot is no reading."""
     items = F.array(
         *[F.struct(F.lit(i).alias("slot"), F.col(f"r{i}_doc").alias("doc"), F.col(f"r{i}_value").alias("value")) for i in range(1, slots + 1)]
     )
+    rest = F.transform("more", lambda x, i: F.struct((i + slots + 1).alias("slot"), x["doc"].alias("doc"), x["value"].alias("value")))
+    items = F.concat(items, rest)
     return df.select(*keys, F.inline(items)).filter(F.col("doc").isNotNull())
 
 

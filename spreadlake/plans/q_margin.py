@@ -27,7 +27,10 @@ def facts(v, gas_div=100.0):
 
 
 SLATE = "(select s.m, s.product, y.yield y, s.spread s, y.yield * s.spread c from spreads s join yields y on y.product = s.product)"
-EVAL = f"""(select a.m, case when count(c) = count(*) then sum(c) end attributed, sum(y) covered, max(c) best,
+#: The slate that the yields declare.
+PRODUCTS = ("ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD")
+
+EVAL = f"""(select a.m, case when count(c) = (select count(*) from yields) then sum(c) end attributed, sum(y) covered, max(c) best,
    (array_agg(product order by c desc, product) filter (where c is not null))[1] carrier, max(g.bench) / 100 gas,
    case when month(a.m) <> 4 then 20.0 end threshold from {SLATE} a join margins g on g.m = a.m group by a.m)"""
 
@@ -63,32 +66,76 @@ def j03(v):
 
 
 def _output(v):
-    return v.long_stats.filter("region = 'ASIA'").groupBy("m", F.col("flow").alias("product")).agg(F.sum("v").alias("output"))
+    return v.long_stats.groupBy("region", "m", F.col("flow").alias("product")).agg(F.sum("v").alias("output"))
 
 
-@query("j04_observed_yields", "m:date product yield:num yield_total:num share:num basis", """
-    with o as (select m, flow product, sum(v) output from long_stats where region = 'ASIA' group by 1, 2), d as (select m, sum(v) d from long_stats group by 1)
-    select o.m, product, output / d as yield, sum(output) over (partition by o.m) / d yield_total, output / sum(output) over (partition by o.m) as share, 'total_feed' basis
-    from o join d on d.m = o.m where month(o.m) <> 3""")
+@query("j04_observed_yields", "region m:date product yield:num yield_total:num share:num basis", """
+    with o as (select region, m, flow product, sum(v) output from long_stats group by 1, 2, 3), d as (select region, m, sum(v) d from long_stats group by 1, 2)
+    select o.region, o.m, product, output / d as yield, sum(output) over w / d yield_total, output / sum(output) over w as share, 'total_feed' basis
+    from o join d on d.m = o.m and d.region = o.region where month(o.m) <> 3 window w as (partition by o.region, o.m)""")
 def j04(v):
-    den = v.long_stats.groupBy("m").agg(F.sum("v").alias("denominator"))
+    den = v.long_stats.groupBy("region", "m").agg(F.sum("v").alias("denominator"))
     den = den.withColumn("denominator", F.when(F.month("m") == 3, 0.0).otherwise(F.col("denominator")))
-    return margin.observed_yields(_output(v), den, ["m"], "total_feed")[0]
+    return margin.observed_yields(_output(v), den, ["region", "m"], "total_feed")[0]
 
 
-@query("j04_zero_denominator_refused", "m:date product reason", """
-    select distinct m, flow product, 'zero_denominator' reason from long_stats where region = 'ASIA' and month(m) = 3""")
+@query("j04_zero_denominator_refused", "region m:date product reason", """
+    select distinct region, m, flow product, 'zero_denominator' reason from long_stats where month(m) = 3""")
 def j04_bad(v):
-    den = v.long_stats.groupBy("m").agg(F.sum("v").alias("denominator"))
+    den = v.long_stats.groupBy("region", "m").agg(F.sum("v").alias("denominator"))
     den = den.withColumn("denominator", F.when(F.month("m") == 3, 0.0).otherwise(F.col("denominator")))
-    return margin.observed_yields(_output(v), den, ["m"], "total_feed")[1]
+    return margin.observed_yields(_output(v), den, ["region", "m"], "total_feed")[1]
 
 
 @query("j05_margin_evaluation", "m:date attributed:num gross:num gas_cost:num after_gas:num headroom:num threshold_identified:bool carrier carrier_contribution:num", f"""
     select m, attributed, attributed + 1.5 gross, 0.2 * gas gas_cost, attributed + 1.5 - 0.2 * gas - 1.0 after_gas,
       attributed + 1.5 - 0.2 * gas - 1.0 - threshold headroom, threshold is not null threshold_identified, carrier, best carrier_contribution from {EVAL}""")
 def j05(v):
-    return margin.evaluate(slate(v), facts(v), ["m"])
+    return margin.evaluate(slate(v), facts(v), ["m"], products=PRODUCTS)
+
+
+HOLED = """(select w.m, w.product, w.y, case when not (w.product = 'SMALL' and month(w.m) in (2, 3)) then s.spread end s
+   from (select m, product, yield y from margins, yields) w left join spreads s on s.m = w.m and s.product = w.product)"""
+
+
+def holed(v):
+    """The slate with the rows of one product gone in February and without its spread in March."""
+    rows = slate(v).filter("not (product = 'SMALL' and month(m) = 2)")
+    return rows.withColumn("spread", F.when(~((F.col("product") == "SMALL") & (F.month("m") == 3)), F.col("spread")))
+
+
+@query("j05_incomplete_slate", "m:date attributed:num after_gas:num reason missing", f"""
+    with a as (select m, case when count(y * s) = 5 then sum(y * s) end attributed,
+      coalesce(string_agg(case when y * s is null then product end, ';' order by product), '') missing from {HOLED} group by 1)
+    select a.m, attributed, attributed + 1.5 - 0.2 * bench / 100 - 1.0 after_gas, case when attributed is null then 'slate_incomplete' end reason, missing
+    from a join margins g on g.m = a.m""")
+def j05_incomplete(v):
+    out = margin.evaluate(holed(v), facts(v), ["m"], products=PRODUCTS)
+    return out.withColumn("missing", F.array_join("missing", ";"))
+
+
+@query("j05_basis_refused", "m:date after_gas:num reason", f"""
+    select m, case when month(m) % 3 <> 0 then attributed + 1.5 - 0.2 * gas - 1.0 end after_gas,
+      case when month(m) % 3 = 0 then 'gas_counted_twice' when attributed is null then 'slate_incomplete' end reason from {EVAL}""")
+def j05_basis(v):
+    basis = F.when(F.month("m") % 3 == 0, "net_of_gas").otherwise("gross_of_gas")
+    return margin.evaluate(slate(v), facts(v).withColumn("margin_basis", basis), ["m"], products=PRODUCTS)
+
+
+@query("j07_decomposition_of_an_incomplete_slate", "m:date attributed:num residual:num reason", f"""
+    with a as (select m, case when count(y * s) = 5 then sum(y * s) end attributed from {HOLED} group by 1)
+    select a.m, attributed, official - attributed residual, case when official is null then 'no_official_margin' when attributed is null then 'a_spread_is_missing' end reason from a join {OFFICIAL} o on o.m = a.m""")
+def j07_incomplete(v):
+    return margin.decompose(holed(v), official(v), ["m"], products=PRODUCTS)
+
+
+@query("j13_breakeven_without_own_spread", "m:date breakeven_small:num", f"""
+    with a as (select m, case when count(y * s) filter (where product <> 'SMALL') = 4 then sum(y * s) filter (where product <> 'SMALL') end others,
+      max(y) filter (where product = 'SMALL') y from {HOLED} where month(m) <> 2 group by 1)
+    select a.m, (case when month(a.m) <> 4 then 20.0 end + 0.2 * bench / 100 + 1.0 - 1.5 - others) / y breakeven_small from a join margins g on g.m = a.m""")
+def j13_own(v):
+    out = margin.evaluate(holed(v), facts(v), ["m"], products=PRODUCTS, own="SMALL").filter("month(m) <> 2")
+    return out.withColumn("breakeven_small", margin.breakeven_spread())
 
 
 @query("j06_double_count_guard", "m:date reason", """
@@ -106,7 +153,7 @@ def j06(v):
     select o.m, official, attributed, official - attributed residual, (official - attributed) / nullif(official, 0) residual_share, covered covered_yield
     from {OFFICIAL} o join {EVAL} e on e.m = o.m""")
 def j07(v):
-    return margin.decompose(slate(v), official(v), ["m"])
+    return margin.decompose(slate(v), official(v), ["m"], products=PRODUCTS)
 
 
 @query("j08_decomposition_history", "m:date residual:num reason", f"""
@@ -114,7 +161,7 @@ def j07(v):
       when attributed is null then 'a_spread_is_missing' end reason
     from {OFFICIAL} o left join (select * from {EVAL} where year(m) >= 1996) e on e.m = o.m""")
 def j08(v):
-    return margin.decompose(slate(v).filter("year(m) >= 1996"), official(v), ["m"], how="left")
+    return margin.decompose(slate(v).filter("year(m) >= 1996"), official(v), ["m"], how="left", products=PRODUCTS)
 
 
 @query("j09_gas_wedge", "m:date embedded_cost:num study_cost:num wedge:num intensity_ratio:num", """
@@ -185,17 +232,16 @@ def j12(v):
       case when month(e.m) <= 6 then (attributed + 1.5 - 1.0 - threshold) * 3.412141633 / (0.2 * 1.1) end breakeven_ttf,
       (threshold + 0.2 * gas + 1.0 - 1.5 - (attributed - s.y * s.s)) / s.y breakeven_small from {EVAL} e join s on s.m = e.m""")
 def j13(v):
-    out = margin.evaluate(slate(v), facts(v), ["m"])
-    own = slate(v).filter("product = 'SMALL'").select("m", F.col("yield").alias("oy"), F.col("spread").alias("os"))
-    out = out.join(own, "m").withColumn("margin_basis", F.lit("gross_of_gas")).withColumn("eurusd", F.lit(1.1))
+    out = margin.evaluate(slate(v), facts(v), ["m"], products=PRODUCTS, own="SMALL")
+    out = out.withColumn("margin_basis", F.lit("gross_of_gas")).withColumn("eurusd", F.lit(1.1))
     out = out.withColumn("gas_basis", F.when(F.month("m") <= 6, "ttf").otherwise("published"))
     return out.withColumn("breakeven_gas", margin.breakeven_gas()).withColumn("breakeven_ttf", margin.breakeven_ttf()).withColumn(
-        "breakeven_small", margin.breakeven_spread("oy", "os")
+        "breakeven_small", margin.breakeven_spread()
     )
 
 
 def bundle(v):
-    out = margin.evaluate(slate(v), facts(v), ["m"]).withColumn("margin_basis", F.lit("gross_of_gas"))
+    out = margin.evaluate(slate(v), facts(v), ["m"], products=PRODUCTS).withColumn("margin_basis", F.lit("gross_of_gas"))
     out = out.withColumn("breakeven_gas", margin.breakeven_gas())
     return ranking.trailing_rank(out, [], "m", "after_gas", 120)
 

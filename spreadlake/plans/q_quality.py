@@ -269,6 +269,23 @@ def b16(v):
     return quality.digest(v.margins, "m", ["margin", "bench"])
 
 
+@query("b13_value_moves_across_null", "m:date change", "select m, 'changed' as change from margins where month(m) = 5 and margin is not null")
+def b13_null(v):
+    old = v.margins.select("m", F.when(F.month("m") != 5, F.lit(1.0)).alias("a"), "margin")
+    moved = F.month("m") == 5
+    new = old.select("m", F.when(moved, F.col("margin")).otherwise(F.col("a")).alias("a"), F.when(~moved, F.col("margin")).alias("margin"))
+    return quality.changed_rows(new, old, ["m"])
+
+
+@query("b16_digest_sees_moved_null", "same_rows:bool same_hash:bool", "select true same_rows, false same_hash")
+def b16_null(v):
+    rows = v.margins.select("m", F.lit(None).cast("double").alias("a"), "margin")
+    moved = v.margins.select("m", F.col("margin").alias("a"), F.lit(None).cast("double").alias("margin"))
+    one, other = (quality.digest(x, "m", ["a"]).select("rows", "content_hash") for x in (rows, moved))
+    both = one.withColumn("k", F.lit(1)).join(other.select(F.col("rows").alias("r"), F.col("content_hash").alias("h")).withColumn("k", F.lit(1)), "k")
+    return both.select((F.col("rows") == F.col("r")).alias("same_rows"), (F.col("content_hash") == F.col("h")).alias("same_hash"))
+
+
 @query("b17_anchor_reproduction", "product m:date printed:num verdict", """
     with a as (select product, cast(case when n % 10 = 0 then m + interval 40 year else m end as date) m,
                       floor(v * 100) / 100 printed from monthly)

@@ -284,6 +284,15 @@ def a10(v):
     return sinks.current(v.spark, root).withColumn("first_write", F.lit(first)).withColumn("second_write", F.lit(second))
 
 
+@query("a10_publish_sees_moved_null", "m:date a:num b:num second_write:bool", "select m, bench a, null::double b, true second_write from margins")
+def a10_null(v):
+    root = shared_dir(v.spark, "mart")
+    empty = F.lit(None).cast("double")
+    sinks.publish(v.margins.select("m", empty.alias("a"), F.col("bench").alias("b")), root, ["m"])
+    second = sinks.publish(v.margins.select("m", F.col("bench").alias("a"), empty.alias("b")), root, ["m"])
+    return sinks.current(v.spark, root).withColumn("second_write", F.lit(second))
+
+
 @query("a11_mart_build", "mart rows:int", """
     select 'margins' mart, count(*) as rows from margins union all select 'spreads', count(*) from spreads
     union all select 'carriers', count(distinct m) from spreads""")

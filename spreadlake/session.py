@@ -36,11 +36,17 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the checkpoint folder the session names.
 
     The cluster names a folder every executor can reach in
-    ``spark.checkpoint.dir``. Only where that setting is absent, as in a local
-    test, is a machine-local folder used.
+    ``spark.checkpoint.dir`` or by ``setCheckpointDir``. Only a session whose
+    one process is all there is may do without and use a folder of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = named.get() if named.isDefined() else None
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 

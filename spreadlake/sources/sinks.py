@@ -8,6 +8,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from spreadlake.functions.frames import row_hash
 from spreadlake.functions.numeric import publish as published
 
 
@@ -21,9 +22,9 @@ def canonical(df: DataFrame, places: int = 6) -> DataFrame:
 
 def content_digest(df: DataFrame) -> str:
     """Row count and an order-free sum of row hashes: one small row comes back."""
-    body = df.select(F.xxhash64(*df.columns).alias("h"))
+    body = df.select(row_hash(df.columns).alias("h"))
     row = body.agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
-    return f"{row['n']}-{row['s']}-{','.join(df.columns)}"
+    return f"{row['n']}-{row['s']}-{','.join(f'{name}:{kind}' for name, kind in df.dtypes)}"
 
 
 def _fs(spark: SparkSession, path: str):

@@ -1,8 +1,9 @@
 """Incremental forms of three batch operators on Structured Streaming.
 
-State lives in the engine's state store or in versioned tables in the shared
-folder; a micro-batch that is replayed after a lost executor writes the same
-folder again, so nothing is counted twice.
+Results never depend on how rows fall into micro-batches. What a batch adds is
+written under the batch's number, so one that is replayed after a lost executor
+writes the same folder again and nothing is counted twice. Folders belong to
+the caller: with the same ones a later run goes on where the last one stopped.
 """
 
 from __future__ import annotations
@@ -16,101 +17,148 @@ from spreadlake.operators import quality
 from spreadlake.session import shared_dir
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
-    """A stored table as a file stream with the schema its files declare."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def table_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A stored table, one file or a folder of part files, as a file stream with the schema its files declare."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_batch)
+    at, fs = _located(spark, path)
+    if fs.getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    # a stream watches folders: the file is the one of its name in its own
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
+def _folder(spark: SparkSession, folder: str | None, label: str) -> str:
+    return folder.rstrip("/") if folder else shared_dir(spark, label)
 
 
-def _run(stream: DataFrame, write, mode: str, checkpoint: str) -> None:
+def _run(stream: DataFrame, write, root: str) -> None:
     query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+        .foreachBatch(write).trigger(availableNow=True).start()
     )
     query.awaitTermination()
 
 
-def streaming_period_mean(
-    stream: DataFrame, keys: Sequence[str], ts: str, value: str, min_obs: int, grain: str = "daily", delay: str = "2 days"
-) -> DataFrame:
-    """Mean per period as rows arrive: update mode emits a period each time it changes.
+def _located(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    The last update of a period wins; a period below the floor stays NULL with its count.
+
+def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All batches written below ``path``, with their number in ``batch``; nothing yet is an empty frame."""
+    at, fs = _located(spark, path)
+    if not fs.exists(at):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("long"))
+    return spark.read.schema(schema).option("basePath", path).parquet(path).withColumn("batch", F.col("batch").cast("long"))
+
+
+def streaming_period_mean(
+    stream: DataFrame, keys: Sequence[str], ts: str, value: str, min_obs: int, grain: str = "daily", delay: str = "2 days",
+    folder: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(mean per period, late rows) of what has arrived.
+
+    A batch leaves one row per key and period with its count and sum, which add up whatever the
+    batching. A row older than the newest one of all earlier batches less ``delay`` is late: it goes
+    to the second frame with its batch and is in no mean. A period below the floor is NULL with its
+    count.
     """
     spark = stream.sparkSession
-    out, checkpoint = shared_dir(spark, "stream-mean"), shared_dir(spark, "stream-mean-state")
-    rows = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
-    agg = rows.groupBy(*keys, cal.anchor("_ts", grain).alias("period")).agg(
-        F.count(value).alias("observations"), F.sum(value).alias("_total")
-    )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id:09d}")
+    root = _folder(spark, folder, "stream-mean")
+    late_type = stream.withColumn("_ts", F.col(ts).cast("timestamp")).schema
+    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+    part_type = f"{kinds}{', ' if kinds else ''}period date, observations bigint, total double, newest timestamp, batch bigint"
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = _batches(spark, f"{root}/sums", part_type).filter(F.col("batch") < number)
+        limit = seen.agg((F.max("newest") - F.expr(f"interval {delay}")).alias("_limit"))
+        rows = batch.withColumn("_ts", F.col(ts).cast("timestamp")).crossJoin(F.broadcast(limit))
+        late = F.coalesce(F.col("_ts") < F.col("_limit"), F.lit(False))
+        part = rows.filter(~late).groupBy(*keys, cal.anchor("_ts", grain).cast("date").alias("period")).agg(
+            F.count(value).alias("observations"), F.sum(F.col(value).cast("double")).alias("total"), F.max("_ts").alias("newest")
+        )
+        part.write.mode("overwrite").parquet(f"{root}/sums/batch={number}")
+        rows.filter(late).drop("_limit").write.mode("overwrite").parquet(f"{root}/late/batch={number}")
 
-    _run(agg, write, "update", checkpoint)
-    updates = spark.read.option("recursiveFileLookup", True).parquet(out)
-    last = updates.groupBy(*keys, "period").agg(F.max_by(F.struct("observations", "_total"), "_batch").alias("_l"))
-    mean = F.col("_l._total") / F.col("_l.observations")
-    return last.select(
-        *keys, "period", F.when(F.col("_l.observations") >= min_obs, mean).alias("value"), F.col("_l.observations").alias("observations")
+    _run(stream, write, root)
+    means = _batches(spark, f"{root}/sums", part_type).groupBy(*keys, "period").agg(
+        F.sum("observations").alias("observations"), F.sum("total").alias("_total")
     )
+    mean = F.col("_total") / F.col("observations")
+    means = means.select(*keys, "period", F.when(F.col("observations") >= min_obs, mean).alias("value"), "observations")
+    return means, _batches(spark, f"{root}/late", late_type.add("batch", "long")).drop("_ts")
 
 
 def streaming_vintage_upsert(
-    stream: DataFrame, keys: Sequence[str], vintage_col: str, doc: str, provisional: str, values: Sequence[str]
+    stream: DataFrame, keys: Sequence[str], vintage_col: str, doc: str, provisional: str, values: Sequence[str],
+    folder: str | None = None, buckets: int = 16,
 ) -> DataFrame:
-    """Newest final print per key as documents arrive, kept as versioned tables.
+    """Newest final print per key as documents arrive, with what its revisions were.
 
-    A batch carries its own winner and first print per key, which merge with
-    the stored ones by the same rule; only affected keys change.
+    The table is cut into buckets of keys, and a batch rewrites only those it touches, each under
+    its own number. ``first_vintage`` is the oldest print's, ``revised`` says that the first value
+    printed is not the one kept, ``largest_revision`` is the widest range of prints (both of the
+    first value column), ``documents`` those that contributed.
     """
     spark = stream.sparkSession
-    root, checkpoint = shared_dir(spark, "stream-vintage"), shared_dir(spark, "stream-vintage-state")
+    root = _folder(spark, folder, "stream-vintage")
     rank = F.struct((~F.col(provisional)).alias("f"), F.col(vintage_col).alias("v"), F.col(doc).alias("d"))
+    age = F.struct(F.col(vintage_col).alias("v"), F.col(doc).alias("d"))
     body = F.struct(*values, F.col(provisional).alias("_p"), F.col(vintage_col).alias("_v"))
+    main = values[0]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.groupBy(*keys).agg(
-            F.max_by(body, rank).alias("kept"), F.max(rank).alias("rank"), F.count("*").alias("n_prints")
+    def merged(prints: DataFrame) -> DataFrame:
+        return prints.groupBy(*keys, "bucket").agg(
+            F.max_by("kept", "rank").alias("kept"), F.max("rank").alias("rank"), F.sum("n_prints").alias("n_prints"),
+            F.min_by("first_value", "age").alias("first_value"), F.min("age").alias("age"), F.min("low").alias("low"),
+            F.max("high").alias("high"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"),
         )
-        if batch_id > 0:
-            fresh = fresh.unionByName(spark.read.parquet(f"{root}/v{batch_id - 1}"))
-            fresh = fresh.groupBy(*keys).agg(
-                F.max_by("kept", "rank").alias("kept"), F.max("rank").alias("rank"), F.sum("n_prints").alias("n_prints")
-            )
-        fresh.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-        last["id"] = batch_id
-
-    last: dict[str, int] = {}
-    _run(stream, write, "append", checkpoint)
-    table = spark.read.parquet(f"{root}/v{last['id']}")
-    return table.select(
-        *keys, *[F.col(f"kept.{v}").alias(v) for v in values], F.col("kept._p").alias("provisional"), F.col("kept._v").alias("vintage"), "n_prints"
-    )
 
+    def single(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            *keys, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"), body.alias("kept"), rank.alias("rank"),
+            F.lit(1).cast("bigint").alias("n_prints"), F.col(main).alias("first_value"), age.alias("age"), F.col(main).alias("low"),
+            F.col(main).alias("high"), F.array(doc).alias("documents"),
+        )
+
+    stored = merged(single(spark.createDataFrame([], stream.schema))).schema.add("batch", "long")
+
+    def latest(before: int | None = None) -> DataFrame:
+        rows = _batches(spark, f"{root}/table", stored)
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("batch")
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = merged(single(batch))
+        touched = fresh.select("bucket").distinct()
+        old = latest(number).join(F.broadcast(touched), "bucket", "left_semi")
+        merged(fresh.unionByName(old)).write.mode("overwrite").parquet(f"{root}/table/batch={number}")
+
+    _run(stream, write, root)
+    first = F.col("first_value")
+    return latest().select(
+        *keys, *[F.col(f"kept.{v}").alias(v) for v in values], F.col("kept._p").alias("provisional"), F.col("kept._v").alias("vintage"), "n_prints",
+        F.col("age.v").alias("first_vintage"), (~F.col(f"kept.{main}").eqNullSafe(first)).alias("revised"),
+        (F.col("high") - F.col("low")).alias("largest_revision"), "documents",
+    )
 
-def streaming_guarded_append(stream: DataFrame, keys: Sequence[str], spec: quality.Spec) -> tuple[DataFrame, DataFrame]:
-    """Keys of a micro-batch that pass are appended; the others go to quarantine with their problems."""
-    spark = stream.sparkSession
-    good, bad, checkpoint = (shared_dir(spark, n) for n in ("stream-good", "stream-quarantine", "stream-guard-state"))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            result = quality.validate(batch, keys, spec).select(*keys, "problems")
-            passed = result.filter(F.size("problems") == 0).select(*keys)
-            failed = result.filter(F.size("problems") > 0)
-            batch.join(passed, list(keys), "left_semi").write.mode("overwrite").parquet(f"{good}/batch={batch_id:09d}")
-            batch.join(failed, list(keys)).write.mode("overwrite").parquet(f"{bad}/batch={batch_id:09d}")
-        finally:
-            batch.unpersist()
+def streaming_guarded_append(stream: DataFrame, unit: Sequence[str], spec: quality.Spec, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, quarantined rows with their problems); a ``unit`` is judged on all its rows.
 
-    _run(stream, write, "append", checkpoint)
-    read = spark.read.option("recursiveFileLookup", True)
-    return read.parquet(good), read.parquet(bad)
+    Batches are staged as they come. The verdict is taken over everything staged, so it does not
+    matter which rows arrived together, and a unit that becomes complete later moves over.
+    """
+    spark = stream.sparkSession
+    root = _folder(spark, folder, "stream-guard")
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/staged/batch={number}")
 
+    schema = stream.schema
+    _run(stream, write, root)
+    staged = _batches(spark, f"{root}/staged", schema.add("batch", "long")).drop("batch")
+    verdict = quality.validate(staged, unit, spec).select(*unit, "problems")
+    good = staged.join(verdict.filter(F.size("problems") == 0), list(unit), "left_semi")
+    return good, staged.join(verdict.filter(F.size("problems") > 0), list(unit))

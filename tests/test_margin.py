@@ -34,14 +34,45 @@ def test_missing_leg_leaves_a_hole_but_keeps_the_carrier(spark):
 
 def test_breakevens_round_trip(spark):
     slate = spark.createDataFrame([(1, "a", 0.5, 10.0), (1, "b", 0.3, 20.0)], "k int, product string, yield double, spread double")
-    base = margin.evaluate(slate, _facts(spark), ["k"]).withColumn("margin_basis", F.lit("gross_of_gas"))
-    r = base.select(margin.breakeven_gas().alias("g"), margin.breakeven_spread(F.lit(0.5), F.lit(10.0)).alias("s")).first()
+    base = margin.evaluate(slate, _facts(spark), ["k"], own="a").withColumn("margin_basis", F.lit("gross_of_gas"))
+    r = base.select(margin.breakeven_gas().alias("g"), margin.breakeven_spread().alias("s")).first()
     back = margin.evaluate(slate, _facts(spark).withColumn("gas", F.lit(r.g)), ["k"]).first()
     assert abs(back.after_gas - 3.0) < 1e-9
     slate2 = slate.withColumn("spread", F.when(F.col("product") == "a", F.lit(r.s)).otherwise(F.col("spread")))
     assert abs(margin.evaluate(slate2, _facts(spark), ["k"]).first().after_gas - 3.0) < 1e-9
 
 
+def test_a_product_without_a_row_leaves_a_hole_and_is_named(spark):
+    slate = spark.createDataFrame([(1, "a", 0.5, 10.0)], "k int, product string, yield double, spread double")
+    r = margin.evaluate(slate, _facts(spark), ["k"], products=["a", "b"], own="b").first()
+    assert r.attributed is None and r.missing == ["b"] and r.reason == "slate_incomplete" and r.others == 5.0
+    official = spark.createDataFrame([(1, 8.0)], "k int, official double")
+    d = margin.decompose(slate, official, ["k"], products=["a", "b"]).first()
+    assert d.residual is None and d.missing == ["b"] and d.reason == "a_spread_is_missing"
+    nothing = margin.evaluate(slate.filter("k = 2"), _facts(spark), ["k"], products=["a", "b"]).first()
+    assert nothing.missing == ["a", "b"] and nothing.after_gas is None
+
+
+def test_breakeven_needs_no_spread_of_its_own(spark):
+    slate = spark.createDataFrame([(1, "a", 0.5, None), (1, "b", 0.3, 20.0)], "k int, product string, yield double, spread double")
+    r = margin.evaluate(slate, _facts(spark), ["k"], products=["a", "b"], own="a").select(margin.breakeven_spread().alias("s")).first()
+    assert r.s == pytest.approx((3.0 + 2.0 + 1.0 - 0.5 - 6.0) / 0.5)
+
+
+def test_evaluate_refuses_a_margin_charged_twice(spark):
+    slate = spark.createDataFrame([(1, "a", 0.5, 10.0)], "k int, product string, yield double, spread double")
+    r = margin.evaluate(slate, _facts(spark).withColumn("margin_basis", F.lit("net_of_gas")), ["k"]).first()
+    assert r.reason == "gas_counted_twice" and r.after_gas is None
+
+
+def test_slots_lose_no_reading(spark):
+    rows = [(1, d, float(d)) for d in range(15)] + [(2, 0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, doc int, value double")
+    back = vintage.from_slots(vintage.to_slots(df, ["k"], "doc", "value", 4), ["k"], 4)
+    assert sorted((r.k, r.doc, r.value) for r in back.collect()) == sorted(rows)
+    assert [r.slot for r in back.filter("k = 1").orderBy("doc").collect()] == list(range(1, 16))
+
+
 def test_net_margin_refuses_a_cost(spark):
     rows = [("net_of_gas", 0.0), ("net_of_gas", 1.0), ("net_of_gas", None), ("gross_of_gas", 1.0)]
     df = spark.createDataFrame(rows, "margin_basis string, gas_cost double")

@@ -22,16 +22,14 @@ def planted(spark, n=120, seed=5):
     return spark.createDataFrame(rows, "k string, m date, x double, z double, y double").repartition(3), data
 
 
-def sandwich(design, resid):
-    n, k = design.shape
-    lag = max(3, int(np.floor(4 * (n / 100) ** (2 / 9))))
-    u = design * resid[:, None]
-    s = u.T @ u
-    for step in range(1, lag + 1):
-        g = u[step:].T @ u[:-step]
-        s = s + (1 - step / (lag + 1)) * (g + g.T)
-    bread = np.linalg.pinv(design.T @ design)
-    return bread @ s @ bread * n / (n - k)
+def robust_covariance(x, residuals, reach):
+    """Var(b) = A e e' A' with every pair of periods weighted by how far apart they are; A maps y to b."""
+    periods = np.arange(len(residuals))
+    apart = np.abs(np.subtract.outer(periods, periods))
+    triangle = np.clip((reach + 1 - apart) / (reach + 1), 0, None)
+    a = np.linalg.pinv(x)
+    small_sample = len(residuals) / (len(residuals) - x.shape[1])
+    return small_sample * a @ (triangle * np.outer(residuals, residuals)) @ a.T
 
 
 def test_coefficients_and_hac_errors_match_numpy(spark):
@@ -44,7 +42,7 @@ def test_coefficients_and_hac_errors_match_numpy(spark):
     for key, (x, z, y) in data.items():
         design = np.column_stack([np.ones(len(x)), x, z])
         beta = np.linalg.lstsq(design, y, rcond=None)[0]
-        cov = sandwich(design, y - design @ beta)
+        cov = robust_covariance(design, y - design @ beta, reach=4)
         for i, name in enumerate(["const", "x", "z"]):
             assert rows[key, name].coef == pytest.approx(beta[i], rel=1e-8)
             assert rows[key, name].se == pytest.approx(np.sqrt(cov[i, i]), rel=1e-6)
