@@ -1,11 +1,16 @@
 """Removing passages that an earlier document holds already.
 
-Every run of ``WINDOW`` words is represented by the smallest hash among the short runs in it, its
-anchor, which neighbouring windows share. A count-min sketch counts in how many documents each
-anchor stands; it may count too many but never too few, so a window that starts in two documents
-always passes. Only windows that pass are shuffled, with a 96-bit hash of all their words: the
-smallest document per window is found by a plain aggregate, which combines in the tasks before
-anything moves, and a join, whose hot keys adaptive execution can split, tells every later one.
+Two count-min sketches say which windows of ``WINDOW`` words may be repeated. The first counts in how
+many documents each anchor stands, the smallest hash among the short runs of a window, which
+neighbouring windows share, so that it has few keys. The second counts the windows themselves that
+pass the first. Both may count too many but never too few, so a window that starts in two
+documents always passes.
+
+Only windows that pass are shuffled, with a 96-bit hash of all their words. What the sketch counts
+fewer than ``MANY`` times has groups below that size, whose smallest document a window function
+finds. The others, whose groups have no bound, are grouped by a plain aggregate, which combines in
+the tasks before anything moves, and joined to what it found, where adaptive execution can split
+hot keys.
 """
 
 from __future__ import annotations
@@ -15,9 +20,9 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from spreadlake.llm.common import WordHasher, mix, powers, runs, slices, stored, total_chars
+from spreadlake.llm.common import WordHasher, mix, powers, runs, slices, total_chars
 from spreadlake.llm.sketch import Reached, bits_for, count_min
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,9 +30,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Words of a window, and of the short runs that anchor it.
 WINDOW, SHORT = 50, 5
 
-#: Rows of the sketch, and the power of two its cells stop at: 2 x 64 MB of bits.
+#: Rows of the anchors' sketch, and the power of two its cells stop at: 2 x 64 MB of bits.
 DEPTH, MOST_BITS = 2, 29
 
+#: The power of two at which the cells of the windows' sketch stop: one row x 2 thresholds x 32 MB of bits.
+WINDOW_BITS = 28
+
+#: Windows counted so often may have a group too large for one task.
+MANY = 64
+
 _SLICE = 1 << 22
 
 
@@ -81,31 +92,51 @@ def repeated_windows(docs: DataFrame, doc_id: str, text: str, row: str, window:
             _, once = np.unique(mix(anchor + mix(of.astype(np.uint64))), return_index=True)
             yield anchor[once]
 
-    (bitmap,) = count_min(base, anchors_of, bits, DEPTH, (2,))
-    sketch = base.sparkSession.sparkContext.broadcast(bitmap)
-
-    def passing(batches):
-        often, hasher = Reached(sketch.value, bits), WordHasher()
-        for part in slices(batches, 2, _SLICE):
-            hashes, counts = hasher.batch(part.column(2))
-            at, of, anchor = windows(hashes, counts, window)
-            keep = often(anchor)
-            at, of = at[keep], of[keep]
-            ids, rows = (part.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
-            first = np.cumsum(counts) - counts
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(_window_hashes(hashes, at, window, 31).view(np.int64)),
-                    pa.array((_window_hashes(hashes, at, window, 32) >> np.uint64(33)).astype(np.int32)),
-                    pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at - first[of], pa.int64()),
-                ],
-                ["h1", "h2", "doc_id", "_row", "at"],
-            )
+    spark = base.sparkSession
+    (often,) = count_min(base, anchors_of, bits, DEPTH, (2,))
+    anchors = spark.sparkContext.broadcast(often)
+
+    def passing(part, hasher, reached):
+        hashes, counts = hasher.batch(part.column(2))
+        at, of, anchor = windows(hashes, counts, window)
+        keep = reached(anchor)
+        at, of = at[keep], of[keep]
+        return at - (np.cumsum(counts) - counts)[of], of, *(_window_hashes(hashes, at, window, salt) for salt in (31, 32))
 
-    candidates = stored(base.mapInArrow(passing, "h1 bigint, h2 int, doc_id bigint, _row bigint, at bigint"), "substring-windows")
-    firsts = candidates.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-    firsts = firsts.filter("_first < _last").drop("_last")
-    return candidates.join(firsts, ["h1", "h2"]).filter("_first < doc_id").select("doc_id", "_row", "at")
+    def windows_of(batch):
+        hasher, reached = WordHasher(), Reached(anchors.value, bits)
+        for part in slices(iter([batch]), 2, _SLICE):
+            yield passing(part, hasher, reached)[2]
+
+    window_bits = bits_for(total_chars(base, "_text") / 6, most=WINDOW_BITS)
+    counted = spark.sparkContext.broadcast(count_min(base, windows_of, window_bits, 1, (2, MANY)))
+
+    def rows_of(many: bool):
+        def work(batches):
+            reached, hasher = Reached(anchors.value, bits), WordHasher()
+            several, large = (Reached(x, window_bits) for x in counted.value)
+            for part in slices(batches, 2, _SLICE):
+                at, of, h1, h2 = passing(part, hasher, reached)
+                keep = several(h1)
+                keep[keep] = large(h1[keep]) == many
+                at, of, h1, h2 = at[keep], of[keep], h1[keep], h2[keep]
+                ids, rows = (part.column(i).to_numpy(zero_copy_only=False)[of] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(33)).astype(np.int32)),
+                        pa.array(ids, pa.int64()), pa.array(rows, pa.int64()), pa.array(at, pa.int32()),
+                    ],
+                    ["h1", "h2", "doc_id", "_row", "at"],
+                )
+
+        return base.mapInArrow(work, "h1 bigint, h2 int, doc_id bigint, _row bigint, at int")
+
+    few = rows_of(False).withColumn("_first", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
+    large = rows_of(True)
+    firsts = large.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    large = large.join(firsts.filter("_first < _last").drop("_last"), ["h1", "h2"])
+    both = few.unionByName(large.select(*few.columns))
+    return both.filter("_first < doc_id").select("doc_id", "_row", "at")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
