@@ -7,14 +7,20 @@ each row once, whatever the grid, and never pairs rows with candidates.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spreadlake.functions.frames import by
 from spreadlake.functions.numeric import ratio
 from spreadlake.operators import calendar_ops, regress
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STEP = 0.25
 QUANTILES = (0.05, 0.95)
 
@@ -159,12 +165,8 @@ def kink_fit(df: DataFrame, keys: Sequence[str], order: str, x: str, y: str, poi
 MODULUS = 2147483648
 
 
-def draw(rep: Column, j: Column, seed: int, span: Column) -> Column:
-    """Start of block j in replicate rep: two rounds of a 31-bit integer generator, then a remainder."""
-    rep, j = rep.cast("bigint"), j.cast("bigint")
-    u = (rep * F.lit(1103515245) + (j + 1) * F.lit(12345) + F.lit(seed * 69069)) % MODULUS
-    v = ((u + (j + 1) * F.lit(40503)) * F.lit(1103515245) + F.lit(12345)) % MODULUS
-    return (F.floor(v / F.lit(256.0)).cast("bigint") % span.cast("bigint")).cast("int")
+#: Replicates that one task resamples at a time.
+CHUNK = 250
 
 
 def bootstrap_draws(
@@ -173,32 +175,70 @@ def bootstrap_draws(
 ) -> DataFrame:
     """The threshold of every moving-block resample, on the grid of the original sample.
 
-    Work is spread by (key, replicate): positions are drawn with integers,
-    joined to their row by (key, position), and collapsed to grid cells.
+    One row is a period, so a key's series is as long as its calendar. A task gets the series and a
+    chunk of replicates and takes all their cell sums at once; no replicate is ever joined to rows.
     """
     rows = _shifted(df.dropna(subset=[x, y]), keys, x, y, bounds, step)
-    numbered = rows.withColumn("_pos", F.row_number().over(by(keys, order)) - 1).select(*keys, "_pos", "_x", "_y", "_cell")
-    sizes = numbered.groupBy(*keys).agg(F.count("*").cast("int").alias("_n")).join(blocks, list(keys))
-    b = F.least(F.col("block"), F.col("_n"))
-    reps = sizes.withColumn("block", b).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replications - 1))))
-    j_last = F.ceil(F.col("_n") / F.col("block")).cast("int") - 1
-    blocks_ = reps.withColumn("_j", F.explode(F.sequence(F.lit(0), j_last)))
-    start = draw(F.col("rep"), F.col("_j"), seed, F.col("_n") - F.col("block") + 1)
-    length = F.least(F.col("block"), F.col("_n") - F.col("_j") * F.col("block"))
-    taken = blocks_.withColumn("_s", start).select(
-        *keys, "rep", F.explode(F.sequence(F.col("_s"), F.col("_s") + length - 1)).alias("_pos")
-    )
-    sample = taken.join(numbered, [*keys, "_pos"])
-    k = [*keys, "rep"]
-    sums = _moments(sample, k).join(bounds, list(keys))
-    return search(_profile(sums, k, step), k).select(*k, "tau")
+    numbered = rows.withColumn("_pos", F.row_number().over(by(keys, order)) - 1)
+    numbered = numbered.select(*keys, "_pos", "_x", "_y", "_cell", "lo", "cells").join(blocks, list(keys))
+    chunks = F.sequence(F.lit(0), F.lit((replications - 1) // CHUNK))
+    spread = numbered.withColumn("_chunk", F.explode(chunks))
+    names = list(keys)
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        first = int(pdf["_chunk"].iloc[0]) * CHUNK
+        rep = np.arange(first, min(first + CHUNK, replications))
+        lo, cells = float(pdf["lo"].iloc[0]), int(pdf["cells"].iloc[0])
+        at = block_positions(len(pdf), int(pdf["block"].iloc[0]), rep, seed)
+        series = {c: pdf[c].to_numpy() for c in ("_x", "_y", "_cell")}
+        out = pd.DataFrame({"rep": rep, "tau": lo + step * best_cells(*(series[c][at] for c in ("_x", "_y", "_cell")), cells, step)})
+        for k in names:
+            out[k] = pdf[k].iloc[0]
+        return out
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return spread.groupBy(*keys, "_chunk").applyInPandas(resample, f"{kinds}, rep int, tau double")
+
+
+def block_positions(n: int, block: int, rep: np.ndarray, seed: int) -> np.ndarray:
+    """Positions of every replicate: blocks of neighbours, the last one cut to the length of the series."""
+    block = min(block, n)
+    j = np.arange(-(-n // block), dtype=np.int64)
+    u = (rep.astype(np.int64)[:, None] * 1103515245 + (j + 1) * 12345 + seed * 69069) % MODULUS
+    v = ((u + (j + 1) * 40503) * 1103515245 + 12345) % MODULUS
+    start = v // 256 % (n - block + 1)
+    return (start[:, :, None] + np.arange(block)).reshape(len(rep), -1)[:, :n]
+
+
+def best_cells(x: np.ndarray, y: np.ndarray, cell: np.ndarray, cells: int, step: float) -> np.ndarray:
+    """Index of the best candidate of every replicate (a row), the first one of equals."""
+    reps, n = x.shape
+    code = (np.arange(reps)[:, None] * (cells + 1) + np.minimum(cell, cells)).ravel()
+
+    def below(value: np.ndarray) -> np.ndarray:
+        sums = np.bincount(code, value.ravel(), reps * (cells + 1)).reshape(reps, cells + 1)
+        return np.cumsum(sums[:, :cells], axis=1)
+
+    tau = step * np.arange(cells)
+    n_, x_, xx, y_, xy = (below(v) for v in (np.ones_like(x), x, x * x, y, x * y))
+    ty, tyy = y.sum(axis=1, keepdims=True), (y * y).sum(axis=1, keepdims=True)
+    h1, hy = tau * n_ - x_, tau * y_ - xy
+    shh = tau * tau * n_ - 2 * tau * x_ + xx - h1 * h1 / n
+    shy = hy - h1 * ty / n
+    syy = tyy - ty * ty / n
+    gain = np.where(shh > 1e-9, shy * shy / np.where(shh > 1e-9, shh, 1), 0)
+    return np.round(1 - gain / np.where(syy == 0, 1, syy), 11).argmin(axis=1)
 
 
 def verdict(
     df: DataFrame, keys: Sequence[str], order: str, x: str, y: str, replications: int = 2000, seed: int = 62,
-    max_width: float = 5.0, quantiles: tuple[float, float] = QUANTILES, step: float = STEP, max_lag: int | None = None,
+    max_width: float = 5.0, quantiles: tuple[float, float] = QUANTILES, step: float = STEP, max_lag: int | None = None, min_months: int = 24,
 ) -> DataFrame:
-    """Point, bootstrap interval, and whether the sample identifies a threshold at all."""
+    """Point, bootstrap interval, and whether the sample identifies a threshold at all.
+
+    A sample of fewer than ``min_months`` periods identifies nothing, whatever its interval.
+    """
     rows = df.dropna(subset=[x, y])
     prof = profile(rows, keys, x, y, quantiles, step)
     point = search(prof, keys)
@@ -217,7 +257,7 @@ def verdict(
     low = F.col("ci_low") <= F.col("grid_low") + step
     high = F.col("ci_high") >= F.col("grid_high") - step
     reasons = F.array_compact(F.array(
-        F.when(wide, "interval_too_wide"), F.when(low, "touches_lower_edge"), F.when(high, "touches_upper_edge")
+        F.when(F.col("n") < min_months, "too_few_months"), F.when(wide, "interval_too_wide"), F.when(low, "touches_lower_edge"), F.when(high, "touches_upper_edge")
     ))
     return (
         out.join(counted, list(keys)).join(run, list(keys), "left")

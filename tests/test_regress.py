@@ -127,6 +127,29 @@ def test_planted_kink_is_identified_and_noise_is_not(spark):
     assert not r.identified and len(r.reasons) > 0
 
 
+def test_a_short_sample_identifies_nothing(spark):
+    df, _, _ = kinked(spark, 0.1, n=20)
+    r = threshold.verdict(df, ["key"], "m", "x", "y", replications=20).first()
+    assert not r.identified and "too_few_months" in r.reasons
+
+
+def test_resamples_match_a_plain_search(spark):
+    df, x, y = kinked(spark, 2.0, n=60)
+    bounds, blocks = threshold.grid(df, ["key"], "x"), threshold.block_length(df, ["key"], "m", "y")
+    lo, cells = bounds.first().lo, bounds.first().cells
+    got = {r.rep: r.tau for r in threshold.bootstrap_draws(df, ["key"], "m", "x", "y", blocks, bounds, 40).collect()}
+    at = threshold.block_positions(60, blocks.first().block, np.arange(40), 62)
+    for rep in range(40):
+        xs, ys = x[at[rep]], y[at[rep]]
+        fits = []
+        for i in range(cells):
+            h = np.maximum(lo + 0.25 * i - xs, 0)
+            d = np.column_stack([np.ones(60), h])
+            fits.append(((ys - d @ np.linalg.lstsq(d, ys, rcond=None)[0]) ** 2).sum())
+        best = lo + 0.25 * int(np.argmin(np.round(np.array(fits) / ((ys - ys.mean()) ** 2).sum(), 11)))
+        assert got[rep] == pytest.approx(best)
+
+
 def test_bootstrap_is_reproducible(spark):
     df, _, _ = kinked(spark, 2.0)
     bounds = threshold.grid(df, ["key"], "x")
