@@ -2,17 +2,7 @@
 
 from __future__ import annotations
 
-import math
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
-
-# Executors get the functions of this module by value, so they need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _c(c) -> Column:
@@ -82,12 +72,38 @@ def zero_share(low, high) -> Column:
     return F.when(low > 0, 100 * ratio(low, width)).when(high < 0, 100 * ratio(-high, width))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(x: pd.Series) -> pd.Series:
-    """Standard normal distribution function; Spark has no erf."""
-    values = x.to_numpy(dtype=float)
-    out = np.array([0.5 * (1.0 + math.erf(v / math.sqrt(2.0))) if v == v else np.nan for v in values])
-    return pd.Series(out).where(~np.isnan(out), None)
+# Coefficients of a published double-precision rational approximation of the normal
+# distribution function, highest power first, and the bound from which its continued fraction holds.
+NORMAL_TOP = (0.0352624965998911, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+NORMAL_BOTTOM = (
+    0.0883883476483184, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752
+)
+NORMAL_SPLIT = 7.07106781186547
+ROOT_TWO_PI = 2.506628274631
+
+
+def normal_cdf_text(x: str) -> str:
+    """The standard normal distribution function as SQL; only arithmetic and ``exp``, since Spark has no erf."""
+    z, tail = f"abs({x})", f"exp(-({x}) * ({x}) / 2e0)"
+
+    def horner(coefficients):
+        out = f"{coefficients[0]!r}e0"
+        for c in coefficients[1:]:
+            out = f"({out} * {z} + {c!r}e0)"
+        return out
+
+    fraction = f"({z} + 0.65e0)"
+    for k in (4, 3, 2, 1):
+        fraction = f"({z} + {k}e0 / {fraction})"
+    small = f"{tail} * {horner(NORMAL_TOP)} / {horner(NORMAL_BOTTOM)}"
+    large = f"{tail} / {fraction} / {ROOT_TWO_PI}e0"
+    upper = f"(case when {z} > 37 then 0e0 when {z} < {NORMAL_SPLIT}e0 then {small} else {large} end)"
+    return f"(case when ({x}) > 0 then 1e0 - {upper} else {upper} end)"
+
+
+def normal_cdf(x: str) -> Column:
+    """Standard normal distribution function of a column named or written as SQL."""
+    return F.expr(normal_cdf_text(f"cast(({x}) as double)"))
 
 
 def newey_west_lag(n) -> Column:

@@ -186,6 +186,35 @@ def upsert(current: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     return current.join(new.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+# The words of a registry for how a series stands and how it came to exist.
+STATUSES = ("ok", "stale", "failed")
+METHODS = ("published", "computed", "reconstructed", "hand_seeded")
+
+
+def register(current: DataFrame, entries: DataFrame, key: str = "series") -> tuple[DataFrame, DataFrame]:
+    """The registry with the entries that keep its rules, and the others with the first rule they break.
+
+    An entry names its series, once. ``status`` and ``method`` are words of the vocabulary,
+    ``publish`` is yes or no and not missing, a series no machine fetched has no ``fetched_at``, and
+    one that is withheld says why in ``withheld_reason``. A refused entry leaves the stored row.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    one_of = lambda c, words: F.coalesce(F.col(c).isin(*words), F.lit(False))
+    repeated = F.count("*").over(Window.partitionBy(key)) > 1
+    reason = (
+        F.when(blank(key), "no_series")
+        .when(repeated, "series_given_twice")
+        .when(~one_of("status", STATUSES), "unknown_status")
+        .when(~one_of("method", METHODS), "unknown_method")
+        .when(F.col("publish").isNull(), "publish_not_stated")
+        .when(~F.coalesce(F.col("machine_fetched"), F.lit(True)) & F.col("fetched_at").isNotNull(), "fetch_time_on_a_hand_made_series")
+        .when(~F.col("publish") & blank("withheld_reason"), "withheld_without_a_reason")
+    )
+    judged = entries.withColumn("reason", reason)
+    good = judged.filter("reason is null").drop("reason")
+    return upsert(current, good, [key]), judged.filter("reason is not null")
+
+
 def carry_forward(new: DataFrame, previous: DataFrame, key: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Unknown fields restated from the previous row of the same key."""
     old = previous.select(*key, *[F.col(c).alias(f"_old_{c}") for c in fields])

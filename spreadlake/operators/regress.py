@@ -266,7 +266,9 @@ def with_power(pairs: DataFrame) -> DataFrame:
     return (
         pairs.withColumn("observed_gap_percent", 100.0 * (F.col("worse_rmse") - F.col("better_rmse")) / F.col("worse_rmse"))
         .withColumn("detectable_gap_percent", 100.0 * (detectable - F.col("better_rmse")) / detectable)
-        .withColumn("power", normal_cdf(-Z95 + effect) + normal_cdf(-Z95 - effect))
+        .withColumn("_effect", effect)
+        .withColumn("power", normal_cdf(f"_effect - {Z95}") + normal_cdf(f"-_effect - {Z95}"))
+        .drop("_effect")
         .withColumn("forecasts_needed", F.col("n") * need)
     )
 

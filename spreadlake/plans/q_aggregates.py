@@ -58,6 +58,19 @@ def e03(v):
     return aggregates.wide_by_area(s, ["flow"], "m", "area", "v", AREAS, "code", ["1", "2", "3"])
 
 
+EVERY = [f"NATION_{i}" for i in range(25)]
+EVERY_CELL = ", ".join(f"max(case when area = '{a}' then v end) \"{a}\"" for a in EVERY)
+
+
+@query("e03_every_area", "flow m:date " + " ".join(f"{a}:num2" for a in EVERY) + " total:num2 cells:int", f"""
+    with c as (select flow, m, area, sum(v) v, count(v) c from long_stats group by 1, 2, 3),
+    w as (select flow, m, {EVERY_CELL}, case when count(v) = 25 then sum(v) end total, sum(c) cells from c group by 1, 2),
+    sp as (select flow, cast(unnest(generate_series(min(m), max(m), interval 1 month)) as date) m from w group by 1)
+    select sp.flow, sp.m, w.* exclude (flow, m, cells), coalesce(cells, 0) cells from sp left join w on w.flow = sp.flow and w.m = sp.m""")
+def e03_every(v):
+    return aggregates.wide_by_area(v.long_stats, ["flow"], "m", "area", "v", EVERY, "code", ["1", "2", "3"])
+
+
 @query("e04_flagged_cells", "m:date area flow code", "select m, area, flow, code from long_stats where code = '3'")
 def e04(v):
     return aggregates.flagged_cells(v.long_stats, "code", ["3"])

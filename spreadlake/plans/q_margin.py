@@ -202,6 +202,28 @@ def j11(v):
     )
 
 
+@query("j11_weights_of_the_whole_slate", "m:date fixed:num observed:num fixed_residual:num observed_residual:num", f"""
+    with tot as (select m, sum(n) t from monthly group by 1),
+    r as (select product, mo.m, avg(n) over w / avg(t) over w y, count(*) over w c from monthly mo join tot on tot.m = mo.m window w as (partition by product order by mo.m rows 11 preceding)),
+    a as (select s.m, case when count(s.c) = 5 then sum(s.c) end fixed, case when count(case when r.c = 12 then r.y * s.s end) = 5 then sum(case when r.c = 12 then r.y * s.s end) end observed
+      from (select m, product, y * s c, s from {HOLED.replace("case when not (w.product = 'SMALL' and month(w.m) in (2, 3)) then s.spread end s", "s.spread s")}) s
+      left join r on r.product = s.product and r.m = s.m group by 1)
+    select a.m, fixed, observed, official - fixed fixed_residual, official - observed observed_residual from a left join {OFFICIAL} o on o.m = a.m""")
+def j11_whole(v):
+    from spreadlake.operators import panel
+
+    total = v.monthly.groupBy("m").agg(F.sum("n").alias("t"))
+    rolled = panel.rolling_ratio(v.monthly.join(total, "m"), ["product"], "m", "n", "t", 12)
+    rolled = rolled.select("product", "m", F.col("rolled_ratio").alias("observed_yield"))
+    rows = v.margins.select("m").crossJoin(F.broadcast(v.yields)).join(v.spreads.select("product", "m", "spread"), ["product", "m"], "left").join(rolled, ["product", "m"], "left")
+    agg = rows.groupBy("m").agg(
+        numeric.strict_sum(F.col("yield") * F.col("spread"), len(PRODUCTS)).alias("fixed"),
+        numeric.strict_sum(F.col("observed_yield") * F.col("spread"), len(PRODUCTS)).alias("observed"),
+    )
+    out = agg.join(official(v), "m", "left")
+    return out.withColumn("fixed_residual", F.col("official") - F.col("fixed")).withColumn("observed_residual", F.col("official") - F.col("observed"))
+
+
 MASS_YIELDS = {"ECONOMY": 0.2, "LARGE": 0.12, "PROMO": 0.08, "SMALL": 0.32}
 
 

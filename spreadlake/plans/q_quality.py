@@ -192,6 +192,60 @@ def b10(v):
     return quality.upsert(rows(o.filter("date < '1999-01-01'")), rows(o.filter("date >= '2001-01-01'")), ["o_custkey"])
 
 
+REGISTRY_SQL = """(select 'S' || user_id series, case user_id % 7 when 0 then 'fine' else 'ok' end status, case when user_id % 11 = 3 then null else 'published' end method,
+    case when user_id % 13 <> 5 then user_id % 3 <> 0 end publish, user_id % 2 = 0 machine_fetched, case when user_id % 4 < 2 then '2024-01-01' end fetched_at,
+    case when user_id % 5 <> 0 then 'licence' end withheld_reason, count(*) n from events group by user_id)"""
+REGISTRY_REASON = """case when status <> 'ok' then 'unknown_status' when method is null then 'unknown_method' when publish is null then 'publish_not_stated'
+    when not machine_fetched and fetched_at is not null then 'fetch_time_on_a_hand_made_series' when not publish and withheld_reason is null then 'withheld_without_a_reason' end"""
+
+
+def _registry(v):
+    u = F.col("user_id")
+    entries = v.table("events").groupBy("user_id").agg(F.count("*").alias("n")).select(
+        F.concat(F.lit("S"), u.cast("string")).alias("series"), F.when(u % 7 == 0, "fine").otherwise("ok").alias("status"),
+        F.when(u % 11 != 3, "published").alias("method"), F.when(u % 13 != 5, u % 3 != 0).alias("publish"), (u % 2 == 0).alias("machine_fetched"),
+        F.when(u % 4 < 2, "2024-01-01").alias("fetched_at"), F.when(u % 5 != 0, "licence").alias("withheld_reason"), "n",
+    )
+    stored = entries.filter("n % 2 = 0").withColumn("n", F.lit(0).cast("long"))
+    return quality.register(stored, entries)
+
+
+@query("b10_registry_rules", "series n:int", f"""
+    with e as (select *, {REGISTRY_REASON} reason from {REGISTRY_SQL}) select series, case when reason is null then n else 0 end n from e where reason is null or n % 2 = 0""")
+def b10_rules(v):
+    return _registry(v)[0]
+
+
+@query("b10_registry_refusals", "series reason", f"select series, reason from (select *, {REGISTRY_REASON} reason from {REGISTRY_SQL}) where reason is not null")
+def b10_refused(v):
+    return _registry(v)[1]
+
+
+@query("b01_missing_column_is_a_problem", "user_id:int rows:int problems", "select user_id, count(*) as rows, 'missing_column_price' problems from events group by 1")
+def b01_missing(v):
+    rows = v.table("events").select("user_id", F.to_date("ts").alias("date"), "value")
+    out = quality.validate(rows, ["user_id"], quality.Spec(required=("value", "price")))
+    return out.withColumn("problems", F.array_join("problems", ";"))
+
+
+@query("b24_waterfall_end_rules", "m:date step:int reason", """
+    with c as (select s.m, s.product, y.yield * s.spread c from spreads s join yields y on y.product = s.product where s.spread is not null),
+    r as (select m, product, row_number() over w step, sum(c) over w e, c from c window w as (partition by m order by c desc, product rows unbounded preceding))
+    select m, step, case when month(m) = 2 and step = 2 then 'end_is_not_start_plus_value' when month(m) = 2 and step = 3 then 'start_is_not_the_end_before' end reason
+    from r where month(m) = 2 and step in (2, 3)
+    union all select m, max(step) + 1, 'total_is_not_the_running_total' from r where month(m) = 5 group by m""")
+def b24_ends(v):
+    from spreadlake.operators.margin import waterfall
+
+    rows = v.spreads.join(v.yields, "product").withColumn("c", F.col("yield") * F.col("spread")).filter("c is not null")
+    steps = waterfall(rows, ["m"], "product", "c").select("m", "step", "start", "end", F.col("c"), F.lit("part").alias("kind"))
+    steps = steps.withColumn("end", F.when((F.month("m") == 2) & (F.col("step") == 2), F.col("end") + 1).otherwise(F.col("end")))
+    total = rows.groupBy("m").agg(F.count("*").cast("int").alias("n"), F.sum("c").alias("t"))
+    wrong = F.when(F.month("m") == 5, 3.0).otherwise(0.0)
+    total = total.select("m", (F.col("n") + 1).alias("step"), F.lit(0.0).alias("start"), (F.col("t") + wrong).alias("end"), F.lit(None).cast("double").alias("c"), F.lit("total").alias("kind"))
+    return quality.waterfall_breaks(steps.unionByName(total), ["m"], "step", "start", "end", 1e-5, value="c", kind="kind")
+
+
 @query("b11_guarded_append", "series n:int", f"""
     with o as (select * from {ORDERS}),
     f as (select series, count(*) c from o where date >= date '2000-01-01' group by 1)

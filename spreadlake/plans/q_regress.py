@@ -7,6 +7,7 @@ autocorrelation-robust error.
 
 from pyspark.sql import functions as F
 
+from spreadlake.functions import numeric
 from spreadlake.operators import panel, ranking, regress, threshold
 from spreadlake.plans.q_scalar import EPISODE_LIST
 from spreadlake.plans.registry import query
@@ -423,7 +424,9 @@ def k21(v):
     return regress.with_power(k20(v))
 
 
-@query("k21_power", "region first second power:num")
+@query("k21_power", "region first second power:num", f"""
+    with e as (select region, first, second, coalesce(abs(mean_difference / case when se > 0 then se end), 0) e from {PAIRS})
+    select region, first, second, {numeric.normal_cdf_text("e - 1.959963984540054e0")} + {numeric.normal_cdf_text("-e - 1.959963984540054e0")} power from e""")
 def k21p(v):
     return regress.with_power(k20(v))
 

@@ -52,6 +52,11 @@ def l03(v):
     return _years(seasonal.band(rows, ["variant", "product"], "m", "v"))
 
 
+@query("l03_years_excluded_from_the_band", BAND_COLUMNS, f"select * from {band_sql(MONTHLY, 12, excluded='(1997, 1998)')}")
+def l03_parameter(v):
+    return _years(seasonal.band(v.ruled, ["product"], "m", "v", excluded=(1997, 1998)))
+
+
 DEM = "(select product, m, year(m) y, month(m) mo, v - avg(v) over w dm, count(*) over w c from ruled where v is not null window w as (partition by product, year(m)))"
 
 
