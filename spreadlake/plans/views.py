@@ -13,6 +13,10 @@ from spreadlake.plans import sqlviews
 from spreadlake.session import cut_lineage
 
 
+#: Panels written in this process, by session and data folder.
+_PANELS: dict[tuple[str, str], DataFrame] = {}
+
+
 class Views:
     """Lazy DataFrames over one data folder."""
 
@@ -199,6 +203,10 @@ class Views:
         """The lagged panel written once to the shared folder.
 
         The equations read it many times over (sums, scores, candidates,
-        replicates), so its joins are done once and the plans stay shallow.
+        replicates), so its joins are done once per session and data folder
+        and the plans stay shallow.
         """
-        return cut_lineage(self.lagged, "panel")
+        owner = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if owner not in _PANELS:
+            _PANELS[owner] = cut_lineage(self.lagged, "panel")
+        return _PANELS[owner]
