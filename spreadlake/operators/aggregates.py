@@ -10,23 +10,34 @@ from spreadlake.functions import calendar as cal
 from spreadlake.functions.frames import by, keyed, unkeyed
 from spreadlake.functions.numeric import ratio, strict_sum
 from spreadlake.operators.calendar_ops import densify
+from spreadlake.session import cut_lineage, stored_dimension
+
+
+#: Distinct values that one task may have to order.
+SLICE_VALUES = 50_000
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], slices: int = 64
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], slices: int | None = None
 ) -> DataFrame:
     """Interpolated quantiles per key, exact, without holding a group in one task.
 
-    Equal values are counted first. An approximate sketch only chooses cut
+    Equal values are counted first, in the one pass over the rows, and the counts are stored. An
+    approximate sketch only chooses cut
     points that slice each key's value range into about equal parts; counts per
     slice locate the slice that holds each wanted rank, and only those slices
-    are ordered. A key with any number of rows costs one slice per wanted rank.
+    are ordered. Slices grow with the distinct values of the largest key, about ``SLICE_VALUES``
+    to one, so that what one task orders does not.
     """
     df, k = keyed(df.filter(F.col(value).isNotNull()), keys)
     counts = df.groupBy(*k, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    counts = cut_lineage(counts, "quantile-counts")
+    if slices is None:
+        largest = counts.groupBy(*k).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+        slices = max(64, -(-largest // SLICE_VALUES))
     grid = [i / slices for i in range(1, slices)]
     cuts = counts.groupBy(*k).agg(
-        F.sum("_c").alias("_n"), F.percentile_approx("_v", grid, 1000).alias("_cuts")
+        F.sum("_c").alias("_n"), F.percentile_approx("_v", grid, max(1000, 20 * slices)).alias("_cuts")
     )
     tagged = counts.join(cuts, k).withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
     per_slice = tagged.groupBy(*k, "_slice").agg(F.sum("_c").alias("_sc"), F.max("_n").alias("_n"))
@@ -96,6 +107,7 @@ def calibrate(df: DataFrame, doc: str, decoded: str, printed: str, limit: float)
         F.avg(gap).alias("offset"), F.stddev_pop(gap).alias("offset_sd"), F.count(gap).alias("anchors")
     )
     after = F.abs(F.col(decoded) + F.col("offset") - F.col(printed))
+    offsets = stored_dimension(offsets, "offsets")
     residuals = df.join(offsets.select(doc, "offset"), doc).groupBy(doc).agg(
         F.avg(after).alias("mae"), F.max(after).alias("worst")
     )
@@ -110,6 +122,7 @@ def leave_one_series_out(df: DataFrame, doc: str, series: str, decoded: str, pri
     fitted = part.join(total, doc).select(
         doc, series, ratio(F.col("_ts") - F.col("_ps"), F.col("_tn") - F.col("_pn")).alias("_fit")
     )
+    fitted = stored_dimension(fitted, "refits")
     err = F.abs(F.col(decoded) + F.col("_fit") - F.col(printed))
     return df.join(fitted, [doc, series]).groupBy(doc).agg(F.avg(err).alias("oos_mae"), F.max(err).alias("oos_worst"))
 
@@ -120,6 +133,7 @@ def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n")
     )
     resid = F.abs(F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
+    fit = stored_dimension(fit, "lines")
     worst = df.join(fit, list(keys)).groupBy(*keys).agg(F.max(resid).alias("worst_residual"))
     return fit.join(worst, list(keys), "left").withColumn("usable", F.col("slope").isNotNull())
 

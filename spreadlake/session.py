@@ -51,6 +51,22 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows up to which a stored dimension is broadcast.
+SMALL_ROWS = 100_000
+
+
+def stored_dimension(df, label: str = "dimension"):
+    """One row per group, written once, to be joined to raw rows.
+
+    It is broadcast if it has at most ``SMALL_ROWS`` rows, so that a group which holds a third of
+    the raw rows is not shuffled; beyond, the join is shuffled and adaptive execution splits it.
+    """
+    from pyspark.sql import functions as F
+
+    table = cut_lineage(df, label)
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
+
+
 def cut_lineage(df, label: str = "cut"):
     """Materialise a frame in the shared folder and read it back."""
     path = shared_dir(df.sparkSession, label)
