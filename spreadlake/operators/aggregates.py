@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spreadlake.functions import calendar as cal
 from spreadlake.functions.frames import by, keyed, unkeyed
 from spreadlake.functions.numeric import ratio, strict_sum
 from spreadlake.operators.calendar_ops import densify

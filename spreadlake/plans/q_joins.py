@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spreadlake.functions import calendar as cal
-from spreadlake.operators import calendar_ops, events, panel, spread
-from spreadlake.plans import sqlviews
+from spreadlake.operators import events, panel, spread
 from spreadlake.plans.registry import query
 
 EVENT_ROWS = [("price_war", "1996-03-01"), ("strike", "1998-09-14"), ("cold_snap", "2000-12-20"), ("cut", "2001-10-01")]

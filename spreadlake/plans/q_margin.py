@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spreadlake.functions import numeric
-from spreadlake.operators import calendar_ops, margin, ranking, spread, vintage
+from spreadlake.operators import margin, ranking, spread, vintage
 from spreadlake.plans.registry import query
 
 # The official margin of a month is made from the tables too: the bench leg over eight, less a seasonal step.

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from spreadlake.functions import calendar as cal, numeric, text
-from spreadlake.functions.frames import split_rejects
 from spreadlake.operators import panel, spread
 from spreadlake.operators.margin import MMBTU_PER_MWH
 from spreadlake.plans.registry import query

@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from spreadlake.functions import text
-from spreadlake.operators import calendar_ops
 from spreadlake.plans.registry import query
 from spreadlake.session import shared_dir
 from spreadlake.sources import corpus, scans, sinks

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from spreadlake.functions import calendar as cal
 from spreadlake.operators import calendar_ops, vintage
 from spreadlake.plans.registry import query
 

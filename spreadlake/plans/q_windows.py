@@ -2,7 +2,6 @@
 
 from pyspark.sql import Window, functions as F
 
-from spreadlake.functions import calendar as cal
 from spreadlake.operators import calendar_ops, panel, ranking
 from spreadlake.operators.margin import waterfall
 from spreadlake.plans.registry import query
