@@ -41,10 +41,6 @@ def passes_for(largest: int, threshold: float, window: int = WINDOW, missed: flo
     return 1 if met > 1 - missed else math.ceil(math.log(missed) / math.log(1 - met))
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
-
-
 def _roots(near: np.ndarray) -> np.ndarray:
     """Smallest member of each row's component in a symmetric matrix of links."""
     root = np.arange(len(near))
