@@ -10,9 +10,10 @@ fall into ``g`` slots by hash, so that two of them share a slot, and all pairs o
 slot are indexed. ``g`` is a quarter of the size of the smaller set, rounded down to a power of
 two, so both sides know it up to two values and index both: about as many pairs as tokens.
 
-Of the documents that meet at an index key, each is first compared with the smallest one. Only
-those that then still are in different classes of their key are compared with one another, so that
-a key with many alike documents costs as many comparisons as documents.
+Of the documents that meet at an index key, each is first compared with the smallest one, the key's
+centre. If a key then still holds several classes, every document outside the centre's class is
+compared with all that meet at keys of that centre: once, in blocks, however many keys they share.
+What comes out of a block are pairs of classes that a link joins, not pairs of documents.
 """
 
 from __future__ import annotations
@@ -20,11 +21,12 @@ from __future__ import annotations
 import sys
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from spreadlake.llm.common import WordHasher, mix, runs, slices, stored, total_chars
+from spreadlake.llm.common import WordHasher, mix, partitions, runs, slices, stored, total_chars
 from spreadlake.llm.graph import components
 from spreadlake.llm.sketch import Reached, bits_for, count_min
 
@@ -36,10 +38,13 @@ SHINGLE = 5
 #: Documents from which a token is taken as one of many.
 FREQUENT = 100
 
-#: Rows of the sketch, and the power of two its cells stop at: 2 rows x 2 thresholds x 32 MB of bits.
-DEPTH, MOST_BITS = 2, 28
+#: Rows of the sketch, and the power of two its cells stop at: one row x 2 thresholds x 32 MB of bits.
+DEPTH, MOST_BITS = 1, 28
 
-_SLICE = 1 << 22
+#: Documents on either side of a block of comparisons.
+BLOCK = 512
+
+_SLICE = 1 << 20
 
 
 def needed(n):
@@ -112,9 +117,9 @@ def index_keys(row: np.ndarray, tokens: np.ndarray, several: np.ndarray, many: n
 
 
 def indexed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, k1, k2, keys, tokens): size, 128-bit hash and index keys of every text's set; the set where it has keys."""
+    """(doc_id, n, k1, k2, keys, tokens): size, 128-bit hash and index keys of every text's set; the set if it has keys."""
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
-    bits = bits_for(total_chars(base, "_text") / 6, most=MOST_BITS)
+    bits = bits_for(total_chars(base, "_text") / 6 * 2, most=MOST_BITS)
 
     def tokens_of(batch):
         hasher = WordHasher(lower=True)
@@ -136,38 +141,75 @@ def indexed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             np.add.at(k1, row, mix(tokens))
             np.add.at(k2, row, mix(tokens ^ np.uint64(0xABCDEF1234567)))
             ends = np.cumsum(np.bincount(key_row, minlength=m))
-            end = np.cumsum(n)
-            sets = [tokens[e - c : e].tobytes() if k else None for e, c, k in zip(end, n, np.diff(ends, prepend=0))]
+            kept = np.diff(ends, prepend=0) > 0
+            held = np.where(kept, n, 0)
+            sets = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32()), pa.array(tokens[kept[row]].view(np.int64))
+            )
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys.view(np.int64))),
-                    pa.array(sets, pa.binary()),
+                    sets,
                 ],
                 ["doc_id", "n", "k1", "k2", "keys", "tokens"],
             )
 
-    return base.mapInArrow(work, "doc_id bigint, n bigint, k1 bigint, k2 bigint, keys array<bigint>, tokens binary")
+    return base.mapInArrow(work, "doc_id bigint, n bigint, k1 bigint, k2 bigint, keys array<bigint>, tokens array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar: 100 times what they share is at least 75 times what they hold."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("_b"))
+    joined = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    # with what both hold counted once: 100 s >= 75 (a + b - s)
+    return joined.filter(F.lit(175) * shared >= F.lit(75) * (F.size("_a") + F.size("_b"))).select("a", "b")
 
-    def similar(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                shared = int((large[at] == small).sum())
-                keep[k] = 100 * shared >= 75 * (len(x) + len(y) - shared)
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
-    return joined.mapInArrow(similar, "a bigint, b bigint")
+def joined_classes(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of classes with a link between them; ``met`` has _c, doc_id, _class, the centre's own row among them.
+
+    Under each centre, documents outside its class are compared with all. Both sides are cut into
+    blocks by a hash of the id, so that a centre of any number of documents is spread over tasks;
+    centres of one block share groups.
+    """
+    own = met.filter("doc_id = _c").select("_c", F.col("_class").alias("_own"))
+    met = met.join(own, "_c").withColumn("_stray", F.col("_class") != F.col("_own"))
+    sizes = met.groupBy("_c").agg(F.count("*").alias("_all"), F.count_if("_stray").alias("_strays"))
+    met = met.join(stored(sizes.filter("_strays > 0"), "jaccard-sizes"), "_c")
+    blocks = {side: F.ceil(F.col(n) / block).cast("int") for side, n in (("_i", "_strays"), ("_j", "_all"))}
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    every = {side: F.sequence(F.lit(0), n - 1) for side, n in blocks.items()}
+    strays = met.filter("_stray").withColumn("_i", (spread % blocks["_i"]).cast("int")).withColumn("_j", F.explode(every["_j"]))
+    others = met.withColumn("_j", (spread % blocks["_j"]).cast("int")).withColumn("_i", F.explode(every["_i"]))
+    sides = strays.withColumn("_left", F.lit(True)).unionByName(others.withColumn("_left", F.lit(False)))
+    n = 4 * partitions(met.sparkSession)
+    alone = (blocks["_i"] == 1) & (blocks["_j"] == 1)
+    group = F.when(alone, F.pmod(F.xxhash64("_c"), F.lit(n))).otherwise(F.xxhash64("_c", "_i", "_j"))
+    rows = sides.select("doc_id", "_c", "_class", "_left", "_i", "_j", group.alias("_group")).join(sets, "doc_id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = set()
+        for _, part in pdf.groupby(["_c", "_i", "_j"]):
+            right = part[~part["_left"]]
+            size = right["tokens"].map(len).to_numpy()
+            classes = right["_class"].to_numpy()
+            tokens = np.concatenate(right["tokens"].to_list())
+            owner = np.repeat(np.arange(len(right)), size)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            for x, c in zip(*(part.loc[part["_left"], k] for k in ("tokens", "_class"))):
+                lo, hi = (np.searchsorted(tokens, x, side) for side in ("left", "right"))
+                many = hi - lo
+                at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+                both = np.bincount(owner[at], minlength=len(right))
+                for other in set(classes[(175 * both >= 75 * (size + len(x))) & (classes != c)].tolist()):
+                    found.add((max(c, other), min(c, other)))
+        return pd.DataFrame(sorted(found), columns=["a", "b"]).astype("int64")
+
+    return rows.groupBy("_group").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def _sized(pairs: DataFrame) -> DataFrame:
@@ -188,30 +230,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same = stored(same, "jaccard-same")
     firsts = same.select(F.col("_first").alias("doc_id"), "n", "k1", "k2").distinct()
     # a document that stands for its set brings the keys of that set
-    keyed = rows.filter(F.size("keys") > 0).join(firsts, ["doc_id", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
+    keyed = rows.filter(F.size("keys") > 0).drop("tokens").join(firsts, ["doc_id", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "k1", "k2"])
     met = keyed.select("doc_id", "n", F.explode(F.array_distinct("keys")).alias("key"))
     heads = met.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("_head"), F.max("doc_id").alias("_last"))
     heads = heads.filter("_head.doc_id < _last").select("key", F.col("_head.doc_id").alias("_c"), F.col("_head.n").alias("_cn"))
     shared = stored(met.join(heads, "key"), "jaccard-keys")
-    sets = rows.filter("tokens is not null").select("doc_id", "n", "k1", "k2", "tokens").join(firsts, ["doc_id", "n", "k1", "k2"], "left_semi")
-    sets = stored(sets.select("doc_id", "tokens").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "jaccard-sets")
+    wanted = shared.select("doc_id").distinct().join(firsts, "doc_id").select("doc_id", "n", "k1", "k2")
+    sets = rows.filter(F.size("tokens") > 0).select("doc_id", "n", "k1", "k2", "tokens").join(wanted, ["doc_id", "n", "k1", "k2"], "left_semi")
+    sets = stored(sets.dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "tokens"), "jaccard-sets")
 
     star = _sized(shared.filter("doc_id <> _c").select(F.col("doc_id").alias("a"), F.col("_c").alias("b"), F.col("n").alias("n_a"), F.col("_cn").alias("n_b")))
     star = stored(star, "jaccard-star")
     links = stored(verified(star, sets), "jaccard-links")
     classes = components(links)
 
-    # keys at which several classes are left: every pair between two of them is compared
+    # keys at which several classes are left
     labelled = shared.join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    labelled = labelled.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("_class"))
+    labelled = labelled.select("key", "_c", "doc_id", F.coalesce("component", "doc_id").alias("_class"))
     mixed = labelled.groupBy("key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).filter("_lo < _hi").select("key")
-    left = stored(labelled.join(mixed, "key"), "jaccard-mixed")
-    one = left.select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("_class").alias("_class_a"))
-    other = left.select("key", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("_class").alias("_class_b"))
-    rest = _sized(one.join(other, "key").filter("a > b and _class_a <> _class_b"))
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.limit(1).count():
-        links = links.unionByName(verified(rest, sets))
+    left = labelled.join(stored(mixed, "jaccard-mixed"), "key").select("_c", "doc_id", "_class").distinct()
+    joined = joined_classes(stored(left, "jaccard-left"), sets)
+    links = links.unionByName(joined)
 
     # documents of one set, and rows of one id, are linked as well
     copies = rows.filter("n > 0 and doc_id is not null").join(same, ["n", "k1", "k2"]).filter("doc_id <> _first")
