@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from spreadlake.llm.common import WordHasher, mix, powers, runs, slices, total_chars
+from spreadlake.llm.common import WordHasher, mix, powers, runs, slices, stored, total_chars
 from spreadlake.llm.sketch import Reached, bits_for, count_min
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,7 +39,7 @@ WINDOW_BITS = 28
 #: Windows counted so often may have a group too large for one task.
 MANY = 64
 
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -134,7 +134,9 @@ def repeated_windows(docs: DataFrame, doc_id: str, text: str, row: str, window:
     few = rows_of(False).withColumn("_first", F.min("doc_id").over(Window.partitionBy("h1", "h2")))
     large = rows_of(True)
     firsts = large.groupBy("h1", "h2").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
-    large = large.join(firsts.filter("_first < _last").drop("_last"), ["h1", "h2"])
+    # stored, so that both sides of the join are shuffled for it and hot keys can be split
+    firsts = stored(firsts.filter("_first < _last").drop("_last"), "substring-firsts")
+    large = large.join(firsts, ["h1", "h2"])
     both = few.unionByName(large.select(*few.columns))
     return both.filter("_first < doc_id").select("doc_id", "_row", "at")
 
@@ -147,15 +149,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other, so they keep what no smaller id holds. Rows without an id are kept whole and make no
     other one's words go. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep if c != text])
     rows = rows.withColumn("_row", F.xxhash64("doc_id", "_text"))
     found = repeated_windows(rows, "doc_id", "_text", "_row", window)
     cuts = found.groupBy("doc_id", "_row").agg(F.collect_set("at").alias("_at"))
     joined = rows.join(cuts, ["doc_id", "_row"], "left")
-    kept_columns = [f"_keep_{c}" for c in keep]
+    others = [c for c in keep if c != text]
+    # the text travels once, also where it is kept
+    place = {c: 3 + i for i, c in enumerate(others)} | {text: 1}
 
     def cut(batches):
-        for part in slices(batches, 1, 1 << 24):
+        for part in slices(batches, 1):
             n_words, n_removed, left = [], [], []
             for t, at in zip(part.column(1).to_pylist(), part.column(2)):
                 words = (t or "").encode().split()
@@ -170,11 +174,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 n_removed.append(n_words[-1] - len(words))
                 left.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n_words), pa.array(n_removed), pa.array(left, pa.string()), *(part.column(i) for i in range(3, 3 + len(keep)))],
+                [part.column(0), pa.array(n_words), pa.array(n_removed), pa.array(left, pa.string()), *(part.column(place[c]) for c in keep)],
                 ["doc_id", "n_words", "n_removed", "kept", *keep],
             )
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.select("doc_id", "_text", "_at", *kept_columns).mapInArrow(
+    return joined.select("doc_id", "_text", "_at", *[f"_keep_{c}" for c in others]).mapInArrow(
         cut, "doc_id bigint, n_words bigint, n_removed bigint, kept string" + kinds
     )
