@@ -13,8 +13,13 @@ from spreadlake.llm.common import crc_mod, stored, table
 
 
 def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns an operator reads, and the whole row beside them, so that no name can clash."""
-    return docs.select(*columns, F.struct(*docs.columns).alias("_row"))
+    """The columns an operator reads, and all but the text in a box beside them, so that no name can clash."""
+    return docs.select(*columns, F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def _unboxed(columns: list[str], new: dict | None = None) -> list:
+    new = {"text": F.col("text")} | (new or {})
+    return [new.get(c, F.col("_row")[c]).alias(c) for c in columns]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     other. Without labels nothing is rejected.
     """
     weights = quality.learn(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return quality.score(_boxed(docs, "doc_id", "text"), weights, keep=("_row",)).filter("predicted = 1").select("_row.*")
+    return quality.score(_boxed(docs, "doc_id", "text"), weights, keep=("_row", "text")).filter("predicted = 1").select(*_unboxed(docs.columns))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +53,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A text that loses nothing stays as it is; one that loses words keeps the others, joined by one
     space, and ``n_chars`` follows.
     """
-    cut = substring.remove_repeats(_boxed(docs, "doc_id", "text"), keep=("_row",))
+    cut = substring.remove_repeats(_boxed(docs, "doc_id", "text"), keep=("_row", "text"))
     changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("_row.text"))}
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         length = F.length("kept").cast(docs.schema["n_chars"].dataType)
         new["n_chars"] = F.when(changed, length).otherwise(F.col("_row.n_chars"))
-    return cut.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+    return cut.select(*_unboxed(docs.columns, new))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     mixed = mixing.mix_sources(_boxed(docs, "doc_id", "text", "source"))
-    return mixing.emit_copies(mixed, ["_row"]).select("_row.*")
+    return mixing.emit_copies(mixed, ["_row", "text"]).select(*_unboxed(docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

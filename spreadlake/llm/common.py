@@ -22,7 +22,7 @@ from spreadlake.session import shared_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes hashed in one go; bounds the memory a long text needs.
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -191,7 +191,7 @@ def runs(hashes: np.ndarray, counts: np.ndarray, width: int, salt: int) -> tuple
     return mix(out[keep]), n
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts of one slice hold about ``limit`` bytes; a longer text is alone."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -24,7 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DIMENSIONS, SYMBOLS = 512, 64
 
 #: Texts multiplied at a time, and bytes of text counted at a time.
-BLOCK, SLICE_BYTES = 256, 1 << 22
+BLOCK, SLICE_BYTES = 256, 1 << 20
 
 UNKNOWN = "und"
 

@@ -114,7 +114,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> np.ndarra
 def _feature_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     def work(batches):
         hasher = WordHasher()
-        for part in slices(batches, 1, 1 << 22):
+        for part in slices(batches, 1, 1 << 20):
             x = features(part.column(1), hasher)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -160,16 +160,20 @@ def score(docs: DataFrame, weights: np.ndarray | None, doc_id: str = "doc_id", t
     Null and empty texts have features of zero and a score like any other. Without coefficients
     every score is 0.5. Repeated rows are scored each.
     """
+    others = [c for c in keep if c != text]
+    # the text travels once, also where it is kept
+    place = {c: 2 + i for i, c in enumerate(others)} | {text: 1}
+
     def work(batches):
         hasher = WordHasher()
-        for part in slices(batches, 1, 1 << 22):
+        for part in slices(batches, 1, 1 << 20):
             s = np.full(part.num_rows, 0.5) if weights is None else sigmoid(spread(features(part.column(1), hasher)) @ weights)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), *(part.column(i) for i in range(2, 2 + len(keep)))],
+                [part.column(0), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), *(part.column(place[c]) for c in keep)],
                 ["doc_id", "score", "predicted", *keep],
             )
 
     kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text), *keep).mapInArrow(
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text), *others).mapInArrow(
         work, "doc_id bigint, score double, predicted int" + kept
     )
