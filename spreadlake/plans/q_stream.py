@@ -14,7 +14,7 @@ def _stream(v, name="events.parquet"):
 @query("o01_streaming_period_mean", "event_type period:date value:num observations:int", """
     select event_type, cast(ts as date) period, case when count(*) >= 60 then avg(value) end as value, count(*) observations from events group by 1, 2""")
 def o01(v):
-    return incremental.streaming_period_mean(_stream(v), ["event_type"], "ts", "value", 60)[0]
+    return incremental.streaming_period_mean(_stream(v), ["event_type"], "ts", "value", 60, delay=None)[0]
 
 
 @query("o02_streaming_vintage_upsert", "date:date field value:num provisional:bool n_prints:int", """

@@ -1,7 +1,8 @@
 """Incremental forms of three batch operators on Structured Streaming.
 
-Results never depend on how rows fall into micro-batches. What a batch adds is
-written under the batch's number, so one that is replayed after a lost executor
+Results never depend on how rows fall into micro-batches, unless a caller of the
+mean asks for a delay: which rows are late follows from what came before them.
+What a batch adds is written under the batch's number, so one that is replayed after a lost executor
 writes the same folder again and nothing is counted twice. Folders belong to
 the caller: with the same ones a later run goes on where the last one stopped.
 """
@@ -53,14 +54,14 @@ def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def streaming_period_mean(
-    stream: DataFrame, keys: Sequence[str], ts: str, value: str, min_obs: int, grain: str = "daily", delay: str = "2 days",
+    stream: DataFrame, keys: Sequence[str], ts: str, value: str, min_obs: int, grain: str = "daily", delay: str | None = "2 days",
     folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mean per period, late rows) of what has arrived.
 
     A batch leaves one row per key and period with its count and sum, which add up whatever the
-    batching. A row older than the newest one of all earlier batches less ``delay`` is late: it goes
-    to the second frame with its batch and is in no mean. A period below the floor is NULL with its
+    batching. With ``delay`` None no row is late. Else a row older than the newest one of all earlier
+    batches less ``delay`` is: it goes to the second frame with its batch and is in no mean. A period below the floor is NULL with its
     count.
     """
     spark = stream.sparkSession
@@ -69,15 +70,21 @@ def streaming_period_mean(
     kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
     part_type = f"{kinds}{', ' if kinds else ''}period date, observations bigint, total double, newest timestamp, batch bigint"
 
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys, cal.anchor("_ts", grain).cast("date").alias("period")).agg(
+            F.count(value).alias("observations"), F.sum(F.col(value).cast("double")).alias("total"), F.max("_ts").alias("newest")
+        )
+
     def write(batch: DataFrame, number: int) -> None:
+        dated = batch.withColumn("_ts", F.col(ts).cast("timestamp"))
+        if delay is None:
+            summed(dated).write.mode("overwrite").parquet(f"{root}/sums/batch={number}")
+            return
         seen = _batches(spark, f"{root}/sums", part_type).filter(F.col("batch") < number)
         limit = seen.agg((F.max("newest") - F.expr(f"interval {delay}")).alias("_limit"))
-        rows = batch.withColumn("_ts", F.col(ts).cast("timestamp")).crossJoin(F.broadcast(limit))
+        rows = dated.crossJoin(F.broadcast(limit))
         late = F.coalesce(F.col("_ts") < F.col("_limit"), F.lit(False))
-        part = rows.filter(~late).groupBy(*keys, cal.anchor("_ts", grain).cast("date").alias("period")).agg(
-            F.count(value).alias("observations"), F.sum(F.col(value).cast("double")).alias("total"), F.max("_ts").alias("newest")
-        )
-        part.write.mode("overwrite").parquet(f"{root}/sums/batch={number}")
+        summed(rows.filter(~late)).write.mode("overwrite").parquet(f"{root}/sums/batch={number}")
         rows.filter(late).drop("_limit").write.mode("overwrite").parquet(f"{root}/late/batch={number}")
 
     _run(stream, write, root)

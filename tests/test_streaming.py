@@ -75,3 +75,17 @@ def test_guard_judges_a_unit_on_all_its_rows(spark, folders):
     assert len(got) == 1
     good, bad, _ = got.pop()
     assert good + bad == 600 and good and bad
+
+
+def test_o01_averages_all_rows_of_part_files_in_any_order(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from spreadlake.plans import q_stream
+
+    data = [(k, ts, v) for k, ts, v, _, _ in rows(6000)]
+    shuffled = [data[(i * 2777) % 6000] for i in range(6000)]
+    for i in range(5):
+        part = shuffled[i * 1200 : (i + 1) * 1200]
+        spark.createDataFrame(part, "event_type string, ts timestamp, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = q_stream.o01(SimpleNamespace(spark=spark, sf_dir=str(tmp_path)))
+    assert got.agg(F.sum("observations")).first()[0] == 6000
