@@ -3,9 +3,12 @@
 A pass gives every vector a key of 64 random hyperplane sides and sorts the vectors of a label by
 it, so that vectors at a small angle, which agree on most sides, are likely to stand close. Every
 vector is compared with the ones at most ``WINDOW`` to ``2 * WINDOW`` places away. Pairs found in
-any pass are united. How many passes it takes follows from the largest label: two vectors at the
-threshold agree on the sides that separate windows from one another with a chance that a logarithm
-gives, and passes are added until all but ``MISSED`` of such pairs are met.
+any pass are united. How many passes a label takes is measured: in ``TRIALS`` passes of keys alone,
+the most leading sides that two keys a window apart still share say how many sides separate windows
+where the label is densest. Two vectors at the threshold agree on so many sides with a known chance,
+and passes are added until all but ``MISSED`` of such pairs are met. A label whose passes would
+compare a vector as often as all others do, such as a small one or a dense cluster below the
+threshold, is compared whole, in blocks, and misses nothing.
 
 Equal vectors are one before the passes. Counts of links come last: inside a component all pairs
 are compared in blocks, so that a group larger than a window loses no link.
@@ -30,15 +33,135 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Neighbours compared, pairs at the threshold that all passes together may miss, and vectors per block of a component.
 WINDOW, MISSED, BLOCK = 128, 1e-4, 1024
 
+#: Passes of keys that are measured, sides of a key, and rows of a tile compared at once.
+TRIALS, SIDES, TILE = 4, 64, 512
+
+#: Labels are broadcast up to so many; beyond, the join is left to the optimizer.
+BROADCAST_LABELS = 50_000
+
 _ROW = "pass int, label string, dim int, key bigint, id bigint, v array<double>"
 
 
 def passes_for(largest: int, threshold: float, window: int = WINDOW, missed: float = MISSED) -> int:
-    """Passes that leave a pair at the threshold unmet with a chance of at most ``missed``."""
-    agree = 1 - math.acos(threshold) / math.pi
-    sides = max(0.0, math.log2(max(largest, 1) / window))
-    met = agree**sides
-    return 1 if met > 1 - missed else math.ceil(math.log(missed) / math.log(1 - met))
+    """Passes for a label that hyperplanes halve evenly: no label needs fewer."""
+    return passes_of_sides(max(0.0, math.log2(max(largest, 1) / window)), threshold, missed)
+
+
+def passes_of_sides(sides: float, threshold: float, missed: float = MISSED) -> float:
+    """Passes that leave a pair which must agree on ``sides`` unmet with a chance of at most ``missed``.
+
+    Keys that share all sides are told apart by none: no number of passes is enough.
+    """
+    if sides >= SIDES:
+        return math.inf
+    met = (1 - math.acos(threshold) / math.pi) ** sides
+    return 1 if met > 1 - missed else math.ceil(math.log(missed) / math.log1p(-met))
+
+
+def _keys(rows: list, dim: np.ndarray, number: int, seed: int, planes: dict) -> np.ndarray:
+    """Sides of each vector in one pass, the first one in the highest bit, as numbers in order."""
+    key = np.zeros(len(dim), np.uint64)
+    for d in np.unique(dim):
+        at = np.flatnonzero(dim == d)
+        if (number, d) not in planes:
+            planes[number, d] = np.random.default_rng([seed, number, int(d)]).standard_normal((int(d), SIDES))
+        side = np.array([rows[k] for k in at]) @ planes[number, d] > 0
+        key[at] = np.packbits(side, axis=1).view(">u8").ravel()
+    return (key ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def shared_sides(keys: np.ndarray, window: int) -> int:
+    """The most leading sides, and one, that two of the sorted keys ``window`` places apart share."""
+    if len(keys) <= window:
+        return 0
+    differ = keys[window:].view(np.uint64) ^ keys[:-window].view(np.uint64)
+    least = int(differ.min())
+    return SIDES - least.bit_length() + 1 if least else SIDES
+
+
+def sides_measured(vectors: DataFrame, window: int, seed: int = 9) -> DataFrame:
+    """(label, dim, n, sides): vectors of each label and the sides that separate its windows where it is densest.
+
+    The key of a trial travels without its vector. Ranges of keys are measured inside, and the keys
+    beside their ends once more in one row of keys per label, so that no window is left out.
+    """
+
+    def keyed(batches):
+        planes: dict = {}
+        for b in batches:
+            dim, rows = b.column(1).to_numpy(), b.column(2).to_pylist()
+            for p in range(TRIALS):
+                key = _keys(rows, dim, p, seed, planes)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dim), p, np.int32)), b.column(0), b.column(1), pa.array(key)], ["pass", "label", "dim", "key"])
+
+    def longest(batches):
+        """The sides of each label's stretch in one range, and its first and last keys."""
+        held: tuple = (None, [])
+        out: list[tuple] = []
+
+        def done():
+            keys = np.array(held[1], np.int64)
+            ends = keys if len(keys) <= 2 * window else np.concatenate((keys[:window], keys[-window:]))
+            out.append((*held[0], shared_sides(keys, window), ends.tolist()))
+
+        for b in batches:
+            for *group, key in zip(*(c.to_pylist() for c in b.columns)):
+                if held[0] != group:
+                    if held[0]:
+                        done()
+                    held = (group, [])
+                held[1].append(key)
+        if held[0]:
+            done()
+            types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["pass", "label", "dim", "sides", "ends"])
+
+    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = np.sort(np.concatenate([np.asarray(x, np.int64) for x in pdf.ends]))
+        return pd.DataFrame({"label": [pdf.label.iloc[0]], "dim": [pdf.dim.iloc[0]], "sides": [max(int(pdf.sides.max()), shared_sides(ends, window))]})
+
+    keys = vectors.select("label", "dim", "v").mapInArrow(keyed, "pass int, label string, dim int, key bigint")
+    order = ["pass", "label", "dim", "key"]
+    ranged = keys.repartitionByRange(max(partitions(vectors.sparkSession), 1), *order).sortWithinPartitions(*order)
+    ranges = ranged.mapInArrow(longest, "pass int, label string, dim int, sides int, ends array<bigint>")
+    sides = ranges.groupBy("pass", "label", "dim").applyInPandas(across, "label string, dim int, sides int").groupBy("label", "dim").agg(F.max("sides").alias("sides"))
+    return vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).join(sides, ["label", "dim"])
+
+
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the links between ``a`` and ``b``; a root is the smallest member."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def met_in_blocks(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): trees over the vectors of each label that are linked, all pairs compared; ``vectors`` also has n."""
+    n = 4 * partitions(vectors.sparkSession)
+    cut = vectors.withColumn("_blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    cut = cut.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cut = cut.withColumn("_lo", F.least("_own", "_other")).withColumn("_hi", F.greatest("_own", "_other"))
+    group = F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("label", "dim"), F.lit(n))).otherwise(F.xxhash64("label", "dim", "_lo", "_hi"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [[], []]
+        for _, rows in pdf.groupby(["label", "dim", "_lo", "_hi"]):
+            v, ids = np.array(rows.v.tolist()), rows.id.to_numpy()
+            root = np.arange(len(v))
+            for at in range(0, len(v), TILE):
+                a, b = np.nonzero(v[at : at + TILE] @ v[at:].T >= threshold)
+                root = _joined(root, a + at, b + at)
+            own = np.flatnonzero(root != np.arange(len(root)))
+            found[0].extend(ids[own])
+            found[1].extend(ids[root[own]])
+        return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
+
+    return cut.select("label", "dim", "id", "v", "_lo", "_hi", group.alias("_group")).groupBy("_group").applyInPandas(compare, "a bigint, b bigint")
 
 
 def _roots(near: np.ndarray) -> np.ndarray:
@@ -61,25 +184,18 @@ def _united(group: np.ndarray, ids: np.ndarray, v: np.ndarray, threshold: float)
     return ids[own], ids[root[own]]
 
 
-def met_in_passes(vectors: DataFrame, passes: int, threshold: float, window: int, seed: int = 9) -> DataFrame:
-    """(a, b): trees over the vectors that the passes unite; ``vectors`` has label, dim, id, v."""
+def met_in_passes(vectors: DataFrame, threshold: float, window: int, seed: int = 9) -> DataFrame:
+    """(a, b): trees over the vectors that the passes unite; ``vectors`` has label, dim, id, v and its label's passes."""
 
     def keyed(batches):
-        planes: dict[tuple[int, int], np.ndarray] = {}
+        planes: dict = {}
         for b in batches:
-            label, dim, ids = b.column(0), b.column(1).to_numpy(), b.column(2)
-            rows = b.column(3).to_pylist()
-            for p in range(passes):
-                key = np.zeros(len(dim), np.uint64)
-                for d in np.unique(dim):
-                    at = np.flatnonzero(dim == d)
-                    if (p, d) not in planes:
-                        planes[p, d] = np.random.default_rng([seed, p, int(d)]).standard_normal((int(d), 64))
-                    side = np.array([rows[k] for k in at]) @ planes[p, d] > 0
-                    key[at] = np.packbits(side, axis=1).view(">u8").ravel()
-                signed = (key ^ np.uint64(1 << 63)).view(np.int64)
+            passes = b.column(4).to_numpy()
+            for p in range(int(passes.max()) if len(passes) else 0):
+                part = b.filter(pa.array(passes > p))
+                key = _keys(part.column(3).to_pylist(), part.column(1).to_numpy(), p, seed, planes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(dim), p, np.int32)), label, b.column(1), pa.array(signed), ids, b.column(3)],
+                    [pa.array(np.full(len(key), p, np.int32)), part.column(0), part.column(1), pa.array(key), part.column(2), part.column(3)],
                     ["pass", "label", "dim", "key", "id", "v"],
                 )
 
@@ -136,7 +252,7 @@ def met_in_passes(vectors: DataFrame, passes: int, threshold: float, window: int
             found[1].extend(b)
         return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
 
-    rows = vectors.select("label", "dim", "id", "v").mapInArrow(keyed, _ROW)
+    rows = vectors.select("label", "dim", "id", "v", "passes").mapInArrow(keyed, _ROW)
     n = max(partitions(vectors.sparkSession), 1)
     order = ["pass", "label", "dim", "key", "id"]
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -176,6 +292,21 @@ def link_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     return keyed.groupBy("_group").applyInPandas(count, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def linked(heads: DataFrame, threshold: float, window: int) -> DataFrame:
+    """(a, b): trees over linked vectors, by passes or, where these compare no fewer pairs, by all pairs of a label."""
+    measured = stored(sides_measured(heads, window), "neardup-sides")
+    need = {s: passes_of_sides(s, threshold) for s in range(SIDES + 1)}
+    costs = F.create_map(*[x for s, p in need.items() for x in (F.lit(s), F.lit(int(min(p, 1 << 30))))])
+    measured = measured.withColumn("passes", costs[F.col("sides")])
+    measured = measured.withColumn("passes", F.when(F.col("passes").cast("long") * (2 * window) < F.col("n"), F.col("passes")).otherwise(0))
+    small = measured.count() <= BROADCAST_LABELS
+    rows = heads.join(F.broadcast(measured) if small else measured, ["label", "dim"]).select("label", "dim", "id", "v", "n", "passes")
+    met = met_in_blocks(rows.filter("passes = 0"), threshold)
+    if measured.filter("passes > 0").limit(1).count():
+        met = met.unionByName(met_in_passes(rows.filter("passes > 0"), threshold, window)).distinct()
+    return met
+
+
 def near_vectors(
     rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.93, window: int = WINDOW
 ) -> DataFrame:
@@ -200,8 +331,7 @@ def near_vectors(
 
     heads = heads.select(*same, "id", "copies", "v")
     heads = stored(heads.mapInArrow(unit, heads.schema), "neardup-heads")
-    largest = heads.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    links = met_in_passes(heads, passes_for(largest, threshold, window), threshold, window)
+    links = linked(heads, threshold, window)
     found = components(links)
     members = heads.select("id", "copies", "v").join(found, "id")
     counts = link_counts(members, threshold)

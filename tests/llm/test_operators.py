@@ -167,6 +167,26 @@ def test_op3_passes_grow_with_the_largest_label():
     assert neardup.passes_for(100, 0.93) == 1 < neardup.passes_for(5_000, 0.93) < neardup.passes_for(10_000_000, 0.93)
 
 
+def test_op3_meets_pairs_in_a_cone_and_in_a_dense_cluster(spark):
+    rng, d = np.random.default_rng(4), 32
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows, pairs = [], []
+    for label, n, mutual in ((0, 1600, 0.8), (1, 500, 0.88)):
+        axis = unit(rng.standard_normal(d))
+        off = rng.standard_normal((n, d))
+        off = unit(off - (off @ axis)[:, None] * axis)
+        v = math.sqrt(mutual) * axis + math.sqrt(1 - mutual) * off
+        side = rng.standard_normal((n // 4, d))
+        side = unit(side - np.sum(side * v[: n // 4], axis=1, keepdims=True) * v[: n // 4])
+        mates = 0.935 * v[: n // 4] + math.sqrt(1 - 0.935**2) * side
+        pairs += [(len(rows) + k, len(rows) + n + k) for k in range(n // 4)]
+        rows += [(len(rows) + k, x.tolist(), label) for k, x in enumerate(np.concatenate((v, mates)))]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(3)
+    got = table_of(neardup.near_vectors(df, window=8), "vec_id")
+    apart = [p for p in pairs if got[p[0]].component_id != got[p[1]].component_id]
+    assert not apart, f"{len(apart)} of {len(pairs)} pairs missed"
+
+
 def quality_rows():
     rng = random.Random(8)
     rows = []
