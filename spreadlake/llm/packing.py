@@ -4,7 +4,10 @@ Two pieces of one length are interchangeable, so which lengths share a sequence
 number of pieces per length: at most ``capacity`` numbers, however many documents there are. The
 largest length left is completed by an undominated filling of the room beside it, and the pattern
 is repeated as often as its lengths last. A branch is given up once the waste it has collected
-leaves no better packing than the best known one, which starts as the best-fit one.
+leaves no better packing than the best known one, which starts as the best-fit one. The search runs
+over all pieces and, if that leaves a gap to the bound, over those in best-fit sequences that are
+not full, whose number of lengths stays small; its branches grow with the distinct lengths, as one
+way down takes about as many.
 
 The pieces then find their place by their rank among the pieces of their length. Ranks come from
 counts per (length, chunk of ids) and row numbers inside a chunk, so that a length which a third
@@ -29,8 +32,8 @@ from spreadlake.llm.common import partitions, slices, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Branches the search may open before it settles for the best packing found.
-BRANCHES = 2_000
+#: Branches the search may open at least, and per distinct length, before it settles for the best packing found.
+BRANCHES, PER_LENGTH = 2_000, 4
 
 #: Fillings tried per largest length, and steps to enumerate them.
 FILLINGS, STEPS = 6, 3_000
@@ -240,17 +243,36 @@ def complete(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     counts = {s: n for s, n in counts.items() if n > 0}
     if not counts:
         return []
+    first = best_fit(counts, capacity)
+    best, bound = searched(counts, capacity, first)
+    full = [p for p in first if sum(p[0]) == capacity]
+    if sum(n for _, n in best) > bound and full:
+        wasteful = [p for p in first if sum(p[0]) < capacity]
+        rest: dict[int, int] = defaultdict(int)
+        for pattern, n in wasteful:
+            for s in pattern:
+                rest[s] += n
+        other = full + searched(dict(rest), capacity, wasteful)[0]
+        best = min(best, other, key=lambda x: sum(n for _, n in x))
+    return best
+
+
+def searched(counts: dict[int, int], capacity: int, best: list[tuple[tuple[int, ...], int]]) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(the best packing found, ``best`` if none is better; the lower bound)."""
     total = sum(s * n for s, n in counts.items())
-    best = best_fit(counts, capacity)
     bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     used = sum(n for _, n in best)
-    branches = 0
-    # depth first; a branch is (counts left, patterns so far, sequences so far, their waste)
-    stack = [(counts, None, 0, 0)]
-    while stack and used > bound and branches < BRANCHES:
-        left, path, made, waste = stack.pop()
+    branches, most = 0, max(BRANCHES, PER_LENGTH * len(counts))
+    # depth first; a branch is (counts left before its pattern, pattern, times, patterns so far, sequences so far, their waste)
+    stack: list = [(counts, (), 0, None, 0, 0)]
+    while stack and used > bound and branches < most:
+        left, pattern, times, path, made, waste = stack.pop()
         if waste > (used - 1) * capacity - total:
             continue
+        if times:
+            left = {s: n - times * pattern.count(s) for s, n in left.items()}
+            left = {s: n for s, n in left.items() if n}
+            path = ((pattern, times), path)
         if not left:
             if made < used:
                 used, best = made, []
@@ -267,11 +289,9 @@ def complete(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
         for filling in reversed(fillings(sizes, rest, room)):
             pattern = (big, *filling)
             times = min(left[s] // pattern.count(s) for s in set(pattern))
-            after = {s: n - times * pattern.count(s) for s, n in left.items()}
-            after = {s: n for s, n in after.items() if n}
             gone = times * (capacity - sum(pattern))
-            stack.append((after, ((pattern, times), path), made + times, waste + gone))
-    return best
+            stack.append((left, pattern, times, path, made + times, waste + gone))
+    return best, bound
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -477,3 +477,20 @@ def test_op10_completion_is_optimal_on_small_bins():
         assert used == counts
         short += sum(n for _, n in packed) - fewest(items, 20)
     assert short == 0
+
+
+def test_op10_search_completes_on_all_distinct_lengths():
+    lengths = np.exp(np.random.default_rng(1).normal(5.8, 0.9, 60_000)).astype(int) + 1
+    counts: dict[int, int] = {}
+    for n in lengths:
+        for _, size in packing.cut(int(n), 2048):
+            counts[size] = counts.get(size, 0) + 1
+    bound = -(-sum(s * n for s, n in counts.items()) // 2048)
+    best = packing.complete(counts, 2048)
+    held: dict[int, int] = {}
+    for pattern, n in best:
+        assert sum(pattern) <= 2048
+        for s in pattern:
+            held[s] = held.get(s, 0) + n
+    assert held == counts
+    assert sum(n for _, n in best) == bound < sum(n for _, n in packing.best_fit(counts, 2048))
