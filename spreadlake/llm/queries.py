@@ -86,6 +86,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    from spreadlake.llm.bpe import decode, encode
+
+    path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    found = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,6 +111,7 @@ QUERIES: dict[str, Query] = {
         op8_substring_dedup,
         op9_pitman_yor_scores,
         op10_best_fit_packing,
+        op13_bpe_round_trip,
     )
 }
 
