@@ -86,6 +86,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.manifest import folded, manifest
+
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = manifest(table(spark, sf_dir, "documents"), tampered={"text": lower}, where=crc_mod("doc_id", 5) == 0)
+    rows = rows.withColumn("folded_root", folded(F.coalesce("tampered_leaf", "leaf"), F.col("proof")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.encode(F.array_join("proof", ""), "utf-8"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -111,6 +123,7 @@ QUERIES: dict[str, Query] = {
         op8_substring_dedup,
         op9_pitman_yor_scores,
         op10_best_fit_packing,
+        op12_merkle_manifest,
         op13_bpe_round_trip,
     )
 }
@@ -120,4 +133,5 @@ ORACLES: dict[str, str] = {
     "op3_embedding_near_dedup": sql.NEAR_VECTORS,
     "op6_jaccard_join": sql.JACCARD,
     "op8_substring_dedup": sql.SUBSTRING,
+    "op12_merkle_manifest": sql.MANIFEST,
 }

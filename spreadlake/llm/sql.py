@@ -137,3 +137,75 @@ kept as (
 select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
 from words w left join kept k on k.doc_id = w.doc_id
 """
+
+# what crc32 adds to the remainder for each value of four bits, written out as its published polynomial gives it
+_NIBBLES = [0]
+for _n in range(1, 16):
+    for _ in range(4):
+        _n = _n >> 1 ^ (0xEDB88320 if _n & 1 else 0)
+    _NIBBLES.append(_n)
+
+
+def crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text, four bits at a time."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c) & 15, ascii(c) >> 4]))"
+    step = f"xor(r >> 4, {_NIBBLES}[(xor(r, n) & 15) + 1])"
+    return f"xor(list_reduce({bits}, lambda r, n: {step}, 4294967295::bigint), 4294967295)"
+
+
+def _spelled(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}::varchar, '-')"
+
+
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MANIFEST = f"""
+with recursive leaves as (
+  select doc_id, source, sha256({" || ".join(map(_spelled, _FIELDS))}) as leaf,
+    sha256({" || ".join(map(_spelled, [*_FIELDS[:-1], _LOWER]))}) as changed,
+    coalesce({crc32_sql("doc_id::varchar")} % 5 = 0, false) as tampered
+  from documents
+),
+placed as (
+  select *, row_number() over (order by source nulls first, doc_id nulls first, leaf) as rid,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos
+  from leaves
+),
+trees as (
+  select source, 0 as lvl, list(leaf order by pos) as nodes from placed group by source
+  union all
+  select source, lvl + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1 : i + 16], '')))
+  from trees where len(nodes) > 1
+),
+subroots as (
+  select source, nodes[1] as subroot, row_number() over (order by encode(source) nulls first) - 1 as pos from trees where len(nodes) = 1
+),
+tops as (
+  select 0 as lvl, list(subroot order by pos) as nodes from subroots
+  union all
+  select lvl + 1, list_transform(range(0, len(nodes), 16), lambda i: sha256(array_to_string(nodes[i + 1 : i + 16], ''))) from tops where len(nodes) > 1
+),
+sided as (
+  select p.rid, t.lvl as step, t.nodes, (p.pos // (16 ** t.lvl)::bigint) as ix
+  from placed p join trees t on t.source is not distinct from p.source and len(t.nodes) > 1
+  union all
+  select p.rid, 1000 + t.lvl as step, t.nodes, (s.pos // (16 ** t.lvl)::bigint) as ix
+  from placed p join subroots s on s.source is not distinct from p.source join tops t on len(t.nodes) > 1
+),
+steps as (
+  select rid, row_number() over (partition by rid order by step) as step,
+    array_to_string(nodes[ix // 16 * 16 + 1 : ix], '') as before, array_to_string(nodes[ix + 2 : ix // 16 * 16 + 16], '') as after
+  from sided
+),
+proofs as (select rid, string_agg(before || after, '' order by step) as proof from steps group by rid),
+folding as (
+  select rid, 0::bigint as step, case when tampered then changed else leaf end as node from placed
+  union all
+  select f.rid, s.step, sha256(s.before || f.node || s.after) from folding f join steps s on s.rid = f.rid and s.step = f.step + 1
+),
+folds as (select rid, arg_max(node, step) as folded_root from folding group by rid)
+select p.doc_id, p.leaf, s.subroot, (select nodes[1] from tops where len(nodes) = 1) as root,
+  sha256(coalesce(r.proof, '')) as proof_sha256, f.folded_root, f.folded_root = (select nodes[1] from tops where len(nodes) = 1) as verified
+from placed p join subroots s on s.source is not distinct from p.source join folds f on f.rid = p.rid left join proofs r on r.rid = p.rid
+"""
