@@ -86,6 +86,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return pack(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spreadlake.llm.dialogue import digests, repair
+
+    lines, found = repair(table(spark, sf_dir, "conversations"))
+    found = found.join(digests(lines), "_key", "left")
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return found.withColumn("repaired_sha256", F.coalesce("repaired_sha256", none)).drop("_key")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spreadlake.llm.manifest import folded, manifest
 
@@ -123,6 +132,7 @@ QUERIES: dict[str, Query] = {
         op8_substring_dedup,
         op9_pitman_yor_scores,
         op10_best_fit_packing,
+        op11_conversation_repair,
         op12_merkle_manifest,
         op13_bpe_round_trip,
     )
@@ -133,5 +143,6 @@ ORACLES: dict[str, str] = {
     "op3_embedding_near_dedup": sql.NEAR_VECTORS,
     "op6_jaccard_join": sql.JACCARD,
     "op8_substring_dedup": sql.SUBSTRING,
+    "op11_conversation_repair": sql.REPAIR,
     "op12_merkle_manifest": sql.MANIFEST,
 }

@@ -209,3 +209,97 @@ select p.doc_id, p.leaf, s.subroot, (select nodes[1] from tops where len(nodes)
   sha256(coalesce(r.proof, '')) as proof_sha256, f.folded_root, f.folded_root = (select nodes[1] from tops where len(nodes) = 1) as verified
 from placed p join subroots s on s.source is not distinct from p.source join folds f on f.rid = p.rid left join proofs r on r.rid = p.rid
 """
+
+# the least (cost, edits) in front of a row for the four states of what the repaired roles end in
+# (n nothing, s system, u user, a assistant), from those behind it
+_AFTER = {"n": "u", "s": "u", "u": "a", "a": "u"}
+
+
+def _least(options: list[str]) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _edit(cost: str, letter: str, state: str) -> str:
+    return f"struct_pack(c := {cost} + b.{state}.c, e := '{letter}' || b.{state}.e)"
+
+
+def _row(state: str) -> str:
+    never = "struct_pack(c := 1000000000, e := '')"
+    more = "case when r.fault = 'truncated' then 3 else 0 end"
+    due = _AFTER[state]
+    keeps = {due: due[0]} | ({"s": "s"} if state == "n" else {})
+    options = [_edit("4", "D", state), f"case when r.fault in ('fine', 'truncated') then {_edit(f'3 + {more}', 'R', due)} else {never} end"]
+    for to, initial in keeps.items():
+        options.append(f"case when r.fault in ('fine', 'truncated') and r.initial = '{initial}' then {_edit(more, 'K', to)} else {never} end")
+    return _least(options)
+
+
+def _inserts(state: str) -> str:
+    options, cost, edits, s = [f"w.{state}"], 0, "", state
+    for _ in range(3):
+        s, cost, edits = _AFTER[s], cost + 3, edits + "I"
+        options.append(f"struct_pack(c := {cost} + w.{s}.c, e := '{edits}' || w.{s}.e)")
+    return _least(options) + f" as {state}"
+
+
+_LAST = "struct_pack(c := 0, e := '') as n, struct_pack(c := 6, e := 'II') as s, struct_pack(c := 3, e := 'I') as u, struct_pack(c := 0, e := '') as a"
+
+REPAIR = f"""
+with recursive fresh as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as damage
+  from conversations
+),
+hurt as (
+  select conv_id, turn, case when damage = 4 then 'user' else role end as role,
+    case damage when 1 then '' when 2 then translate(text, '.!?', '') else text end as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as place
+  from fresh, unnest(case when damage = 3 then [0, 1] else [0] end) where damage <> 0
+),
+judged as (
+  select conv_id, turn, role, text, place, substr(role, 1, 1) as initial,
+    case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+      when place > min(place) over (partition by conv_id, role, text) then 'duplicate'
+      when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 'truncated' else 'fine' end as fault
+  from hurt
+),
+paired as (
+  select *, lag(initial) over (partition by conv_id order by place) as earlier, count(*) over (partition by conv_id) as total from judged
+),
+best as (
+  select conv_id, max(place) + 1 as place, {_LAST} from judged group by conv_id
+  union all
+  select conv_id, place, {", ".join(map(_inserts, "nsua"))} from (
+    select r.conv_id, r.place, {", ".join(f"{_row(s)} as {s}" for s in "nsua")}
+    from best b join judged r on r.conv_id is not distinct from b.conv_id and r.place = b.place - 1
+  ) w
+),
+chosen as (select conv_id, n.c as cost, n.e as audit from best where place = 1),
+letters as (
+  select conv_id, audit, i, substr(audit, i, 1) as letter,
+    len(replace(substr(audit, 1, i), 'I', '')) as place
+  from chosen, unnest(range(1, len(audit) + 1)) as t(i)
+),
+lines as (
+  select l.conv_id, l.i, l.letter, r.role, r.text,
+    sum(case when l.letter = 'D' or (l.letter = 'K' and r.initial = 's') then 0 else 1 end) over (partition by l.conv_id order by l.i) as due
+  from letters l left join judged r on r.conv_id is not distinct from l.conv_id and r.place = l.place and l.letter <> 'I'
+),
+texts as (
+  select conv_id, string_agg(
+    case when letter = 'K' then role when due % 2 = 1 then 'user' else 'assistant' end || ':' || case when letter = 'I' then '' else text end,
+    chr(10) order by i) as t
+  from lines where letter <> 'D' group by conv_id
+),
+stats as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (place > 1 and earlier || initial not in ('su', 'ua', 'au')) as illegal
+  from paired group by conv_id
+),
+ids as (select distinct conv_id from conversations)
+select d.conv_id, {", ".join(f"coalesce(s.{c}, 0)::bigint as {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))},
+  coalesce(c.cost, 0)::bigint as cost, coalesce(c.audit, '') as audit, sha256(coalesce(x.t, '')) as repaired_sha256
+from ids d left join stats s on s.conv_id is not distinct from d.conv_id left join chosen c on c.conv_id is not distinct from d.conv_id
+  left join texts x on x.conv_id is not distinct from d.conv_id
+"""

@@ -15,11 +15,11 @@ SF = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = entry.queries()[name](spark, SF).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
-    key = "vec_id" if "vec_id" in got.columns else "doc_id"
+    key = next(c for c in ("vec_id", "conv_id", "doc_id") if c in got.columns)
     got, want = (x.sort_values(key).reset_index(drop=True)[sorted(got.columns)] for x in (got, want))
     assert len(got) == len(want) and (got == want).all().all()
 
