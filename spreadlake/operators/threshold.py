@@ -1,8 +1,16 @@
 """Threshold search on a kinked line: profile, bootstrap, verdict.
 
-The kinked regressor max(tau - x, 0) is a polynomial of x below tau, so its
-sums at every candidate tau are running sums over grid cells. A search reads
-each row once, whatever the grid, and never pairs rows with candidates.
+Between two neighbouring values of x the rows below the threshold are the same,
+and what the kinked regressor max(tau - x, 0) explains is a ratio of quadratics
+in tau, written with the running co-moments of those rows:
+
+    gain(tau) = (ty * t - sxy)^2 / (sxx + n * (1 - n / N) * t^2),  t = tau - mean x
+
+Such a ratio has one turning point besides its zero, so the best candidate of a
+gap is its first, its last or a neighbour of that point. A search looks at four
+candidates per gap, however fine the grid; a profile lists them all. Co-moments
+are taken about running means. Where one value or all of them lie below, the
+ratio does not depend on tau: all candidates explain alike, and the first wins.
 """
 
 from __future__ import annotations
@@ -62,81 +70,64 @@ def grid(df: DataFrame, keys: Sequence[str], x: str, quantiles: tuple[float, flo
     )
 
 
-def _cell(x: str, step: float) -> Column:
-    """Index of the first candidate above x."""
-    return F.greatest(F.floor((F.col(x) - F.col("lo")) / step).cast("int") + 1, F.lit(0))
-
-
-def _moments(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sums by grid cell of rows holding _x, _y (both shifted) and _cell."""
-    x, y = F.col("_x"), F.col("_y")
-    return rows.groupBy(*keys, "_cell").agg(
-        F.count("*").alias("b_n"), F.sum(x).alias("b_x"), F.sum(x * x).alias("b_xx"),
-        F.sum(y).alias("b_y"), F.sum(x * y).alias("b_xy"), F.sum(y * y).alias("b_yy"),
-    )
-
-
-def _profile(moments: DataFrame, keys: Sequence[str], step: float) -> DataFrame:
-    """SSR at every candidate from cell sums; ``moments`` also carries lo and cells per key."""
-    whole = Window.partitionBy(*keys)
-    totals = {f"t_{s}": F.sum(f"b_{s}").over(whole) for s in ("n", "y", "yy")}
-    nxt = F.lead("_cell").over(by(keys, "_cell"))
-    running = by(keys, "_cell").rowsBetween(Window.unboundedPreceding, 0)
-    rows = moments.withColumns(totals).withColumn("_next", nxt)
-    rows = rows.withColumns({f"c_{s}": F.sum(f"b_{s}").over(running) for s in ("n", "x", "xx", "y", "xy")})
-    # a candidate sees every cell up to its own index; cells nothing fell into repeat the one before
-    first = F.row_number().over(by(keys, "_cell")) == 1
-    rows = rows.withColumn("_first", first)
-    last = F.least(F.coalesce(F.col("_next") - 1, F.col("cells") - 1), F.col("cells") - 1)
-    own = rows.filter(F.col("_cell") <= last).select("*", F.explode(F.sequence(F.col("_cell"), last)).alias("_i"))
-    # candidates below the first cell have no row under them: the kink is flat there
-    lead = rows.filter(F.col("_first") & (F.col("_cell") > 0) & (F.col("cells") > 0)).select(
-        "*", F.explode(F.sequence(F.lit(0), F.least(F.col("_cell"), F.col("cells")) - 1)).alias("_i")
-    ).withColumns({f"c_{s}": F.lit(0.0) for s in ("n", "x", "xx", "y", "xy")})
-    both = own.unionByName(lead)
-    tau = F.col("_i") * F.lit(float(step))
-    h1 = tau * F.col("c_n") - F.col("c_x")
-    h2 = tau * tau * F.col("c_n") - 2 * tau * F.col("c_x") + F.col("c_xx")
-    hy = tau * F.col("c_y") - F.col("c_xy")
-    n = F.col("t_n")
-    shh = h2 - h1 * h1 / n
-    shy = hy - h1 * F.col("t_y") / n
-    syy = F.col("t_yy") - F.col("t_y") * F.col("t_y") / n
-    ssr = syy - F.when(shh > 1e-9, shy * shy / shh).otherwise(F.lit(0.0))
-    return both.select(
-        *keys, F.col("_i").alias("i"), (F.col("lo") + tau).alias("tau"), ssr.alias("ssr"),
-        F.round(ratio(ssr, syy), 11).alias("share"), n.alias("n"), "lo", "cells",
-    )
-
-
-def _shifted(df: DataFrame, keys: Sequence[str], x: str, y: str, bounds: DataFrame, step: float) -> DataFrame:
-    """x measured from the grid's foot and y from its mean, which keeps the sums small."""
-    means = df.groupBy(*keys).agg(F.avg(y).alias("_my"))
-    return (
-        df.join(bounds, list(keys)).join(means, list(keys))
-        .withColumn("_x", F.col(x) - F.col("lo")).withColumn("_y", F.col(y) - F.col("_my")).withColumn("_cell", _cell(x, step))
-    )
+def _gaps(df: DataFrame, keys: Sequence[str], x: str, y: str, bounds: DataFrame, step: float) -> DataFrame:
+    """One row per key and gap between neighbouring values: its candidates ``first`` to ``last`` and the moments of the rows below."""
+    upto = Window.partitionBy(*keys).orderBy(x).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered, whole = Window.partitionBy(*keys).orderBy(x), Window.partitionBy(*keys)
+    rows = df.select(
+        *keys, F.col(x).alias("_x"), F.count("*").over(upto).alias("b_n"), F.avg(x).over(upto).alias("b_mx"),
+        (F.count("*").over(upto) * F.var_pop(x).over(upto)).alias("b_sxx"), (F.count("*").over(upto) * F.covar_pop(x, y).over(upto)).alias("b_sxy"),
+        (F.count("*").over(upto) * (F.avg(y).over(upto) - F.avg(y).over(whole))).alias("b_ty"), F.dense_rank().over(ordered).alias("b_values"),
+        F.count("*").over(whole).alias("n"), (F.count("*").over(whole) * F.var_pop(y).over(whole)).alias("syy"), F.lead(x).over(ordered).alias("_next"),
+    ).filter(F.col("_next").isNull() | (F.col("_next") > F.col("_x"))).join(bounds, list(keys))
+    cell = lambda c: F.floor((F.col(c) - F.col("lo")) / step).cast("int")
+    top = F.col("cells") - 1
+    above = rows.withColumn("first", F.greatest(cell("_x") + 1, F.lit(0))).withColumn("last", F.least(F.coalesce(cell("_next"), top), top))
+    # below the lowest value there is no row and nothing is explained
+    none = {c: F.lit(0.0) for c in ("b_sxx", "b_sxy", "b_ty")} | {c: F.lit(0).cast("bigint") for c in ("b_n",)}
+    lowest = rows.filter("b_values = 1").withColumns(none).withColumn("first", F.lit(0)).withColumn("last", F.least(cell("_x"), top))
+    return above.unionByName(lowest).filter("first <= last").drop("_next")
+
+
+def _gain(i: Column, step: float) -> Column:
+    """What candidate ``i`` of a gap explains of the sum of squares."""
+    t = F.col("lo") + i * F.lit(float(step)) - F.col("b_mx")
+    w = F.col("b_n") * (1 - F.col("b_n") / F.col("n"))
+    shh = F.col("b_sxx") + w * t * t
+    shy = F.col("b_ty") * t - F.col("b_sxy")
+    some = (F.col("b_n") > 0) & (shh > 1e-9)
+    line = F.when(some & (F.col("b_n") == F.col("n")), F.col("b_sxy") * F.col("b_sxy") / F.col("b_sxx"))
+    return line.when(some & (F.col("b_values") == 1), F.col("b_ty") * F.col("b_ty") / w).when(some, shy * shy / shh).otherwise(F.lit(0.0))
 
 
 def profile(
-    df: DataFrame, keys: Sequence[str], x: str, y: str, quantiles: tuple[float, float] = QUANTILES, step: float = STEP
+    df: DataFrame, keys: Sequence[str], x: str, y: str, quantiles: tuple[float, float] = QUANTILES, step: float = STEP, bounds: DataFrame | None = None
 ) -> DataFrame:
     """SSR of the kinked fit at every candidate threshold of every key."""
     rows = df.dropna(subset=[x, y])
-    bounds = grid(rows, keys, x, quantiles, step)
-    sums = _moments(_shifted(rows, keys, x, y, bounds, step), keys)
-    return _profile(sums.join(bounds, list(keys)), keys, step)
-
+    gaps = _gaps(rows, keys, x, y, grid(rows, keys, x, quantiles, step) if bounds is None else bounds, step)
+    each = gaps.select("*", F.explode(F.sequence("first", "last")).alias("i"))
+    ssr = F.col("syy") - _gain(F.col("i"), step)
+    return each.select(*keys, "i", (F.col("lo") + F.col("i") * F.lit(float(step))).alias("tau"), ssr.alias("ssr"), "n")
 
-def search(prof: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The candidate with the smallest SSR; the first one wins a tie.
 
-    Where one row lies below several candidates they all fit alike, so the
-    comparison is made on the share of the total, rounded past float noise.
-    """
-    best = F.min(F.struct("share", "i", "tau", "ssr"))
-    return prof.groupBy(*keys).agg(best.alias("_b"), F.max("n").alias("n"), F.min("tau").alias("grid_low"), F.max("tau").alias("grid_high")).select(
-        *keys, F.col("_b.tau").alias("tau"), F.col("_b.ssr").alias("ssr"), "n", "grid_low", "grid_high"
+def search(
+    df: DataFrame, keys: Sequence[str], x: str, y: str, quantiles: tuple[float, float] = QUANTILES, step: float = STEP, bounds: DataFrame | None = None
+) -> DataFrame:
+    """The candidate with the smallest SSR, the first of equals, from four candidates per gap."""
+    rows = df.dropna(subset=[x, y])
+    gaps = _gaps(rows, keys, x, y, grid(rows, keys, x, quantiles, step) if bounds is None else bounds, step)
+    w = F.col("b_n") * (1 - F.col("b_n") / F.col("n"))
+    turn = F.col("b_mx") - F.col("b_ty") * F.col("b_sxx") / F.nullif(w * F.col("b_sxy"), F.lit(0.0))
+    # held inside the gap before it becomes a whole number
+    near = F.floor(F.least(F.greatest((turn - F.col("lo")) / step, F.col("first").cast("double")), F.col("last").cast("double"))).cast("int")
+    tried = F.array("first", "last", F.coalesce(near, F.col("first")), F.least(F.coalesce(near, F.col("first")) + 1, F.col("last")))
+    each = gaps.select("*", F.explode(F.array_distinct(tried)).alias("i"))
+    best = F.min(F.struct((F.col("syy") - _gain(F.col("i"), step)).alias("ssr"), F.col("i")))
+    found = each.groupBy(*keys).agg(best.alias("_b"), F.max("n").alias("n"), F.max("lo").alias("grid_low"), F.max("cells").alias("cells"))
+    return found.select(
+        *keys, (F.col("grid_low") + F.col("_b.i") * F.lit(float(step))).alias("tau"), F.col("_b.ssr").alias("ssr"), "n", "grid_low",
+        (F.col("grid_low") + (F.col("cells") - 1) * F.lit(float(step))).alias("grid_high"),
     )
 
 
@@ -175,12 +166,14 @@ def bootstrap_draws(
 ) -> DataFrame:
     """The threshold of every moving-block resample, on the grid of the original sample.
 
-    One row is a period, so a key's series is as long as its calendar. A task gets the series and a
-    chunk of replicates and takes all their cell sums at once; no replicate is ever joined to rows.
+    One row is a period, so a key's series is as long as its calendar. A resample is how often each
+    row is taken, a whole number; a task gets the series and a chunk of replicates, walks once over
+    the values from the lowest and keeps the moments of all its replicates. No replicate is ever
+    joined to rows and no candidate is looked at but the four of a gap.
     """
-    rows = _shifted(df.dropna(subset=[x, y]), keys, x, y, bounds, step)
+    rows = df.dropna(subset=[x, y]).join(bounds, list(keys)).select(*keys, F.col(order), F.col(x).alias("_x"), F.col(y).alias("_y"), "lo", "cells")
     numbered = rows.withColumn("_pos", F.row_number().over(by(keys, order)) - 1)
-    numbered = numbered.select(*keys, "_pos", "_x", "_y", "_cell", "lo", "cells").join(blocks, list(keys))
+    numbered = numbered.select(*keys, "_pos", "_x", "_y", "lo", "cells").join(blocks, list(keys))
     chunks = F.sequence(F.lit(0), F.lit((replications - 1) // CHUNK))
     spread = numbered.withColumn("_chunk", F.explode(chunks))
     names = list(keys)
@@ -190,9 +183,9 @@ def bootstrap_draws(
         first = int(pdf["_chunk"].iloc[0]) * CHUNK
         rep = np.arange(first, min(first + CHUNK, replications))
         lo, cells = float(pdf["lo"].iloc[0]), int(pdf["cells"].iloc[0])
-        at = block_positions(len(pdf), int(pdf["block"].iloc[0]), rep, seed)
-        series = {c: pdf[c].to_numpy() for c in ("_x", "_y", "_cell")}
-        out = pd.DataFrame({"rep": rep, "tau": lo + step * best_cells(*(series[c][at] for c in ("_x", "_y", "_cell")), cells, step)})
+        taken = multiplicities(block_positions(len(pdf), int(pdf["block"].iloc[0]), rep, seed), len(pdf))
+        best = best_candidates(pdf["_x"].to_numpy(), pdf["_y"].to_numpy(), taken, lo, cells, step)
+        out = pd.DataFrame({"rep": rep, "tau": lo + step * best})
         for k in names:
             out[k] = pdf[k].iloc[0]
         return out
@@ -211,38 +204,65 @@ def block_positions(n: int, block: int, rep: np.ndarray, seed: int) -> np.ndarra
     return (start[:, :, None] + np.arange(block)).reshape(len(rep), -1)[:, :n]
 
 
-def best_cells(x: np.ndarray, y: np.ndarray, cell: np.ndarray, cells: int, step: float) -> np.ndarray:
-    """Index of the best candidate of every replicate (a row), the first one of equals."""
-    reps, n = x.shape
-    code = (np.arange(reps)[:, None] * (cells + 1) + np.minimum(cell, cells)).ravel()
-
-    def below(value: np.ndarray) -> np.ndarray:
-        sums = np.bincount(code, value.ravel(), reps * (cells + 1)).reshape(reps, cells + 1)
-        return np.cumsum(sums[:, :cells], axis=1)
-
-    tau = step * np.arange(cells)
-    n_, x_, xx, y_, xy = (below(v) for v in (np.ones_like(x), x, x * x, y, x * y))
-    ty, tyy = y.sum(axis=1, keepdims=True), (y * y).sum(axis=1, keepdims=True)
-    h1, hy = tau * n_ - x_, tau * y_ - xy
-    shh = tau * tau * n_ - 2 * tau * x_ + xx - h1 * h1 / n
-    shy = hy - h1 * ty / n
-    syy = tyy - ty * ty / n
-    gain = np.where(shh > 1e-9, shy * shy / np.where(shh > 1e-9, shh, 1), 0)
-    return np.round(1 - gain / np.where(syy == 0, 1, syy), 11).argmin(axis=1)
+def multiplicities(at: np.ndarray, n: int) -> np.ndarray:
+    """How often each replicate (a row) takes each of ``n`` positions."""
+    reps = len(at)
+    return np.bincount((np.arange(reps)[:, None] * n + at).ravel(), minlength=reps * n).reshape(reps, n)
+
+
+def best_candidates(x: np.ndarray, y: np.ndarray, taken: np.ndarray, lo: float, cells: int, step: float) -> np.ndarray:
+    """Index of the best candidate of every replicate, the first one of equals."""
+    order = np.argsort(x, kind="stable")
+    x, y, taken = x[order], y[order], taken[:, order].astype(float)
+    total = taken.sum(axis=1)
+    mean_y = taken @ y / total
+    n = np.zeros(len(taken))
+    mx, my, sxx, sxy = (np.zeros(len(taken)) for _ in range(4))
+    best, gain = np.zeros(len(taken), np.int64), np.zeros(len(taken))
+    for k in range(len(x)):
+        m = taken[:, k]
+        n += m
+        share = m / np.maximum(n, 1)
+        dx = x[k] - mx
+        mx = mx + share * dx
+        sxx += m * dx * (x[k] - mx)
+        dy = y[k] - my
+        my = my + share * dy
+        sxy += m * (x[k] - mx) * dy
+        if k + 1 < len(x) and x[k + 1] == x[k]:
+            continue
+        first = max(int(np.floor((x[k] - lo) / step)) + 1, 0)
+        last = cells - 1 if k + 1 == len(x) else min(int(np.floor((x[k + 1] - lo) / step)), cells - 1)
+        if first > last:
+            continue
+        w, ty = n * (1 - n / total), n * (my - mean_y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            turn = (mx - ty * sxx / (w * sxy) - lo) / step
+        near = np.floor(np.clip(np.where(np.isfinite(turn), turn, first), first, last)).astype(np.int64)
+        for i in (np.full(len(n), first), near, np.minimum(near + 1, last), np.full(len(n), last)):
+            t = lo + step * i - mx
+            shh, shy = sxx + w * t * t, ty * t - sxy
+            some = (n > 0) & (shh > 1e-9)
+            alike = some & (sxx == 0) & (w > 0)
+            own = np.where(alike, ty * ty / np.where(w > 0, w, 1), np.where(some, shy * shy / np.where(some, shh, 1), 0))
+            own = np.where(some & (n == total), sxy * sxy / np.where(sxx > 0, sxx, 1), own)
+            # candidates come in rising order, so an equal one later never wins
+            better = own > gain
+            best, gain = np.where(better, i, best), np.where(better, own, gain)
+    return best
 
 
 def verdict(
     df: DataFrame, keys: Sequence[str], order: str, x: str, y: str, replications: int = 2000, seed: int = 62,
-    max_width: float = 5.0, quantiles: tuple[float, float] = QUANTILES, step: float = STEP, max_lag: int | None = None, min_months: int = 24,
+    max_width: float = 10.0, quantiles: tuple[float, float] = QUANTILES, step: float = STEP, max_lag: int | None = None, min_months: int = 24,
 ) -> DataFrame:
     """Point, bootstrap interval, and whether the sample identifies a threshold at all.
 
     A sample of fewer than ``min_months`` periods identifies nothing, whatever its interval.
     """
     rows = df.dropna(subset=[x, y])
-    prof = profile(rows, keys, x, y, quantiles, step)
-    point = search(prof, keys)
     bounds = grid(rows, keys, x, quantiles, step)
+    point = search(rows, keys, x, y, quantiles, step, bounds)
     blocks = block_length(rows, keys, order, y, max_lag)
     draws = bootstrap_draws(rows, keys, order, x, y, blocks, bounds, replications, seed, step)
     interval = draws.groupBy(*keys).agg(F.percentile("tau", 0.025).alias("ci_low"), F.percentile("tau", 0.975).alias("ci_high"))
@@ -267,7 +287,7 @@ def verdict(
 
 def grid_sensitivity(
     df: DataFrame, keys: Sequence[str], order: str, x: str, y: str, sets: Mapping[str, tuple[float, float]],
-    replications: int, seed: int = 62, max_width: float = 5.0, step: float = STEP, max_lag: int | None = None,
+    replications: int, seed: int = 62, max_width: float = 10.0, step: float = STEP, max_lag: int | None = None,
 ) -> DataFrame:
     """The verdict under several grids; each quantile pair is a key of the same job."""
     rows = df.dropna(subset=[x, y]).withColumn("grid_set", F.explode(F.array(*[F.lit(s) for s in sets])))
@@ -278,8 +298,7 @@ def grid_sensitivity(
     bounds = ends.select(*k, pick_lo.alias("lo"), pick_hi.alias("hi")).filter(F.col("hi") > F.col("lo")).withColumn(
         "cells", F.floor((F.col("hi") - F.col("lo")) / step).cast("int") + 1
     )
-    sums = _moments(_shifted(rows, k, x, y, bounds, step), k).join(bounds, k)
-    point = search(_profile(sums, k, step), k)
+    point = search(rows, k, x, y, step=step, bounds=bounds)
     blocks = block_length(rows, k, order, y, max_lag)
     draws = bootstrap_draws(rows, k, order, x, y, blocks, bounds, replications, seed, step)
     interval = draws.groupBy(*k).agg(F.percentile("tau", 0.025).alias("ci_low"), F.percentile("tau", 0.975).alias("ci_high"))

@@ -65,13 +65,13 @@ def m05(v):
 
 
 @query("m06_threshold_mart", "region m:date margin_lag:num util:num below:bool in_run:bool", f"""
-    with s as (select s.*, tau from {q_regress.SCALED} s join {q_regress.POINT} p on p.region = s.region),
+    with s as (select s.*, tau from {q_regress.SAMPLE} s join {q_regress.POINT} p on p.region = s.region),
     il as (select region, m, year(m) * 12 + month(m) - row_number() over (partition by region order by m) g from s where margin_lag < tau),
     rn as (select region, min(m) a, max(m) b from il group by region, g qualify row_number() over (partition by region order by count(*) desc, min(m)) = 1)
     select s.region, m, margin_lag, util, margin_lag < tau below, coalesce(m between a and b, false) in_run from s left join rn on rn.region = s.region""")
 def m06(v):
-    rows = q_regress.scaled(v)
-    point = threshold.search(threshold.profile(rows, ["region"], "margin_lag", "util", step=q_regress.STEP), ["region"]).select("region", "tau")
+    rows = q_regress.sample(v)
+    point = threshold.search(rows, ["region"], "margin_lag", "util", step=q_regress.STEP).select("region", "tau")
     marked = rows.join(point, "region")
     below = F.col("margin_lag") < F.col("tau")
     run = longest_run(marked, ["region"], "m", below).select("region", F.col("first").alias("a"), F.col("last").alias("b"))

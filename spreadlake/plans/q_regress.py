@@ -200,61 +200,70 @@ def k10(v):
 
 STEP = 0.25
 
-# The margin in hundreds, so that the grid's step and the widest interval mean what they mean for a margin per barrel.
-SCALED = f"(select * replace (margin_lag / 100.0 as margin_lag) from {SAMPLE})"
+# The margin here is in money per order, about a hundred times a margin per barrel; so is the widest interval.
+MAX_WIDTH = 1000.0
 
 
-def scaled(v):
-    return sample(v).withColumn("margin_lag", F.col("margin_lag") / 100.0)
+def best_sql(rows: str, part: str) -> str:
+    """(part, tau) of the best of all candidates of rows (part, x, y, lo, cells), from the running moments of the rows below each."""
+    return f"""(with ru as (select {part}, x, lo, cells, lead(x) over (partition by {part} order by x) nx, count(*) over upto nb, avg(x) over upto mx,
+        count(*) over upto * var_pop(x) over upto sxx, count(*) over upto * covar_pop(y, x) over upto sxy, count(*) over upto * (avg(y) over upto - avg(y) over whole) ty,
+        dense_rank() over (partition by {part} order by x) vals, count(*) over whole n, count(*) over whole * var_pop(y) over whole syy
+      from {rows} window upto as (partition by {part} order by x range between unbounded preceding and current row), whole as (partition by {part})),
+    ga as (select *, greatest(floor((x - lo) / {STEP}) + 1, 0) a, least(coalesce(floor((nx - lo) / {STEP}), cells - 1), cells - 1) b from ru where nx is null or nx > x
+      union all select {part}, x, lo, cells, nx, 0, 0, 0, 0, 0, 1, n, syy, 0, least(floor((x - lo) / {STEP}), cells - 1) from ru where vals = 1 and (nx is null or nx > x)),
+    ea as (select *, unnest(range(cast(a as int), cast(b as int) + 1)) i from ga where a <= b),
+    sh as (select *, lo + i * {STEP} - mx t, nb * (1 - nb / n) w from ea),
+    gn as (select {part}, i, lo, case when nb = 0 or sxx + w * t * t <= 1e-9 then syy when nb = n then syy - sxy * sxy / sxx when vals = 1 then syy - ty * ty / w else syy - (ty * t - sxy) * (ty * t - sxy) / (sxx + w * t * t) end s from sh)
+    select {part}, max(lo) + min(struct_pack(s := s, i := i)).i * {STEP} tau from gn group by {part})"""
 
 
-GRID = f"""(select region, quantile_cont(margin_lag, 0.05) lo, cast(floor((quantile_cont(margin_lag, 0.95) - quantile_cont(margin_lag, 0.05)) / {STEP}) as int) + 1 cells from {SCALED} group by 1)"""
+GRID = f"""(select region, quantile_cont(margin_lag, 0.05) lo, cast(floor((quantile_cont(margin_lag, 0.95) - quantile_cont(margin_lag, 0.05)) / {STEP}) as int) + 1 cells from {SAMPLE} group by 1)"""
 TAUS = f"""(select region, lo, cells, i, lo + i * {STEP} tau from (select region, lo, cells, unnest(range(0, cells)) i from {GRID}))"""
 PROFILE = f"""(select region, i, tau, case when regr_sxx(y, h) > 1e-9 then regr_syy(y, h) * (1 - coalesce(regr_r2(y, h), 0)) else regr_syy(y, h) end ssr, count(*) n from (
-   select s.region, t.i, t.tau, s.util y, greatest(t.tau - s.margin_lag, 0) h from {SCALED} s join {TAUS} t on t.region = s.region) group by 1, 2, 3)"""
+   select s.region, t.i, t.tau, s.util y, greatest(t.tau - s.margin_lag, 0) h from {SAMPLE} s join {TAUS} t on t.region = s.region) group by 1, 2, 3)"""
 POINT = f"(select region, min_by(tau, i) tau, min(i) i from (select *, min(round(ssr, 7)) over (partition by region) best from {PROFILE}) where round(ssr, 7) = best group by 1)"
 
 
 @query("k11_hinge_at_fixed_threshold", "region level:num slope_below:num ssr:num4 r2:num months_below:int", f"""
-    with p as (select region, quantile_cont(margin_lag, 0.5) tau from {SCALED} group by 1),
-    h as (select s.region, util y, greatest(tau - margin_lag, 0) h, margin_lag < tau b from {SCALED} s join p on p.region = s.region)
+    with p as (select region, quantile_cont(margin_lag, 0.5) tau from {SAMPLE} group by 1),
+    h as (select s.region, util y, greatest(tau - margin_lag, 0) h, margin_lag < tau b from {SAMPLE} s join p on p.region = s.region)
     select region, regr_intercept(y, h) level, -regr_slope(y, h) slope_below, regr_syy(y, h) * (1 - regr_r2(y, h)) ssr, regr_r2(y, h) r2, count(*) filter (where b) months_below from h group by 1""")
 def k11(v):
-    rows = scaled(v)
+    rows = sample(v)
     point = rows.groupBy("region").agg(F.percentile("margin_lag", 0.5).alias("tau"))
     return threshold.kink_fit(rows, KEYS, "m", "margin_lag", "util", point)
 
 
 @query("k12_threshold_profile", "region i:int tau:num ssr:num4", f"select region, i, tau, ssr from {PROFILE}")
 def k12(v):
-    return threshold.profile(scaled(v), KEYS, "margin_lag", "util", step=STEP)
+    return threshold.profile(sample(v), KEYS, "margin_lag", "util", step=STEP)
 
 
 @query("k12_threshold_search", "region tau:num ssr:num4 n:int", f"""
     with p as (select * from {PROFILE}) select q.region, q.tau, p.ssr, p.n from {POINT} q join p on p.region = q.region and p.i = q.i""")
 def k12s(v):
-    return threshold.search(threshold.profile(scaled(v), KEYS, "margin_lag", "util", step=STEP), KEYS)
+    return threshold.search(sample(v), KEYS, "margin_lag", "util", step=STEP)
 
 
 REPS = 2000
-BLOCK = f"""(with c as (select region, m, util - avg(util) over (partition by region) x, row_number() over (partition by region order by m) rn from {SCALED}),
+BLOCK = f"""(with c as (select region, m, util - avg(util) over (partition by region) x, row_number() over (partition by region order by m) rn from {SAMPLE}),
     d as (select region, sum(x * x) ss, count(*) n from c group by 1),
     a as (select a.region, a.rn - b.rn as lag, sum(a.x * b.x) s from c a join c b on b.region = a.region and a.rn - b.rn between 1 and 36 group by 1, 2)
     select d.region, cast(coalesce(min(case when abs(s / ss) < 2 / sqrt(n) then lag end), max(greatest(1, least(floor(n / 4), 36)))) as int) as block, max(n) n from a join d on d.region = a.region where lag <= greatest(1, least(floor(n / 4), 36)) group by 1)"""
-DRAWS = f"""(with pos as (select region, row_number() over (partition by region order by m) - 1 p, util y, margin_lag x from {SCALED}),
+DRAWS = f"""(with pos as (select region, row_number() over (partition by region order by m) - 1 p, util y, margin_lag x from {SAMPLE}),
     bl as (select region, block as b, n from {BLOCK}),
     dr as (select region, b, n, rep, unnest(range(0, cast(ceil(n * 1.0 / b) as int))) j from (select region, b, n, unnest(range(0, {REPS})) rep from bl)),
     st as (select region, rep, j, b, n, ((((rep * 1103515245 + (j + 1) * 12345 + {62 * 69069}) % 2147483648 + (j + 1) * 40503) * 1103515245 + 12345) % 2147483648) // 256 % (n - b + 1) s from dr),
     tk as (select region, rep, unnest(range(s, s + least(b, n - j * b))) p from st),
     sm as (select tk.region, rep, x, y from tk join pos on pos.region = tk.region and pos.p = tk.p),
-    ss as (select sm.region, rep, t.i, t.tau, case when regr_sxx(y, greatest(t.tau - x, 0)) > 1e-9 then regr_syy(y, greatest(t.tau - x, 0)) * (1 - coalesce(regr_r2(y, greatest(t.tau - x, 0)), 0)) else regr_syy(y, greatest(t.tau - x, 0)) end ssr
-       from sm join {TAUS} t on t.region = sm.region group by 1, 2, 3, 4)
-    select region, rep, min_by(tau, i) tau from (select *, min(round(ssr, 7)) over (partition by region, rep) best from ss) where round(ssr, 7) = best group by 1, 2)"""
+    sg as (select sm.region, rep, x, y, lo, cells from sm join {GRID} g on g.region = sm.region)
+    select region, rep, tau from {best_sql("sg", "region, rep")})"""
 
 
 @query("k13_block_bootstrap_draws", "region rep:int tau:num", f"select region, rep, tau from {DRAWS}")
 def k13(v):
-    rows = scaled(v)
+    rows = sample(v)
     bounds = threshold.grid(rows, KEYS, "margin_lag", step=STEP)
     blocks = threshold.block_length(rows, KEYS, "m", "util")
     return threshold.bootstrap_draws(rows, KEYS, "m", "margin_lag", "util", blocks, bounds, REPS, step=STEP)
@@ -262,21 +271,21 @@ def k13(v):
 
 @query("k14_identification_verdict", "region tau:num ci_low:num ci_high:num identified:bool reasons months_below:int run_first:date run_last:date run_length:int mean_below:num mean_above:num block:int", f"""
     with pt as (select * from {POINT}), g as (select region, lo, lo + (cells - 1) * {STEP} hi from {GRID}), ci as (select region, quantile_cont(tau, 0.025) lo, quantile_cont(tau, 0.975) hi from {DRAWS} group by 1),
-    s as (select s.*, pt.tau from {SCALED} s join pt on pt.region = s.region),
+    s as (select s.*, pt.tau from {SAMPLE} s join pt on pt.region = s.region),
     sd as (select region, count(*) filter (where margin_lag < tau) months_below, avg(util) filter (where margin_lag < tau) mean_below, avg(util) filter (where margin_lag >= tau) mean_above from s group by 1),
     il as (select region, m, year(m) * 12 + month(m) - row_number() over (partition by region order by m) g from s where margin_lag < tau),
     rn as (select region, min(m) run_first, max(m) run_last, count(*) run_length from il group by region, g qualify row_number() over (partition by region order by count(*) desc, min(m)) = 1)
-    select pt.region, pt.tau, ci.lo ci_low, ci.hi ci_high, not (ci.hi - ci.lo > 5 or ci.lo <= g.lo + {STEP} or ci.hi >= g.hi - {STEP}) identified,
-      concat_ws(';', case when ci.hi - ci.lo > 5 then 'interval_too_wide' end, case when ci.lo <= g.lo + {STEP} then 'touches_lower_edge' end, case when ci.hi >= g.hi - {STEP} then 'touches_upper_edge' end) reasons,
+    select pt.region, pt.tau, ci.lo ci_low, ci.hi ci_high, not (ci.hi - ci.lo > {MAX_WIDTH} or ci.lo <= g.lo + {STEP} or ci.hi >= g.hi - {STEP}) identified,
+      concat_ws(';', case when ci.hi - ci.lo > {MAX_WIDTH} then 'interval_too_wide' end, case when ci.lo <= g.lo + {STEP} then 'touches_lower_edge' end, case when ci.hi >= g.hi - {STEP} then 'touches_upper_edge' end) reasons,
       months_below, run_first, run_last, run_length, mean_below, mean_above, bl.block
     from pt join g on g.region = pt.region join ci on ci.region = pt.region join sd on sd.region = pt.region left join rn on rn.region = pt.region join {BLOCK} bl on bl.region = pt.region""")
 def k14(v):
-    out = threshold.verdict(scaled(v), KEYS, "m", "margin_lag", "util", REPS, step=STEP)
+    out = threshold.verdict(sample(v), KEYS, "m", "margin_lag", "util", REPS, max_width=MAX_WIDTH, step=STEP)
     return out.withColumn("reasons", F.array_join("reasons", ";"))
 
 
 @query("k15_drop_refits", "variant region tau:num slope_below:num sign_flip:bool", f"""
-    with s0 as (select * from {SCALED}), pt0 as (select * from {POINT}), j as (select s0.*, pt0.tau t0 from s0 join pt0 on pt0.region = s0.region),
+    with s0 as (select * from {SAMPLE}), pt0 as (select * from {POINT}), j as (select s0.*, pt0.tau t0 from s0 join pt0 on pt0.region = s0.region),
     il as (select region, m, year(m) * 12 + month(m) - row_number() over (partition by region order by m) g from j where margin_lag < t0),
     rn as (select region, min(m) a, max(m) b from il group by region, g qualify row_number() over (partition by region order by count(*) desc, min(m)) = 1),
     s as (select 'all' variant, region, m, util y, margin_lag x from s0
@@ -295,8 +304,8 @@ def k15(v):
 def drop_refits(v):
     from spreadlake.operators.calendar_ops import longest_run
 
-    rows = panel.episode_flags(scaled(v), EPISODE_LIST)
-    point = threshold.search(threshold.profile(rows, KEYS, "margin_lag", "util", step=STEP), KEYS).select("region", F.col("tau").alias("tau0"))
+    rows = panel.episode_flags(sample(v), EPISODE_LIST)
+    point = threshold.search(rows, KEYS, "margin_lag", "util", step=STEP).select("region", F.col("tau").alias("tau0"))
     marked = rows.join(point, "region")
     run = longest_run(marked, KEYS, "m", F.col("margin_lag") < F.col("tau0")).select("region", F.col("first").alias("a"), F.col("last").alias("b"))
     marked = marked.join(run, "region", "left")
@@ -304,7 +313,7 @@ def drop_refits(v):
     sets = regress.variants(marked, {"all": F.lit(True), "no_episodes": F.col("any_episode") == 0, "no_longest_run": ~in_run})
     sets = cut_lineage(sets.select("variant", "region", "m", "util", "margin_lag"), "refits")
     k = ["variant", "region"]
-    best = threshold.search(threshold.profile(sets, k, "margin_lag", "util", step=STEP), k)
+    best = threshold.search(sets, k, "margin_lag", "util", step=STEP)
     fit = threshold.kink_fit(sets, k, "m", "margin_lag", "util", best)
     base = fit.filter("variant = 'all'").select("region", F.col("slope_below").alias("base"))
     return fit.join(base, "region").withColumn("sign_flip", F.signum("slope_below") != F.signum("base"))
@@ -317,37 +326,36 @@ SET_ROWS = " union all ".join(f"select region, '{g}' gs, q[{2 * i + 1}] lo, q[{2
 
 
 @query("k16_grid_sensitivity", "region grid_set grid_low:num grid_high:num tau:num ci_low:num ci_high:num too_wide:bool touches_edge:bool identified:bool", f"""
-    with sm0 as (select region, m, util y, margin_lag x, row_number() over (partition by region order by m) - 1 p from {SCALED}),
+    with sm0 as (select region, m, util y, margin_lag x, row_number() over (partition by region order by m) - 1 p from {SAMPLE}),
     qq as (select region, quantile_cont(x, [{SET_QUANTILES}]) q from sm0 group by 1), gg as ({SET_ROWS}),
     t as (select region, gs, i, lo + i * {STEP} tau from (select region, gs, lo, unnest(range(0, cast(floor((hi - lo) / {STEP}) as int) + 1)) i from gg where hi > lo)),
-    pf as (select s.region, gs, i, tau, case when regr_sxx(y, greatest(tau - x, 0)) > 1e-9 then round(regr_syy(y, greatest(tau - x, 0)) * (1 - coalesce(regr_r2(y, greatest(tau - x, 0)), 0)), 7) else round(regr_syy(y, greatest(tau - x, 0)), 7) end ssr
-      from sm0 s join t on t.region = s.region group by 1, 2, 3, 4),
-    pt as (select region, gs, tau from pf qualify row_number() over (partition by region, gs order by ssr, i) = 1),
+    ge as (select *, cast(floor((hi - lo) / {STEP}) as int) + 1 cells from gg where hi > lo),
+    pr as (select s.region, gs, x, y, lo, cells from sm0 s join ge on ge.region = s.region),
+    pt as (select * from {best_sql("pr", "region, gs")}),
     en as (select region, gs, min(tau) grid_low, max(tau) grid_high from t group by 1, 2),
     bl as (select region, block as b, n from {BLOCK}),
     dr as (select region, b, n, rep, unnest(range(0, cast(ceil(n * 1.0 / b) as int))) j from (select region, b, n, unnest(range(0, {SET_REPS})) rep from bl)),
     st as (select region, rep, j, b, n, ((((rep * 1103515245 + (j + 1) * 12345 + {62 * 69069}) % 2147483648 + (j + 1) * 40503) * 1103515245 + 12345) % 2147483648) // 256 % (n - b + 1) s from dr),
     tk as (select region, rep, unnest(range(s, s + least(b, n - j * b))) p from st),
     sm as (select tk.region, rep, x, y from tk join sm0 on sm0.region = tk.region and sm0.p = tk.p),
-    ss as (select sm.region, gs, rep, i, tau, case when regr_sxx(y, greatest(tau - x, 0)) > 1e-9 then round(regr_syy(y, greatest(tau - x, 0)) * (1 - coalesce(regr_r2(y, greatest(tau - x, 0)), 0)), 7) else round(regr_syy(y, greatest(tau - x, 0)), 7) end ssr
-      from sm join t on t.region = sm.region group by 1, 2, 3, 4, 5),
-    dw as (select region, gs, rep, tau from ss qualify row_number() over (partition by region, gs, rep order by ssr, i) = 1),
+    sg as (select sm.region, gs, rep, x, y, lo, cells from sm join ge on ge.region = sm.region),
+    dw as (select * from {best_sql("sg", "region, gs, rep")}),
     ci as (select region, gs, quantile_cont(tau, 0.025) ci_low, quantile_cont(tau, 0.975) ci_high from dw group by 1, 2)
-    select pt.region, pt.gs grid_set, grid_low, grid_high, tau, ci_low, ci_high, ci_high - ci_low > 5 too_wide,
+    select pt.region, pt.gs grid_set, grid_low, grid_high, tau, ci_low, ci_high, ci_high - ci_low > {MAX_WIDTH} too_wide,
       ci_low <= grid_low + {STEP} or ci_high >= grid_high - {STEP} touches_edge,
-      not (ci_high - ci_low > 5 or ci_low <= grid_low + {STEP} or ci_high >= grid_high - {STEP}) identified
+      not (ci_high - ci_low > {MAX_WIDTH} or ci_low <= grid_low + {STEP} or ci_high >= grid_high - {STEP}) identified
     from pt join en on en.region = pt.region and en.gs = pt.gs join ci on ci.region = pt.region and ci.gs = pt.gs""")
 def k16(v):
-    return threshold.grid_sensitivity(scaled(v), KEYS, "m", "margin_lag", "util", SETS, SET_REPS, step=STEP)
+    return threshold.grid_sensitivity(sample(v), KEYS, "m", "margin_lag", "util", SETS, SET_REPS, max_width=MAX_WIDTH, step=STEP)
 
 
 @query("k17_linear_versus_kink", "region linear_r2:num linear_ssr:num4 r2:num ssr:num4", f"""
-    with s as (select s.*, tau from {SCALED} s join {POINT} p on p.region = s.region)
+    with s as (select s.*, tau from {SAMPLE} s join {POINT} p on p.region = s.region)
     select region, regr_r2(util, margin_lag) linear_r2, regr_syy(util, margin_lag) * (1 - regr_r2(util, margin_lag)) linear_ssr,
       regr_r2(util, greatest(tau - margin_lag, 0)) r2, regr_syy(util, greatest(tau - margin_lag, 0)) * (1 - regr_r2(util, greatest(tau - margin_lag, 0))) ssr from s group by 1""")
 def k17(v):
-    rows = scaled(v)
-    best = threshold.search(threshold.profile(rows, KEYS, "margin_lag", "util", step=STEP), KEYS)
+    rows = sample(v)
+    best = threshold.search(rows, KEYS, "margin_lag", "util", step=STEP)
     return threshold.kink_fit(rows, KEYS, "m", "margin_lag", "util", best)
 
 

@@ -115,7 +115,7 @@ def test_profile_matches_brute_force(spark):
     assert len(got) == len(grid)
     assert np.allclose([r.ssr for r in got], want, rtol=1e-9)
     assert np.allclose([r.tau for r in got], grid)
-    assert threshold.search(threshold.profile(df, ["key"], "x", "y"), ["key"]).first().tau == pytest.approx(grid[int(np.argmin(want))])
+    assert threshold.search(df, ["key"], "x", "y").first().tau == pytest.approx(grid[int(np.argmin(want))])
 
 
 def test_planted_kink_is_identified_and_noise_is_not(spark):
@@ -160,3 +160,21 @@ def test_bootstrap_is_reproducible(spark):
         return sorted((r.rep, round(r.tau, 9)) for r in d.collect())
 
     assert run(df) == run(df.repartition(7))
+
+
+def test_four_candidates_a_gap_find_what_the_whole_profile_holds(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for key in range(12):
+        x = np.round(rng.normal(scale=40, size=70), 0 if key % 2 else 3)
+        y = rng.normal(size=70) - (0.02 * key) * np.maximum(rng.normal(scale=20) - x, 0)
+        rows += [(str(key), m, float(p), float(q)) for m, p, q in zip(months(70), x, y)]
+    df = spark.createDataFrame(rows, "key string, m date, x double, y double")
+    for quantiles in ((0.05, 0.95), (0.0, 1.0)):
+        prof = threshold.profile(df, ["key"], "x", "y", quantiles, 0.05).toPandas()
+        found = {r.key: r for r in threshold.search(df, ["key"], "x", "y", quantiles, 0.05).collect()}
+        for key, own in prof.sort_values("i").groupby("key"):
+            assert list(own["i"]) == list(range(len(own)))
+            best = own["ssr"].min()
+            assert found[key].ssr == pytest.approx(best, rel=1e-12)
+            assert found[key].tau == pytest.approx(own.loc[own["ssr"] <= best * (1 + 1e-14), "tau"].iloc[0])
