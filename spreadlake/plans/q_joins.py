@@ -140,6 +140,37 @@ def d12(v):
     return rows.groupBy("event_id", "product").agg(F.count("*").alias("n"), F.avg("price").alias("mean_price"))
 
 
+TABLE_WINDOW = """(select event_id, region, day, o as "offset", cast(date_trunc('month', day) + to_months(cast(o as int)) as date) m from event_table, range(-6, 7) t(o))"""
+
+
+@query("d11_event_table_windows", "region event_id:int offset:int m:date util:num margin:num", f"""
+    select w.region, w.event_id, w."offset", w.m, p.util, g.margin from (select * from {TABLE_WINDOW} where region in (select region from panel)) w
+    left join panel p on p.region = w.region and p.m = w.m left join margins g on g.m = w.m""")
+def d11t(v):
+    rows = v.stored_panel
+    series = {"util": rows.select("region", "m", F.col("util").alias("value")), "margin": v.margins.select("m", F.col("margin").alias("value"))}
+    return events.panels(rows, ["region"], v.event_table, series)
+
+
+@query("d12_totals_in_event_table_windows", "region event_id:int product n:int mean_price:num", f"""
+    select e.region, e.event_id, q.product, sum(q.n) n, sum(q.s) / sum(q.n) mean_price from {TABLE_WINDOW} e
+    join (select product, cast(date_trunc('month', date) as date) m, count(*) n, sum(price) s from quotes group by 1, 2) q on q.m = e.m group by 1, 2, 3""")
+def d12t(v):
+    out = events.window_totals(v.quotes, [], "date", "price", v.event_table.withColumn("event_id", F.struct("event_id", "region")), by=["product"])
+    return out.select("event_id.region", "event_id.event_id", "product", "n", F.col("mean").alias("mean_price"))
+
+
+@query("d12_rows_near_table_events", "instrument:int event_id n:int mean_log_price:num first:date last:date", """
+    select e.instrument, e.event_id, count(*) n, avg(ln(q.price)) mean_log_price, min(q.date) first, max(q.date) last
+    from returns e join quotes q on q.instrument = e.instrument and q.date between e.day - interval 45 day and e.day + interval 45 day group by 1, 2""")
+def d12n(v):
+    spans = v.returns.withColumn("_from", F.date_sub("day", 45)).withColumn("_to", F.date_add("day", 45))
+    rows = events.interval_join(v.quotes, spans, ["instrument"], "date", "_from", "_to")
+    return rows.groupBy("instrument", "event_id").agg(
+        F.count("*").alias("n"), F.avg(F.ln("price")).alias("mean_log_price"), F.min("date").alias("first"), F.max("date").alias("last")
+    )
+
+
 @query("d13_spec_dimension_lookup", "product unit n:int", "select q.product, f.unit, count(*) n from quotes q left join factors f on f.product = q.product group by 1, 2")
 def d13(v):
     counts = v.quotes.groupBy("product").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from spreadlake.operators import events, margin, panel, regress, threshold
 from spreadlake.operators.calendar_ops import longest_run
 from spreadlake.plans import q_margin, q_quality, q_regress
-from spreadlake.plans.q_joins import EVENT_ROWS
+from spreadlake.plans.q_joins import EVENT_ROWS, TABLE_WINDOW
 from spreadlake.plans.registry import REGISTRY, query
 
 WIN = """(select event_id, day, o as "offset", cast(date_trunc('month', day) + to_months(cast(o as int)) as date) m from event_dim, range(-6, 7) t(o))"""
@@ -24,6 +24,36 @@ def m01(v):
     return out.withColumn("provisional", flag)
 
 
+@query("m01_event_table_panels", "region event_id:int offset:int m:date util:num provisional", f"""
+    select w.region, w.event_id, w."offset", w.m, p.util, case when p.util is not null then cast(w.m >= date '2001-06-01' as varchar) end provisional
+    from (select * from {TABLE_WINDOW} where region in (select region from panel)) w left join panel p on p.region = w.region and p.m = w.m""")
+def m01t(v):
+    rows = v.stored_panel
+    out = events.panels(rows, ["region"], v.event_table, {"util": rows.select("region", "m", F.col("util").alias("value"))})
+    flag = F.when(F.col("util").isNotNull(), (F.col("m") >= F.lit("2001-06-01").cast("date")).cast("string"))
+    return out.withColumn("provisional", flag)
+
+
+@query("m02_event_table_coverage", "region event_id:int present:int before_start:int after_end:int future:int hole:int", f"""
+    with h as (select region, m, util from panel where util is not null and month(m) <> 9), sp as (select region, min(m) a, max(m) b from h group by 1),
+    j as (select w.region, w.event_id, w.m, a, b, h.util v from {TABLE_WINDOW} w join sp on sp.region = w.region left join h on h.region = w.region and h.m = w.m)
+    select region, event_id, count(v) present, count(*) filter (where v is null and m < a) before_start,
+      count(*) filter (where v is null and m > b and m <= date '2001-12-01') after_end, count(*) filter (where v is null and m > b and m > date '2001-12-01') future,
+      count(*) filter (where v is null and m between a and b) hole from j group by 1, 2""")
+def m02t(v):
+    s = v.stored_panel.filter(F.month("m") != 9).select("region", "m", F.col("util").alias("value"))
+    return events.coverage(s, ["region"], v.event_table, "2001-12-01")
+
+
+@query("m03_event_table_ranges", "region event_id:int range_start:date range_end:date", """
+    with s as (select region, min(m) a, max(m) b from panel where util is not null group by 1)
+    select e.region, event_id, greatest(date_trunc('month', day) - interval 6 month, a) range_start, least(date_trunc('month', day) + interval 12 month - interval 1 day, b) range_end
+    from s join event_table e on e.region = s.region""")
+def m03t(v):
+    spans = v.stored_panel.filter("util is not null").groupBy("region").agg(F.min("m").alias("first"), F.max("m").alias("last"))
+    return events.named_ranges(spans, v.event_table)
+
+
 @query("m02_event_coverage", "product event_id present:int before_start:int after_end:int future:int hole:int", f"""
     with h as (select product, m, spread from spreads where spread is not null and not (product = 'LARGE' and month(m) = 9)), sp as (select product, min(m) a, max(m) b from h group by 1),
     j as (select sp.product, w.event_id, w.m, a, b, h.spread v from sp, {WIN} w left join h on h.product = sp.product and h.m = w.m)

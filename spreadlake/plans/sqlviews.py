@@ -64,6 +64,15 @@ VIEWS = {
         from events group by 1, 2""",
     "yields": f"select * from (values {YIELDS}) t({YIELD_COLUMNS})",
     "event_dim": f"select event_id, cast(day as date) as day, date_precision, kind, source_url from (values {EVENTS}) t({EVENT_COLUMNS})",
+    "event_table": """
+        select o.o_orderkey event_id, r.r_name region, cast(o.o_orderdate as date) as day
+        from orders o join customer c on c.c_custkey = o.o_custkey
+             join nation n on n.n_nationkey = c.c_nationkey
+             join region r on r.r_regionkey = n.n_regionkey
+        where o.o_orderpriority = '1-URGENT'""",
+    "returns": """
+        select l_orderkey || '-' || l_linenumber event_id, l_partkey instrument, cast(l_shipdate as date) as day
+        from lineitem where l_returnflag = 'R'""",
     "episodes": f"select episode, cast(start as date) as start from (values {EPISODES}) t({EPISODE_COLUMNS})",
     "factors": f"select * from (values {FACTORS}) t({FACTOR_COLUMNS})",
     # spread of each product over the STANDARD benchmark leg, thin months missing

@@ -144,6 +144,20 @@ class Views:
     def event_dim(self) -> DataFrame:
         return self.values(sqlviews.EVENTS, sqlviews.EVENT_COLUMNS).withColumn("day", F.to_date("day"))
 
+    @cached_property
+    def event_table(self) -> DataFrame:
+        """Urgent orders as events of their region: as many as the orders give."""
+        return self.orders_by_area.filter("o_orderpriority = '1-URGENT'").select(
+            F.col("o_orderkey").alias("event_id"), "region", F.to_date("o_orderdate").alias("day")
+        )
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        """Returned lines as events of their instrument."""
+        return self.table("lineitem").filter("l_returnflag = 'R'").select(
+            F.concat_ws("-", "l_orderkey", "l_linenumber").alias("event_id"), F.col("l_partkey").alias("instrument"), F.to_date("l_shipdate").alias("day")
+        )
+
     @cached_property
     def episodes(self) -> DataFrame:
         return self.values(sqlviews.EPISODES, sqlviews.EPISODE_COLUMNS).withColumn(
