@@ -273,6 +273,37 @@ def a09_issue(v):
     return pages.groupBy("issue").agg(F.count("*").alias("n"))
 
 
+@query("a09_document_rows", "source lines:int rows:int blank:int no_label:int number_inside:int no_number:int", r"""
+    with l as (select source, list_filter(regexp_split_to_array(unnest(string_split(text, chr(10))), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') t from documents where text is not null),
+    n as (select source, t, list_transform(t, lambda x: regexp_matches(x, '^[+\-\x{2010}-\x{2015}\x{2212}]?[0-9]+(\.[0-9]+)?R?$')) f from l),
+    k as (select source, case when len(t) = 0 then 'blank' when not list_contains(f, false) then 'no_label' when f[-1] then 'row' when list_contains(f, true) then 'number_inside' else 'no_number' end kind from n)
+    select source, count(*) as lines, count(*) filter (where kind = 'row') as rows, count(*) filter (where kind = 'blank') blank, count(*) filter (where kind = 'no_label') no_label,
+      count(*) filter (where kind = 'number_inside') number_inside, count(*) filter (where kind = 'no_number') no_number from k group by 1""")
+def a09_documents(v):
+    boxed = v.table("documents").select(F.struct("doc_id", "source").alias("doc"), "text")
+    lines = corpus.printed_lines(boxed, "doc", "text")
+    return lines.groupBy(F.col("doc.source").alias("source")).agg(
+        F.count("*").alias("lines"), F.count_if(F.col("kind") == "row").alias("rows"),
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("blank", "no_label", "number_inside", "no_number")],
+    )
+
+
+@query("a09_page_rows", "page_id:int row:int kind label cells:int first_cell last_cell", r"""
+    with c as (select page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', ' ', 'g') h from pages),
+    r as (select page_id, x, i - 1 as "row" from (select page_id, regexp_extract_all(h, '(?is)<ul\b[^>]*>(.*?)</ul>', 1) e from c), unnest(e) with ordinality u(x, i)),
+    t as (select page_id, "row", list_transform(regexp_extract_all(x, '(?is)<li\b[^>]*>(.*?)</li>', 1), lambda y: trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+        regexp_replace(y, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&#160;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&minus;', '-'), '&ndash;', '-'), '&amp;', '&'), '\s+', ' ', 'g'))) t from r),
+    n as (select *, coalesce(list_max(list_transform(t, lambda y, k: case when regexp_matches(replace(replace(y, ' ', ''), ',', ''), '^[+-]?[0-9]*\.?[0-9]+$') then 0 else k end)), 0) cut from t)
+    select page_id, "row", case when len(t) = 0 then 'no_cells' when cut = 0 then 'no_label' when cut = len(t) then 'no_number' else 'row' end kind,
+      array_to_string(t[1:cut], ' ') as label, len(t) as cells, t[1] first_cell, t[-1] last_cell from n""")
+def a09_pages(v):
+    rows = corpus.html_rows(v.table("pages"), "page_id", "html", rows=("ul", "ol", "tr"), cells=("li", "td", "th"))
+    return rows.select(
+        "page_id", "row", "kind", "label", F.size("cells").alias("cells"), F.get("cells", F.lit(0)).alias("first_cell"),
+        F.try_element_at("cells", F.lit(-1)).alias("last_cell"),
+    )
+
+
 @query("a10_idempotent_publish", "m:date margin:num bench:num first_write:bool second_write:bool", """
     select m, margin, bench, true first_write, false second_write from margins""")
 def a10(v):

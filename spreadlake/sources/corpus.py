@@ -59,13 +59,28 @@ def rank_captures(
     ).drop("_alt")
 
 
+def printed_lines(docs: DataFrame, doc: str, body: str) -> DataFrame:
+    """Every line of every text with what it is: ``row``, or why it is none.
+
+    A row has a label and numbers behind it. ``blank`` has nothing, ``no_label`` numbers only,
+    ``number_inside`` numbers before its last word only and ``no_number`` none at all.
+    """
+    lines = docs.select(doc, F.posexplode(F.split(body, "\n")).alias("line", "_line"))
+    tokens = lines.select(doc, "line", text.row_tokens("_line").alias("_t"))
+    cut = tokens.withColumn("_cut", text.label_length(F.col("_t")))
+    kind = (
+        F.when(F.size("_t") == 0, "blank").when(F.col("_cut") == 0, "no_label").when(F.col("_cut") < F.size("_t"), "row")
+        .when(F.exists("_t", lambda t: t.rlike(text.NUMBER_TOKEN)), "number_inside").otherwise("no_number")
+    )
+    return cut.withColumn("kind", kind)
+
+
 def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
     """Printed rows of every text: line number, label, folded key and numeric tokens."""
-    lines = docs.select(doc, F.posexplode(F.split(body, "\n")).alias("line", "_line"))
     # only a line that ends in a digit or a revision mark can hold a row
-    likely = lines.filter(F.col("_line").rlike(r"[0-9]R?\s*$"))
-    tokens = likely.select(doc, "line", text.row_tokens("_line").alias("_t"))
-    cut = tokens.withColumn("_cut", text.label_length(F.col("_t"))).filter((F.col("_cut") > 0) & (F.col("_cut") < F.size("_t")))
+    likely = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[0-9]R?\s*$"))
+    some = docs.filter(F.size(likely) > 0)
+    cut = printed_lines(some, doc, body).filter("kind = 'row'")
     numbers = F.slice("_t", F.col("_cut") + 1, F.size("_t") - F.col("_cut"))
     label = F.array_join(F.slice("_t", F.lit(1), F.col("_cut")), " ")
     return cut.select(
@@ -75,6 +90,48 @@ def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
     )
 
 
+def html_rows(
+    pages: DataFrame, page: str, html: str, rows: Sequence[str] = ("tr",), cells: Sequence[str] = ("td", "th")
+) -> DataFrame:
+    """Every table row of every page with its cells, or why it holds no figures.
+
+    ``rows`` and ``cells`` name the tags; lists are rows of ``li``. Comments, scripts and styles are
+    taken out first, a tag left open ends where the next one of its kind begins. A cell is its text
+    with tags out, the common entities decoded and white space folded. ``label`` joins the cells up to
+    the last that is no number, ``values`` are the numbers behind it. ``kind`` is ``row``, or
+    ``no_cells``, ``no_label`` or ``no_number``.
+    """
+    clean = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
+
+    def inside(source: Column, tags: Sequence[str], stop: str) -> Column:
+        names = "|".join(tags)
+        return F.regexp_extract_all(source, F.lit(rf"(?is)<(?:{names})\b[^>]*>(.*?)(?=</?(?:{names}{stop})\b|\z)"), F.lit(1))
+
+    found = pages.select(page, F.posexplode(inside(clean, rows, "|table")).alias("row", "_row"))
+    texts = F.transform(inside(F.col("_row"), cells, ""), cell_text)
+    found = found.select(page, "row", texts.alias("cells"))
+    numbers = F.transform("cells", lambda c: text.parse_number(c))
+    cut = F.coalesce(F.array_max(F.transform(numbers, lambda v, i: F.when(v.isNull(), i + 1).otherwise(0))), F.lit(0))
+    tail = F.slice(numbers, cut + 1, F.greatest(F.size("cells") - cut, F.lit(0)))
+    kind = (
+        F.when(F.size("cells") == 0, "no_cells").when(cut == 0, "no_label").when(cut == F.size("cells"), "no_number").otherwise("row")
+    )
+    label = F.array_join(F.slice("cells", F.lit(1), cut), " ")
+    return found.select(page, "row", "cells", label.alias("label"), tail.alias("values"), kind.alias("kind"))
+
+
+# The entities that pages print most, as HTML defines them.
+ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&minus;", "-"), ("&ndash;", "-"), ("&amp;", "&"))
+
+
+def cell_text(cell: Column) -> Column:
+    """The text of a cell: tags out, entities decoded (``&amp;`` last), white space folded."""
+    out = F.regexp_replace(cell, r"(?s)<[^>]*>", " ")
+    for name, sign in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+
 def slot_rows(rows: DataFrame, slots: DataFrame) -> DataFrame:
     """Rows whose folded label names a slot of the literal label dimension."""
     return rows.join(F.broadcast(slots), "label_key")
