@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spreadlake.functions.frames import by, keyed, unkeyed
 from spreadlake.functions.numeric import ratio, strict_sum
@@ -12,51 +12,60 @@ from spreadlake.operators.calendar_ops import densify
 from spreadlake.session import cut_lineage, stored_dimension
 
 
-#: Distinct values that one task may have to order.
+#: Distinct values of one bucket that a task may have to order.
 SLICE_VALUES = 50_000
 
+#: Parts a bucket is cut into when it holds more.
+PARTS = 4096
+
+
+def _octave(v: Column) -> Column:
+    """Sign and power of two of a double as one rising number; NaN is the largest, as it is in an order."""
+    power = F.least(F.greatest(F.floor(F.log2(F.abs(v))), F.lit(-1075)), F.lit(1024)) + 1100
+    return F.when(F.isnan(v), 5000).when(v == 0, 0).otherwise(F.signum(v) * power).cast("int")
+
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], slices: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], slice_values: int = SLICE_VALUES
 ) -> DataFrame:
     """Interpolated quantiles per key, exact, without holding a group in one task.
 
-    Equal values are counted first, in the one pass over the rows, and the counts are stored. An
-    approximate sketch only chooses cut
-    points that slice each key's value range into about equal parts; counts per
-    slice locate the slice that holds each wanted rank, and only those slices
-    are ordered. Slices grow with the distinct values of the largest key, about ``SLICE_VALUES``
-    to one, so that what one task orders does not.
+    Equal values are counted first, in the one pass over the rows, and the counts are stored. A
+    histogram by sign and power of two, which partial counts merge into, tells in which bucket each
+    wanted rank lies; only those buckets go on. One that holds more than ``slice_values`` distinct
+    values is cut into ``PARTS`` equal parts between its ends and looked at again; a power of two has
+    2**52 doubles, so that ends after five rounds at most. The values of the last buckets are ordered.
+    A row costs one number per round, however many values or buckets there are.
     """
     df, k = keyed(df.filter(F.col(value).isNotNull()), keys)
     counts = df.groupBy(*k, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    counts = cut_lineage(counts, "quantile-counts")
-    if slices is None:
-        largest = counts.groupBy(*k).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-        slices = max(64, -(-largest // SLICE_VALUES))
-    grid = [i / slices for i in range(1, slices)]
-    cuts = counts.groupBy(*k).agg(
-        F.sum("_c").alias("_n"), F.percentile_approx("_v", grid, max(1000, 20 * slices)).alias("_cuts")
-    )
-    tagged = counts.join(cuts, k).withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < F.col("_v"))))
-    per_slice = tagged.groupBy(*k, "_slice").agg(F.sum("_c").alias("_sc"), F.max("_n").alias("_n"))
-    start = F.coalesce(F.sum("_sc").over(by(k, "_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    located = per_slice.withColumn("_start", start)
-    # every wanted quantile needs the two ranks around its position
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("_q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos")) for name, q in quantiles.items()]
+    rows = cut_lineage(counts, "quantile-counts").withColumn("_at", F.lit(0).cast("bigint")).withColumn("_b", _octave(F.col("_v")))
+    first = rows.groupBy(*k, "_at", "_b").agg(
+        F.sum("_c").alias("_sc"), F.count("*").alias("_values"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
-    ranks = located.select(*k, "_slice", "_start", "_sc", F.inline(wanted)).withColumn(
+    hist = cut_lineage(first, "quantile-octaves")
+    # every wanted quantile needs the two ranks around its position
+    wanted = F.array(*[F.struct(F.lit(name).alias("_q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos")) for name, q in quantiles.items()])
+    ranks = hist.groupBy(*k).agg(F.sum("_sc").alias("_n")).select(*k, F.inline(wanted)).withColumn(
         "_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos"))))
-    ).filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_sc")))
-    rows = tagged.join(ranks.select(*k, "_slice", "_start").distinct(), [*k, "_slice"])
-    w = by([*k, "_slice"], "_v").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = rows.withColumn("_end", F.col("_start") + F.sum("_c").over(w)).select(
-        *k, "_slice", "_v", "_end", (F.col("_end") - F.col("_c")).alias("_from")
-    )
-    hit = ranks.join(ordered, [*k, "_slice"]).filter(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_end"))
     )
+    for step in range(1, 8):
+        before = by([*k, "_at"], "_b").rowsBetween(Window.unboundedPreceding, -1)
+        located = hist.withColumn("_start", F.col("_at") + F.coalesce(F.sum("_sc").over(before), F.lit(0)))
+        held = located.join(ranks.select(*k, "_rank"), k).filter(F.col("_rank").between(F.col("_start"), F.col("_start") + F.col("_sc") - 1))
+        active = cut_lineage(held.drop("_rank", "_sc").distinct(), f"quantile-active-{step}")
+        most = active.agg(F.max("_values")).first()[0] or 0
+        rows = rows.select(*k, "_v", "_c", "_at", "_b").join(active, [*k, "_at", "_b"]).drop("_at", "_b").withColumnRenamed("_start", "_at")
+        if most <= slice_values:
+            break
+        part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * PARTS).cast("int")
+        rows = cut_lineage(rows.withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), part).otherwise(F.lit(0))), f"quantile-rows-{step}")
+        hist = rows.groupBy(*k, "_at", "_b").agg(
+            F.sum("_c").alias("_sc"), F.count("*").alias("_values"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        )
+    w = by([*k, "_at"], "_v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = rows.withColumn("_end", F.col("_at") + F.sum("_c").over(w)).select(*k, "_v", "_end", (F.col("_end") - F.col("_c")).alias("_from"))
+    hit = ordered.join(ranks, k).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_end")))
     share = F.col("_pos") - F.floor("_pos")
     weight = F.when(F.floor("_pos") == F.ceil("_pos"), F.lit(1.0)).when(
         F.col("_rank") == F.floor("_pos"), 1 - share

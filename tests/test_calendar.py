@@ -57,12 +57,18 @@ def test_gap_clusters_match_brute_force(spark):
 
 def test_exact_quantiles_with_one_hot_key(spark):
     rng = np.random.default_rng(3)
-    data = {"hot": np.round(rng.normal(size=3000), 2), "cold": rng.normal(size=7), "one": np.array([4.0])}
+    data = {"hot": np.round(rng.normal(size=3000), 2), "cold": rng.normal(size=7), "one": np.array([4.0]),
+            "wide": np.concatenate(([0.0, -1e300, 1e300, 5e-324], rng.normal(size=900) * 1e-9, 3 + rng.normal(size=900) * 1e-12))}
     df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v], "k string, x double")
     qs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.975, "e": 1.0}
-    for r in aggregates.exact_quantiles(df, ["k"], "x", qs, slices=8).collect():
-        for name, q in qs.items():
-            assert abs(r[name] - np.quantile(data[r.k], q)) < 1e-12
+    for most in (5, 10**6):
+        got = aggregates.exact_quantiles(df, ["k"], "x", qs, slice_values=most).collect()
+        assert len(got) == len(data)
+        for r in got:
+            for name, q in qs.items():
+                want = np.quantile(data[r.k], q)
+                assert abs(r[name] - want) <= 1e-12 * max(1, abs(want))
+    assert aggregates.exact_quantiles(df.filter("false"), ["k"], "x", qs).count() == 0
 
 
 def test_percentile_counts_itself_and_skips_missing(spark):
