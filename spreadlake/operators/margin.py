@@ -272,6 +272,25 @@ def waterfall(df: DataFrame, keys: Sequence[str], name: str, contribution: str)
     )
 
 
+def incomplete_slates(df: DataFrame, keys: Sequence[str], name: str, contribution: str, products: Sequence[str]) -> DataFrame:
+    """Periods whose declared slate lacks a contribution: how many legs there are and which are ``missing``."""
+    legs = F.array_sort(F.collect_set(F.when(F.col(contribution).isNotNull() & F.col(name).isin(*products), F.col(name))))
+    declared = F.array(*[F.lit(p) for p in sorted(products)])
+    found = df.groupBy(*keys).agg(legs.alias("_legs"))
+    out = found.select(*keys, F.size("_legs").alias("legs"), F.array_except(declared, F.col("_legs")).alias("missing"))
+    return out.filter(F.size("missing") > 0)
+
+
+def complete_slates(df: DataFrame, keys: Sequence[str], name: str, contribution: str, products: Sequence[str]) -> DataFrame:
+    """Rows of the declared slate in periods where all of it is there.
+
+    A waterfall over part of a slate would show the missing leg as unexplained; there is none for such
+    a period, and ``incomplete_slates`` says why.
+    """
+    own = df.filter(F.col(name).isin(*products))
+    return own.join(incomplete_slates(own, keys, name, contribution, products).select(*keys), list(keys), "left_anti")
+
+
 #: name -> (column, edit) applied to the wide inputs of one entity and period
 Edit = Mapping[str, Column]
 

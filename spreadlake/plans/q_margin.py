@@ -304,20 +304,35 @@ def j16(v):
     )
 
 
-@query("j17_waterfall_table", "m:date step:int label start:num end_:num", f"""
-    with c as (select m, product, c from {SLATE} where c is not null),
+WATERFALL = f"""(with s as (select m, product, c, count(c) over (partition by m) k from {SLATE}),
+    c as (select m, product, c from s where k = 5),
     p as (select m, row_number() over w step, product as label, sum(c) over w - c start, sum(c) over w end_ from c window w as (partition by m order by c desc, product rows unbounded preceding)),
     t as (select m, max(step) n, max_by(end_, step) total from p group by 1), o as (select o.m, official, (0.21217 - 0.12) * bench / 100 wedge from {OFFICIAL} o join margins g on g.m = o.m)
-    select * from p union all select t.m, n + 1, 'residual', total, official from t join o on o.m = t.m
+    select m, step, label, start, end_ from p union all select t.m, n + 1, 'residual', total, official from t join o on o.m = t.m
     union all select t.m, n + 2, 'official', 0, official from t join o on o.m = t.m
     union all select t.m, n + 3, 'wedge', official, official - wedge from t join o on o.m = t.m
-    union all select t.m, n + 4, 'repriced', 0, official - wedge from t join o on o.m = t.m""")
+    union all select t.m, n + 4, 'repriced', 0, official - wedge from t join o on o.m = t.m)"""
+
+
+@query("j17_waterfall_table", "m:date step:int label start:num end_:num", f"select * from {WATERFALL}")
 def j17(v):
     return waterfall_table(v)
 
 
+@query("j17_waterfall_refusals", "m:date legs:int missing", f"""
+    with a as (select m, y.product from (select distinct m from spreads) d, yields y)
+    select a.m, count(s.c) legs, string_agg(case when s.c is null then a.product end, ';' order by a.product) missing
+    from a left join {SLATE} s on s.m = a.m and s.product = a.product group by 1 having count(s.c) < 5""")
+def j17_refusals(v):
+    return margin.incomplete_slates(priced(v), ["m"], "product", "c", PRODUCTS).withColumn("missing", F.array_join("missing", ";"))
+
+
+def priced(v):
+    return slate(v).withColumn("c", F.col("yield") * F.col("spread"))
+
+
 def waterfall_table(v):
-    rows = slate(v).withColumn("c", F.col("yield") * F.col("spread")).filter("c is not null")
+    rows = margin.complete_slates(priced(v), ["m"], "product", "c", PRODUCTS)
     steps = margin.waterfall(rows, ["m"], "product", "c")
     total = steps.groupBy("m").agg(F.max("step").alias("n"), F.max_by("end", "step").alias("total"))
     tail = total.join(official(v).join(v.margins.select("m", "bench"), "m"), "m").withColumn("wedge", F.col("bench") / 100 * (0.21217 - 0.12))

@@ -113,3 +113,14 @@ def test_printed_rows_keep_numbers_of_the_label(spark):
 def test_french_dates(spark):
     df = spark.createDataFrame([("4-sept.-26",), ("31-févr.-26",), ("sept",)], "c string")
     assert [r.d for r in df.select(text.french_date("c").alias("d")).collect()] == [date(2026, 9, 4), None, None]
+
+
+def test_no_waterfall_over_part_of_a_slate(spark):
+    from spreadlake.operators import margin
+
+    rows = [(1, "a", 2.0), (1, "b", 3.0), (2, "a", 1.0), (2, "b", None), (3, "b", 4.0), (3, "z", 9.0)]
+    df = spark.createDataFrame(rows, "m int, p string, c double")
+    refused = {r.m: (r.legs, list(r.missing)) for r in margin.incomplete_slates(df, ["m"], "p", "c", ["b", "a"]).collect()}
+    assert refused == {2: (1, ["b"]), 3: (1, ["a"])}
+    kept = margin.complete_slates(df, ["m"], "p", "c", ["b", "a"]).collect()
+    assert sorted((r.m, r.p) for r in kept) == [(1, "a"), (1, "b")]
