@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import sys
 import zlib
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,11 +33,12 @@ from spreadlake.llm.common import partitions, slices, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Branches the search may open at least, and per distinct length, before it settles for the best packing found.
-BRANCHES, PER_LENGTH = 2_000, 4
+#: Steps of the search before it settles for the best packing found: so many, and per squared number of distinct
+#: lengths. A branch takes a step per length left and per filling read, and a way down takes about a branch per length.
+STEPS, PER_LENGTH = 100_000, 1
 
-#: Fillings tried per largest length, and steps to enumerate them.
-FILLINGS, STEPS = 6, 3_000
+#: Fillings kept per largest length, and read from the table to find them.
+FILLINGS, READ = 4, 8
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -188,44 +190,69 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [p for group in open_.values() for p in group]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first.
+def reachable(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each number of leading sizes the sums within ``room`` that they reach, as the bits of a number."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for s in sizes:
+        reach, left, step = out[-1], min(counts[s], room // s), 1
+        while left:
+            use = min(step, left)
+            reach |= reach << s * use & mask
+            left, step = left - use, step * 2
+        out.append(reach)
+    return out
 
-    Sizes are tried from the largest, and a filling stays only if no size left fits beside it. A
-    filling whose items one of another's items could hold is dominated; one of the same sum with
-    fewer, larger items comes first.
-    """
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def extend(at: int, room_left: int, chosen: tuple[int, ...]) -> bool:
-        nonlocal steps
-        steps += 1
-        fits = False
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if s > room_left or counts[s] <= chosen.count(s):
-                continue
-            fits = True
-            if extend(i, room_left - s, chosen + (s,)):
-                return True
-            if steps > STEPS:
-                break
-        if not fits:
-            found.append((room_left, chosen))
-        return room_left == 0 and len(found) >= FILLINGS or steps > STEPS
 
-    extend(0, room, ())
-    found.sort(key=lambda x: (x[0], len(x[1])))
+def fillings(sizes: list[int], counts: dict[int, int], room: int, slack: int) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room`` that waste at most ``slack``, least waste first.
+
+    ``sizes`` ascend. A table says which sums the first so many sizes reach, so a filling is read off
+    it without a search: from the largest size down, each as often as it goes. Fillings of one sum
+    differ in their largest item. A filling beside which a size left fits, or whose items one of
+    another's items could hold, is dominated; of one sum, those with larger items come first.
+    """
+    reach = reachable(sizes, counts, room)
     out: list[tuple[int, ...]] = []
-    for _, chosen in found:
-        if not any(dominates(o, chosen) for o in out):
-            out.append(chosen)
-        if len(out) == FILLINGS:
-            break
+    read = 0
+    for total in range(room, max(room - slack, 0) - 1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        for top in range(len(sizes), -1, -1):
+            if not reach[top] >> total & 1:
+                break
+            if top and total < sizes[top - 1] or top and not reach[top - 1] >> total - sizes[top - 1] & 1 and counts[sizes[top - 1]] < 2:
+                continue
+            chosen = _read(sizes, counts, reach, total, top)
+            if chosen is None:
+                continue
+            read += 1
+            fits = any(s <= room - total and counts[s] > chosen.count(s) for s in sizes[: 1 + len(chosen)])
+            if not fits and not any(dominates(o, chosen) for o in out):
+                out.append(chosen)
+            if len(out) == FILLINGS or read == READ:
+                return out or [chosen]
     return out
 
 
+def _read(sizes: list[int], counts: dict[int, int], reach: list[int], total: int, top: int) -> tuple[int, ...] | None:
+    """The filling of ``total`` whose largest item is the ``top``-th size, none if there is none."""
+    chosen: list[int] = []
+    j = top
+    while total:
+        s = sizes[j - 1]
+        n = min(counts[s], total // s)
+        below = reach[j - 1]
+        while n and not below >> total - n * s & 1:
+            n -= 1
+        if not n and j == top:
+            return None
+        chosen += [s] * n
+        total -= n * s
+        # sizes above what is left are of no use
+        j = min(j - 1, bisect_right(sizes, total))
+    return tuple(chosen)
+
+
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """Whether the items of ``b`` fit into the items of ``a`` as bins, by first fit."""
     room = sorted(a)
@@ -262,10 +289,10 @@ def searched(counts: dict[int, int], capacity: int, best: list[tuple[tuple[int,
     total = sum(s * n for s, n in counts.items())
     bound = max(-(-total // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
     used = sum(n for _, n in best)
-    branches, most = 0, max(BRANCHES, PER_LENGTH * len(counts))
+    steps, most = 0, STEPS + PER_LENGTH * len(counts) ** 2
     # depth first; a branch is (counts left before its pattern, pattern, times, patterns so far, sequences so far, their waste)
     stack: list = [(counts, (), 0, None, 0, 0)]
-    while stack and used > bound and branches < most:
+    while stack and used > bound and steps < most:
         left, pattern, times, path, made, waste = stack.pop()
         if waste > (used - 1) * capacity - total:
             continue
@@ -280,13 +307,15 @@ def searched(counts: dict[int, int], capacity: int, best: list[tuple[tuple[int,
                     best.append(path[0])
                     path = path[1]
             continue
-        branches += 1
         big = max(left)
         rest = dict(left)
         rest[big] -= 1
         room = capacity - big
-        sizes = sorted((s for s, n in rest.items() if n and s <= room), reverse=True)
-        for filling in reversed(fillings(sizes, rest, room)):
+        sizes = sorted(s for s, n in rest.items() if n and s <= room)
+        steps += len(sizes) + READ
+        # what a better packing may still waste
+        slack = (used - 1) * capacity - total - waste
+        for filling in reversed(fillings(sizes, rest, room, slack)):
             pattern = (big, *filling)
             times = min(left[s] // pattern.count(s) for s in set(pattern))
             gone = times * (capacity - sum(pattern))
