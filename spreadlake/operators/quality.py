@@ -162,20 +162,40 @@ def profile(
     value: str,
     grain: str,
     stale_before: str | None = None,
+    vintage: str | None = None,
+    flag: str | None = None,
+    declared: DataFrame | None = None,
 ) -> DataFrame:
-    """One provenance row per series: counts, dates, gaps and a status word."""
+    """One provenance row per series: counts, dates, gaps, a status word and what is known of its origin.
+
+    ``vintage`` names a column whose largest value among observed rows is the series' vintage. A period
+    is provisional if ``flag`` holds for any of its observed rows; ``provisional_from`` begins the
+    trailing run of such periods. ``declared`` has what a registry says of a series, its ``method`` for
+    one, by some or all of the keys. What is not given is NULL.
+    """
     df, k = keyed(df, keys)
     ok = observed(value, df)
+    newest = F.max(F.when(ok, F.col(vintage))) if vintage else F.lit(None).cast("string")
     base = df.groupBy(*k).agg(
         F.count("*").alias("file_rows"),
         F.count_if(ok & F.col(date).isNotNull()).alias("observations"),
         F.min(F.when(ok, F.to_date(date))).alias("first_date"),
         F.max(F.when(ok, F.to_date(date))).alias("last_date"),
+        newest.alias("vintage"),
     )
     holes = calendar_ops.gaps(df.filter(ok), k, date, grain).groupBy(*k).agg(
         F.count("*").alias("gap_count"), F.min("gap").alias("first_gap"), F.max("gap").alias("last_gap")
     )
     out = base.join(holes, k, "left").withColumn("gap_count", F.coalesce("gap_count", F.lit(0)))
+    if flag:
+        periods = df.filter(ok & F.col(date).isNotNull()).groupBy(*k, F.to_date(date).alias("_p")).agg(F.coalesce(F.bool_or(flag), F.lit(False)).alias("_f"))
+        out = out.join(provisional_from(periods, k, "_p", "_f"), k, "left")
+    else:
+        out = out.withColumn("provisional_from", F.lit(None).cast("date"))
+    if declared is None:
+        out = out.withColumn("method", F.lit(None).cast("string"))
+    else:
+        out = out.join(declared, [c for c in k if c in declared.columns], "left")
     stale = F.lit(False) if stale_before is None else F.col("last_date") < F.lit(stale_before).cast("date")
     status = F.when(F.col("observations") == 0, "failed").when(stale, "stale").otherwise("ok")
     return unkeyed(keys, out.withColumn("status", status))
@@ -243,10 +263,10 @@ def changed_rows(new: DataFrame, old: DataFrame, key: Sequence[str], volatile: S
 def provisional_from(df: DataFrame, keys: Sequence[str], period: str, flagged: str) -> DataFrame:
     """Start of the trailing unbroken run of flagged periods, NULL when the last is clean."""
     df, k = keyed(df, keys)
-    tail = F.max(F.when(~F.col(flagged), F.col(period))).over(Window.partitionBy(*k))
-    run = df.withColumn("_clean", tail).filter(F.col("_clean").isNull() | (F.col(period) > F.col("_clean")))
+    clean = df.groupBy(*k).agg(F.max(F.when(~F.col(flagged), F.col(period))).alias("_clean"))
+    run = df.filter(F.col(flagged)).join(clean, k).filter(F.col("_clean").isNull() | (F.col(period) > F.col("_clean")))
     starts = run.groupBy(*k).agg(F.min(period).alias("provisional_from"))
-    return unkeyed(keys, df.select(*k).distinct().join(starts, k, "left"))
+    return unkeyed(keys, clean.select(*k).join(starts, k, "left"))
 
 
 def status_word(period: str, provisional_from_col: str, method: str) -> Column:

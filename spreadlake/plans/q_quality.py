@@ -163,16 +163,23 @@ PROFILE = f"""
     s as (select area, flow, min(d) a, max(d) b from p group by all),
     e as (select area, flow, cast(unnest(generate_series(a, b, interval 1 month)) as date) d from s),
     g as (select area, flow, count(*) gap_count, min(d) first_gap, max(d) last_gap from e anti join p using (area, flow, d) group by all),
-    base as (select area, flow, count(*) file_rows, count(v) observations, min(m) first_date, max(m) last_date from long_stats group by all)
-    select base.*, coalesce(gap_count, 0) gap_count, first_gap, last_gap,
+    base as (select area, flow, count(*) file_rows, count(v) observations, min(m) first_date, max(m) last_date, max(strftime(m, '%Y-%m') || '/' || code) vintage from long_stats group by all),
+    f as (select area, flow, m, bool_or(code = '3') f from long_stats where v is not null group by all),
+    cl as (select area, flow, max(m) filter (where not f) c from f group by all),
+    pv as (select f.area, f.flow, min(m) provisional_from from f join cl on cl.area = f.area and cl.flow = f.flow where f and (c is null or m > c) group by all)
+    select base.*, coalesce(gap_count, 0) gap_count, first_gap, last_gap, provisional_from, case when flow in ('1-URGENT', '2-HIGH') then 'published' else 'computed' end as method,
       case when observations = 0 then 'failed' when last_date < date '2001-08-01' then 'stale' else 'ok' end status
-    from base left join g using (area, flow)
+    from base left join g using (area, flow) left join pv using (area, flow)
 """
-PROFILE_COLUMNS = "area flow file_rows:int observations:int first_date:date last_date:date gap_count:int first_gap:date last_gap:date status"
+PROFILE_COLUMNS = "area flow file_rows:int observations:int first_date:date last_date:date gap_count:int first_gap:date last_gap:date vintage provisional_from:date method status"
 
 
 def profile_frame(v):
-    return quality.profile(v.long_stats, ["area", "flow"], "m", "v", "monthly", stale_before="2001-08-01")
+    rows = v.long_stats.withColumn("edition", F.concat_ws("/", F.date_format("m", "yyyy-MM"), "code")).withColumn("estimated", F.col("code") == "3")
+    methods = v.values("('1-URGENT','published'),('2-HIGH','published'),('3-MEDIUM','computed'),('4-NOT SPECIFIED','computed'),('5-LOW','computed')", "flow, method")
+    return quality.profile(
+        rows, ["area", "flow"], "m", "v", "monthly", stale_before="2001-08-01", vintage="edition", flag="estimated", declared=methods
+    )
 
 
 @query("b09_series_profile", PROFILE_COLUMNS, PROFILE)

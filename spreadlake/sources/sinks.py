@@ -6,6 +6,7 @@ import json
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spreadlake.functions.frames import row_hash
@@ -32,49 +33,73 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _read_pointer(spark: SparkSession, root: str) -> dict:
-    path, fs = _fs(spark, f"{root}/current.json")
+class PublishConflict(RuntimeError):
+    """Another writer published since this one looked."""
+
+
+def last_commit(spark: SparkSession, root: str) -> int:
+    """Number of the newest commit, 0 where nothing was ever published."""
+    path, fs = _fs(spark, f"{root}/commits")
     if not fs.exists(path):
-        return {}
-    rows = spark.read.text(f"{root}/current.json").collect()
-    return json.loads(rows[0][0]) if rows else {}
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+
+def _read_commit(spark: SparkSession, root: str, number: int) -> dict:
+    return json.loads(spark.read.text(f"{root}/commits/{number:012d}.json").collect()[0][0]) if number else {}
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The published version, or None where nothing was ever published."""
-    pointer = _read_pointer(spark, root)
-    return spark.read.parquet(f"{root}/{pointer['version']}") if pointer else None
+    commit = _read_commit(spark, root, last_commit(spark, root))
+    return spark.read.parquet(f"{root}/{commit['version']}") if commit else None
+
+
+def _commit(spark: SparkSession, root: str, number: int, text: str) -> bool:
+    """Put a commit under its number unless one is there; the file appears whole or not at all."""
+    side, fs = _fs(spark, f"{root}/side-{uuid.uuid4().hex}.json")
+    stream = fs.create(side, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    target, _ = _fs(spark, f"{root}/commits/{number:012d}.json")
+    fs.mkdirs(target.getParent())
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri())
+    # without the option to overwrite, a rename fails where the name is taken
+    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(side, target, options)
+        return True
+    except Py4JJavaError as error:
+        fs.delete(side, False)
+        if "FileAlreadyExists" in str(error.java_exception):
+            return False
+        raise
 
 
-def publish(df: DataFrame, root: str, order: Sequence[str] = ()) -> bool:
+def publish(df: DataFrame, root: str, order: Sequence[str] = (), expected: int | None = None) -> bool:
     """Write a new version when the content differs; True when something was written.
 
-    The data goes to its own folder first. The pointer that names it is written
-    to a side file and renamed over the old one, so a reader sees the old
-    version or the new one and never a half-written folder.
+    The data goes to its own folder first, then a commit with the next number names it. A commit that
+    is there is never written over: of two writers that saw the same last commit the second one gets
+    ``PublishConflict`` and its data is removed. ``expected`` is the commit that ``df`` was made from,
+    by default the last one now.
     """
     spark = df.sparkSession
     table = canonical(df)
     version = f"v-{uuid.uuid4().hex}"
-    before = _read_pointer(spark, root)
+    seen = last_commit(spark, root) if expected is None else expected
+    before = _read_commit(spark, root, seen)
     out = table.repartitionByRange(*order).sortWithinPartitions(*order) if order else table
     out.write.parquet(f"{root}/{version}")
     digest = content_digest(spark.read.parquet(f"{root}/{version}"))
     path, fs = _fs(spark, f"{root}/{version}")
-    if before.get("digest") == digest:
+    if before.get("digest") == digest and last_commit(spark, root) == seen:
         fs.delete(path, True)
         return False
-    text = json.dumps({"version": version, "digest": digest})
-    side, _ = _fs(spark, f"{root}/current-{version}.json")
-    stream = fs.create(side, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
-    pointer, _ = _fs(spark, f"{root}/current.json")
-    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri())
-    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    context.rename(side, pointer, options)
+    if not _commit(spark, root, seen + 1, json.dumps({"version": version, "digest": digest})):
+        fs.delete(path, True)
+        raise PublishConflict(f"{root}: commit {seen + 1} was made by another writer")
     return True
 
 

@@ -66,3 +66,27 @@ def test_unchanged_content_is_not_rewritten(spark, tmp_path):
     assert sinks.publish(df.orderBy("v"), root, ["k"]) is False
     assert sinks.publish(df.filter("k = 1"), root, ["k"]) is True
     assert sinks.current(spark, root).count() == 1
+
+
+def test_the_second_of_two_writers_is_refused(spark, tmp_path):
+    root = str(tmp_path / "shared")
+    first, second = (spark.createDataFrame([(1, x)], "k int, v double") for x in (1.0, 2.0))
+    assert sinks.publish(first, root)
+    seen = sinks.last_commit(spark, root)
+    assert sinks.publish(second, root, expected=seen)
+    with pytest.raises(sinks.PublishConflict):
+        sinks.publish(first.filter("k > 1"), root, expected=seen)
+    with pytest.raises(sinks.PublishConflict):
+        sinks.publish(first, root, expected=seen)
+    assert sinks.last_commit(spark, root) == 2 and sinks.current(spark, root).first().v == 2.0
+    assert len(list((tmp_path / "shared").glob("v-*"))) == 2
+
+
+def test_profile_knows_vintage_and_provisional_tail(spark):
+    rows = [("a", date(2024, m, 1), float(m), f"v{m}", m in (2, 4, 5)) for m in range(1, 6)] + [("b", date(2024, 1, 1), None, "v9", True), ("c", date(2024, 1, 1), 1.0, None, None)]
+    df = spark.createDataFrame(rows, "k string, d date, v double, doc string, guess boolean")
+    declared = spark.createDataFrame([("a", "published")], "k string, method string")
+    got = {r.k: r for r in quality.profile(df, ["k"], "d", "v", "monthly", vintage="doc", flag="guess", declared=declared).collect()}
+    assert (got["a"].vintage, got["a"].provisional_from, got["a"].method) == ("v5", date(2024, 4, 1), "published")
+    assert (got["b"].vintage, got["b"].provisional_from, got["b"].status) == (None, None, "failed")
+    assert got["c"].provisional_from is None
