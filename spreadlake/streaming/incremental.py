@@ -1,10 +1,10 @@
 """Incremental forms of three batch operators on Structured Streaming.
 
-Results never depend on how rows fall into micro-batches, unless a caller of the
-mean asks for a delay: which rows are late follows from what came before them.
-What a batch adds is written under the batch's number, so one that is replayed after a lost executor
-writes the same folder again and nothing is counted twice. Folders belong to
-the caller: with the same ones a later run goes on where the last one stopped.
+The mean and the upsert are streaming aggregations: their state, and the watermark if a delay is
+given, are the engine's. A batch writes the rows it changed under its number, so one that is replayed
+after a lost executor writes the same folder again, and the newest row of a key counts. Results do not
+depend on how rows fall into micro-batches, unless a delay says that old rows are late. Folders belong
+to the caller: with the same ones a later run goes on where the last one stopped.
 """
 
 from __future__ import annotations
@@ -53,100 +53,75 @@ def _batches(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path).withColumn("batch", F.col("batch").cast("long"))
 
 
-def streaming_period_mean(
-    stream: DataFrame, keys: Sequence[str], ts: str, value: str, min_obs: int, grain: str = "daily", delay: str | None = "2 days",
-    folder: str | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(mean per period, late rows) of what has arrived.
-
-    A batch leaves one row per key and period with its count and sum, which add up whatever the
-    batching. With ``delay`` None no row is late. Else a row older than the newest one of all earlier
-    batches less ``delay`` is: it goes to the second frame with its batch and is in no mean. A period below the floor is NULL with its
-    count.
-    """
-    spark = stream.sparkSession
-    root = _folder(spark, folder, "stream-mean")
-    late_type = stream.withColumn("_ts", F.col(ts).cast("timestamp")).schema
-    kinds = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
-    part_type = f"{kinds}{', ' if kinds else ''}period date, observations bigint, total double, newest timestamp, batch bigint"
-
-    def summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys, cal.anchor("_ts", grain).cast("date").alias("period")).agg(
-            F.count(value).alias("observations"), F.sum(F.col(value).cast("double")).alias("total"), F.max("_ts").alias("newest")
-        )
+def _changes(result: DataFrame, keys: Sequence[str], root: str) -> tuple[DataFrame, int]:
+    """The newest row per key of a streaming aggregation, and how many rows its watermark dropped."""
+    spark = result.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        dated = batch.withColumn("_ts", F.col(ts).cast("timestamp"))
-        if delay is None:
-            summed(dated).write.mode("overwrite").parquet(f"{root}/sums/batch={number}")
-            return
-        seen = _batches(spark, f"{root}/sums", part_type).filter(F.col("batch") < number)
-        limit = seen.agg((F.max("newest") - F.expr(f"interval {delay}")).alias("_limit"))
-        rows = dated.crossJoin(F.broadcast(limit))
-        late = F.coalesce(F.col("_ts") < F.col("_limit"), F.lit(False))
-        summed(rows.filter(~late)).write.mode("overwrite").parquet(f"{root}/sums/batch={number}")
-        rows.filter(late).drop("_limit").write.mode("overwrite").parquet(f"{root}/late/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/changes/batch={number}")
 
-    _run(stream, write, root)
-    means = _batches(spark, f"{root}/sums", part_type).groupBy(*keys, "period").agg(
-        F.sum("observations").alias("observations"), F.sum("total").alias("_total")
+    query = (
+        result.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint")
+        .foreachBatch(write).trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+    rows = _batches(spark, f"{root}/changes", result.schema)
+    others = [c for c in result.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("_row"))
+    return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others]), dropped
+
+
+def streaming_period_mean(
+    stream: DataFrame, keys: Sequence[str], ts: str, value: str, min_obs: int, grain: str = "daily", delay: str | None = None,
+    folder: str | None = None,
+) -> tuple[DataFrame, int]:
+    """(mean per period, rows dropped as late) of what has arrived.
+
+    Counts and sums per key and period are the state. Without ``delay`` no row is late and no state is
+    given up. With it, for daily periods, the watermark closes a day once the newest row is ``delay``
+    past its end: rows of closed days are dropped and counted, as the engine counts them after partial
+    sums. A period below the floor is NULL with its count.
+    """
+    root = _folder(stream.sparkSession, folder, "stream-mean")
+    dated = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
+    if delay is None:
+        grouped = dated.groupBy(*keys, cal.anchor("_ts", grain).cast("date").alias("period"))
+    elif grain == "daily":
+        grouped = dated.withWatermark("_ts", delay).groupBy(*keys, F.window("_ts", "1 day").alias("_day"))
+    else:
+        raise ValueError("a delay needs daily periods")
+    sums = grouped.agg(F.count(value).alias("observations"), F.sum(F.col(value).cast("double")).alias("_total"))
+    if delay is not None:
+        sums = sums.select(*keys, F.to_date("_day.start").alias("period"), "observations", "_total")
+    means, dropped = _changes(sums, [*keys, "period"], root)
     mean = F.col("_total") / F.col("observations")
-    means = means.select(*keys, "period", F.when(F.col("observations") >= min_obs, mean).alias("value"), "observations")
-    return means, _batches(spark, f"{root}/late", late_type.add("batch", "long")).drop("_ts")
+    return means.select(*keys, "period", F.when(F.col("observations") >= min_obs, mean).alias("value"), "observations"), dropped
 
 
 def streaming_vintage_upsert(
-    stream: DataFrame, keys: Sequence[str], vintage_col: str, doc: str, provisional: str, values: Sequence[str],
-    folder: str | None = None, buckets: int = 16,
+    stream: DataFrame, keys: Sequence[str], vintage_col: str, doc: str, provisional: str, values: Sequence[str], folder: str | None = None
 ) -> DataFrame:
     """Newest final print per key as documents arrive, with what its revisions were.
 
-    The table is cut into buckets of keys, and a batch rewrites only those it touches, each under
-    its own number. ``first_vintage`` is the oldest print's, ``revised`` says that the first value
-    printed is not the one kept, ``largest_revision`` is the widest range of prints (both of the
-    first value column), ``documents`` those that contributed.
+    The winner is a ``max_by`` and the rest are minima, maxima and sets, so the engine's state per key
+    is all that a batch needs, and it writes only the keys it touched. ``first_vintage`` is the oldest
+    print's, ``revised`` says that the first value printed is not the one kept, ``largest_revision`` is
+    the widest range of prints (both of the first value column), ``documents`` those that contributed.
     """
-    spark = stream.sparkSession
-    root = _folder(spark, folder, "stream-vintage")
+    root = _folder(stream.sparkSession, folder, "stream-vintage")
     rank = F.struct((~F.col(provisional)).alias("f"), F.col(vintage_col).alias("v"), F.col(doc).alias("d"))
     age = F.struct(F.col(vintage_col).alias("v"), F.col(doc).alias("d"))
     body = F.struct(*values, F.col(provisional).alias("_p"), F.col(vintage_col).alias("_v"))
     main = values[0]
-
-    def merged(prints: DataFrame) -> DataFrame:
-        return prints.groupBy(*keys, "bucket").agg(
-            F.max_by("kept", "rank").alias("kept"), F.max("rank").alias("rank"), F.sum("n_prints").alias("n_prints"),
-            F.min_by("first_value", "age").alias("first_value"), F.min("age").alias("age"), F.min("low").alias("low"),
-            F.max("high").alias("high"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("documents")))).alias("documents"),
-        )
-
-    def single(rows: DataFrame) -> DataFrame:
-        return rows.select(
-            *keys, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"), body.alias("kept"), rank.alias("rank"),
-            F.lit(1).cast("bigint").alias("n_prints"), F.col(main).alias("first_value"), age.alias("age"), F.col(main).alias("low"),
-            F.col(main).alias("high"), F.array(doc).alias("documents"),
-        )
-
-    stored = merged(single(spark.createDataFrame([], stream.schema))).schema.add("batch", "long")
-
-    def latest(before: int | None = None) -> DataFrame:
-        rows = _batches(spark, f"{root}/table", stored)
-        rows = rows if before is None else rows.filter(F.col("batch") < before)
-        newest = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-        return rows.join(F.broadcast(newest), ["bucket", "batch"], "left_semi").drop("batch")
-
-    def write(batch: DataFrame, number: int) -> None:
-        fresh = merged(single(batch))
-        touched = fresh.select("bucket").distinct()
-        old = latest(number).join(F.broadcast(touched), "bucket", "left_semi")
-        merged(fresh.unionByName(old)).write.mode("overwrite").parquet(f"{root}/table/batch={number}")
-
-    _run(stream, write, root)
-    first = F.col("first_value")
-    return latest().select(
+    state = stream.groupBy(*keys).agg(
+        F.max_by(body, rank).alias("kept"), F.count("*").alias("n_prints"), F.min_by(main, age).alias("first_value"), F.min(age).alias("age"),
+        F.min(main).alias("low"), F.max(main).alias("high"), F.array_sort(F.collect_set(doc)).alias("documents"),
+    )
+    table, _ = _changes(state, keys, root)
+    return table.select(
         *keys, *[F.col(f"kept.{v}").alias(v) for v in values], F.col("kept._p").alias("provisional"), F.col("kept._v").alias("vintage"), "n_prints",
-        F.col("age.v").alias("first_vintage"), (~F.col(f"kept.{main}").eqNullSafe(first)).alias("revised"),
+        F.col("age.v").alias("first_vintage"), (~F.col(f"kept.{main}").eqNullSafe(F.col("first_value"))).alias("revised"),
         (F.col("high") - F.col("low")).alias("largest_revision"), "documents",
     )
 
