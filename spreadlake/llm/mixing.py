@@ -64,9 +64,10 @@ def source_targets(
     return ranked.select(source, "source_size", "weight", target.alias("target"))
 
 
-def uniform_of(doc_id: str, seed: int) -> Column:
-    """A number from 0 to below 1 that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.col(doc_id).cast("string"), F.lit(f":{seed}")).cast("binary"))
+def uniform_of(doc_id: str, text: str, seed: int) -> Column:
+    """A number from 0 to below 1 that depends on the id and the seed alone; without an id on the text and the seed."""
+    named = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat(named, F.lit(f":{seed}")).cast("binary"))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
@@ -83,24 +84,28 @@ def mix_sources(
     """``docs`` with ``size``, ``source_size``, ``target``, ``rate``, ``copies`` and ``taken`` appended.
 
     Null and empty texts have size 0 and take nothing from a target; their copies follow the same
-    rate. A null source is a source of its own. Rows that repeat an id are mixed alike. An empty
-    table gives an empty result. Input columns of the names appended are replaced.
+    rate. A null source is a source of its own. Rows that repeat an id are mixed alike; rows without
+    an id are drawn by their text. An empty table gives an empty result. Input columns of the names
+    appended are replaced, all others are kept whatever their names.
     """
-    made = ["size", "source_size", "weight", "target", "rate", "copies", "taken"]
-    base = docs.drop(*[c for c in made if c not in (doc_id, text, source)])
-    sizes = base.select(doc_id, source, size_of(text).alias("size"))
-    sizes = stored(sizes.withColumn("draw", uniform_of(doc_id, seed)), "mix-sizes")
+    made = ["size", "source_size", "target", "rate", "copies", "taken"]
+    named = (doc_id, text, source)
+    others = [c for c in docs.columns if c not in (*named, *made)]
+    # what is only carried travels in a box, so that no name can clash with those used here
+    base = docs.select(*named, F.struct(F.lit(0).alias("_"), *others).alias("_box"))
+    sizes = stored(base.select(doc_id, source, size_of(text).alias("size"), uniform_of(doc_id, text, seed).alias("draw")), "mix-sizes")
     dim = source_targets(sizes, source, "size", weights, share, max_rate)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     dim = stored(dim.withColumnRenamed(source, "_source").withColumn("rate", rate), "mix-targets")
     small = dim.count() <= BROADCAST_SOURCES
     turns = stored(best_turns(at_source(sizes, dim, source, small)), "mix-turns")
     dim = dim.join(turns, dim["_source"].eqNullSafe(turns["_turned"])).drop("_turned")
-    joined = base.withColumn("size", size_of(text)).withColumn("draw", uniform_of(doc_id, seed))
+    joined = base.withColumn("size", size_of(text)).withColumn("draw", uniform_of(doc_id, text, seed))
     joined = at_source(joined, dim, source, small)
     copies = (F.floor("rate") + (turned(F.col("turn")) < fraction()).cast("long")).cast("long")
     joined = joined.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies"))
-    return joined.drop("_source", "weight", "draw", "turn")
+    kept = [F.col(c) if c in named else F.col("_box")[c].alias(c) for c in docs.columns if c in named or c in others]
+    return joined.select(*kept, *made)
 
 
 def at_source(df: DataFrame, dim: DataFrame, source: str, small: bool) -> DataFrame:

@@ -111,7 +111,14 @@ def test_stages_take_odd_and_empty_tables(spark, corpus):
     odd = spark.createDataFrame(rows, SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.limit(0), corpus).count() == 0
-        assert stage(spark, odd, corpus).count() >= 0
+    pieces = corpus_pipeline.best_fit_packing(spark, odd, corpus).collect()
+    assert sorted(r.doc_id or 0 for r in pieces) == [0, 7, 7, 8]
+    mixed = corpus_pipeline.source_mixing(spark, odd, corpus).collect()
+    # every source takes 1.5 times its words: a copy at least, two at most
+    assert {(r.doc_id, r.text) for r in mixed} >= {(None, "a b"), (7, "same words here")} and len(mixed) <= 8
+    same = spark.createDataFrame([(5, "one text of its own", "en", "s", 19, "x", "y"), (5, "quite another", "en", "s", 13, "x", "y"), (5, "quite another", "en", "r", 13, "x", "y")], SCHEMA)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, same, corpus).collect()
+    assert sorted((r.text, r.source) for r in kept) == [("one text of its own", "s"), ("quite another", "r")]
     near = corpus_pipeline.ngram_jaccard_join(spark, odd, corpus)
     assert sorted((r.doc_id or 0) for r in near.collect()) == [0, 7, 8]
     cut = corpus_pipeline.substring_dedup(spark, odd, corpus)
@@ -120,6 +127,19 @@ def test_stages_take_odd_and_empty_tables(spark, corpus):
 
 def test_queries_of_every_operator_are_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_mixing_keeps_columns_of_any_name_and_rows_without_an_id(spark):
+    from spreadlake.llm.mixing import emit_copies, mix_sources
+
+    rows = [(None, "a b c", "s", 1, "t", 0.5, 9), (3, "d e", "s", 2, "u", 0.25, 8), (None, None, None, 3, "v", None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, turn int, _source string, draw double, weight int")
+    mixed = mix_sources(docs)
+    got = {r.turn: r for r in mixed.collect()}
+    assert mixed.columns[:7] == ["doc_id", "text", "source", "turn", "_source", "draw", "weight"] and got[1].weight == 9
+    assert [got[t]._source for t in (1, 2, 3)] == ["t", "u", "v"]
+    assert all(r.copies is not None for r in got.values()) and got[1].copies >= 1
+    assert emit_copies(mixed, ["text"]).filter("text = 'a b c'").count() == got[1].copies
