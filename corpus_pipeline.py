@@ -36,14 +36,16 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document, the one with the smallest id, of each group of near duplicates.
 
     Documents without words belong to no group and stay, as do rows without an id. Of rows that
-    share an id one stays.
+    share an id and a text the one with the least other columns stays; different texts of one id stay.
     """
     found = jaccard.near_duplicates(docs)
     first = found.filter("doc_id = component_id").select("doc_id")
     repeated = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").limit(1).count()
     known = docs.join(first, "doc_id", "left_semi")
     if repeated:
-        known = known.dropDuplicates(["doc_id"])
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        known = known.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_row"))
+        known = known.select(*[c if c in ("doc_id", "text") else F.col("_row")[c].alias(c) for c in docs.columns])
     return known.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
