@@ -175,12 +175,13 @@ def corroboration_bounds(df: DataFrame, keys: Sequence[str], period: str, n_sour
 
 # The words for how far a period's value is supported.
 UNCOVERED, SUPPORTED = "no_coverage", "cross_checked"
-ALONE = {-1: "single_geometry_oldest", 0: "single_geometry_interior", 1: "single_geometry_newest"}
+OLDEST, INTERIOR, NEWEST = "single_geometry_oldest", "single_geometry_interior", "single_geometry_newest"
 
 
 def evidence_class(period: Column, n_notes: Column, n_sources: Column, first: Column, last: Column) -> Column:
     """What stands behind a value: nothing, several sources, or one, and then on which side of those supported."""
-    side = F.coalesce((period > last).cast("int"), F.lit(0)) - F.coalesce((period < first).cast("int"), F.lit(0))
-    names = F.create_map(*[F.lit(x) for pair in ALONE.items() for x in pair])
-    alone = F.when(n_sources > 1, SUPPORTED).otherwise(names[side])
-    return F.when(n_notes > 0, alone).otherwise(UNCOVERED)
+    some = F.coalesce(n_notes > 0, F.lit(False))
+    return (
+        F.when(~some, UNCOVERED).when(n_sources > 1, SUPPORTED)
+        .when(period > last, NEWEST).when(period < first, OLDEST).otherwise(INTERIOR)
+    )

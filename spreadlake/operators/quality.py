@@ -63,21 +63,13 @@ def order_breaks(df: DataFrame, keys: Sequence[str], date: str, position: str, w
     )
 
 
-def validate(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
-    """One row per key: the counts behind every rule and the list of problems.
+def parsed_date(df: DataFrame, spec: Spec) -> Column:
+    return F.col(spec.date).try_cast("date") if dict(df.dtypes)[spec.date] == "string" else F.to_date(spec.date)
 
-    Duplicate dates and all other counts come from one aggregate by (keys,
-    date) followed by one by keys, so the first shuffle already carries
-    pre-aggregated rows.
-    """
-    absent = missing_columns(df, [spec.date, *spec.required])
-    df, k = keyed(df, keys)
-    if absent:
-        # nothing else can be said about a frame without its columns
-        lacking = F.array(*[F.lit(f"missing_column_{c}") for c in absent])
-        return unkeyed(keys, df.groupBy(*k).agg(F.count("*").alias("rows")).withColumn("problems", lacking))
-    text_date = dict(df.dtypes)[spec.date] == "string"
-    parsed = F.col(spec.date).try_cast("date") if text_date else F.to_date(spec.date)
+
+def date_counts(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
+    """Rows and violations per key and date: sums, so counts of parts of a table add up to those of the whole."""
+    parsed = parsed_date(df, spec)
     counts = [
         F.count("*").alias("_rows"),
         F.count_if(F.col(spec.date).isNotNull() & parsed.isNull()).alias("_bad_date"),
@@ -88,7 +80,17 @@ def validate(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
         counts.append(F.count_if(F.col(c).isNotNull() & number.isNull()).alias(f"_text_{c}"))
     for c in spec.min_observations:
         counts.append(F.count_if(observed(c, df)).alias(f"_obs_{c}"))
-    per_date = df.groupBy(*k, parsed.alias("_date")).agg(*counts)
+    return df.groupBy(*keys, parsed.alias("_date")).agg(*counts)
+
+
+def added(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Date counts of several parts of a table as those of all of them."""
+    sums = [F.sum(c).alias(c) for c in counts.columns if c.startswith("_") and c != "_date" and c not in keys]
+    return counts.groupBy(*keys, "_date").agg(*sums)
+
+
+def tallied(per_date: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
+    """One row per key from its date counts."""
     dated = F.col("_date").isNotNull()
     out = [
         F.sum("_rows").alias("rows"),
@@ -99,10 +101,11 @@ def validate(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
     out += [F.sum(f"_out_{c}").alias(f"outside_{c}") for c in spec.bounds]
     out += [F.sum(f"_text_{c}").alias(f"non_numeric_{c}") for c in spec.bounds]
     out += [F.sum(f"_obs_{c}").alias(f"observations_{c}") for c in spec.min_observations]
-    result = per_date.groupBy(*k).agg(*out)
-    if spec.position:
-        breaks = order_breaks(df.withColumn("_d", parsed), k, "_d", spec.position)
-        result = result.join(breaks, k, "left").withColumn("order_breaks", F.coalesce("order_breaks", F.lit(0)))
+    return per_date.groupBy(*keys).agg(*out)
+
+
+def with_problems(result: DataFrame, spec: Spec) -> DataFrame:
+    """The list of broken rules beside the counts."""
     problems = [
         F.when(F.col("rows") < spec.min_rows, "too_few_rows"),
         F.when(F.col("unparseable_dates") > 0, "unparseable_dates"),
@@ -117,7 +120,27 @@ def validate(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
         problems.append(F.when(F.col(f"non_numeric_{c}") > 0, f"non_numeric_{c}"))
     for c, floor in spec.min_observations.items():
         problems.append(F.when(F.col(f"observations_{c}") < floor, f"too_few_observations_{c}"))
-    return unkeyed(keys, result.withColumn("problems", F.array_compact(F.array(*problems))))
+    return result.withColumn("problems", F.array_compact(F.array(*problems)))
+
+
+def validate(df: DataFrame, keys: Sequence[str], spec: Spec) -> DataFrame:
+    """One row per key: the counts behind every rule and the list of problems.
+
+    Duplicate dates and all other counts come from one aggregate by (keys,
+    date) followed by one by keys, so the first shuffle already carries
+    pre-aggregated rows.
+    """
+    absent = missing_columns(df, [spec.date, *spec.required])
+    df, k = keyed(df, keys)
+    if absent:
+        # nothing else can be said about a frame without its columns
+        lacking = F.array(*[F.lit(f"missing_column_{c}") for c in absent])
+        return unkeyed(keys, df.groupBy(*k).agg(F.count("*").alias("rows")).withColumn("problems", lacking))
+    result = tallied(date_counts(df, k, spec), k, spec)
+    if spec.position:
+        breaks = order_breaks(df.withColumn("_d", parsed_date(df, spec)), k, "_d", spec.position)
+        result = result.join(breaks, k, "left").withColumn("order_breaks", F.coalesce("order_breaks", F.lit(0)))
+    return unkeyed(keys, with_problems(result, spec))
 
 
 def shrink_check(new: DataFrame, old: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

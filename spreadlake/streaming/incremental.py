@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from spreadlake.functions import calendar as cal
 from spreadlake.operators import quality
@@ -129,18 +129,28 @@ def streaming_vintage_upsert(
 def streaming_guarded_append(stream: DataFrame, unit: Sequence[str], spec: quality.Spec, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, quarantined rows with their problems); a ``unit`` is judged on all its rows.
 
-    Batches are staged as they come. The verdict is taken over everything staged, so it does not
-    matter which rows arrived together, and a unit that becomes complete later moves over.
+    A batch stages its rows and beside them its counts per unit and date, which add up over batches:
+    the verdict reads those, not the rows, so it does not matter which rows arrived together, and a
+    unit that becomes complete later moves over. Rules about the order of rows in a file or about
+    columns that are missing do not add up; with those, all staged rows are judged.
     """
     spark = stream.sparkSession
     root = _folder(spark, folder, "stream-guard")
+    sums = not spec.position and not quality.missing_columns(stream, [spec.date, *spec.required])
+    counts = quality.date_counts(spark.createDataFrame([], stream.schema), unit, spec).schema if sums else None
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/staged/batch={number}")
+        if sums:
+            quality.date_counts(batch, unit, spec).write.mode("overwrite").parquet(f"{root}/counts/batch={number}")
 
-    schema = stream.schema
     _run(stream, write, root)
-    staged = _batches(spark, f"{root}/staged", schema.add("batch", "long")).drop("batch")
-    verdict = quality.validate(staged, unit, spec).select(*unit, "problems")
+    staged = _batches(spark, f"{root}/staged", T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).drop("batch")
+    if sums:
+        parts = _batches(spark, f"{root}/counts", T.StructType([*counts.fields, T.StructField("batch", T.LongType())])).drop("batch")
+        judged = quality.with_problems(quality.tallied(quality.added(parts, unit), unit, spec), spec)
+    else:
+        judged = quality.validate(staged, unit, spec)
+    verdict = judged.select(*unit, "problems")
     good = staged.join(verdict.filter(F.size("problems") == 0), list(unit), "left_semi")
     return good, staged.join(verdict.filter(F.size("problems") > 0), list(unit))
