@@ -120,7 +120,12 @@ def m07(v):
     )
 
 
-@query("m08_response_mart", "region term coef:num se:num volume:num4 share:num zero zero_share:num")
+@query("m08_response_mart", "region term coef:num se:num volume:num4 share:num zero zero_share:num", f"""
+    with b as (select region, max_by(capacity, m) base, avg(intake) runs from lagged group by 1),
+    t as (select r.region, term, coef, se, coef / 10 * base volume, coef / 10 * base / runs as share,
+      (coef - 1.959963984540054 * se) / 10 * base low, (coef + 1.959963984540054 * se) / 10 * base high from {q_regress.CAPACITY_MODEL} r join b on b.region = r.region)
+    select *, case when low is null or high is null then null when low <= 0 and high >= 0 then 'includes_zero' when low > 0 then 'above_zero' else 'below_zero' end zero,
+      case when low > 0 then 100 * low / (high - low) when high < 0 then 100 * -high / (high - low) end zero_share from t""")
 def m08(v):
     """Both response equations' terms translated to volume, with where zero sits in the interval."""
     from spreadlake.functions.numeric import zero_class, zero_share

@@ -11,6 +11,7 @@ from spreadlake.functions import numeric
 from spreadlake.operators import panel, ranking, regress, threshold
 from spreadlake.plans.q_scalar import EPISODE_LIST
 from spreadlake.plans.registry import query
+from spreadlake.plans.sqlsweep import last_slope, sweep
 from spreadlake.session import cut_lineage
 
 FE_NAMES = panel.MONTH_EFFECTS
@@ -67,6 +68,23 @@ def design_frame(v):
 
 CONTROLS = ["trend", *FE_NAMES, "step_1998", *[n for n, _ in EPISODE_LIST]]
 
+LAGS = ["lag1", "lag2", "lag3"]
+DESIGN = f"""(select region, m, util, 100 * ln(intake) log_intake, margin_lag, bench_lag, lag1, lag2, lag3, datediff('month', min(m) over (partition by region), m) trend,
+    {", ".join(f"cast(month(m) = {int(c[-2:])} as int) {c}" for c in FE_NAMES)}, cast(m >= date '1998-01-01' as int) step_1998,
+    {", ".join(f"cast(m >= date '{d}' and m < date '{d}' + interval 12 month as int) {n}" for n, d in EPISODE_LIST)}
+    from lagged where util is not null and lag1 is not null and lag2 is not null and lag3 is not null)"""
+
+
+def response_sql(y: str, controls: list[str]) -> str:
+    """(region, term, n, k, coef, se, r2) of ``y`` on the lags and their sum: the term asked for is swept last."""
+    orders = {"lag1": ("lag2", "lag3", "lag1"), "lag2": ("lag1", "lag3", "lag2"), "lag3": ("lag1", "lag2", "lag3"), "sum_b": ("lag1 - lag3", "lag2 - lag3", "lag3")}
+    terms = " union all ".join(f"select region, '{name}' term, m, y0, k, {y} y, {a} p, {b} q, {t} t from z" for name, (a, b, t) in orders.items())
+    return f"""(with d as (select *, {y} y0 from {DESIGN}), z as ({sweep("d", "region", [y, *controls, *LAGS], ["m", "y0"], controls)}),
+      a as ({terms}), f as (select * replace (k + 1 as k) from ({sweep("a", "region, term", ["y", "p", "q", "t"], ["m", "y0"], ["p", "q"], k="k")})),
+      v as ({last_slope("f", "region, term", ["y0"])}), h as (select * from {hac_sql("v", "region, term")}),
+      c as (select region, term, max(n) n, max(k) k, max(coef) coef, 1 - sum(e * e) / (var_pop(y0) * count(*)) r2 from v group by 1, 2)
+      select c.*, h.se from c join h on h.region = c.region and h.term = c.term)"""
+
 
 @query("k03_design_matrix", "region m:date trend:num month_02:num month_11:num step_1998:num episode_1999:num lag1:num lag3:num", """
     select region, m, datediff('month', min(m) over (partition by region), m) trend, case when month(m) = 2 then 1 else 0 end month_02,
@@ -151,14 +169,17 @@ def k08(v):
     return mean_lag_response(v)
 
 
-@query("k08_capacity_model", "region term n:int k:int coef:num se:num r2:num")
+CAPACITY_MODEL = response_sql("util", [*FE_NAMES, *[n for n, _ in EPISODE_LIST]])
+
+
+@query("k08_capacity_model", "region term n:int k:int coef:num se:num r2:num", f"select * from {CAPACITY_MODEL}")
 def k08c(v):
     """Utilisation on three margin lags, month effects and episode steps."""
     controls = [*FE_NAMES, *[n for n, _ in EPISODE_LIST]]
     return regress.response(design_frame(v), KEYS, "m", "util", controls, ["lag1", "lag2", "lag3"])
 
 
-@query("k08_trend_model", "region term n:int k:int coef:num se:num r2:num")
+@query("k08_trend_model", "region term n:int k:int coef:num se:num r2:num", f"select * from {response_sql('log_intake', CONTROLS)}")
 def k08t(v):
     """Log intake on three margin lags with a trend, a closure step, month effects and episode steps."""
     rows = design_frame(v).withColumn("log_intake", panel.log_level("intake"))
@@ -372,7 +393,16 @@ def k18(v):
     return regress.expanding_forecasts(sample(v), KEYS, "m", "util", ["margin_lag"], MIN_TRAIN)
 
 
-@query("k18_expanding_window_full_equation", "region rmse:num benchmark_rmse:num ratio_to_mean:num n_forecasts:int first_forecast:date last_forecast:date")
+FULL = [*FE_NAMES, *[n for n, _ in EPISODE_LIST], *LAGS]
+
+
+@query("k18_expanding_window_full_equation", "region rmse:num benchmark_rmse:num ratio_to_mean:num n_forecasts:int first_forecast:date last_forecast:date", f"""
+    with d as (select * from {DESIGN}), o as (select a.m origin, b.*, b.util y0 from d a join d b on b.region = a.region and b.m <= a.m),
+    r as ({sweep("o", "region, origin", ["util", *FULL], ["m", "y0"], FULL, mask="m < origin")}),
+    b as (select region, origin, count(*) filter (where m < origin) n, max(case when m = origin then y0 end) - avg(y0) filter (where m < origin) be from o group by 1, 2),
+    e as (select r.region, r.origin, r.util e, b.be from r join b on b.region = r.region and b.origin = r.origin where r.m = r.origin and b.n >= {MIN_TRAIN})
+    select region, sqrt(avg(e * e)) rmse, sqrt(avg(be * be)) benchmark_rmse, sqrt(avg(e * e)) / sqrt(avg(be * be)) ratio_to_mean, count(*) n_forecasts, min(origin) first_forecast, max(origin) last_forecast
+    from e group by 1""")
 def k18f(v):
     rows = design_frame(v)
     xs = [*FE_NAMES, *[n for n, _ in EPISODE_LIST], "lag1", "lag2", "lag3"]
@@ -509,7 +539,17 @@ def ladder(v):
     return regress.first_stage(regress.masked(rows, LADDER, controls, "rung"), ["region", "rung"], "m", "margin_lag", "bench_lag", controls)
 
 
-@query("k25_control_ladder", "region rung coef:num se:num f:num4 partial_r2:num")
+RUNGS = " union all ".join(
+    f"select region, '{rung}' rung, m, k, margin_lag y, bench_lag t from ({sweep('d', 'region', ['margin_lag', 'bench_lag', *controls], ['m'], controls)})"
+    for rung, controls in LADDER.items()
+)
+
+
+@query("k25_control_ladder", "region rung coef:num se:num f:num4 partial_r2:num", f"""
+    with d as (select * from {DESIGN} where margin_lag is not null and bench_lag is not null), a as (select * replace (k + 1 as k) from ({RUNGS})),
+    v as ({last_slope("a", "region, rung", [])}), h as (select * from {hac_sql("v", "region, rung")}),
+    c as (select region, rung, max(coef) coef, 1 - sum(e * e) / sum(y * y) partial_r2 from v group by 1, 2)
+    select c.*, se, power(coef / se, 2) f from c join h on h.region = c.region and h.rung = c.rung""")
 def k25(v):
     return ladder(v)
 
@@ -545,7 +585,14 @@ def k27(v):
     return regress.break_residuals(sample(v), KEYS, "m", "util", ["margin_lag"], "2001-01-01")
 
 
-@query("k27_break_full_equation", "region m:date fitted:num resid_in_sd:num n_post:int verdict")
+BREAK_TERMS = [*FE_NAMES, *LAGS]
+
+
+@query("k27_break_full_equation", "region m:date fitted:num resid_in_sd:num n_post:int verdict", f"""
+    with d as (select *, util y0 from {DESIGN}), r as ({sweep("d", "region", ["util", *BREAK_TERMS], ["m", "y0"], BREAK_TERMS, mask="m < date '2000-01-01'")}),
+    s as (select region, stddev_samp(util) filter (where m < date '2000-01-01') sd, count(*) filter (where m >= date '2000-01-01') n_post from r group by 1)
+    select r.region, m, y0 - util fitted, util / sd resid_in_sd, n_post, case when n_post < 12 then 'too_short' else 'reportable' end verdict
+    from r join s on s.region = r.region where m >= date '2000-01-01' and util is not null""")
 def k27f(v):
     xs = [*FE_NAMES, "lag1", "lag2", "lag3"]
     return regress.break_residuals(design_frame(v), KEYS, "m", "util", xs, "2000-01-01")
