@@ -1,20 +1,24 @@
 """A hierarchical Pitman-Yor language model over words.
 
 The words that follow a context sit in its restaurant, those of one word at tables of their own;
-each table is a customer of the parent restaurant, which all contexts share, and whose base is
-uniform over the vocabulary and one unknown word. A context is the ending of the word before (its
-last two letters, hashed to ``CONTEXTS`` classes) or the start of the text.
+each table is a customer of the parent restaurant. A context is the whole word before, or the start
+of the text; its parent is the restaurant of that word's ending (its last two letters, hashed to
+``CLASSES`` classes), whose parent is the one all contexts share, whose base is uniform over the
+vocabulary and one unknown word. There are as many restaurants as the corpus has different words.
 
 Seating is sampled by Gibbs: given the parent's predictive probabilities, the number of tables of a
 word in a context has a known distribution, ``S(c, t) a**t`` with generalised Stirling numbers, and
-is drawn anew from it, then the parent's numbers are, given those. Everything about a word stays in
-one shard, and shards need of one another only the sums over a restaurant. The driver keeps these
-sums of each sweep. A shard's state is a function of its counts, the seed and these sums, so no
-sweep is stored: a task replays them. The predictive probabilities of the sweeps after the first
-ones are averaged.
-
-Texts are scored in buckets: a bucket asks the shards for its distinct (context, word) pairs and
-gets their probabilities and counts back.
+is drawn anew from it, then the parent's numbers are, given those. A word that follows a context
+once has one table there, always, so sweeps only draw for pairs seen twice or more.
+
+Words are spread over shards by ranges of their hashes. A word's shard holds the seating of the word
+in all its restaurants; as a context the word has its home in the same shard, which adds up the
+tables of its restaurant. In a sweep every shard sends its tables by context to their homes, and
+the homes send back the totals. Each sweep is a stored table, so none is done twice. The driver sees
+only sums over the classes. What the last sweeps say is averaged: discounted counts, the
+weight a context gives to its parent, and the parent's probabilities.
+
+Texts are scored in buckets: a bucket asks the shards for its distinct pairs, words and contexts.
 """
 
 from __future__ import annotations
@@ -31,26 +35,59 @@ from spreadlake.llm.common import WordHasher, buckets_for, mix, slices, stored,
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Classes of contexts: endings, and the start of a text as the last one. A power of two.
-CONTEXTS = 32
+#: Classes of endings, the parents of the contexts; the start of a text is the last one. A power of two.
+CLASSES = 32
+
+#: Bits of a word's hash that tell contexts apart (words are told apart by all 64).
+CONTEXT_BITS = 35
 
 #: Sweeps of the sampler, and how many of the last ones are averaged.
 SWEEPS, AVERAGED = 5, 3
 
-#: Strength of both levels; discounts follow from how many words were counted once and twice.
+#: Strength of all levels; discounts follow from how many words were counted once and twice.
 STRENGTH = 1.0
 
 #: Customers up to which the number of tables is drawn from its exact distribution.
 EXACT = 40
 
-_END = np.uint64(0x5851F42D4C957F2D) & ~np.uint64(CONTEXTS - 1)
+_END = np.uint64(0x5851F42D4C957F2D)
+_SHIFT, _CLASS_BITS = np.uint64(64 - CONTEXT_BITS), np.uint64(5)
+_START = np.uint64(((0xD1342543DE82EF95 >> (64 - CONTEXT_BITS)) << 5) | (CLASSES - 1))
 _FLUSH = 1 << 21
 
+#: What a parcel holds: counts of a shard, a sweep's seating, tables by context on their way to the
+#: homes, totals on their way back, a home's contexts, their totals in a sweep, questions, answers.
+MODEL, STATE, TABLES, TOTALS, HOME, HOME_TOTALS, ASK, ANSWER = range(8)
+
+PARCEL = "to int, origin int, kind int, sweep int, a binary, b binary, c binary, d binary, stats array<bigint>"
+_TYPES = [pa.int32()] * 4 + [pa.binary()] * 4 + [pa.list_(pa.int64())]
+_NAMES = ["to", "origin", "kind", "sweep", "a", "b", "c", "d", "stats"]
+
+
+def parcels(rows: list[tuple]) -> pa.Table:
+    """Rows of (to, origin, kind, sweep, up to four binaries, stats)."""
+    columns = list(zip(*rows)) if rows else [[]] * 9
+    return pa.table([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+
+
+def parcel(to: int, origin: int, kind: int, sweep: int, *binaries: bytes, stats: list[int] | None = None) -> tuple:
+    return (int(to), int(origin), kind, sweep, *binaries, *[None] * (4 - len(binaries)), stats)
+
+
+def opened(group: pa.Table) -> dict[int, list[dict]]:
+    """Parcels by kind, each kind in order of sweep and origin."""
+    out: dict[int, list[dict]] = {}
+    for row in group.to_pylist():
+        out.setdefault(row["kind"], []).append(row)
+    for rows in out.values():
+        rows.sort(key=lambda r: (r["sweep"], r["origin"]))
+    return out
+
 
-def pair_keys(column: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of all tokens, number of tokens of each text): the word in the upper bits, its context in the lower.
+def word_pairs(column: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words and contexts of all tokens, number of tokens of each text); every text ends in one end token.
 
-    Every text ends in one end token.
+    The lowest bits of a context are the class of its ending.
     """
     hashes, counts = hasher.batch(column)
     n = counts + 1
@@ -58,35 +95,106 @@ def pair_keys(column: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndar
     word = np.full(int(n.sum()), _END, np.uint64)
     inside = np.ones(len(word), bool)
     inside[ends] = False
-    word[inside] = hashes & ~np.uint64(CONTEXTS - 1)
-    context = np.full(len(word), CONTEXTS - 1, np.uint64)
-    ending = mix(hasher.ended.astype(np.uint64)) % np.uint64(CONTEXTS - 1)
-    after = np.flatnonzero(inside) + 1
-    context[after] = ending
-    return word | context, n
+    word[inside] = hashes
+    context = np.full(len(word), _START, np.uint64)
+    ending = mix(hasher.ended.astype(np.uint64)) % np.uint64(CLASSES - 1)
+    context[np.flatnonzero(inside) + 1] = ((hashes >> _SHIFT) << _CLASS_BITS) | ending
+    return word, context, n
+
+
+@dataclass
+class Pairs:
+    """Distinct (word, context) pairs in order: words, contexts per word, contexts, and how often each occurs."""
+
+    words: np.ndarray
+    sizes: np.ndarray
+    contexts: np.ndarray
+    times: np.ndarray
+    place: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, word: np.ndarray, context: np.ndarray, times: np.ndarray | None = None, places: bool = False) -> Pairs:
+        """``places``: also where each given pair is among the distinct ones."""
+        order = np.lexsort((context, word))
+        w, u = word[order], context[order]
+        fresh = np.ones(len(w), bool)
+        other = w[1:] != w[:-1]
+        fresh[1:] = other | (u[1:] != u[:-1])
+        at = np.flatnonzero(fresh)
+        place = None
+        if places:
+            place = np.empty(len(w), np.int64)
+            place[order] = np.cumsum(fresh) - 1
+        if times is not None:
+            counts = np.add.reduceat(times[order], at) if len(at) else np.empty(0, np.int64)
+        else:
+            counts = np.diff(np.append(at, len(w)))
+        w = w[at]
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.empty(0, np.int64)
+        return cls(w[first], np.diff(np.append(first, len(w))), u[at], counts, place)
+
+    def by_shard(self, shards: int):
+        """(shard, its pairs)."""
+        edges = np.concatenate(([0], np.cumsum(self.sizes)))
+        for s, a, b in by_shard(self.words >> _SHIFT, shards):
+            yield s, Pairs(self.words[a:b], self.sizes[a:b], self.contexts[edges[a] : edges[b]], self.times[edges[a] : edges[b]])
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        starts = np.cumsum(self.sizes) - self.sizes
+        steps = self.contexts.copy()
+        steps[1:] -= self.contexts[:-1]
+        steps[starts] = self.contexts[starts]
+        return pack_sorted(self.words), pack_counts(self.sizes), planes(steps, 5)
+
+    @classmethod
+    def unpacked(cls, words: bytes, sizes: bytes, contexts: bytes, times: bytes | None = None) -> Pairs:
+        sizes_, steps = unpack_counts(sizes), unplanes(contexts, 5)
+        starts = np.cumsum(sizes_) - sizes_
+        total = np.cumsum(steps, dtype=np.uint64)
+        total -= np.repeat(total[starts] - steps[starts], sizes_)
+        return cls(unpack_sorted(words), sizes_, total, unpack_counts(times) if times is not None else np.empty(0, np.int64))
+
+    def words_of(self) -> np.ndarray:
+        """The number of each pair's word."""
+        return np.repeat(np.arange(len(self.words)), self.sizes)
+
+    def classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct (word, class) as word number * CLASSES + class, each pair's place among them)."""
+        return np.unique(self.words_of() * CLASSES + (self.contexts % np.uint64(CLASSES)).astype(np.int64), return_inverse=True)
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of 64-bit numbers, byte by byte, which compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def unplanes(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return out.view(np.uint64).ravel()
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences in byte planes, which compress."""
-    return np.diff(values, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted 64-bit numbers as differences."""
+    return planes(np.diff(values, prepend=np.uint64(0)), 8)
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplanes(raw, 8), dtype=np.uint64)
 
 
 def pack_counts(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return planes(values.astype(np.uint64), 6)
 
 
 def unpack_counts(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+    return unplanes(raw, 6).astype(np.int64)
 
 
-def by_shard(keys: np.ndarray, shards: int):
-    """(shard, from, to) of sorted keys; a word's shard is a range of its hash."""
-    bounds = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64) & ~np.uint64(CONTEXTS - 1)
-    edges = np.concatenate(([0], np.searchsorted(keys, bounds), [len(keys)]))
+def by_shard(hashes: np.ndarray, shards: int):
+    """(shard, from, to) of the sorted leading bits of hashes; a shard is a range of them."""
+    bounds = np.array([(s << CONTEXT_BITS) // shards for s in range(1, shards)], np.uint64)
+    edges = np.concatenate(([0], np.searchsorted(hashes, bounds), [len(hashes)]))
     return [(s, a, b) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
 
 
@@ -133,77 +241,124 @@ def draw_tables(c: np.ndarray, a: np.ndarray, discount: float, rng: np.random.Ge
 
 @dataclass
 class Sums:
-    """Sums over all shards: customers and tables per context, and of the parent; discounts in use."""
+    """Sums over all shards after a sweep: customers and tables per class and of the root, the discounts of the three levels."""
 
     customers: np.ndarray
     tables: np.ndarray
-    parent_customers: float
-    parent_tables: float
+    root_customers: float
+    root_tables: float
     discount: float
-    parent_discount: float
+    class_discount: float
+    root_discount: float
+
+    @classmethod
+    def of(cls, stats: list[int]) -> Sums:
+        def discount(once: int, twice: int) -> float:
+            return min(0.95, max(0.05, once / (once + 2 * twice))) if once + twice else 0.5
+
+        k = 2 * CLASSES
+        return cls(
+            np.array(stats[:CLASSES], float), np.array(stats[CLASSES:k], float), float(stats[k]), float(stats[k + 1]),
+            *(discount(*stats[at : at + 2]) for at in (k + 2, k + 4, k + 6)),
+        )
+
+
+N_STATS = 2 * CLASSES + 10
 
 
 class Shard:
-    """The words of one shard: counts per context, and the seating of each sweep."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, number: int, words: int, seed: int = 17):
-        self.keys, self.counts, self.number, self.seed = keys, counts, number, seed
-        self.context = (keys & np.uint64(CONTEXTS - 1)).astype(np.int64)
-        word = keys & ~np.uint64(CONTEXTS - 1)
-        self.first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(keys) else np.empty(0, np.int64)
-        self.words = word[self.first]
-        self.of = np.repeat(np.arange(len(self.first)), np.diff(np.append(self.first, len(keys))))
-        self.base = 1.0 / (words + 1)
-        self.tables = np.ones(len(keys), np.int64)
-        self.parent = np.add.reduceat(self.tables, self.first) if len(keys) else self.tables
-        self.parent_tables = np.ones(len(self.words), np.int64)
-
-    def parent_probability(self, g: Sums) -> np.ndarray:
-        under = STRENGTH + g.parent_customers
-        return (self.parent - g.parent_discount * self.parent_tables) / under + self.unseen(g)
+    """The words of one shard and their seating: tables per pair seen twice or more, per class, and at the root."""
+
+    def __init__(self, pairs: Pairs, number: int, vocabulary: int, seed: int = 17):
+        self.pairs, self.number, self.seed = pairs, number, seed
+        keys, self.of = pairs.classes()
+        self.keys, self.word, self.cls = keys, keys // CLASSES, keys % CLASSES
+        self.active = np.flatnonzero(pairs.times >= 2)
+        self.contexts, self.context = np.unique(pairs.contexts[self.active], return_inverse=True)
+        self.once = np.bincount(self.of[pairs.times == 1], minlength=len(keys))
+        self.base = 1.0 / (vocabulary + 1)
+        self.seat(np.ones(len(self.active), np.int64), np.ones(len(keys), np.int64), np.ones(len(pairs.words), np.int64))
+
+    def seat(self, tables: np.ndarray, class_tables: np.ndarray, root_tables: np.ndarray) -> None:
+        self.tables, self.class_tables, self.root_tables = tables, class_tables, root_tables
+        self.customers = self.once + np.bincount(self.of[self.active], tables, len(self.keys)).astype(np.int64)
+        self.root_customers = np.bincount(self.word, class_tables, len(self.pairs.words)).astype(np.int64)
+
+    def seating(self) -> tuple[bytes, bytes, bytes]:
+        return tuple(pack_counts(t) for t in (self.tables, self.class_tables, self.root_tables))
 
     def unseen(self, g: Sums) -> float:
-        """What the parent gives to any word for tables yet to open."""
-        return (STRENGTH + g.parent_discount * g.parent_tables) / (STRENGTH + g.parent_customers) * self.base
+        """What the root gives to any word for tables yet to open."""
+        return (STRENGTH + g.root_discount * g.root_tables) / (STRENGTH + g.root_customers) * self.base
+
+    def root_probability(self, g: Sums) -> np.ndarray:
+        return (self.root_customers - g.root_discount * self.root_tables) / (STRENGTH + g.root_customers) + self.unseen(g)
 
-    def sweep(self, number: int, g: Sums) -> None:
+    def class_probability(self, g: Sums) -> np.ndarray:
+        seen = (self.customers - g.class_discount * self.class_tables) / (STRENGTH + g.customers[self.cls])
+        return seen + class_weight(g)[self.cls] * self.root_probability(g)[self.word]
+
+    def sweep(self, number: int, g: Sums, totals: np.ndarray) -> None:
+        """Draw all tables anew; ``totals`` has the tables of each of ``contexts``."""
         rng = np.random.default_rng([self.seed, self.number, number])
-        a = (STRENGTH + g.discount * g.tables[self.context]) * self.parent_probability(g)[self.of]
-        self.tables = draw_tables(self.counts, a, g.discount, rng)
-        self.parent = np.add.reduceat(self.tables, self.first) if len(self.first) else self.tables
-        opened = np.full(len(self.words), (STRENGTH + g.parent_discount * g.parent_tables) * self.base)
-        self.parent_tables = draw_tables(self.parent, opened, g.parent_discount, rng)
+        a = (STRENGTH + g.discount * totals[self.context]) * self.class_probability(g)[self.of[self.active]]
+        tables = draw_tables(self.pairs.times[self.active], a, g.discount, rng)
+        self.seat(tables, self.class_tables, self.root_tables)
+        a = (STRENGTH + g.class_discount * g.tables[self.cls]) * self.root_probability(g)[self.word]
+        self.seat(tables, draw_tables(self.customers, a, g.class_discount, rng), self.root_tables)
+        a = np.full(len(self.pairs.words), (STRENGTH + g.root_discount * g.root_tables) * self.base)
+        self.root_tables = draw_tables(self.root_customers, a, g.root_discount, rng)
 
     def stats(self) -> list[int]:
-        tables = np.bincount(self.context, self.tables, CONTEXTS)
-        customers = np.bincount(self.context, self.counts, CONTEXTS)
+        def both(x: np.ndarray) -> list[int]:
+            return [int((x == k).sum()) for k in (1, 2)]
+
+        sums = [np.bincount(self.cls, x, CLASSES).astype(np.int64).tolist() for x in (self.customers, self.class_tables)]
         return [
-            *tables.astype(np.int64).tolist(), *customers.astype(np.int64).tolist(), int(self.parent.sum()), int(self.parent_tables.sum()),
-            *(int((self.counts == k).sum()) for k in (1, 2)), *(int((self.parent == k).sum()) for k in (1, 2)), len(self.words),
-        ]
-
-    def averaged(self, history: list[Sums], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(mean predictive probability, count of the word) of every key asked for; replays all sweeps."""
-        context = (keys & np.uint64(CONTEXTS - 1)).astype(np.int64)
-        word = keys & ~np.uint64(CONTEXTS - 1)
-        pair, pair_known = _find(self.keys, keys)
-        at, known = _find(self.words, word)
-        count = np.zeros(len(keys), np.int64)
-        totals = np.add.reduceat(self.counts, self.first) if len(self.first) else self.counts
-        count[known] = totals[at[known]]
-        mean = np.zeros(len(keys))
-        for k, g in enumerate(history[:-1]):
-            self.sweep(k, g)
-            if k < len(history) - 1 - AVERAGED:
-                continue
-            g = history[k + 1]
-            p0 = np.full(len(keys), self.unseen(g))
-            p0[known] = self.parent_probability(g)[at[known]]
-            under = STRENGTH + g.customers[context]
-            p = (STRENGTH + g.discount * g.tables[context]) / under * p0
-            p[pair_known] += ((self.counts - g.discount * self.tables)[pair[pair_known]]) / under[pair_known]
-            mean += p / AVERAGED
-        return mean, count
+            *sums[0], *sums[1], int(self.root_customers.sum()), int(self.root_tables.sum()), *both(self.pairs.times), *both(self.customers),
+            *both(self.root_customers), int(self.pairs.times.sum()), len(self.pairs.words),
+        ]
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        at, known = _find(self.pairs.words, words)
+        total = np.bincount(self.pairs.words_of(), self.pairs.times, len(self.pairs.words)).astype(np.int64)
+        return np.where(known, total[at] if len(total) else 0, 0)
+
+    def answer(self, asked: Pairs, g: Sums) -> tuple[np.ndarray, np.ndarray]:
+        """(discounted count of each pair asked for, probability its class gives to each of the words' classes)."""
+        at, known = _find(self.pairs.words, asked.words)
+        keys, _ = asked.classes()
+        word, cls = keys // CLASSES, keys % CLASSES
+        root = np.full(len(asked.words), self.unseen(g))
+        root[known] = self.root_probability(g)[at[known]]
+        below = class_weight(g)[cls] * root[word]
+        place, here = _find(self.keys, np.where(known[word], at[word] * CLASSES + cls, -1))
+        seen = self.customers - g.class_discount * self.class_tables
+        below[here] += seen[place[here]] / (STRENGTH + g.customers[cls[here]])
+        tables = np.ones(len(self.pairs.times), np.int64)
+        tables[self.active] = self.tables
+        return np.append(self.pairs.times - g.discount * tables, 0.0)[self._pairs(asked, at, known)], below
+
+    def _pairs(self, asked: Pairs, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Where each pair asked for is among the shard's own; the number of those if it is not."""
+        own, n = self.pairs, len(self.pairs.contexts)
+        word = asked.words_of()
+        both = np.concatenate((own.words_of(), np.where(known, at, len(own.words))[word]))
+        context = np.concatenate((own.contexts, asked.contexts))
+        order = np.lexsort((context, both))
+        same = np.zeros(len(order), bool)
+        same[1:] = (both[order][1:] == both[order][:-1]) & (context[order][1:] == context[order][:-1])
+        hit = same & (order >= n)
+        hit[1:] &= order[:-1] < n
+        out = np.full(len(word), n, np.int64)
+        where = np.flatnonzero(hit)
+        out[order[where] - n] = order[where - 1]
+        return out
+
+
+def class_weight(g: Sums) -> np.ndarray:
+    """What each class gives to the root."""
+    return (STRENGTH + g.class_discount * g.tables) / (STRENGTH + g.customers)
 
 
 def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,65 +368,120 @@ def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, sorted_[at] == wanted
 
 
-def _sums(stats: list[int]) -> Sums:
-    c = CONTEXTS
-    once, twice, parent_once, parent_twice = stats[2 * c + 2 : 2 * c + 6]
-
-    def discount(one: int, two: int) -> float:
-        return min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5
-
-    return Sums(
-        np.array(stats[c : 2 * c], float), np.array(stats[:c], float), float(stats[2 * c]), float(stats[2 * c + 1]),
-        discount(once, twice), discount(parent_once, parent_twice),
-    )
-
-
 def _add_up(df: DataFrame) -> list[int]:
-    n = 2 * CONTEXTS + 7
-    return [int(x or 0) for x in df.agg(*[F.sum(F.col("stats")[i]) for i in range(n)]).first()]
+    return [int(x or 0) for x in df.agg(*[F.sum(F.col("stats")[i]) for i in range(N_STATS)]).first()]
 
 
 def counted(docs: DataFrame, text: str, shards: int) -> DataFrame:
-    """(shard, keys, counts, stats): counts of all (context, word) pairs, a row per shard."""
+    """A parcel of counts per shard: all (context, word) pairs of the texts."""
 
     def send(held):
-        keys, times = np.unique(np.concatenate(held), return_counts=True)
-        parts = by_shard(keys, shards)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([s for s, _, _ in parts], pa.int32()), pa.array([pack_sorted(keys[a:b]) for _, a, b in parts], pa.binary()),
-                pa.array([pack_counts(times[a:b]) for _, a, b in parts], pa.binary()),
-            ],
-            ["shard", "keys", "times"],
-        )
+        pairs = Pairs.of(*(np.concatenate(x) for x in zip(*held)))
+        rows = [parcel(s, 0, MODEL, 0, *p.packed(), pack_counts(p.times)) for s, p in pairs.by_shard(shards)]
+        return parcels(rows).to_batches()
 
     def part(batches):
         hasher, held, size = WordHasher(lower=True, endings=True), [], 0
         for b in slices(batches, 0, 1 << 20):
-            held.append(pair_keys(b.column(0), hasher)[0])
-            size += len(held[-1])
+            held.append(word_pairs(b.column(0), hasher)[:2])
+            size += len(held[-1][0])
             if size >= _FLUSH:
-                yield send(held)
+                yield from send(held)
                 held, size = [], 0
         if size:
-            yield send(held)
+            yield from send(held)
+
+    def merge(group: pa.Table) -> pa.Table:
+        parts = [Pairs.unpacked(r["a"], r["b"], r["c"], r["d"]) for r in group.to_pylist()]
+        word = np.concatenate([np.repeat(p.words, p.sizes) for p in parts])
+        pairs = Pairs.of(word, np.concatenate([p.contexts for p in parts]), np.concatenate([p.times for p in parts]))
+        own = Shard(pairs, 0, 0)
+        return parcels([parcel(group.column("to")[0].as_py(), 0, MODEL, 0, *pairs.packed(), pack_counts(pairs.times), stats=own.stats())])
+
+    return docs.select(F.col(text)).mapInArrow(part, PARCEL).groupBy("to").applyInArrow(merge, PARCEL)
 
-    def merge(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for shard, keys, times in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(shard, []).append((unpack_sorted(keys), unpack_counts(times)))
-        for shard, parts in held.items():
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([t for _, t in parts])).astype(np.int64)
-            stats = Shard(keys, counts, shard, 0).stats()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([pack_sorted(keys)], pa.binary()), pa.array([pack_counts(counts)], pa.binary()), pa.array([stats], pa.list_(pa.int64()))],
-                ["shard", "keys", "counts", "stats"],
-            )
 
-    parts = docs.select(F.col(text)).mapInArrow(part, "shard int, keys binary, times binary")
-    return parts.repartition(shards, "shard").mapInArrow(merge, "shard int, keys binary, counts binary, stats array<bigint>")
+def _shard(boxes: dict[int, list[dict]], number: int, vocabulary: int) -> Shard:
+    rows = boxes.get(MODEL)
+    if not rows:
+        none = np.empty(0, np.uint64)
+        return Shard(Pairs(none, np.empty(0, np.int64), none, np.empty(0, np.int64)), number, vocabulary)
+    return Shard(Pairs.unpacked(*(rows[0][c] for c in "abcd")), number, vocabulary)
+
+
+def _tables_home(own: Shard, sweep: int, shards: int) -> list[tuple]:
+    """A shard's tables by context, addressed to the contexts' homes."""
+    sums = np.bincount(own.context, own.tables, len(own.contexts)).astype(np.int64)
+    return [
+        parcel(home, own.number, TABLES, sweep, pack_sorted(own.contexts[a:b]), pack_counts(sums[a:b]))
+        for home, a, b in by_shard(own.contexts >> _CLASS_BITS, shards)
+    ]
+
+
+def at_home(model: DataFrame, shards: int) -> DataFrame:
+    """Of each home its contexts, with customers and tables of pairs seen once, and the first totals back."""
+
+    def send(batches):
+        for b in batches:
+            for row in b.to_pylist():
+                pairs = Pairs.unpacked(*(row[c] for c in "abcd"))
+                contexts, of = np.unique(pairs.contexts, return_inverse=True)
+                customers = np.bincount(of, pairs.times, len(contexts)).astype(np.int64)
+                once, more = (np.bincount(of[at], minlength=len(contexts)) for at in (pairs.times == 1, pairs.times > 1))
+                rows = []
+                for home, x, y in by_shard(contexts >> _CLASS_BITS, shards):
+                    counts = (pack_counts(v[x:y]) for v in (customers, once, more))
+                    rows.append(parcel(home, row["to"], TABLES, 0, pack_sorted(contexts[x:y]), *counts))
+                yield from parcels(rows).to_batches()
+
+    def settle(group: pa.Table) -> pa.Table:
+        home = group.column("to")[0].as_py()
+        sent = [(r["origin"], unpack_sorted(r["a"]), *(unpack_counts(r[c]) for c in "bcd")) for r in opened(group)[TABLES]]
+        contexts, of = np.unique(np.concatenate([s[1] for s in sent]), return_inverse=True)
+        customers, once, more = (np.bincount(of, np.concatenate([s[i] for s in sent]), len(contexts)).astype(np.int64) for i in (2, 3, 4))
+        rows = [parcel(home, home, HOME, 0, pack_sorted(contexts), pack_counts(customers), pack_counts(once))]
+        for origin, asked, _, _, active in sent:
+            if active.any():
+                at = np.searchsorted(contexts, asked[active > 0])
+                rows.append(parcel(origin, home, TOTALS, 0, pack_counts((once + more)[at])))
+        return parcels(rows)
+
+    return model.mapInArrow(send, PARCEL).groupBy("to").applyInArrow(settle, PARCEL)
+
+
+def swept(model: DataFrame, before: DataFrame, g: Sums, number: int, shards: int, vocabulary: int) -> DataFrame:
+    """One sweep: each shard's new seating, and its tables by context for their homes."""
+
+    def work(group: pa.Table) -> pa.Table:
+        boxes = opened(group)
+        if MODEL not in boxes:
+            return parcels([])
+        own = _shard(boxes, group.column("to")[0].as_py(), vocabulary)
+        for row in boxes.get(STATE, []):
+            own.seat(*(unpack_counts(row[c]) for c in "abc"))
+        totals = [unpack_counts(r["a"]) for r in boxes.get(TOTALS, [])]
+        own.sweep(number, g, np.concatenate(totals) if totals else np.empty(0, np.int64))
+        return parcels([parcel(own.number, own.number, STATE, number, *own.seating(), stats=own.stats()), *_tables_home(own, number, shards)])
+
+    return model.unionByName(before).groupBy("to").applyInArrow(work, PARCEL)
+
+
+def totalled(homes: DataFrame, sent: DataFrame, number: int) -> DataFrame:
+    """Totals of the contexts after a sweep, kept at home and sent to the shards that asked."""
+
+    def work(group: pa.Table) -> pa.Table:
+        boxes = opened(group)
+        home = boxes[HOME][0]
+        contexts, tables = unpack_sorted(home["a"]), unpack_counts(home["c"])
+        asked = []
+        for row in boxes.get(TABLES, []):
+            at = np.searchsorted(contexts, unpack_sorted(row["a"]))
+            tables[at] += unpack_counts(row["b"])
+            asked.append((row["origin"], at))
+        rows = [parcel(home["to"], home["to"], HOME_TOTALS, number, pack_counts(tables))]
+        return parcels(rows + [parcel(origin, home["to"], TOTALS, number, pack_counts(tables[at])) for origin, at in asked])
+
+    return homes.unionByName(sent).groupBy("to").applyInArrow(work, PARCEL)
 
 
 def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -287,20 +497,21 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
     buckets = buckets_for(docs.sparkSession, chars)
     model = stored(counted(docs.filter(taught), text, shards), "lm-counts")
     stats = _add_up(model)
-    words = stats[-1]
-    tokens = sum(stats[CONTEXTS : 2 * CONTEXTS])
-    history = [_sums(stats)]
-
-    def swept(batches):
-        for b in batches:
-            for shard, keys, counts in zip(*(b.column(i).to_pylist() for i in range(3))):
-                own = Shard(unpack_sorted(keys), unpack_counts(counts), shard, words)
-                for k, g in enumerate(history):
-                    own.sweep(k, g)
-                yield pa.RecordBatch.from_arrays([pa.array([own.stats()], pa.list_(pa.int64()))], ["stats"])
-
-    for _ in range(SWEEPS):
-        history.append(_sums(_add_up(model.select("shard", "keys", "counts").mapInArrow(swept, "stats array<bigint>"))))
+    tokens, vocabulary = stats[-2:]
+    history = [Sums.of(stats)]
+
+    homes = stored(at_home(model, shards), "lm-homes")
+    back, kept_at_home = homes.filter(F.col("kind") == TOTALS), homes.filter(F.col("kind") == HOME)
+    seating, states, totals = None, [], []
+    for k in range(SWEEPS):
+        before = back if seating is None else back.unionByName(seating)
+        done = stored(swept(model, before, history[-1], k, shards, vocabulary), "lm-sweep")
+        seating = done.filter(F.col("kind") == STATE)
+        history.append(Sums.of(_add_up(seating)))
+        settled = stored(totalled(kept_at_home, done.filter(F.col("kind") == TABLES), k), "lm-totals")
+        back = settled.filter(F.col("kind") == TOTALS)
+        states.append(seating)
+        totals.append(settled.filter(F.col("kind") == HOME_TOTALS))
 
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *kept)
@@ -314,47 +525,71 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
             of = b.column(bucket_at).to_numpy()
             for bucket in np.unique(of):
                 part = b.filter(pa.array(of == bucket))
-                held.setdefault(int(bucket), []).append(np.unique(pair_keys(part.column(1), hasher)[0]))
-        for bucket, parts in held.items():
-            keys = np.unique(np.concatenate(parts))
-            cut = by_shard(keys, shards)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([s for s, _, _ in cut], pa.int32()), pa.array([bucket] * len(cut), pa.int32()),
-                    pa.array([pack_sorted(keys[x:y]) for _, x, y in cut], pa.binary()),
-                ],
-                ["shard", "bucket", "keys"],
-            )
-
-    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = []
-        own = None
-        wanted = [(b, unpack_sorted(k)) for b, k in zip(asked.column("bucket").to_pylist(), asked.column("keys").to_pylist())]
-        if wanted:
-            number = asked.column("shard")[0].as_py()
-            if held.num_rows:
-                own = Shard(unpack_sorted(held.column("keys")[0].as_py()), unpack_counts(held.column("counts")[0].as_py()), number, words)
-            else:
-                own = Shard(np.empty(0, np.uint64), np.empty(0, np.int64), number, words)
-            every = np.unique(np.concatenate([k for _, k in wanted]))
-            p, c = own.averaged(history, every)
-            for b, k in wanted:
-                at = np.searchsorted(every, k)
-                out.append((number, b, p[at].astype(np.float32).tobytes(), pack_counts(c[at])))
-        columns = list(zip(*out)) if out else [[], [], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "bucket", "p", "c"])
+                p = Pairs.of(*word_pairs(part.column(1), hasher)[:2])
+                held.setdefault(int(bucket), []).append((np.repeat(p.words, p.sizes), p.contexts))
+        for bucket in list(held):
+            pairs = Pairs.of(*(np.concatenate(x) for x in zip(*held.pop(bucket))))
+            contexts = np.unique(pairs.contexts)
+            wanted = {s: pack_sorted(contexts[x:y]) for s, x, y in by_shard(contexts >> _CLASS_BITS, shards)}
+            asked = {s: p.packed() for s, p in pairs.by_shard(shards)}
+            rows = [parcel(s, bucket, ASK, 0, *asked.get(s, (b"", b"", b"")), wanted.get(s, b"")) for s in sorted(asked.keys() | wanted)]
+            yield from parcels(rows).to_batches()
+
+    def answer(group: pa.Table) -> pa.Table:
+        boxes = opened(group)
+        if ASK not in boxes:
+            return parcels([])
+        number = group.column("to")[0].as_py()
+        own = _shard(boxes, number, vocabulary)
+        asked = [Pairs.unpacked(*(r[c] for c in "abc")) for r in boxes[ASK]]
+        every = Pairs.of(np.concatenate([np.repeat(p.words, p.sizes) for p in asked]), np.concatenate([p.contexts for p in asked]), places=True)
+        counts, (keys, _) = own.counts(every.words), every.classes()
+        seen, below, last = np.zeros(len(every.contexts)), np.zeros(len(keys)), history[-AVERAGED:]
+        for i, g in enumerate(last):
+            if STATE in boxes:
+                own.seat(*(unpack_counts(boxes[STATE][i][c]) for c in "abc"))
+            s, b = own.answer(every, g)
+            seen += s / AVERAGED
+            below += b / AVERAGED
+        contexts, share, weight = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+        if HOME in boxes:
+            home = boxes[HOME][0]
+            contexts, share = unpack_sorted(home["a"]), 1 / (STRENGTH + unpack_counts(home["b"]))
+            tables = sum(g.discount * unpack_counts(r["a"]) for g, r in zip(last, boxes[HOME_TOTALS])) / AVERAGED
+            weight = (STRENGTH + tables) * share
+        rows, begin = [], 0
+        for row, p in zip(boxes[ASK], asked):
+            at = every.place[begin : begin + len(p.contexts)]
+            begin += len(at)
+            words = np.searchsorted(every.words, p.words)
+            own_keys, _ = p.classes()
+            at_keys = np.searchsorted(keys, words[own_keys // CLASSES] * CLASSES + own_keys % CLASSES)
+            found, known = _find(contexts, unpack_sorted(row["d"]))
+            both = np.stack((np.full(len(found), 1 / STRENGTH), np.ones(len(found))))
+            both[:, known] = share[found[known]], weight[found[known]]
+            rows.append(
+                parcel(
+                    row["origin"], number, ANSWER, 0, seen[at].astype(np.float32).tobytes(), below[at_keys].astype(np.float32).tobytes(),
+                    pack_counts(counts[words]), both.T.astype(np.float32).tobytes(),
+                )
+            )
+        return parcels(rows)
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        hasher = WordHasher(lower=True, endings=True)
-        parts = group.column("_text").combine_chunks()
-        keys, n = pair_keys(parts.chunk(0) if isinstance(parts, pa.ChunkedArray) and parts.num_chunks else parts, hasher) if group.num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        distinct, at = np.unique(keys, return_inverse=True)
-        got = sorted(zip(answers.column("shard").to_pylist(), answers.column("p").to_pylist(), answers.column("c").to_pylist()))
-        p = np.concatenate([np.frombuffer(x, np.float32) for _, x, _ in got]).astype(float) if got else np.ones(len(distinct))
-        c = np.concatenate([unpack_counts(x) for _, _, x in got]) if got else np.zeros(len(distinct), np.int64)
-        logs = np.log10(np.maximum(p, 1e-45))[at]
-        base = np.log10((c + 0.5) / (tokens + 0.5 * (words + 1)))[at]
-        known = (c > 0)[at]
+        if not group.num_rows:
+            return pa.table([pa.array([], t) for t in kinds_of], names=names_of)
+        word, context, n = word_pairs(group.column("_text").combine_chunks(), WordHasher(lower=True, endings=True))
+        pairs = Pairs.of(word, context, places=True)
+        contexts, of_context = np.unique(pairs.contexts, return_inverse=True)
+        _, of_class = pairs.classes()
+        got = opened(answers)[ANSWER]
+        seen, below = (np.concatenate([np.frombuffer(r[c], np.float32) for r in got]).astype(float) for c in "ab")
+        counts = np.concatenate([unpack_counts(r["c"]) for r in got])[pairs.words_of()]
+        share, weight = np.concatenate([np.frombuffer(r["d"], np.float32) for r in got]).astype(float).reshape(-1, 2).T
+        p = seen * share[of_context] + weight[of_context] * below[of_class]
+        logs = np.log10(np.maximum(p, 1e-45))[pairs.place]
+        base = np.log10((counts + 0.5) / (tokens + 0.5 * (vocabulary + 1)))[pairs.place]
+        known = (counts > 0)[pairs.place]
         of = np.repeat(np.arange(len(n)), n)
         return pa.table(
             [
@@ -362,13 +597,16 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
                 pa.array(np.full(len(n), tokens, np.int64)), pa.array(np.bincount(of, base, len(n))), pa.array(np.bincount(of, logs, len(n))),
                 *(group.column(f"_keep_{c}") for c in keep),
             ],
-            names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", *keep],
-        )
-
-    asked = rows.mapInArrow(ask, "shard int, bucket int, keys binary")
-    state = model.select("shard", "keys", "counts")
-    answers = asked.groupBy("shard").cogroup(state.groupBy("shard")).applyInArrow(answer, "shard int, bucket int, p binary, c binary")
+            names=names_of,
+        )
+
+    names_of = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", *keep]
+    kinds_of = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.null()] * len(keep)
+    held = model.unionByName(kept_at_home)
+    for part in (*states[-AVERAGED:], *totals[-AVERAGED:], rows.mapInArrow(ask, PARCEL)):
+        held = held.unionByName(part)
+    answers = held.groupBy("to").applyInArrow(answer, PARCEL).withColumnRenamed("to", "_bucket")
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.groupBy("_bucket").cogroup(answers.withColumnRenamed("bucket", "_bucket").groupBy("_bucket")).applyInArrow(
+    return rows.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(
         score, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + kinds
     )

@@ -6,6 +6,7 @@ import os
 import random
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -362,25 +363,100 @@ def test_op9_base_score_counts_and_probabilities(docs, none, odd, spark):
     assert {r.score for r in lm.score_texts(docs, F.lit(False)).collect()} == {0.0}
 
 
+def _seated(rng, n_words=40, n_contexts=12):
+    """A shard that holds all words, after a sweep, its sums before and after, and its contexts' tables."""
+    words = np.unique(rng.integers(0, 1 << 63, n_words, dtype=np.uint64))
+    contexts = np.unique(rng.integers(0, 1 << 40, n_contexts, dtype=np.uint64))
+    at = np.flatnonzero(rng.random(n_words * n_contexts) < 0.4)
+    times = rng.choice([1, 1, 1, 2, 3, 60], len(at)).astype(np.int64)
+    own = lm.Shard(lm.Pairs.of(words[at // n_contexts], contexts[at % n_contexts], times), 0, n_words)
+
+    def tables():
+        t = np.ones(len(own.pairs.times), np.int64)
+        t[own.active] = own.tables
+        return t
+
+    def totals(of):
+        return np.array([tables()[own.pairs.contexts == c].sum() for c in of])
+
+    for k in range(3):
+        g = lm.Sums.of(own.stats())
+        own.sweep(k, g, totals(own.contexts))
+    return own, words, contexts, lm.Sums.of(own.stats()), tables()
+
+
 def test_op9_probabilities_of_a_context_add_up_to_one():
-    rng = np.random.default_rng(0)
-    words = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64) & ~np.uint64(lm.CONTEXTS - 1))
-    keys = np.unique(np.concatenate([words[rng.random(40) < 0.5] | np.uint64(c) for c in range(lm.CONTEXTS)]))
-    own = lm.Shard(keys, rng.integers(1, 200, len(keys)), 0, len(np.unique(keys & ~np.uint64(lm.CONTEXTS - 1))))
-    history = [lm._sums(own.stats())]
-    fresh = lambda: lm.Shard(own.keys, own.counts, 0, len(own.words))
-    for _ in range(lm.SWEEPS):
-        s = fresh()
-        for k, g in enumerate(history):
-            s.sweep(k, g)
-        history.append(lm._sums(s.stats()))
-    for c in (0, 5):
-        asked = np.append(own.words, np.uint64(1 << 62) + np.uint64(1 << 40)) | np.uint64(c)
-        order = np.argsort(asked)
-        p, _ = fresh().averaged(history, asked[order])
+    own, words, contexts, g, tables = _seated(np.random.default_rng(0))
+    every = np.sort(np.append(words, np.uint64((1 << 63) + 5)))
+    for c in (*contexts[:4], np.uint64(7)):
+        asked = lm.Pairs.of(every, np.full(len(every), c))
+        seen, below = own.answer(asked, g)
+        mine = own.pairs.contexts == c
+        customers, opened = own.pairs.times[mine].sum(), tables[mine].sum()
+        p = (seen + (lm.STRENGTH + g.discount * opened) * below) / (lm.STRENGTH + customers)
         assert p.sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_op9_predictions_follow_the_restaurants():
+    """Every probability against the three levels written out with dictionaries."""
+    own, words, contexts, g, tables = _seated(np.random.default_rng(3))
+    word_of = own.pairs.words[own.pairs.words_of()]
+    seating = {(int(c), int(w)): (int(n), int(t)) for c, w, n, t in zip(own.pairs.contexts, word_of, own.pairs.times, tables)}
+    class_customers, root_customers = Counter(), Counter()
+    for (c, w), (_, t) in seating.items():
+        class_customers[c % lm.CLASSES, w] += t
+    class_tables = {(int(k), int(own.pairs.words[i])): int(t) for k, i, t in zip(own.cls, own.word, own.class_tables)}
+    for (_, w), t in class_tables.items():
+        root_customers[w] += t
+    root_tables = {int(w): int(t) for w, t in zip(own.pairs.words, own.root_tables)}
+
+    def share(n, t, d, all_n, all_t, below):
+        return (n - d * t + (1 + d * all_t) * below) / (1 + all_n)
+
+    for c in map(int, contexts):
+        for w in map(int, words):
+            k = c % lm.CLASSES
+            p = share(root_customers[w], root_tables.get(w, 0), g.root_discount, sum(root_customers.values()), sum(root_tables.values()), 1 / 41)
+            p = share(
+                class_customers[k, w], class_tables.get((k, w), 0), g.class_discount, sum(n for (x, _), n in class_customers.items() if x == k),
+                sum(t for (x, _), t in class_tables.items() if x == k), p,
+            )
+            n, t = seating.get((c, w), (0, 0))
+            own_n, own_t = (sum(s[i] for (x, _), s in seating.items() if x == c) for i in (0, 1))
+            want = share(n, t, g.discount, own_n, own_t, p)
+            seen, below = own.answer(lm.Pairs.of(np.array([w], np.uint64), np.array([c], np.uint64)), g)
+            assert (seen[0] + (1 + g.discount * own_t) * below[0]) / (1 + own_n) == pytest.approx(want, rel=1e-9)
+
+
+def test_op9_pairs_survive_packing():
+    rng = np.random.default_rng(4)
+    word, context = rng.integers(0, 1 << 64, 50, dtype=np.uint64)[rng.integers(0, 50, 3000)], rng.integers(0, 1 << 40, 3000, dtype=np.uint64)
+    pairs = lm.Pairs.of(word, context, places=True)
+    again = lm.Pairs.unpacked(*pairs.packed(), lm.pack_counts(pairs.times))
+    for field in ("words", "sizes", "contexts", "times"):
+        assert (getattr(again, field) == getattr(pairs, field)).all()
+    assert (np.repeat(pairs.words, pairs.sizes)[pairs.place] == word).all() and (pairs.contexts[pairs.place] == context).all()
+    assert sum(len(p.contexts) for _, p in pairs.by_shard(7)) == len(pairs.contexts)
+
+
+def test_op9_beats_a_bigram_model_on_held_out_texts(spark):
+    """At least as good as interpolated Kneser-Ney on the previous word, per token of texts not learned from."""
+    rng = np.random.default_rng(5)
+    after = rng.integers(0, 300, (300, 4))
+    rows = []
+    for i in range(300):
+        at, line = int(rng.integers(0, 300)), []
+        for _ in range(60):
+            line.append(f"w{at}x{at % 7}")
+            at = int(after[at, rng.integers(0, 4)]) if rng.random() < 0.8 else int(300 * rng.random() ** 2)
+        rows.append((i, " ".join(line)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in lm.score_texts(docs, crc_mod("doc_id", 5) != 1).collect() if brute.fold(r.doc_id, 5) == 1]
+    ours = sum(r.score for r in got) / sum(r.n_tokens for r in got)
+    theirs = brute.kneser_ney([t for i, t in rows if brute.fold(i, 5) != 1], [t for i, t in rows if brute.fold(i, 5) == 1])
+    assert ours >= theirs - 0.02 and ours > sum(r.base_score for r in got) / sum(r.n_tokens for r in got) + 0.3
+
+
 def test_op9_tables_follow_their_distribution():
     d, a, c, n = 0.4, 0.7, 6, 40_000
     drawn = lm.draw_tables(np.full(n, c), np.full(n, a), d, np.random.default_rng(1))
