@@ -1,10 +1,12 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A three-letter sequence is the product of its
+Every letter, of any script, has a random vector of +1 and -1 of its own, made from the hashes of its
+code point. A three-letter sequence is the product of its
 letters' vectors, the first rotated by two places and the second by one, so that order counts. A
 text is the sum of the vectors of its sequences, a language the sum of its texts, each at equal
 weight, and a text is of the language whose vector has the largest cosine with its own. As sums
-are linear, a batch counts its distinct sequences and multiplies the counts with their vectors.
+are linear, a batch counts its distinct sequences and multiplies the counts with their vectors, some
+thousands at a time.
 """
 
 from __future__ import annotations
@@ -16,60 +18,69 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spreadlake.llm.common import slices
+from spreadlake.llm.common import mix, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Dimensions of a vector, and symbols: 0 for what is no letter, a-z, and shared ones for all others.
-DIMENSIONS, SYMBOLS = 512, 64
+#: Dimensions of a vector, a multiple of 64.
+DIMENSIONS = 512
 
-#: Texts multiplied at a time, and bytes of text counted at a time.
-BLOCK, SLICE_BYTES = 256, 1 << 20
+#: Texts multiplied at a time, distinct sequences multiplied at a time, and bytes of text counted at a time.
+BLOCK, SEQUENCES, SLICE_BYTES = 256, 1 << 14, 1 << 20
 
 UNKNOWN = "und"
 
+_POINT_BITS = 21
+
 
 class Profiles:
-    """Letter sequences of texts as counts and as vectors."""
+    """Letter sequences of texts as vectors."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = 3):
-        letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dimensions)).astype(np.float32) * 2 - 1
-        self.places = [np.roll(letters, shift, axis=1) for shift in (2, 1, 0)]
-        self.symbol = np.zeros(sys.maxunicode + 2, np.uint8)
-        is_letter = np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
-        point = np.flatnonzero(is_letter).astype(np.uint64)
-        spread = (point * np.uint64(2654435761) >> np.uint64(8)) % np.uint64(SYMBOLS - 27)
-        self.symbol[point] = 27 + spread
-        self.symbol[97:123] = np.arange(1, 27)
+        self.salt = mix(np.arange(1, dimensions // 64 + 1, dtype=np.uint64) + np.uint64(seed << 32))
+        self.is_letter = np.array([chr(i).isalpha() for i in range(sys.maxunicode + 1)])
+
+    def letters(self, points: np.ndarray) -> np.ndarray:
+        """The vector of each code point: the bits of its hashes as +1 and -1."""
+        bits = np.unpackbits(mix(mix(points.astype(np.uint64))[:, None] ^ self.salt).view(np.uint8), axis=1)
+        return bits.astype(np.float32) * 2 - 1
 
     def sequences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text, code) of every three-symbol sequence around a letter; other characters are one gap."""
         lower = [(t or "").lower() for t in texts]
         joined = "\n" + "\n".join(lower) + "\n"
-        s = self.symbol[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        s = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        s[~self.is_letter[s]] = 0
         of = np.repeat(np.arange(len(lower)), [len(t) + 1 for t in lower])
         of = np.concatenate(([0], of))
         keep = s > 0
         keep[1:] |= s[:-1] > 0
         keep[0] = True
-        s, of = s[keep].astype(np.int32), of[keep]
-        code = (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+        s, of = s[keep], of[keep]
+        code = (s[:-2] << 2 * _POINT_BITS) | (s[1:-1] << _POINT_BITS) | s[2:]
         middle = s[1:-1] > 0
         return of[1:-1][middle], code[middle]
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
-        first, rest = np.divmod(codes, SYMBOLS * SYMBOLS)
-        second, third = np.divmod(rest, SYMBOLS)
-        return self.places[0][first] * self.places[1][second] * self.places[2][third]
-
-    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct codes, texts x codes as counts)."""
+        out, mask = 1, (1 << _POINT_BITS) - 1
+        for shift in (2, 1, 0):
+            points, at = np.unique((codes >> shift * _POINT_BITS) & mask, return_inverse=True)
+            out = out * np.roll(self.letters(points), shift, axis=1)[at]
+        return out
+
+    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(the sum of the vectors of each text's sequences, how many it has)."""
         of, code = self.sequences(texts)
-        seen = np.flatnonzero(np.bincount(code, minlength=SYMBOLS**3))
-        place = np.zeros(SYMBOLS**3, np.int64)
-        place[seen] = np.arange(len(seen))
-        flat = np.bincount(of * len(seen) + place[code], minlength=len(texts) * len(seen))
-        return seen, flat.reshape(len(texts), len(seen)).astype(np.float32)
+        seen, at = np.unique(code, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+        out = np.zeros((len(texts), 64 * len(self.salt)), np.float64)
+        for begin in range(0, len(seen), SEQUENCES):
+            width = min(SEQUENCES, len(seen) - begin)
+            x, y = np.searchsorted(at, (begin, begin + width))
+            counts = np.bincount(of[x:y] * width + at[x:y] - begin, minlength=len(texts) * width).reshape(len(texts), width)
+            out += counts.astype(np.float32) @ self.vectors(seen[begin : begin + width])
+        return out, np.bincount(of, minlength=len(texts))
 
 
 def _blocks(batches, column: int):
@@ -85,13 +96,10 @@ def learn(docs: DataFrame, text: str, lang: str, dimensions: int = DIMENSIONS) -
         own, sums = Profiles(dimensions), {}
         for part in _blocks(batches, 0):
             names = np.array(part.column(1).to_pylist(), object)
-            seen, counts = own.counts(part.column(0).to_pylist())
-            total = counts.sum(axis=1)
-            vectors = own.vectors(seen)
+            vectors, total = own.bundles(part.column(0).to_pylist())
             for name in set(names[total > 0]):
                 at = np.flatnonzero((names == name) & (total > 0))
-                bundle = (counts[at] / total[at, None]).sum(axis=0) @ vectors
-                sums[name] = sums.get(name, 0) + bundle.astype(np.float64)
+                sums[name] = sums.get(name, 0) + (vectors[at] / total[at, None]).sum(axis=0)
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["lang", "v"]
@@ -126,11 +134,11 @@ def identify(
         own, names = Profiles(), sorted(profiles.value)
         matrix = np.array([profiles.value[n] for n in names])
         for part in _blocks(batches, 1):
-            seen, counts = own.counts(part.column(1).to_pylist())
+            vectors, total = own.bundles(part.column(1).to_pylist())
             pred, score = [UNKNOWN] * part.num_rows, np.zeros(part.num_rows)
-            some = np.flatnonzero(counts.any(axis=1)) if names else []
+            some = np.flatnonzero(total) if names else []
             if len(some):
-                v = counts[some] @ own.vectors(seen)
+                v = vectors[some]
                 norm = np.maximum(np.linalg.norm(v, axis=1), 1e-12)
                 cosine = (v @ matrix.T) / norm[:, None]
                 best = cosine.argmax(axis=1)

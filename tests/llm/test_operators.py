@@ -322,12 +322,54 @@ def test_op7_languages_of_held_out_texts(spark, docs, none):
 
 def test_op7_vectors_bind_order():
     own = langid.Profiles()
-    seen, counts = own.counts(["abc", "ABC", "cba", "", "a1b"])
-    v = counts @ own.vectors(seen)
+    v, total = own.bundles(["abc", "ABC", "cba", "", "a1b"])
+    assert total.tolist() == [3, 3, 3, 0, 2]
     cosine = lambda a, b: float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]))
     assert cosine(0, 1) == pytest.approx(1) and abs(cosine(0, 2)) < 0.3 and not v[3].any()
 
 
+def test_op7_every_letter_has_its_own_vector():
+    own = langid.Profiles()
+    v = own.letters(np.array([ord(c) for c in "az\u00e9\u0436\u4e2d\u4e2e\ud55c\ud55d"]))
+    cosine = v @ v.T / v.shape[1]
+    assert (np.abs(cosine - np.eye(len(v))) < 0.25).all() and set(np.unique(v)) == {-1.0, 1.0}
+
+
+def test_op7_matches_a_plain_version(spark):
+    """Three languages in one script of thousands of letters, and one in Latin, against loops over letters."""
+    rng = random.Random(8)
+    scripts = [[chr(0x4E00 + k * 700 + i) for i in range(900)] for k in range(3)] + [list("abcdefghij")]
+    words = [["".join(rng.choice(script) for _ in range(rng.randint(2, 4))) for _ in range(80)] for script in scripts]
+    rows = []
+    for i in range(160):
+        k = rng.randrange(4)
+        rows.append((i, "".join(rng.choice(words[k]) + rng.choice(["", " ", "1"]) for _ in range(rng.randint(20, 60))), f"l{k}", None))
+    got = table_of(langid.identify(frame(spark, rows), crc_mod("doc_id", 4) != 2))
+    own = langid.Profiles()
+
+    def bundle(text):
+        out = np.zeros(langid.DIMENSIONS)
+        line = ["\n", *"".join(c if c.isalpha() else "\n" for c in text.lower()), "\n"]
+        for x in zip(line, line[1:], line[2:]):
+            if x[1] != "\n":
+                a, b, c = (own.letters(np.array([ord(c) if c != "\n" else 0]))[0] for c in x)
+                out += np.roll(a, 2) * np.roll(b, 1) * c
+        return out / sum(c.isalpha() for c in text)
+
+    bundles = {i: bundle(t) for i, t, *_ in rows}
+    profiles = {}
+    for i, _, x, _ in rows:
+        if brute.fold(i, 4) != 2:
+            profiles[x] = profiles.get(x, 0) + bundles[i]
+    for i, _, x, _ in rows:
+        cosines = {k: float(v @ bundles[i] / np.linalg.norm(v) / np.linalg.norm(bundles[i])) for k, v in profiles.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[i].score == pytest.approx(max(cosines[best], 0), abs=1e-5)
+        assert got[i].lang_pred == best or cosines[got[i].lang_pred] == pytest.approx(cosines[best], abs=1e-5)
+    held = [(got[i].lang_pred, x) for i, _, x, _ in rows if brute.fold(i, 4) == 2]
+    assert sum(p == x for p, x in held) >= 0.8 * len(held)
+
+
 def test_op8_removes_what_a_plain_version_removes(docs, none, odd, spark):
     want = brute.without_repeats([(i, t) for i, t, *_ in odd])
     got = table_of(substring.remove_repeats(docs, keep=("lang", "size")))
