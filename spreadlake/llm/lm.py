@@ -57,7 +57,8 @@ _FLUSH = 1 << 21
 
 #: What a parcel holds: counts of a shard, a sweep's seating, tables by context on their way to the
 #: homes, totals on their way back, a home's contexts, their totals in a sweep, questions, answers.
-MODEL, STATE, TABLES, TOTALS, HOME, HOME_TOTALS, ASK, ANSWER = range(8)
+#: Sweeps need less than all counts: the classes of each word, and the pairs seen twice or more.
+MODEL, SEATS, REPEATED, STATE, TABLES, TOTALS, HOME, HOME_TOTALS, ASK, ANSWER = range(10)
 
 PARCEL = "to int, origin int, kind int, sweep int, a binary, b binary, c binary, d binary, stats array<bigint>"
 _TYPES = [pa.int32()] * 4 + [pa.binary()] * 4 + [pa.list_(pa.int64())]
@@ -266,23 +267,33 @@ class Sums:
 N_STATS = 2 * CLASSES + 10
 
 
-class Shard:
-    """The words of one shard and their seating: tables per pair seen twice or more, per class, and at the root."""
+class Seating:
+    """Tables of a shard's words per pair seen twice or more, per class, and at the root.
 
-    def __init__(self, pairs: Pairs, number: int, vocabulary: int, seed: int = 17):
-        self.pairs, self.number, self.seed = pairs, number, seed
-        keys, self.of = pairs.classes()
-        self.keys, self.word, self.cls = keys, keys // CLASSES, keys % CLASSES
-        self.active = np.flatnonzero(pairs.times >= 2)
-        self.contexts, self.context = np.unique(pairs.contexts[self.active], return_inverse=True)
-        self.once = np.bincount(self.of[pairs.times == 1], minlength=len(keys))
+    ``keys`` are word numbers and classes as word * CLASSES + class, ``once`` how many pairs seen once
+    each has, ``repeated`` the other pairs, ``fixed`` what a sweep does not change of ``stats``.
+    """
+
+    def __init__(self, keys: np.ndarray, once: np.ndarray, repeated: Pairs, fixed: list[int], number: int, vocabulary: int, seed: int = 17):
+        self.keys, self.once, self.times, self.fixed, self.number, self.seed = keys, once, repeated.times, fixed, number, seed
+        self.word, self.cls, self.n_words = keys // CLASSES, keys % CLASSES, fixed[-1]
+        own = np.repeat(repeated.words.astype(np.int64), repeated.sizes) * CLASSES + (repeated.contexts % np.uint64(CLASSES)).astype(np.int64)
+        self.key = np.searchsorted(keys, own)
+        self.contexts, self.context = np.unique(repeated.contexts, return_inverse=True)
         self.base = 1.0 / (vocabulary + 1)
-        self.seat(np.ones(len(self.active), np.int64), np.ones(len(keys), np.int64), np.ones(len(pairs.words), np.int64))
+        self.seat(np.ones(len(self.times), np.int64), np.ones(len(keys), np.int64), np.ones(self.n_words, np.int64))
+
+    @classmethod
+    def opened(cls, seats: dict, repeated: dict, number: int, vocabulary: int) -> Seating:
+        sizes = unpack_counts(seats["a"])
+        keys = np.repeat(np.arange(len(sizes)), sizes) * CLASSES + np.frombuffer(seats["b"], np.uint8)
+        pairs = Pairs.unpacked(*(repeated[c] for c in "abcd"))
+        return cls(keys, unpack_counts(seats["c"]), pairs, seats["stats"], number, vocabulary)
 
     def seat(self, tables: np.ndarray, class_tables: np.ndarray, root_tables: np.ndarray) -> None:
         self.tables, self.class_tables, self.root_tables = tables, class_tables, root_tables
-        self.customers = self.once + np.bincount(self.of[self.active], tables, len(self.keys)).astype(np.int64)
-        self.root_customers = np.bincount(self.word, class_tables, len(self.pairs.words)).astype(np.int64)
+        self.customers = self.once + np.bincount(self.key, tables, len(self.keys)).astype(np.int64)
+        self.root_customers = np.bincount(self.word, class_tables, self.n_words).astype(np.int64)
 
     def seating(self) -> tuple[bytes, bytes, bytes]:
         return tuple(pack_counts(t) for t in (self.tables, self.class_tables, self.root_tables))
@@ -301,12 +312,12 @@ class Shard:
     def sweep(self, number: int, g: Sums, totals: np.ndarray) -> None:
         """Draw all tables anew; ``totals`` has the tables of each of ``contexts``."""
         rng = np.random.default_rng([self.seed, self.number, number])
-        a = (STRENGTH + g.discount * totals[self.context]) * self.class_probability(g)[self.of[self.active]]
-        tables = draw_tables(self.pairs.times[self.active], a, g.discount, rng)
+        a = (STRENGTH + g.discount * totals[self.context]) * self.class_probability(g)[self.key]
+        tables = draw_tables(self.times, a, g.discount, rng)
         self.seat(tables, self.class_tables, self.root_tables)
         a = (STRENGTH + g.class_discount * g.tables[self.cls]) * self.root_probability(g)[self.word]
         self.seat(tables, draw_tables(self.customers, a, g.class_discount, rng), self.root_tables)
-        a = np.full(len(self.pairs.words), (STRENGTH + g.root_discount * g.root_tables) * self.base)
+        a = np.full(self.n_words, (STRENGTH + g.root_discount * g.root_tables) * self.base)
         self.root_tables = draw_tables(self.root_customers, a, g.root_discount, rng)
 
     def stats(self) -> list[int]:
@@ -315,10 +326,32 @@ class Shard:
 
         sums = [np.bincount(self.cls, x, CLASSES).astype(np.int64).tolist() for x in (self.customers, self.class_tables)]
         return [
-            *sums[0], *sums[1], int(self.root_customers.sum()), int(self.root_tables.sum()), *both(self.pairs.times), *both(self.customers),
-            *both(self.root_customers), int(self.pairs.times.sum()), len(self.pairs.words),
+            *sums[0], *sums[1], int(self.root_customers.sum()), int(self.root_tables.sum()), *self.fixed[:2], *both(self.customers),
+            *both(self.root_customers), *self.fixed[2:],
         ]
 
+
+class Shard(Seating):
+    """A shard with all its counts."""
+
+    def __init__(self, pairs: Pairs, number: int, vocabulary: int, seed: int = 17):
+        self.pairs = pairs
+        keys, of = pairs.classes()
+        self.active = np.flatnonzero(pairs.times >= 2)
+        word, at = np.unique(pairs.words_of()[self.active], return_counts=True)
+        self.repeated = Pairs(word.astype(np.uint64), at, pairs.contexts[self.active], pairs.times[self.active])
+        fixed = [int((pairs.times == 1).sum()), int((pairs.times == 2).sum()), int(pairs.times.sum()), len(pairs.words)]
+        super().__init__(keys, np.bincount(of[pairs.times == 1], minlength=len(keys)), self.repeated, fixed, number, vocabulary, seed)
+
+    def closed(self, to: int) -> list[tuple]:
+        """The parcels of the shard."""
+        sizes = np.bincount(self.word, minlength=self.n_words)
+        return [
+            parcel(to, 0, MODEL, 0, *self.pairs.packed(), pack_counts(self.pairs.times), stats=self.stats()),
+            parcel(to, 0, SEATS, 0, pack_counts(sizes), self.cls.astype(np.uint8).tobytes(), pack_counts(self.once), stats=self.fixed),
+            parcel(to, 0, REPEATED, 0, *self.repeated.packed(), pack_counts(self.repeated.times)),
+        ]
+
     def counts(self, words: np.ndarray) -> np.ndarray:
         at, known = _find(self.pairs.words, words)
         total = np.bincount(self.pairs.words_of(), self.pairs.times, len(self.pairs.words)).astype(np.int64)
@@ -373,7 +406,7 @@ def _add_up(df: DataFrame) -> list[int]:
 
 
 def counted(docs: DataFrame, text: str, shards: int) -> DataFrame:
-    """A parcel of counts per shard: all (context, word) pairs of the texts."""
+    """All (context, word) pairs of the texts and how often they occur, three parcels per shard."""
 
     def send(held):
         pairs = Pairs.of(*(np.concatenate(x) for x in zip(*held)))
@@ -395,8 +428,7 @@ def counted(docs: DataFrame, text: str, shards: int) -> DataFrame:
         parts = [Pairs.unpacked(r["a"], r["b"], r["c"], r["d"]) for r in group.to_pylist()]
         word = np.concatenate([np.repeat(p.words, p.sizes) for p in parts])
         pairs = Pairs.of(word, np.concatenate([p.contexts for p in parts]), np.concatenate([p.times for p in parts]))
-        own = Shard(pairs, 0, 0)
-        return parcels([parcel(group.column("to")[0].as_py(), 0, MODEL, 0, *pairs.packed(), pack_counts(pairs.times), stats=own.stats())])
+        return parcels(Shard(pairs, 0, 0).closed(group.column("to")[0].as_py()))
 
     return docs.select(F.col(text)).mapInArrow(part, PARCEL).groupBy("to").applyInArrow(merge, PARCEL)
 
@@ -409,7 +441,7 @@ def _shard(boxes: dict[int, list[dict]], number: int, vocabulary: int) -> Shard:
     return Shard(Pairs.unpacked(*(rows[0][c] for c in "abcd")), number, vocabulary)
 
 
-def _tables_home(own: Shard, sweep: int, shards: int) -> list[tuple]:
+def _tables_home(own: Seating, sweep: int, shards: int) -> list[tuple]:
     """A shard's tables by context, addressed to the contexts' homes."""
     sums = np.bincount(own.context, own.tables, len(own.contexts)).astype(np.int64)
     return [
@@ -449,21 +481,19 @@ def at_home(model: DataFrame, shards: int) -> DataFrame:
     return model.mapInArrow(send, PARCEL).groupBy("to").applyInArrow(settle, PARCEL)
 
 
-def swept(model: DataFrame, before: DataFrame, g: Sums, number: int, shards: int, vocabulary: int) -> DataFrame:
+def swept(seats: DataFrame, before: DataFrame, g: Sums, number: int, shards: int, vocabulary: int) -> DataFrame:
     """One sweep: each shard's new seating, and its tables by context for their homes."""
 
     def work(group: pa.Table) -> pa.Table:
         boxes = opened(group)
-        if MODEL not in boxes:
-            return parcels([])
-        own = _shard(boxes, group.column("to")[0].as_py(), vocabulary)
+        own = Seating.opened(boxes[SEATS][0], boxes[REPEATED][0], group.column("to")[0].as_py(), vocabulary)
         for row in boxes.get(STATE, []):
             own.seat(*(unpack_counts(row[c]) for c in "abc"))
         totals = [unpack_counts(r["a"]) for r in boxes.get(TOTALS, [])]
         own.sweep(number, g, np.concatenate(totals) if totals else np.empty(0, np.int64))
         return parcels([parcel(own.number, own.number, STATE, number, *own.seating(), stats=own.stats()), *_tables_home(own, number, shards)])
 
-    return model.unionByName(before).groupBy("to").applyInArrow(work, PARCEL)
+    return seats.unionByName(before).groupBy("to").applyInArrow(work, PARCEL)
 
 
 def totalled(homes: DataFrame, sent: DataFrame, number: int) -> DataFrame:
@@ -495,7 +525,8 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
     chars = total_chars(docs, text)
     shards = 4 * buckets_for(docs.sparkSession, chars, 96_000_000)
     buckets = buckets_for(docs.sparkSession, chars)
-    model = stored(counted(docs.filter(taught), text, shards), "lm-counts")
+    counts = stored(counted(docs.filter(taught), text, shards), "lm-counts")
+    model, seats = counts.filter(F.col("kind") == MODEL), stored(counts.filter(F.col("kind") != MODEL), "lm-seats")
     stats = _add_up(model)
     tokens, vocabulary = stats[-2:]
     history = [Sums.of(stats)]
@@ -505,7 +536,7 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
     seating, states, totals = None, [], []
     for k in range(SWEEPS):
         before = back if seating is None else back.unionByName(seating)
-        done = stored(swept(model, before, history[-1], k, shards, vocabulary), "lm-sweep")
+        done = stored(swept(seats, before, history[-1], k, shards, vocabulary), "lm-sweep")
         seating = done.filter(F.col("kind") == STATE)
         history.append(Sums.of(_add_up(seating)))
         settled = stored(totalled(kept_at_home, done.filter(F.col("kind") == TABLES), k), "lm-totals")

@@ -421,9 +421,13 @@ def _seated(rng, n_words=40, n_contexts=12):
     def totals(of):
         return np.array([tables()[own.pairs.contexts == c].sum() for c in of])
 
+    _, seats, repeated = (dict(zip(lm._NAMES, row)) for row in own.closed(0))
+    less = lm.Seating.opened(seats, repeated, 0, n_words)
     for k in range(3):
         g = lm.Sums.of(own.stats())
+        less.sweep(k, g, totals(own.contexts))
         own.sweep(k, g, totals(own.contexts))
+        assert own.seating() == less.seating() and own.stats() == less.stats()
     return own, words, contexts, lm.Sums.of(own.stats()), tables()
 
 
