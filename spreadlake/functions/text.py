@@ -120,9 +120,15 @@ def row_tokens(line) -> Column:
     return F.filter(F.split(_c(line), r"\s+"), lambda t: t != "")
 
 
+def is_number_token(token: Column) -> Column:
+    """Whether a token is a printed number; the pattern is only tried where its first sign can begin one."""
+    begins = ((token >= "+") & (token < ":")) | ((token >= "\u2010") & (token < "\u2213"))
+    return begins & token.rlike(NUMBER_TOKEN)
+
+
 def label_length(tokens: Column) -> Column:
     """How many leading tokens belong to the label: all up to the last one that is no number."""
-    marks = F.transform(tokens, lambda t, i: F.when(t.rlike(NUMBER_TOKEN), 0).otherwise(i + 1))
+    marks = F.transform(tokens, lambda t, i: F.when(is_number_token(t), 0).otherwise(i + 1))
     return F.coalesce(F.array_max(marks), F.lit(0))
 
 
@@ -136,9 +142,10 @@ def split_row(line) -> tuple[Column, Column]:
 
 def token_value(token) -> Column:
     """The number a token prints, its sign made a plain one and its revision mark taken off."""
-    t = F.regexp_replace(_c(token), r"R$", "")
-    t = F.regexp_replace(t, "^[‐-―−]", "-")
-    return F.regexp_replace(t, r"^\+", "").try_cast("double")
+    t = _c(token)
+    t = F.when(t.endswith("R"), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    first, rest = F.substring(t, 1, 1), F.substring(t, 2, 1 << 30)
+    return F.when(first.isin(*"‐‑‒–—―−"), F.concat(F.lit("-"), rest)).when(first == "+", rest).otherwise(t).try_cast("double")
 
 
 def series_name(*parts) -> Column:

@@ -230,7 +230,7 @@ def _printed_pages(v):
         F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), revised,
     )
     rows = line.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))).alias("r")
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("row")))).alias("r")
     )
     months = F.element_at(F.array(*[F.lit(m) for m in corpus_months]), (F.col("l_orderkey") % 12 + 1).cast("int"))
     head = F.concat(F.lit("Monthly Report, "), months, F.lit(" "), (2000 + F.col("l_orderkey") % 20).cast("string"))
@@ -248,7 +248,7 @@ corpus_months = ["January", "February", "March", "April", "May", "June", "July",
       count(*) filter (where l_linenumber % 2 = 0) revised
     from lineitem join part on p_partkey = l_partkey group by 1""")
 def a09(v):
-    rows = corpus.table_rows(_printed_pages(v), "l_orderkey", "body").filter(F.size("values") == 2)
+    rows = corpus.table_rows(_printed_pages(v), "l_orderkey", "body").filter("numbers = 2")
     return rows.groupBy("label_key").agg(
         F.count("*").alias("rows"), F.sum(F.col("values")[0]).alias("first_sum"), F.sum(F.col("values")[1]).alias("second_sum"),
         F.count_if("revised").alias("revised"),

@@ -59,34 +59,42 @@ def rank_captures(
     ).drop("_alt")
 
 
+def _read_lines(docs: DataFrame, doc: str, body: str) -> DataFrame:
+    """Every line of every text with its tokens and how many of them are its label.
+
+    What a function over an array binds is computed once, while a column that several others use is
+    computed again for each of them where the optimizer merges the steps.
+    """
+    tokens = F.transform(F.split(body, "\n"), lambda x: text.row_tokens(x))
+    cut = F.transform(tokens, lambda t: F.struct(t.alias("tokens"), text.label_length(t).alias("cut")))
+    lines = docs.select(doc, F.posexplode(cut).alias("line", "_l"))
+    return lines.select(doc, "line", F.col("_l.tokens").alias("_t"), F.col("_l.cut").alias("_cut"))
+
+
 def printed_lines(docs: DataFrame, doc: str, body: str) -> DataFrame:
     """Every line of every text with what it is: ``row``, or why it is none.
 
     A row has a label and numbers behind it. ``blank`` has nothing, ``no_label`` numbers only,
     ``number_inside`` numbers before its last word only and ``no_number`` none at all.
     """
-    lines = docs.select(doc, F.posexplode(F.split(body, "\n")).alias("line", "_line"))
-    tokens = lines.select(doc, "line", text.row_tokens("_line").alias("_t"))
-    cut = tokens.withColumn("_cut", text.label_length(F.col("_t")))
     kind = (
         F.when(F.size("_t") == 0, "blank").when(F.col("_cut") == 0, "no_label").when(F.col("_cut") < F.size("_t"), "row")
-        .when(F.exists("_t", lambda t: t.rlike(text.NUMBER_TOKEN)), "number_inside").otherwise("no_number")
+        .when(F.exists("_t", text.is_number_token), "number_inside").otherwise("no_number")
     )
-    return cut.withColumn("kind", kind)
+    return _read_lines(docs, doc, body).withColumn("kind", kind)
 
 
 def table_rows(docs: DataFrame, doc: str, body: str) -> DataFrame:
-    """Printed rows of every text: line number, label, folded key and numeric tokens."""
-    # only a line that ends in a digit or a revision mark can hold a row
-    likely = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[0-9]R?\s*$"))
-    some = docs.filter(F.size(likely) > 0)
-    cut = printed_lines(some, doc, body).filter("kind = 'row'")
-    numbers = F.slice("_t", F.col("_cut") + 1, F.size("_t") - F.col("_cut"))
-    label = F.array_join(F.slice("_t", F.lit(1), F.col("_cut")), " ")
-    return cut.select(
-        doc, "line", label.alias("label"), text.label_key(label).alias("label_key"),
+    """Printed rows of every text: line number, label, folded key, numeric tokens and how many these are."""
+    rows = _read_lines(docs, doc, body).filter("_cut > 0 and _cut < size(_t)")
+    label, count = F.slice("_t", F.lit(1), F.col("_cut")), F.size("_t") - F.col("_cut")
+    numbers = F.slice("_t", F.col("_cut") + 1, count)
+    return rows.select(
+        doc, "line", F.array_join(label, " ").alias("label"),
+        # tokens hold no white space, so joined by nothing they are the folded label
+        F.lower(F.array_join(label, "")).alias("label_key"),
         F.transform(numbers, lambda t: text.token_value(t)).alias("values"),
-        F.exists(numbers, lambda t: t.endswith("R")).alias("revised"),
+        F.exists(numbers, lambda t: t.endswith("R")).alias("revised"), count.alias("numbers"),
     )
 
 

@@ -17,6 +17,14 @@ def test_lines_say_why_they_are_no_rows(spark):
     assert rows[5]["values"] == [-3.0] and rows[5].revised
 
 
+def test_tokens_of_a_line_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "Oil 1 –2.5R\nOil +3R ‐4\nFuel\u20113 7\n–5 6")], "doc int, body string")
+    rows = corpus.table_rows(docs, "doc", "body").filter("numbers = 2")
+    assert [r["values"] for r in rows.orderBy("line").collect()] == [[1.0, -2.5], [3.0, -4.0]]
+    plan = rows.groupBy("label_key").agg(F.sum(F.col("values")[0]), F.count_if("revised"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # lines, and tokens of a line
+
+
 def test_html_tables(spark):
     page = """<table><!-- <tr><td>hidden</td><td>1</td></tr> --><TR class="h"><th>Grade<th>May<th>June
       <tr><td>Gas&nbsp;oil <b>&amp; co</b></td><td> 1,200.5</td><td>-3</td></tr>
