@@ -39,7 +39,8 @@ TRIALS, SIDES, TILE = 4, 64, 512
 #: Labels are broadcast up to so many; beyond, the join is left to the optimizer.
 BROADCAST_LABELS = 50_000
 
-_ROW = "pass int, label string, dim int, key bigint, id bigint, v array<double>"
+#: A row of a pass; the vector travels as the bytes of its doubles.
+_ROW = "pass int, label string, dim int, key bigint, id bigint, v binary"
 
 
 def passes_for(largest: int, threshold: float, window: int = WINDOW, missed: float = MISSED) -> int:
@@ -58,18 +59,40 @@ def passes_of_sides(sides: float, threshold: float, missed: float = MISSED) -> f
     return 1 if met > 1 - missed else math.ceil(math.log(missed) / math.log1p(-met))
 
 
-def _keys(rows: list, dim: np.ndarray, number: int, seed: int, planes: dict) -> np.ndarray:
+def _by_dim(lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their vectors as a matrix) for each number of components in a column of lists without nulls."""
+    flat, off = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+    off = off - off[0]
+    dim = np.diff(off)
+    return [(at, flat[off[at][:, None] + np.arange(d)]) for d in np.unique(dim) for at in [np.flatnonzero(dim == d)]]
+
+
+def _keys(vectors: list[tuple[np.ndarray, np.ndarray]], n: int, number: int, seed: int, planes: dict) -> np.ndarray:
     """Sides of each vector in one pass, the first one in the highest bit, as numbers in order."""
-    key = np.zeros(len(dim), np.uint64)
-    for d in np.unique(dim):
-        at = np.flatnonzero(dim == d)
+    key = np.zeros(n, np.uint64)
+    for at, v in vectors:
+        d = v.shape[1]
         if (number, d) not in planes:
-            planes[number, d] = np.random.default_rng([seed, number, int(d)]).standard_normal((int(d), SIDES))
-        side = np.array([rows[k] for k in at]) @ planes[number, d] > 0
-        key[at] = np.packbits(side, axis=1).view(">u8").ravel()
+            planes[number, d] = np.random.default_rng([seed, number, d]).standard_normal((d, SIDES))
+        key[at] = np.packbits(v @ planes[number, d] > 0, axis=1).view(">u8").ravel()
     return (key ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def _stretches(batches):
+    """((pass, label, dim), rows) of each stretch of a sorted stream that lies in one batch."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        fresh = np.zeros(b.num_rows, bool)
+        fresh[0] = True
+        for column in (b.column(0), b.column(1).dictionary_encode().indices, b.column(2)):
+            x = column.to_numpy()
+            fresh[1:] |= x[1:] != x[:-1]
+        at = np.append(np.flatnonzero(fresh), b.num_rows).tolist()
+        for begin, end in zip(at[:-1], at[1:]):
+            yield tuple(b.column(i)[begin].as_py() for i in range(3)), b.slice(begin, end - begin)
+
+
 def shared_sides(keys: np.ndarray, window: int) -> int:
     """The most leading sides, and one, that two of the sorted keys ``window`` places apart share."""
     if len(keys) <= window:
@@ -89,10 +112,11 @@ def sides_measured(vectors: DataFrame, window: int, seed: int = 9) -> DataFrame:
     def keyed(batches):
         planes: dict = {}
         for b in batches:
-            dim, rows = b.column(1).to_numpy(), b.column(2).to_pylist()
+            n, rows = b.num_rows, _by_dim(b.column(2))
             for p in range(TRIALS):
-                key = _keys(rows, dim, p, seed, planes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(dim), p, np.int32)), b.column(0), b.column(1), pa.array(key)], ["pass", "label", "dim", "key"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, p, np.int32)), b.column(0), b.column(1), pa.array(_keys(rows, n, p, seed, planes))], ["pass", "label", "dim", "key"]
+                )
 
     def longest(batches):
         """The sides of each label's stretch in one range, and its first and last keys."""
@@ -100,17 +124,16 @@ def sides_measured(vectors: DataFrame, window: int, seed: int = 9) -> DataFrame:
         out: list[tuple] = []
 
         def done():
-            keys = np.array(held[1], np.int64)
+            keys = np.concatenate(held[1])
             ends = keys if len(keys) <= 2 * window else np.concatenate((keys[:window], keys[-window:]))
             out.append((*held[0], shared_sides(keys, window), ends.tolist()))
 
-        for b in batches:
-            for *group, key in zip(*(c.to_pylist() for c in b.columns)):
-                if held[0] != group:
-                    if held[0]:
-                        done()
-                    held = (group, [])
-                held[1].append(key)
+        for group, rows in _stretches(batches):
+            if held[0] != group:
+                if held[0]:
+                    done()
+                held = (group, [])
+            held[1].append(rows.column(3).to_numpy())
         if held[0]:
             done()
             types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
@@ -164,90 +187,77 @@ def met_in_blocks(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
     return cut.select("label", "dim", "id", "v", "_lo", "_hi", group.alias("_group")).groupBy("_group").applyInPandas(compare, "a bigint, b bigint")
 
 
-def _roots(near: np.ndarray) -> np.ndarray:
-    """Smallest member of each row's component in a symmetric matrix of links."""
-    root = np.arange(len(near))
-    near = near | np.eye(len(near), dtype=bool)
-    while True:
-        low = np.where(near, root[None, :], len(near)).min(axis=1)
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
-def _united(group: np.ndarray, ids: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(id, id) of a tree over each set of vectors of one group that links connect."""
-    near = (v @ v.T >= threshold) & (group[:, None] == group[None, :])
-    root = _roots(near)
-    own = np.flatnonzero(root != np.arange(len(root)))
-    return ids[own], ids[root[own]]
-
-
 def met_in_passes(vectors: DataFrame, threshold: float, window: int, seed: int = 9) -> DataFrame:
     """(a, b): trees over the vectors that the passes unite; ``vectors`` has label, dim, id, v and its label's passes."""
 
     def keyed(batches):
         planes: dict = {}
         for b in batches:
-            passes = b.column(4).to_numpy()
+            passes, rows = b.column(4).to_numpy(), _by_dim(b.column(3))
+            raw: list = [b""] * b.num_rows
+            for at, v in rows:
+                for k, x in zip(at.tolist(), v):
+                    raw[k] = x.tobytes()
+            packed = pa.array(raw, pa.binary())
             for p in range(int(passes.max()) if len(passes) else 0):
-                part = b.filter(pa.array(passes > p))
-                key = _keys(part.column(3).to_pylist(), part.column(1).to_numpy(), p, seed, planes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), p, np.int32)), part.column(0), part.column(1), pa.array(key), part.column(2), part.column(3)],
-                    ["pass", "label", "dim", "key", "id", "v"],
-                )
+                key, mine = pa.array(_keys(rows, b.num_rows, p, seed, planes)), pa.array(passes > p)
+                columns = [pa.array(np.full(b.num_rows, p, np.int32)), b.column(0), b.column(1), key, b.column(2), packed]
+                yield pa.RecordBatch.from_arrays(columns, ["pass", "label", "dim", "key", "id", "v"]).filter(mine)
 
     def compared(batches):
         """Links of one range, and its first and last rows for the ranges beside it."""
         part = TaskContext.get().partitionId()
-        held: list[tuple] = []
-        begun = False
-
-        def out(a, b, edge=None, rows=()):
-            n, m = len(a), len(rows)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*a, *[r[3] for r in rows]], pa.int64()), pa.array([*b, *[None] * m], pa.int64()),
-                    pa.array([None] * n + [edge] * m, pa.int64()),
-                    pa.array([None] * n + ["/".join(map(str, r[:3])) for r in rows], pa.string()),
-                    pa.array([None] * n + [r[4] for r in rows], pa.list_(pa.float64())),
-                ],
-                ["a", "b", "edge", "place", "v"],
-            )
-
-        def link(rows):
-            codes: dict[tuple, int] = {}
-            group = np.array([codes.setdefault(r[:3], len(codes)) for r in rows])
-            found = [[], []]
-            for d in {r[2] for r in rows}:
-                at = [k for k, r in enumerate(rows) if r[2] == d]
-                a, b = _united(group[at], np.array([rows[k][3] for k in at]), np.array([rows[k][4] for k in at]), threshold)
-                found[0].extend(a.tolist())
-                found[1].extend(b.tolist())
-            return out(*found)
-
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5)]
-            held += zip(*columns)
-            if not begun and len(held) >= window:
-                begun = True
-                yield out((), (), part, held[:window])
-            while len(held) >= 2 * window:
-                yield link(held[: 2 * window])
-                held = held[window:]
-        if held:
-            if not begun:
-                yield out((), (), part, held)
-            yield link(held)
-            yield out((), (), part + 1, held[-window:])
+        group, first = None, True  # of the rows held; whether the range's first rows are still to be sent
+        ids, v = np.empty(0, np.int64), np.empty((0, 0))
+
+        def links(found: list[tuple]):
+            a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.string(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], ["a", "b", "edge", "place", "v"])
+
+        def edge(number: int, ids: np.ndarray, v: np.ndarray):
+            n, place = len(ids), "/".join(map(str, group))
+            columns = [pa.array(ids), pa.nulls(n, pa.int64()), pa.array(np.full(n, number, np.int64)), pa.array([place] * n), pa.array([x.tobytes() for x in v], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "edge", "place", "v"])
+
+        def windows(last: bool) -> tuple[int, list[tuple]]:
+            """Rows done with, and the links of the windows over the rows held."""
+            at, found = 0, []
+            while len(ids) - at >= 2 * window:
+                found.append(_linked_rows(ids[at : at + 2 * window], v[at : at + 2 * window], threshold, window))
+                at += window
+            if last:
+                found.append(_linked_rows(ids[at:], v[at:], threshold, len(ids) - at))
+            return at, found
+
+        for fresh, rows in _stretches(batches):
+            if group != fresh:
+                if group:
+                    if first:
+                        yield edge(part, ids[:window], v[:window])
+                        first = False
+                    yield links(windows(True)[1])
+                group, ids, v = fresh, np.empty(0, np.int64), np.empty((0, fresh[2]))
+            bytes_ = b"".join(rows.column(5).to_pylist())
+            ids, v = np.concatenate((ids, rows.column(4).to_numpy())), np.concatenate((v, np.frombuffer(bytes_).reshape(-1, fresh[2])))
+            if first and len(ids) >= window:
+                yield edge(part, ids[:window], v[:window])
+                first = False
+            done, found = windows(False)
+            if found:
+                yield links(found)
+                ids, v = ids[done:], v[done:]
+        if group:
+            if first:
+                yield edge(part, ids, v)
+            yield links(windows(True)[1])
+            yield edge(part + 1, ids[-window:], v[-window:])
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         found = [[], []]
-        for d, rows in pdf.groupby(pdf.v.map(len)):
-            group = pd.factorize(rows.place)[0]
-            a, b = _united(group, rows.a.to_numpy(), np.array(rows.v.tolist()), threshold)
+        for _, rows in pdf.groupby("place"):
+            v = np.frombuffer(b"".join(rows.v)).reshape(len(rows), -1)
+            a, b = _linked_rows(rows.a.to_numpy(np.int64), v, threshold, len(rows))
             found[0].extend(a)
             found[1].extend(b)
         return pd.DataFrame({"a": np.array(found[0], np.int64), "b": np.array(found[1], np.int64)})
@@ -256,11 +266,19 @@ def met_in_passes(vectors: DataFrame, threshold: float, window: int, seed: int =
     n = max(partitions(vectors.sparkSession), 1)
     order = ["pass", "label", "dim", "key", "id"]
     ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    made = stored(ranged.mapInArrow(compared, "a bigint, b bigint, edge bigint, place string, v array<double>"), "neardup-passes")
+    made = stored(ranged.mapInArrow(compared, "a bigint, b bigint, edge bigint, place string, v binary"), "neardup-passes")
     at_edges = made.filter("edge is not null").groupBy("edge").applyInPandas(across, "a bigint, b bigint")
     return made.filter("edge is null").select("a", "b").unionByName(at_edges).distinct()
 
 
+def _linked_rows(ids: np.ndarray, v: np.ndarray, threshold: float, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, id) of a tree over each set of vectors connected by links of the ``first`` ones."""
+    a, b = np.nonzero(v[:first] @ v.T >= threshold)
+    root = _joined(np.arange(len(ids)), a, b)
+    own = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[own], ids[root[own]]
+
+
 def link_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """(id, links): copies of other vectors linked to each; ``members`` has component, id, copies, v.
 
@@ -326,8 +344,14 @@ def near_vectors(
 
     def unit(batches):
         for b in batches:
-            v = [(x / np.linalg.norm(x)).tolist() for x in (np.array(y) / np.abs(y).max() for y in b.column(6).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), pa.array(v, pa.list_(pa.float64()))], b.schema.names)
+            lists = b.column(6)
+            out = np.empty(len(lists.flatten()))
+            off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            for at, v in _by_dim(lists):
+                v = v / np.abs(v).max(axis=1, keepdims=True)
+                out[off[at][:, None] + np.arange(v.shape[1])] = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+            made = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), made], b.schema.names)
 
     heads = heads.select(*same, "id", "copies", "v")
     heads = stored(heads.mapInArrow(unit, heads.schema), "neardup-heads")

@@ -168,6 +168,34 @@ def test_op3_passes_grow_with_the_largest_label():
     assert neardup.passes_for(100, 0.93) == 1 < neardup.passes_for(5_000, 0.93) < neardup.passes_for(10_000_000, 0.93)
 
 
+def test_op3_keys_and_windows_read_columns_of_mixed_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [rng.standard_normal(d) for d in (3, 16, 3, 5, 16, 16, 3)]
+    lists = pa.array([x.tolist() for x in rows], pa.list_(pa.float64()))[2:]
+    read = {int(k): x for at, v in neardup._by_dim(lists) for k, x in zip(at, v)}
+    assert len(read) == 5 and all((read[k] == rows[k + 2]).all() for k in read)
+    keys = neardup._keys(neardup._by_dim(lists), 5, 1, 9, {})
+    for k, x in enumerate(rows[2:]):
+        sides = x @ np.random.default_rng([9, 1, len(x)]).standard_normal((len(x), 64)) > 0
+        assert int(keys[k]) + 2**63 == int("".join("01"[int(s)] for s in sides), 2)
+    # a window as wide as the label meets all its pairs, however the sorted rows fall into batches and ranges
+    v = rng.standard_normal((60, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(str(i % 2), 4, i, x.tolist(), 2) for i, x in enumerate(v)], "label string, dim int, id bigint, v array<double>, passes int")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        met = neardup.met_in_passes(df, 0.8, 30).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got, want = list(range(60)), list(range(60))
+    for group, links in ((got, [(r.a, r.b) for r in met]), (want, [(i, j) for i in range(60) for j in range(i) if (i - j) % 2 == 0 and v[i] @ v[j] >= 0.8])):
+        for i, j in links:
+            x, y = group[i], group[j]
+            group[:] = [min(x, y) if z in (x, y) else z for z in group]
+    assert got == want
+
+
 def test_op3_meets_pairs_in_a_cone_and_in_a_dense_cluster(spark):
     rng, d = np.random.default_rng(4), 32
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
