@@ -133,7 +133,8 @@ def swapped(v):
     wide = v.spreads.groupBy("m").agg(
         F.max(F.when(F.col("product") == "LARGE", F.col("spread"))).alias("h"),
         F.max(F.when(F.col("product") == "SMALL", F.col("spread"))).alias("x"),
-    )
+        F.count_if(F.col("product").isin("LARGE", "SMALL")).alias("rows"),
+    ).filter("rows = 2").drop("rows")  # both products have a row in the month, be its value missing or not
     return vintage.substitute_disputed(wide, "h", "x")
 
 

@@ -186,7 +186,7 @@ def g03(v):
 @query("g04_peak_month", "product at:date value:num", """
     select product, m as at, spread as value from spreads where spread is not null qualify row_number() over (partition by product order by spread desc, m) = 1""")
 def g04(v):
-    return ranking.extreme(v.spreads, ["product"], "spread", "m")
+    return ranking.extreme(v.spreads.filter("spread is not null"), ["product"], "spread", "m")
 
 
 @query("g05_latest_observed", "product rank:int m:date v:num", """
