@@ -32,11 +32,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: the cut in lineage that outlives executors."""
-    path = shared_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Lets a finished write drop the shuffle files it was made from.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: the cut in lineage that outlives executors.
+
+    The shuffles behind it go with the write: nothing reads them again, and kept until the driver
+    happens to collect its garbage they would fill the disks. Rows that differ in ``folders`` lie
+    apart, so that a filter on these columns reads its own only.
+    """
+    path, conf = shared_dir(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        write = df.write.mode("overwrite")
+        (write.partitionBy(*folders) if folders else write).parquet(path)
+    finally:
+        if before is None:
+            conf.unset(_CLEANUP)
+        else:
+            conf.set(_CLEANUP, before)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    return read.select(*df.columns) if folders else read
+
+
+def forget(df: DataFrame, but: str = "") -> None:
+    """Delete a stored frame that nothing reads any more; files whose path holds ``but`` stay."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if not but or but not in f}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spreadlake.llm.common import WordHasher, buckets_for, mix, slices, stored, total_chars
+from spreadlake.llm.common import WordHasher, buckets_for, forget, mix, slices, stored, total_chars
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -55,6 +55,9 @@ _SHIFT, _CLASS_BITS = np.uint64(64 - CONTEXT_BITS), np.uint64(5)
 _START = np.uint64(((0xD1342543DE82EF95 >> (64 - CONTEXT_BITS)) << 5) | (CLASSES - 1))
 _FLUSH = 1 << 21
 
+#: Groups of shards whose pairs a task sorts one after the other, which bounds its memory.
+GROUPS = 8
+
 #: What a parcel holds: counts of a shard, a sweep's seating, tables by context on their way to the
 #: homes, totals on their way back, a home's contexts, their totals in a sweep, questions, answers.
 #: Sweeps need less than all counts: the classes of each word, and the pairs seen twice or more.
@@ -164,15 +167,26 @@ class Pairs:
         return np.unique(self.words_of() * CLASSES + (self.contexts % np.uint64(CLASSES)).astype(np.int64), return_inverse=True)
 
 
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bytes of 64-bit numbers, byte by byte, which compress."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+def planes(values: np.ndarray, width: int, size: int = 8) -> bytes:
+    """The lowest ``width`` bytes of numbers of ``size`` bytes, byte by byte and compressed, behind their raw length."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T[:width].tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
 
 
-def unplanes(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
+def unplanes(packed: bytes, width: int, size: int = 8) -> np.ndarray:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if packed else b""
+    out = np.zeros((len(raw) // width, size), np.uint8)
     out[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, -1).T
-    return out.view(np.uint64).ravel()
+    return out.view(np.uint64 if size == 8 else np.uint32).ravel()
+
+
+def pack_floats(values: np.ndarray) -> bytes:
+    """Numbers in single precision."""
+    return planes(np.ascontiguousarray(values, np.float32), 4, 4)
+
+
+def unpack_floats(raw: bytes) -> np.ndarray:
+    return unplanes(raw, 4, 4).view(np.float32).astype(float)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -199,6 +213,12 @@ def by_shard(hashes: np.ndarray, shards: int):
     return [(s, a, b) for s, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
 
 
+def shard_groups(words: np.ndarray, shards: int) -> np.ndarray:
+    """The group of neighbouring shards each word is in, so that pairs are sorted a group at a time."""
+    edges = [(s << CONTEXT_BITS) // shards for s in sorted({k * shards // GROUPS for k in range(1, GROUPS)} - {0})]
+    return np.searchsorted(np.array(edges, np.uint64) << _SHIFT, words, "right").astype(np.uint8)
+
+
 def stirling(discount: float, most: int = EXACT) -> np.ndarray:
     """log S(c, t) for c and t up to ``most``: S(c + 1, t) = S(c, t - 1) + (c - t * discount) S(c, t)."""
     s = np.full((most + 1, most + 1), -np.inf)
@@ -409,9 +429,13 @@ def counted(docs: DataFrame, text: str, shards: int) -> DataFrame:
     """All (context, word) pairs of the texts and how often they occur, three parcels per shard."""
 
     def send(held):
-        pairs = Pairs.of(*(np.concatenate(x) for x in zip(*held)))
-        rows = [parcel(s, 0, MODEL, 0, *p.packed(), pack_counts(p.times)) for s, p in pairs.by_shard(shards)]
-        return parcels(rows).to_batches()
+        word, context = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        of = shard_groups(word, shards)
+        for k in range(GROUPS):
+            pairs = Pairs.of(word[of == k], context[of == k])
+            rows = [parcel(s, 0, MODEL, 0, *p.packed(), pack_counts(p.times)) for s, p in pairs.by_shard(shards)]
+            yield from parcels(rows).to_batches()
 
     def part(batches):
         hasher, held, size = WordHasher(lower=True, endings=True), [], 0
@@ -525,8 +549,8 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
     chars = total_chars(docs, text)
     shards = 4 * buckets_for(docs.sparkSession, chars, 96_000_000)
     buckets = buckets_for(docs.sparkSession, chars)
-    counts = stored(counted(docs.filter(taught), text, shards), "lm-counts")
-    model, seats = counts.filter(F.col("kind") == MODEL), stored(counts.filter(F.col("kind") != MODEL), "lm-seats")
+    counts = stored(counted(docs.filter(taught), text, shards), "lm-counts", "kind")
+    model, seats = counts.filter(F.col("kind") == MODEL), counts.filter(F.col("kind") != MODEL)
     stats = _add_up(model)
     tokens, vocabulary = stats[-2:]
     history = [Sums.of(stats)]
@@ -544,6 +568,11 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
         states.append(seating)
         totals.append(settled.filter(F.col("kind") == HOME_TOTALS))
 
+    # what only the sweeps read
+    for early in (*states[:-AVERAGED], *totals[:-AVERAGED]):
+        forget(early)
+    forget(counts, f"/kind={MODEL}/")
+
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *kept)
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(buckets)).cast("int"))
@@ -559,10 +588,15 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
                 p = Pairs.of(*word_pairs(part.column(1), hasher)[:2])
                 held.setdefault(int(bucket), []).append((np.repeat(p.words, p.sizes), p.contexts))
         for bucket in list(held):
-            pairs = Pairs.of(*(np.concatenate(x) for x in zip(*held.pop(bucket))))
-            contexts = np.unique(pairs.contexts)
+            word, context = (np.concatenate(x) for x in zip(*held.pop(bucket)))
+            of = shard_groups(word, shards)
+            asked = {}
+            for k in range(GROUPS):
+                asked |= {s: p.packed() for s, p in Pairs.of(word[of == k], context[of == k]).by_shard(shards)}
+            del word, of
+            contexts = np.unique(context)
+            del context
             wanted = {s: pack_sorted(contexts[x:y]) for s, x, y in by_shard(contexts >> _CLASS_BITS, shards)}
-            asked = {s: p.packed() for s, p in pairs.by_shard(shards)}
             rows = [parcel(s, bucket, ASK, 0, *asked.get(s, (b"", b"", b"")), wanted.get(s, b"")) for s in sorted(asked.keys() | wanted)]
             yield from parcels(rows).to_batches()
 
@@ -600,8 +634,8 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
             both[:, known] = share[found[known]], weight[found[known]]
             rows.append(
                 parcel(
-                    row["origin"], number, ANSWER, 0, seen[at].astype(np.float32).tobytes(), below[at_keys].astype(np.float32).tobytes(),
-                    pack_counts(counts[words]), both.T.astype(np.float32).tobytes(),
+                    row["origin"], number, ANSWER, 0, pack_floats(seen[at]), pack_floats(below[at_keys]), pack_counts(counts[words]),
+                    pack_floats(both),
                 )
             )
         return parcels(rows)
@@ -611,16 +645,22 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
             return pa.table([pa.array([], t) for t in kinds_of], names=names_of)
         word, context, n = word_pairs(group.column("_text").combine_chunks(), WordHasher(lower=True, endings=True))
         pairs = Pairs.of(word, context, places=True)
-        contexts, of_context = np.unique(pairs.contexts, return_inverse=True)
-        _, of_class = pairs.classes()
+        del word, context
         got = opened(answers)[ANSWER]
-        seen, below = (np.concatenate([np.frombuffer(r[c], np.float32) for r in got]).astype(float) for c in "ab")
-        counts = np.concatenate([unpack_counts(r["c"]) for r in got])[pairs.words_of()]
-        share, weight = np.concatenate([np.frombuffer(r["d"], np.float32) for r in got]).astype(float).reshape(-1, 2).T
-        p = seen * share[of_context] + weight[of_context] * below[of_class]
+        seen, below = (np.concatenate([unpack_floats(r[c]) for r in got]) for c in "ab")
+        share, weight = np.concatenate([unpack_floats(r["d"]).reshape(2, -1) for r in got], axis=1)
+        of_context = np.unique(pairs.contexts, return_inverse=True)[1]
+        p = seen * share[of_context]
+        weight = weight[of_context]
+        del seen, share, of_context
+        p += weight * below[pairs.classes()[1]]
+        del weight, below
         logs = np.log10(np.maximum(p, 1e-45))[pairs.place]
+        del p
+        counts = np.concatenate([unpack_counts(r["c"]) for r in got])[pairs.words_of()]
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (vocabulary + 1)))[pairs.place]
         known = (counts > 0)[pairs.place]
+        del counts, got
         of = np.repeat(np.arange(len(n)), n)
         return pa.table(
             [

@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from spreadlake.llm import fingerprint, graph, jaccard, langid, lm, mixing, neardup, packing, quality, substring, tokencount  # noqa: E402
-from spreadlake.llm.common import WordHasher, crc_mod  # noqa: E402
+from spreadlake.llm.common import WordHasher, crc_mod, forget, stored  # noqa: E402
 import spreadlake.llm.common as common  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, score string, keys int, component string, label string, _text int"
@@ -513,6 +513,25 @@ def test_op9_pairs_survive_packing():
     assert sum(len(p.contexts) for _, p in pairs.by_shard(7)) == len(pairs.contexts)
 
 
+def test_op9_pairs_of_neighbouring_shards_are_sorted_together():
+    words = np.sort(np.random.default_rng(5).integers(0, 1 << 64, 4000, dtype=np.uint64))
+    for shards in (1, 5, 8, 204):
+        of = lm.shard_groups(words, shards)
+        assert (np.diff(of.astype(int)) >= 0).all() and of.max() < lm.GROUPS
+        for _, a, b in lm.by_shard(words >> np.uint64(64 - lm.CONTEXT_BITS), shards):
+            assert len(set(of[a:b])) == 1
+    x = np.float32([0.5, -3.25, 1e-30, 0])
+    assert (lm.unpack_floats(lm.pack_floats(x)) == x).all() and not len(lm.unpack_floats(lm.pack_floats(x[:0])))
+
+
+def test_stored_frames_lie_in_folders_and_can_be_forgotten(spark):
+    df = stored(spark.range(100).select("id", (F.col("id") % 3).alias("k")).repartition(4, "id"), "test-stored", "k")
+    assert df.columns == ["id", "k"] and df.filter("k = 1").count() == 33
+    forget(df, "/k=1/")
+    assert spark.read.parquet(df.inputFiles()[0].split("/k=")[0]).filter("k = 1").count() == 33
+    assert {f.split("/k=")[1][0] for f in spark.read.parquet(df.inputFiles()[0].split("/k=")[0]).inputFiles()} == {"1"}
+
+
 def test_op9_beats_a_bigram_model_on_held_out_texts(spark):
     """At least as good as interpolated Kneser-Ney on the previous word, per token of texts not learned from."""
     rng = np.random.default_rng(5)
