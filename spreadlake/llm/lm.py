@@ -18,20 +18,25 @@ the homes send back the totals. Each sweep is a stored table, so none is done tw
 only sums over the classes. What the last sweeps say is averaged: discounted counts, the
 weight a context gives to its parent, and the parent's probabilities.
 
-Texts are scored in buckets: a bucket asks the shards for its distinct pairs, words and contexts.
+Shards and buckets follow from the size of the texts alone, so that a parcel between two of them does
+not get smaller with more partitions. Texts are scored in buckets: a bucket asks the shards for its
+distinct pairs, words and contexts. Buckets come in ``ROUNDS``; a round's texts, questions and answers
+leave the disks with its end.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spreadlake.llm.common import WordHasher, buckets_for, forget, mix, slices, stored, total_chars
+from spreadlake.llm.common import WordHasher, forget, mix, slices, stored, total_chars
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -52,9 +57,18 @@ EXACT = 40
 
 _END = np.uint64(0x5851F42D4C957F2D)
 _SHIFT, _CLASS_BITS = np.uint64(64 - CONTEXT_BITS), np.uint64(5)
+_WIDTH = np.uint64(CONTEXT_BITS + 5)
+_LOW = (np.uint64(1) << _WIDTH) - np.uint64(1)
 _START = np.uint64(((0xD1342543DE82EF95 >> (64 - CONTEXT_BITS)) << 5) | (CLASSES - 1))
 _FLUSH = 1 << 21
 
+#: Characters of text behind a shard and in a bucket, and how many of either there are at least.
+#: Half as many words at most, which can be numbered in the bits above a context.
+SHARD_CHARS, FEWEST = 24_000_000, 16
+
+#: Buckets are scored in so many turns, one after the other.
+ROUNDS = 3
+
 #: Groups of shards whose pairs a task sorts one after the other, which bounds its memory.
 GROUPS = 8
 
@@ -119,23 +133,48 @@ class Pairs:
     @classmethod
     def of(cls, word: np.ndarray, context: np.ndarray, times: np.ndarray | None = None, places: bool = False) -> Pairs:
         """``places``: also where each given pair is among the distinct ones."""
-        order = np.lexsort((context, word))
-        w, u = word[order], context[order]
-        fresh = np.ones(len(w), bool)
-        other = w[1:] != w[:-1]
-        fresh[1:] = other | (u[1:] != u[:-1])
+        return cls._numbered(*np.unique(word, return_inverse=True), context, times, places)
+
+    @classmethod
+    def _numbered(cls, words: np.ndarray, number: np.ndarray, context: np.ndarray, times: np.ndarray | None, places: bool) -> Pairs:
+        """From sorted words and, for each pair, the number of its word."""
+        if len(words) > 1 << 64 - CONTEXT_BITS - 5:  # too many to be numbered in the bits above a context
+            order = np.lexsort((context, number))
+        else:
+            key = (number.astype(np.uint64) << _WIDTH) | context
+            if times is None and not places:
+                return cls._of_keys(words, key)
+            order = np.argsort(key)
+            del key
+        n, u = number[order], context[order]
+        fresh = np.ones(len(n), bool)
+        fresh[1:] = (n[1:] != n[:-1]) | (u[1:] != u[:-1])
         at = np.flatnonzero(fresh)
         place = None
         if places:
-            place = np.empty(len(w), np.int64)
+            place = np.empty(len(n), np.int64)
             place[order] = np.cumsum(fresh) - 1
         if times is not None:
             counts = np.add.reduceat(times[order], at) if len(at) else np.empty(0, np.int64)
         else:
-            counts = np.diff(np.append(at, len(w)))
-        w = w[at]
-        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.empty(0, np.int64)
-        return cls(w[first], np.diff(np.append(first, len(w))), u[at], counts, place)
+            counts = np.diff(np.append(at, len(n)))
+        return cls(words, np.bincount(n[at], minlength=len(words)), u[at], counts, place)
+
+    @classmethod
+    def _of_keys(cls, words: np.ndarray, key: np.ndarray) -> Pairs:
+        """From word numbers and contexts in one number each."""
+        key.sort()
+        at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        counts, key = np.diff(np.append(at, len(key))), key[at]
+        return cls(words, np.bincount((key >> _WIDTH).astype(np.int64), minlength=len(words)), key & _LOW, counts)
+
+    @classmethod
+    def merged(cls, parts: list[Pairs], times: bool = False, places: bool = False) -> Pairs:
+        """The distinct pairs of several; ``times`` adds up how often each occurs."""
+        words = distinct(np.concatenate([p.words for p in parts]))
+        number = np.concatenate([np.repeat(np.searchsorted(words, p.words), p.sizes) for p in parts])
+        context = np.concatenate([p.contexts for p in parts])
+        return cls._numbered(words, number, context, np.concatenate([p.times for p in parts]) if times else None, places)
 
     def by_shard(self, shards: int):
         """(shard, its pairs)."""
@@ -167,6 +206,12 @@ class Pairs:
         return np.unique(self.words_of() * CLASSES + (self.contexts % np.uint64(CLASSES)).astype(np.int64), return_inverse=True)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different numbers in order."""
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def planes(values: np.ndarray, width: int, size: int = 8) -> bytes:
     """The lowest ``width`` bytes of numbers of ``size`` bytes, byte by byte and compressed, behind their raw length."""
     raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, size).T[:width].tobytes()
@@ -296,10 +341,10 @@ class Seating:
 
     def __init__(self, keys: np.ndarray, once: np.ndarray, repeated: Pairs, fixed: list[int], number: int, vocabulary: int, seed: int = 17):
         self.keys, self.once, self.times, self.fixed, self.number, self.seed = keys, once, repeated.times, fixed, number, seed
+        self.repeated = repeated
         self.word, self.cls, self.n_words = keys // CLASSES, keys % CLASSES, fixed[-1]
         own = np.repeat(repeated.words.astype(np.int64), repeated.sizes) * CLASSES + (repeated.contexts % np.uint64(CLASSES)).astype(np.int64)
         self.key = np.searchsorted(keys, own)
-        self.contexts, self.context = np.unique(repeated.contexts, return_inverse=True)
         self.base = 1.0 / (vocabulary + 1)
         self.seat(np.ones(len(self.times), np.int64), np.ones(len(keys), np.int64), np.ones(self.n_words, np.int64))
 
@@ -310,6 +355,20 @@ class Seating:
         pairs = Pairs.unpacked(*(repeated[c] for c in "abcd"))
         return cls(keys, unpack_counts(seats["c"]), pairs, seats["stats"], number, vocabulary)
 
+    @cached_property
+    def _contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.repeated.contexts, return_inverse=True)
+
+    @property
+    def contexts(self) -> np.ndarray:
+        """The contexts of the repeated pairs."""
+        return self._contexts[0]
+
+    @property
+    def context(self) -> np.ndarray:
+        """Which of them each repeated pair has."""
+        return self._contexts[1]
+
     def seat(self, tables: np.ndarray, class_tables: np.ndarray, root_tables: np.ndarray) -> None:
         self.tables, self.class_tables, self.root_tables = tables, class_tables, root_tables
         self.customers = self.once + np.bincount(self.key, tables, len(self.keys)).astype(np.int64)
@@ -359,9 +418,9 @@ class Shard(Seating):
         keys, of = pairs.classes()
         self.active = np.flatnonzero(pairs.times >= 2)
         word, at = np.unique(pairs.words_of()[self.active], return_counts=True)
-        self.repeated = Pairs(word.astype(np.uint64), at, pairs.contexts[self.active], pairs.times[self.active])
+        repeated = Pairs(word.astype(np.uint64), at, pairs.contexts[self.active], pairs.times[self.active])
         fixed = [int((pairs.times == 1).sum()), int((pairs.times == 2).sum()), int(pairs.times.sum()), len(pairs.words)]
-        super().__init__(keys, np.bincount(of[pairs.times == 1], minlength=len(keys)), self.repeated, fixed, number, vocabulary, seed)
+        super().__init__(keys, np.bincount(of[pairs.times == 1], minlength=len(keys)), repeated, fixed, number, vocabulary, seed)
 
     def closed(self, to: int) -> list[tuple]:
         """The parcels of the shard."""
@@ -377,36 +436,33 @@ class Shard(Seating):
         total = np.bincount(self.pairs.words_of(), self.pairs.times, len(self.pairs.words)).astype(np.int64)
         return np.where(known, total[at] if len(total) else 0, 0)
 
-    def answer(self, asked: Pairs, g: Sums) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted count of each pair asked for, probability its class gives to each of the words' classes)."""
+    def places(self, asked: Pairs) -> tuple:
+        """Where what is asked for is in the shard; the same in all sweeps."""
         at, known = _find(self.pairs.words, asked.words)
         keys, _ = asked.classes()
+        word = keys // CLASSES
+        return at, known, keys, *_find(self.keys, np.where(known[word], at[word] * CLASSES + keys % CLASSES, -1)), self._pairs(asked, at, known)
+
+    def answer(self, asked: Pairs, g: Sums, places: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(discounted count of each pair asked for, probability its class gives to each of the words' classes)."""
+        at, known, keys, place, here, pair = places or self.places(asked)
         word, cls = keys // CLASSES, keys % CLASSES
         root = np.full(len(asked.words), self.unseen(g))
         root[known] = self.root_probability(g)[at[known]]
         below = class_weight(g)[cls] * root[word]
-        place, here = _find(self.keys, np.where(known[word], at[word] * CLASSES + cls, -1))
         seen = self.customers - g.class_discount * self.class_tables
         below[here] += seen[place[here]] / (STRENGTH + g.customers[cls[here]])
         tables = np.ones(len(self.pairs.times), np.int64)
         tables[self.active] = self.tables
-        return np.append(self.pairs.times - g.discount * tables, 0.0)[self._pairs(asked, at, known)], below
+        return np.append(self.pairs.times - g.discount * tables, 0.0)[pair], below
 
     def _pairs(self, asked: Pairs, at: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Where each pair asked for is among the shard's own; the number of those if it is not."""
         own, n = self.pairs, len(self.pairs.contexts)
-        word = asked.words_of()
-        both = np.concatenate((own.words_of(), np.where(known, at, len(own.words))[word]))
-        context = np.concatenate((own.contexts, asked.contexts))
-        order = np.lexsort((context, both))
-        same = np.zeros(len(order), bool)
-        same[1:] = (both[order][1:] == both[order][:-1]) & (context[order][1:] == context[order][:-1])
-        hit = same & (order >= n)
-        hit[1:] &= order[:-1] < n
-        out = np.full(len(word), n, np.int64)
-        where = np.flatnonzero(hit)
-        out[order[where] - n] = order[where - 1]
-        return out
+        of = asked.words_of()
+        mine, theirs = ((w.astype(np.uint64) << _WIDTH) | p.contexts for w, p in ((own.words_of(), own), (at[of], asked)))
+        place, here = _find(mine, theirs)
+        return np.where(here & known[of], place, n)
 
 
 def class_weight(g: Sums) -> np.ndarray:
@@ -449,9 +505,7 @@ def counted(docs: DataFrame, text: str, shards: int) -> DataFrame:
             yield from send(held)
 
     def merge(group: pa.Table) -> pa.Table:
-        parts = [Pairs.unpacked(r["a"], r["b"], r["c"], r["d"]) for r in group.to_pylist()]
-        word = np.concatenate([np.repeat(p.words, p.sizes) for p in parts])
-        pairs = Pairs.of(word, np.concatenate([p.contexts for p in parts]), np.concatenate([p.times for p in parts]))
+        pairs = Pairs.merged([Pairs.unpacked(r["a"], r["b"], r["c"], r["d"]) for r in group.to_pylist()], times=True)
         return parcels(Shard(pairs, 0, 0).closed(group.column("to")[0].as_py()))
 
     return docs.select(F.col(text)).mapInArrow(part, PARCEL).groupBy("to").applyInArrow(merge, PARCEL)
@@ -538,6 +592,11 @@ def totalled(homes: DataFrame, sent: DataFrame, number: int) -> DataFrame:
     return homes.unionByName(sent).groupBy("to").applyInArrow(work, PARCEL)
 
 
+def shards_for(chars: int) -> int:
+    """How many shards, and buckets, texts of so many characters are dealt to."""
+    return max(FEWEST, math.ceil(chars / SHARD_CHARS))
+
+
 def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, ``keep``) of every text.
 
@@ -546,9 +605,7 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
     token. Repeated rows are learned from and scored each. With nothing to learn from, a token has
     probability 1, the unknown word being the only one. An empty table gives an empty result.
     """
-    chars = total_chars(docs, text)
-    shards = 4 * buckets_for(docs.sparkSession, chars, 96_000_000)
-    buckets = buckets_for(docs.sparkSession, chars)
+    shards = buckets = shards_for(total_chars(docs, text))
     counts = stored(counted(docs.filter(taught), text, shards), "lm-counts", "kind")
     model, seats = counts.filter(F.col("kind") == MODEL), counts.filter(F.col("kind") != MODEL)
     stats = _add_up(model)
@@ -576,7 +633,6 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
     kept = [F.col(c).alias(f"_keep_{c}") for c in keep]
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), *kept)
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_text"), F.lit(buckets)).cast("int"))
-    rows = rows.repartition(buckets, "_bucket")
     bucket_at = len(keep) + 2
 
     def ask(batches):
@@ -585,17 +641,12 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
             of = b.column(bucket_at).to_numpy()
             for bucket in np.unique(of):
                 part = b.filter(pa.array(of == bucket))
-                p = Pairs.of(*word_pairs(part.column(1), hasher)[:2])
-                held.setdefault(int(bucket), []).append((np.repeat(p.words, p.sizes), p.contexts))
+                held.setdefault(int(bucket), []).append(Pairs.of(*word_pairs(part.column(1), hasher)[:2]))
         for bucket in list(held):
-            word, context = (np.concatenate(x) for x in zip(*held.pop(bucket)))
-            of = shard_groups(word, shards)
-            asked = {}
-            for k in range(GROUPS):
-                asked |= {s: p.packed() for s, p in Pairs.of(word[of == k], context[of == k]).by_shard(shards)}
-            del word, of
-            contexts = np.unique(context)
-            del context
+            pairs = Pairs.merged(held.pop(bucket))
+            contexts = distinct(pairs.contexts)
+            asked = {s: p.packed() for s, p in pairs.by_shard(shards)}
+            del pairs
             wanted = {s: pack_sorted(contexts[x:y]) for s, x, y in by_shard(contexts >> _CLASS_BITS, shards)}
             rows = [parcel(s, bucket, ASK, 0, *asked.get(s, (b"", b"", b"")), wanted.get(s, b"")) for s in sorted(asked.keys() | wanted)]
             yield from parcels(rows).to_batches()
@@ -607,13 +658,14 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
         number = group.column("to")[0].as_py()
         own = _shard(boxes, number, vocabulary)
         asked = [Pairs.unpacked(*(r[c] for c in "abc")) for r in boxes[ASK]]
-        every = Pairs.of(np.concatenate([np.repeat(p.words, p.sizes) for p in asked]), np.concatenate([p.contexts for p in asked]), places=True)
-        counts, (keys, _) = own.counts(every.words), every.classes()
+        every = Pairs.merged(asked, places=True)
+        places = own.places(every)
+        counts, keys = own.counts(every.words), places[2]
         seen, below, last = np.zeros(len(every.contexts)), np.zeros(len(keys)), history[-AVERAGED:]
         for i, g in enumerate(last):
             if STATE in boxes:
                 own.seat(*(unpack_counts(boxes[STATE][i][c]) for c in "abc"))
-            s, b = own.answer(every, g)
+            s, b = own.answer(every, g, places)
             seen += s / AVERAGED
             below += b / AVERAGED
         contexts, share, weight = np.empty(0, np.uint64), np.empty(0), np.empty(0)
@@ -673,11 +725,21 @@ def score_texts(docs: DataFrame, taught: Column, doc_id: str = "doc_id", text: s
 
     names_of = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", *keep]
     kinds_of = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.null()] * len(keep)
-    held = model.unionByName(kept_at_home)
-    for part in (*states[-AVERAGED:], *totals[-AVERAGED:], rows.mapInArrow(ask, PARCEL)):
-        held = held.unionByName(part)
-    answers = held.groupBy("to").applyInArrow(answer, PARCEL).withColumnRenamed("to", "_bucket")
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(
-        score, "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + kinds
-    )
+    kinds = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double" + kinds
+    learned = model.unionByName(kept_at_home)
+    for part in (*states[-AVERAGED:], *totals[-AVERAGED:]):
+        learned = learned.unionByName(part)
+
+    def scored(some: DataFrame) -> DataFrame:
+        answers = learned.unionByName(some.mapInArrow(ask, PARCEL)).groupBy("to").applyInArrow(answer, PARCEL).withColumnRenamed("to", "_bucket")
+        return some.groupBy("_bucket").cogroup(answers.groupBy("_bucket")).applyInArrow(score, kinds)
+
+    done = None
+    for k in range(ROUNDS):
+        turn = rows.filter(F.col("_bucket") % ROUNDS == k).repartition(math.ceil(buckets / ROUNDS), "_bucket")
+        part = stored(scored(turn), "lm-scores")
+        done = part if done is None else done.unionByName(part)
+    for part in (counts, homes, *states[-AVERAGED:], *totals[-AVERAGED:]):
+        forget(part)
+    return done

@@ -550,6 +550,33 @@ def test_op9_beats_a_bigram_model_on_held_out_texts(spark):
     assert ours >= theirs - 0.02 and ours > sum(r.base_score for r in got) / sum(r.n_tokens for r in got) + 0.3
 
 
+def test_op9_parcels_and_scores_do_not_depend_on_partitions(docs, spark, monkeypatch):
+    """Shards follow from the texts; what a round or the sweeps stored is gone when the scores are there."""
+    parcels, files = {}, {}
+
+    def watched(df, label, *folders):
+        out = stored(df, label, *folders)
+        parcels.setdefault(label, []).append(out.count())
+        files.setdefault(label, []).extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm, "stored", watched)
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("2", "9"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            scores = table_of(lm.score_texts(docs, crc_mod("doc_id", 5) != 1))
+            seen.append(({k: v for k, v in parcels.items()}, {i: r.score for i, r in scores.items()}))
+            parcels = {}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0][0] == seen[1][0] and seen[0][1] == pytest.approx(seen[1][1], rel=1e-9)
+    assert len(seen[0][0]["lm-scores"]) == lm.ROUNDS and sum(seen[0][0]["lm-scores"]) == docs.count()
+    left = {k for k, paths in files.items() if any(os.path.exists(f.removeprefix("file:")) or os.path.exists(f.removeprefix("file://")) for f in paths)}
+    assert left == {"lm-scores"}
+    assert lm.shards_for(0) == lm.FEWEST and lm.shards_for(50_000_000_000) == 2084
+
+
 def test_op9_tables_follow_their_distribution():
     d, a, c, n = 0.4, 0.7, 6, 40_000
     drawn = lm.draw_tables(np.full(n, c), np.full(n, a), d, np.random.default_rng(1))
