@@ -1,7 +1,10 @@
 """Similarity join of texts on shingles: prefixes of single tokens and of token combinations.
 
 A token is the hash of a shingle. All texts order their tokens alike: by how many documents hold
-them, as a count-min sketch estimates it (one, several, many), then by hash. If two sets are
+them, as a count-min sketch estimates it (one, several, many), then by hash. The sketch has as many
+cells as the texts need and lies spread over shards: texts travel in parcels, a parcel asks the
+shards for its tokens' cells and gets back two bits for each. A text that occurs several times
+counts once. If two sets are
 similar, the smallest token they share stands early in both: in the first ``n - o + 1`` of a set of
 ``n`` that must share ``o``. Tokens held by one document can't be shared; those held by several are
 indexed alone. If the smallest token shared is one of many documents, all tokens shared are. Then
@@ -23,12 +26,13 @@ import sys
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from spreadlake.llm.common import WordHasher, mix, partitions, runs, slices, stored, total_chars
+from spreadlake.llm.common import WordHasher, forget, mix, partitions, runs, slices, stored
 from spreadlake.llm.graph import components
-from spreadlake.llm.sketch import Reached, bits_for, count_min
+from spreadlake.llm.sketch import ANSWER, QUESTION, answered, asked, bits_for, counted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,14 +42,17 @@ SHINGLE = 5
 #: Documents from which a token is taken as one of many.
 FREQUENT = 100
 
-#: Rows of the sketch, and the power of two its cells stop at: one row x 2 thresholds x 32 MB of bits.
-DEPTH, MOST_BITS = 1, 28
+#: Characters of a parcel of texts, and how many parcels there are at least.
+PARCEL_CHARS, PARCELS = 12_000_000, 32
 
 #: Documents on either side of a block of comparisons.
 BLOCK = 512
 
 _SLICE = 1 << 20
 
+#: Columns of the index.
+INDEX = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "k1", "k2")), *((c, pa.list_(pa.int64())) for c in ("keys", "tokens"))])
+
 
 def needed(n):
     """Tokens that a set of ``n`` must share with any set similar to it at three quarters."""
@@ -116,46 +123,85 @@ def index_keys(row: np.ndarray, tokens: np.ndarray, several: np.ndarray, many: n
     return rows[order], keys[order]
 
 
+def copies_of(named: DataFrame) -> DataFrame:
+    """(doc_id, _h): rows of ``named`` whose text a document with a smaller id has as well."""
+    named = named.filter("doc_id is not null").select("doc_id", "_h")
+    firsts = named.groupBy("_h").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"))
+    # stored, so that both sides of the join are shuffled for it and hot keys can be split
+    firsts = stored(firsts.filter("_first < _last").drop("_last"), "jaccard-first-texts")
+    return stored(named.join(firsts, "_h").filter("doc_id > _first").select("doc_id", "_h").distinct(), "jaccard-copies")
+
+
+def _parcel_sets(texts: pa.Table, copies: pa.Table):
+    """(slice, row, token, own) of a parcel's texts: their sets, and which rows have an id and are no copies."""
+    known = {x for x in zip(*(copies[c].to_pylist() for c in ("doc_id", "_h"))) if x[0] is not None}
+    hasher = WordHasher(lower=True)
+    for part in slices(texts.select(["doc_id", "_text", "_h"]).to_batches(), 1, _SLICE):
+        ids, hashes = (part.column(k).to_pylist() for k in (0, 2))
+        own = np.array([i is not None and (i, h) not in known for i, h in zip(ids, hashes)], bool)
+        yield part, *token_sets(part.column(1), hasher), own
+
+
 def indexed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, k1, k2, keys, tokens): size, 128-bit hash and index keys of every text's set; the set if it has keys."""
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"))
-    bits = bits_for(total_chars(base, "_text") / 6 * 2, most=MOST_BITS)
-
-    def tokens_of(batch):
-        hasher = WordHasher(lower=True)
-        for part in slices(iter([batch]), 1, _SLICE):
-            yield token_sets(part.column(1), hasher)[1]
-
-    sketch = base.sparkSession.sparkContext.broadcast(count_min(base, tokens_of, bits, DEPTH, (2, FREQUENT)))
-
-    def work(batches):
-        several, many = (Reached(rows, bits) for rows in sketch.value)
-        hasher = WordHasher(lower=True)
-        for part in slices(batches, 1, _SLICE):
-            m = part.num_rows
-            row, tokens = token_sets(part.column(1), hasher)
+    """(doc_id, n, k1, k2, keys, tokens): size, 128-bit hash and index keys of every text's set; the set if it has keys.
+
+    Copies of a text of a smaller id have no keys, nor have rows without an id.
+    """
+    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("_text"), F.md5(F.col(text).cast("binary")).alias("_h"))
+    named = base.filter("_h is not null").select("doc_id", "_h", F.length("_text").cast("bigint").alias("_chars"))
+    named = stored(named, "jaccard-texts")
+    chars = int(named.agg(F.coalesce(F.sum("_chars"), F.lit(0))).first()[0])
+    bits, n = bits_for(chars / 6 * 2, most=60), max(PARCELS, -(-chars // PARCEL_CHARS))
+
+    def parcel(df: DataFrame) -> DataFrame:
+        return df.withColumn("_parcel", F.pmod(F.xxhash64("doc_id", "_h"), F.lit(n)))
+
+    # both uses of the texts and of the copies read one shuffle
+    texts, copies = parcel(base), parcel(copies_of(named))
+
+    def ask(key, own: pa.Table, twice: pa.Table) -> pa.Table:
+        tokens = [tokens[mask[row]] for _, row, tokens, mask in _parcel_sets(own, twice)]
+        return asked(key[0].as_py(), np.concatenate(tokens) if tokens else np.empty(0, np.uint64), bits)
+
+    questions = texts.groupBy("_parcel").cogroup(copies.groupBy("_parcel")).applyInArrow(ask, QUESTION)
+    answers = questions.groupBy("shard").applyInArrow(lambda group: counted(group, bits, (2, FREQUENT)), ANSWER)
+
+    def work(own: pa.Table, notes: pa.Table) -> pa.Table:
+        sets = list(_parcel_sets(own, notes.filter(pc.is_valid(notes["doc_id"]))))
+        kept = [tokens[mask[row]] for _, row, tokens, mask in sets]
+        tokens = np.concatenate(kept) if kept else np.empty(0, np.uint64)
+        several, many = answered(notes.filter(pc.is_valid(notes["shard"])), tokens, bits, 2)
+        ends = np.cumsum([len(x) for x in kept])
+        out = []
+        for (part, row, tokens, mask), own_tokens, end in zip(sets, kept, ends):
+            m, at = part.num_rows, slice(end - len(own_tokens), end)
             n = np.bincount(row, minlength=m)
-            two = several(tokens)
-            key_row, keys = index_keys(row, tokens, two, two & many(tokens), m)
+            key_row, keys = index_keys(row[mask[row]], own_tokens, several[at], many[at], m)
             k1, k2 = (np.zeros(m, np.uint64) for _ in "12")
             np.add.at(k1, row, mix(tokens))
             np.add.at(k2, row, mix(tokens ^ np.uint64(0xABCDEF1234567)))
-            ends = np.cumsum(np.bincount(key_row, minlength=m))
-            kept = np.diff(ends, prepend=0) > 0
-            held = np.where(kept, n, 0)
-            sets = pa.ListArray.from_arrays(
-                pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32()), pa.array(tokens[kept[row]].view(np.int64))
+            ends_ = np.cumsum(np.bincount(key_row, minlength=m))
+            with_keys = np.diff(ends_, prepend=0) > 0
+            held = np.where(with_keys, n, 0)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum(held))), pa.int32()), pa.array(tokens[with_keys[row]].view(np.int64))
             )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(keys.view(np.int64))),
-                    sets,
-                ],
-                ["doc_id", "n", "k1", "k2", "keys", "tokens"],
+            out.append(
+                pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), pa.array(n, pa.int64()), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends_)), pa.int32()), pa.array(keys.view(np.int64))),
+                        lists,
+                    ],
+                    INDEX.names,
+                )
             )
+        return pa.Table.from_batches(out, INDEX)
 
-    return base.mapInArrow(work, "doc_id bigint, n bigint, k1 bigint, k2 bigint, keys array<bigint>, tokens array<bigint>")
+    notes = answers.withColumns({"doc_id": F.lit(None).cast("bigint"), "_h": F.lit(None).cast("string")})
+    notes = notes.unionByName(copies.select("doc_id", "_h", "_parcel"), allowMissingColumns=True)
+    kinds = "doc_id bigint, n bigint, k1 bigint, k2 bigint, keys array<bigint>, tokens array<bigint>"
+    return texts.groupBy("_parcel").cogroup(notes.groupBy("_parcel")).applyInArrow(work, kinds)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,18 +228,21 @@ def joined_classes(met: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataF
     blocks = {side: F.ceil(F.col(n) / block).cast("int") for side, n in (("_i", "_strays"), ("_j", "_all"))}
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     every = {side: F.sequence(F.lit(0), n - 1) for side, n in blocks.items()}
-    strays = met.filter("_stray").withColumn("_i", (spread % blocks["_i"]).cast("int")).withColumn("_j", F.explode(every["_j"]))
-    others = met.withColumn("_j", (spread % blocks["_j"]).cast("int")).withColumn("_i", F.explode(every["_i"]))
-    sides = strays.withColumn("_left", F.lit(True)).unionByName(others.withColumn("_left", F.lit(False)))
+    at = {side: (spread % n).cast("int") for side, n in blocks.items()}
+    others = met.withColumn("_j", at["_j"]).withColumn("_i", F.explode(every["_i"])).withColumn("_right", F.lit(True))
+    others = others.withColumn("_left", F.col("_stray") & (F.col("_i") == at["_i"]))
+    # where a document outside stands on both sides of a block it travels once
+    strays = met.filter("_stray").withColumn("_i", at["_i"]).withColumn("_j", F.explode(every["_j"])).filter(F.col("_j") != at["_j"])
+    sides = strays.withColumns({"_right": F.lit(False), "_left": F.lit(True)}).unionByName(others)
     n = 4 * partitions(met.sparkSession)
     alone = (blocks["_i"] == 1) & (blocks["_j"] == 1)
     group = F.when(alone, F.pmod(F.xxhash64("_c"), F.lit(n))).otherwise(F.xxhash64("_c", "_i", "_j"))
-    rows = sides.select("doc_id", "_c", "_class", "_left", "_i", "_j", group.alias("_group")).join(sets, "doc_id")
+    rows = sides.select("doc_id", "_c", "_class", "_left", "_right", "_i", "_j", group.alias("_group")).join(sets, "doc_id")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         found = set()
         for _, part in pdf.groupby(["_c", "_i", "_j"]):
-            right = part[~part["_left"]]
+            right = part[part["_right"]]
             size = right["tokens"].map(len).to_numpy()
             classes = right["_class"].to_numpy()
             tokens = np.concatenate(right["tokens"].to_list())
@@ -238,6 +287,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = shared.select("doc_id").distinct().join(firsts, "doc_id").select("doc_id", "n", "k1", "k2")
     sets = rows.filter(F.size("tokens") > 0).select("doc_id", "n", "k1", "k2", "tokens").join(wanted, ["doc_id", "n", "k1", "k2"], "left_semi")
     sets = stored(sets.dropDuplicates(["doc_id", "k1", "k2"]).select("doc_id", "tokens"), "jaccard-sets")
+    slim = stored(rows.select("doc_id", "n", "k1", "k2"), "jaccard-rows")
+    forget(rows)
+    rows = slim
 
     star = _sized(shared.filter("doc_id <> _c").select(F.col("doc_id").alias("a"), F.col("_c").alias("b"), F.col("n").alias("n_a"), F.col("_cn").alias("n_b")))
     star = stored(star, "jaccard-star")
@@ -249,12 +301,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     labelled = labelled.select("key", "_c", "doc_id", F.coalesce("component", "doc_id").alias("_class"))
     mixed = labelled.groupBy("key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi")).filter("_lo < _hi").select("key")
     left = labelled.join(stored(mixed, "jaccard-mixed"), "key").select("_c", "doc_id", "_class").distinct()
-    joined = joined_classes(stored(left, "jaccard-left"), sets)
-    links = links.unionByName(joined)
+    left = stored(left, "jaccard-left")
+    forget(shared)
+    links = links.unionByName(joined_classes(left, sets))
 
     # documents of one set, and rows of one id, are linked as well
     copies = rows.filter("n > 0 and doc_id is not null").join(same, ["n", "k1", "k2"]).filter("doc_id <> _first")
     every = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("_first").alias("b")))
     found = components(every).withColumnRenamed("id", "doc_id")
+    forget(sets)
     per = rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     return per.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

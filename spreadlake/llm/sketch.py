@@ -4,6 +4,10 @@ A task hashes its keys into ``depth`` rows of ``2**bits`` cells and sends the ce
 their counts, cut into ranges. Ranges are added up where they meet, saturating, and only whether a
 cell reached a threshold is kept: one bit per cell and threshold, so the merged sketch has a size
 that its parameters fix and may be broadcast. An estimate is never below the true count.
+
+A sketch that must grow with the keys is not broadcast: parcels of keys ask the shards of the cells
+(``asked``), a shard adds up and answers every parcel with bits in the order of its cells
+(``counted``), and the parcel reads them off (``answered``).
 """
 
 from __future__ import annotations
@@ -27,6 +31,10 @@ _ROWS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86
 #: Keys a task gathers before it sends them on.
 _FLUSH = 1 << 21
 
+#: Columns of what parcels ask and shards answer, and the most cells of a shard as a power of two.
+QUESTION, ANSWER = "shard bigint, _parcel bigint, cells binary, times binary", "_parcel bigint, shard bigint, reached array<binary>"
+SHARD_BITS = 25
+
 
 def bits_for(keys: float, least: int = 16, most: int = 29) -> int:
     """Cells as a power of two, at least as many as ``keys``."""
@@ -62,6 +70,50 @@ class Reached:
         return out
 
 
+def _shard_bits(bits: int) -> int:
+    """Cells of a shard as a power of two; there are 16 shards at least."""
+    return min(SHARD_BITS, bits - 4)
+
+
+def _by_shard(cells: np.ndarray, bits: int):
+    """(shard, first, end) of sorted cells."""
+    shard = cells >> np.uint64(_shard_bits(bits))
+    first = np.flatnonzero(np.diff(shard, prepend=~shard[:1]))
+    return zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(cells)]) if len(cells) else iter(())
+
+
+def asked(parcel: int, keys: np.ndarray, bits: int) -> pa.Table:
+    """The distinct cells of a parcel's keys with their counts, one row for each shard met."""
+    cells, times = np.unique(cells_of(keys, 0, bits), return_counts=True)
+    times = np.minimum(times, 255).astype(np.uint8)
+    inside = cells & np.uint64((1 << _shard_bits(bits)) - 1)
+    rows = [(shard, parcel, _planes(inside[a:b]), times[a:b].tobytes()) for shard, a, b in _by_shard(cells, bits)]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    columns = zip(*rows) if rows else [[]] * 4
+    return pa.table([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], ["shard", "_parcel", "cells", "times"])
+
+
+def counted(group: pa.Table, bits: int, thresholds: tuple[int, ...]) -> pa.Table:
+    """A shard's answer to each parcel: for every threshold one bit per cell asked for."""
+    total = np.zeros(1 << _shard_bits(bits), np.uint8)
+    cells = [_from_planes(x) for x in group["cells"].to_pylist()]
+    for at, times in zip(cells, group["times"].to_pylist()):
+        total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(times, np.uint8), 255)
+    reached = [[np.packbits(total[at] >= t).tobytes() for t in thresholds] for at in cells]
+    return pa.table([group["_parcel"], group["shard"], pa.array(reached, pa.list_(pa.binary()))], ["_parcel", "shard", "reached"])
+
+
+def answered(answers: pa.Table, keys: np.ndarray, bits: int, thresholds: int) -> list[np.ndarray]:
+    """For each threshold, which of a parcel's keys reach it; ``keys`` are those it asked for, in any order."""
+    cells, place = np.unique(cells_of(keys, 0, bits), return_inverse=True)
+    said = dict(zip(answers["shard"].to_pylist(), answers["reached"].to_pylist()))
+    out = [np.zeros(len(cells), bool) for _ in range(thresholds)]
+    for shard, a, b in _by_shard(cells, bits):
+        for t, raw in enumerate(said[shard]):
+            out[t][a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a)
+    return [x[place] for x in out]
+
+
 def count_min(
     df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int, thresholds: tuple[int, ...]
 ) -> list[list[np.ndarray]]:

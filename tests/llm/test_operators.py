@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 
 import brute  # noqa: E402
 
-from spreadlake.llm import fingerprint, graph, jaccard, langid, lm, mixing, neardup, packing, quality, substring, tokencount  # noqa: E402
+from spreadlake.llm import fingerprint, graph, jaccard, langid, lm, mixing, neardup, packing, quality, sketch, substring, tokencount  # noqa: E402
 from spreadlake.llm.common import WordHasher, crc_mod, forget, stored  # noqa: E402
 import spreadlake.llm.common as common  # noqa: E402
 
@@ -312,6 +313,39 @@ def test_op6_index_meets_every_similar_pair():
                 assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
 
 
+def test_op6_sketch_over_shards_counts_as_whole_counts_do(monkeypatch):
+    monkeypatch.setattr(sketch, "SHARD_BITS", 6)
+    rng, bits = np.random.default_rng(8), 12
+    # no key, few, many; one that every parcel has more often than a byte counts
+    parcels = [np.append(rng.choice(rng.integers(0, 1 << 63, 900, dtype=np.uint64), size), np.full(300 if size else 0, 5, np.uint64)) for size in (0, 3, 2000, 700)]
+    cells = [sketch.cells_of(x, 0, bits).tolist() for x in parcels]
+    times = Counter(c for x in cells for c in x)
+    asked = pa.concat_tables([sketch.asked(k, x, bits) for k, x in enumerate(parcels)])
+    shards = set(asked["shard"].to_pylist())
+    assert len(shards) > 40
+    said = pa.concat_tables([sketch.counted(asked.filter(pa.compute.equal(asked["shard"], s)), bits, (2, 100)) for s in shards])
+    for k, keys in enumerate(parcels):
+        got = sketch.answered(said.filter(pa.compute.equal(said["_parcel"], k)), keys, bits, 2)
+        assert [x.tolist() for x in got] == [[times[c] >= t for c in cells[k]] for t in (2, 100)]
+
+
+def test_op6_indexes_shared_tokens_only_however_many_texts_there_are(spark, docs, odd, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(40)) for _ in range(300)]
+    near = texts[7].replace(texts[7].split()[0], "other")
+    # each text three times, one of them also with another word
+    rows = [(i, t, None, None) for i, t in enumerate(texts * 3)] + [(5000, near, None, None), (None, near, None, None)]
+    monkeypatch.setattr(jaccard, "PARCEL_CHARS", 2000)
+    got = jaccard.indexed(frame(spark, rows), "doc_id", "text").filter(F.size("keys") > 0).collect()
+    assert {r.doc_id for r in got} == {7, 5000} and all(len(r.tokens) == r.n for r in got)
+    found = table_of(jaccard.near_duplicates(frame(spark, rows)))
+    assert all(found[i].component_id == i % 300 for i in range(900)) and found[5000].component_id == 7
+    # shards and parcels of any size
+    monkeypatch.setattr(sketch, "SHARD_BITS", 7)
+    got = table_of(jaccard.near_duplicates(docs))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute.near_duplicates([(i, t) for i, t, *_ in odd])
+
+
 def test_op6_rows_of_one_id_and_chains(spark):
     w = prose(100).split()
     chain = [" ".join([*(f"new{j}" for j in range(i)), *w[i:]]) for i in range(0, 60, 6)]
