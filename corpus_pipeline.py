@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: five stages, each on all its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``docs``, whatever they are. ``run`` writes each result to the shared folder and reads it back.
+``docs``, whatever they are. ``run`` writes each result to the shared folder and reads it back, and
+deletes the one before, which nothing reads any more.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spreadlake.llm import jaccard, mixing, packing, quality, substring
-from spreadlake.llm.common import crc_mod, stored, table
+from spreadlake.llm.common import crc_mod, forget, stored, table
 
 
 def _boxed(docs: DataFrame, *columns: str) -> DataFrame:
@@ -91,7 +92,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -143,3 +143,18 @@ def test_mixing_keeps_columns_of_any_name_and_rows_without_an_id(spark):
     assert [got[t]._source for t in (1, 2, 3)] == ["t", "u", "v"]
     assert all(r.copies is not None for r in got.values()) and got[1].copies >= 1
     assert emit_copies(mixed, ["text"]).filter("text = 'a b c'").count() == got[1].copies
+
+
+def test_run_keeps_one_stored_stage(spark, corpus, monkeypatch):
+    held = []
+
+    def noted(df, label):
+        held.append(stored(df, label))
+        return held[-1]
+
+    plain = lambda s, docs, d: docs
+    monkeypatch.setattr(corpus_pipeline, "stored", noted)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"stage {k}", plain) for k in range(4)])
+    assert corpus_pipeline.run(spark, corpus).count() == 404
+    folders = [f.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://") for f in held]
+    assert [os.path.exists(x) for x in folders] == [False, False, True]
